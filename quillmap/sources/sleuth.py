@@ -60,7 +60,7 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
             rows = [(*r[:7], path, *r[7:]) for path, t in zip(b["path"], b["value"], strict=True) for r in parse(t)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    files = spark.read.option("wholetext", True).text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return files.mapInPandas(run, SCHEMA)
 
 
