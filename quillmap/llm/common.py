@@ -43,6 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
+    """``df``, written, and marked for broadcast if it has at most ``most`` rows; beyond that it stays an ordinary side of a join."""
+    small = materialize(df, name)
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def ship(spark: SparkSession) -> None:
     """Send this subpackage to Python workers that could not import it otherwise."""
     root = Path(__file__).resolve().parents[2]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize
+from .common import bounded, materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits text before merges, as the vocabulary's authors publish it (fixed value).
@@ -181,7 +181,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: st
 def judge(measured: DataFrame, lang: str | None = "lang", reach: float = REACH) -> DataFrame:
     """Add ``base_failed`` and ``kept``. Bands are quartiles plus or minus ``reach`` times their distance, over all rows of a group that pass the base rules.
 
-    The number of groups is that of languages and scripts, so the bands' table is small.
+    Bands are one row for each language or script, a table whose size is checked before it is sent to all tasks.
     """
     group = F.coalesce(F.col(lang), F.concat(F.lit("script:"), F.col("script"))) if lang else F.concat(F.lit("script:"), F.col("script"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -190,7 +190,7 @@ def judge(measured: DataFrame, lang: str | None = "lang", reach: float = REACH)
     rows = rows.withColumn("_flat_", F.col("token_entropy") / F.log2(F.greatest(F.col("n_tokens"), F.lit(2))))
     ok = rows.where(~F.col("base_failed"))
     q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q_{c}")
-    bands = ok.groupBy("band_group").agg(q("chars_per_token"), q("fallback_share"), q("_flat_"))
+    bands = bounded(ok.groupBy("band_group").agg(q("chars_per_token"), q("fallback_share"), q("_flat_")), "bands")
     out = rows.join(bands, "band_group", "left")
 
     def wide(c: str, least: float):

@@ -74,6 +74,8 @@ def gram_codes(column: pa.Array) -> Iterator[tuple[list[np.ndarray], list[np.nda
 
 def ranked(codes: np.ndarray, ranks: int) -> np.ndarray:
     """The most frequent codes, by falling count, then by code."""
+    if not len(codes):
+        return np.zeros(0, np.int64)
     x = np.sort(codes)
     edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     counts = np.diff(np.append(edge, len(x)))
