@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions import special
@@ -146,16 +146,24 @@ def with_z(rows: DataFrame) -> DataFrame:
     return rows.withColumn("z", special.p_to_z_udf("p"))
 
 
-def null_to_p(value: DataFrame, null: DataFrame, tail: str = "upper") -> DataFrame:
-    """Empirical p of (key, value) against null values: counts by a merged order of both, clipped to [1/n, 1 - 1/n]."""
-    from pyspark.sql import Window
+def null_to_p(value: DataFrame, null: DataFrame, tail: str = "upper", blocks: int = 1024) -> DataFrame:
+    """Empirical p of (key, value) against null values: counts by a merged order of both, clipped to [1/n, 1 - 1/n].
 
+    Values are ordered within ranges; totals of the ranges before and after come from a small table, so no task orders all.
+    """
     both = value.select("key", "value", F.lit(0).alias("is_null")).unionByName(null.select(F.lit(None).cast("long").alias("key"), "value", F.lit(1).alias("is_null")))
-    n = null.count()
-    up = Window.orderBy(F.col("value").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.col("value").asc()).rangeBetween(Window.unboundedPreceding, 0)
-    rows = both.withColumn("ge", F.sum("is_null").over(up)).withColumn("le", F.sum("is_null").over(down)).where("is_null = 0")
-    upper, lower = F.col("ge") / n, F.col("le") / n
+    bounds = both.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("is_null").alias("n")).first()
+    n, lo = bounds["n"] or 1, bounds["lo"] or 0.0
+    width = max(((bounds["hi"] or 0.0) - lo) / blocks, 1e-12)
+    both = both.withColumn("_b_", F.floor((F.col("value") - lo) / width))
+    totals = both.groupBy("_b_").agg(F.sum("is_null").alias("t"))
+    before = Window.orderBy("_b_").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.desc("_b_")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_b_", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("below"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("above"))
+    up = Window.partitionBy("_b_").orderBy(F.col("value").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_b_").orderBy(F.col("value").asc()).rangeBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("ge", F.sum("is_null").over(up)).withColumn("le", F.sum("is_null").over(down)).where("is_null = 0").join(totals, "_b_")
+    upper, lower = (F.col("ge") + F.col("above")) / n, (F.col("le") + F.col("below")) / n
     p = {"upper": upper, "lower": lower, "two": F.least(F.lit(1.0), 2 * F.least(upper, lower))}[tail]
     return rows.select("key", "value", F.greatest(F.lit(1 / n), F.least(F.lit(1 - 1 / n), p)).alias("p"))
 
@@ -222,8 +230,6 @@ def ale_difference(ma: DataFrame, group1: DataFrame, group2: DataFrame, mask: Da
     n1 to the first group, so no random state is kept; log(1 - v) is summed once
     for each (voxel, iteration, group).
     """
-    from pyspark.sql import Window
-
     ids = group1.select("id", F.lit(1).alias("g")).unionByName(group2.select("id", F.lit(2).alias("g"))).distinct()
     n1 = group1.select("id").distinct().count()
     logs = ma.join(ids.select("id"), "id", "left_semi").select("id", "voxel", F.log1p(-F.least("value", F.lit(1 - 1e-12))).alias("lv"))
@@ -238,3 +244,34 @@ def ale_difference(ma: DataFrame, group1: DataFrame, group2: DataFrame, mask: Da
     clip = F.greatest(1 / F.col("n"), F.least(1 - 1 / F.col("n"), p))
     out = mask.select("voxel").join(seen, "voxel", "left").join(ex, "voxel", "left")
     return out.select("voxel", F.coalesce("stat", F.lit(0.0)).alias("stat"), F.coalesce(clip, F.lit(1.0)).alias("p"))
+
+
+def scale(ma: DataFrame, foci_per_id: DataFrame, pool: DataFrame, kernel: DataFrame, grid: Grid, mask: DataFrame, n_iters: int = 50) -> DataFrame:
+    """(voxel, stat, p): the union statistic against foci drawn from a pool of coordinates (place, i, j, k), place from 0.
+
+    Each draw is a hash of (id, focus, iteration), so iterations are one grouped pass.
+    """
+    spark = ma.sparkSession
+    size = pool.count()
+    drawn = foci_per_id.select("id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("f")).crossJoin(F.broadcast(spark.range(n_iters).select(F.col("id").alias("it"))))
+    drawn = drawn.withColumn("place", F.pmod(F.xxhash64("id", "f", "it"), F.lit(size))).join(pool, "place")
+    drawn = drawn.select(F.struct("id", "it").alias("id"), "i", "j", "k")
+    perm = kernels.ale(drawn, kernel, grid).select(F.col("id.it").alias("it"), "voxel", "value")
+    perm = perm.groupBy("it", "voxel").agg(union_probability(F.col("value")).alias("stat"))
+    seen = ale_stat(ma, mask)
+    hits = perm.withColumnRenamed("stat", "perm").join(seen, "voxel").groupBy("voxel").agg(F.sum((F.col("perm") >= F.col("stat")).cast("int")).alias("ge"))
+    p = F.when(F.col("stat") <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0 / n_iters), F.least(F.lit(1 - 1.0 / n_iters), F.coalesce("ge", F.lit(0)) / n_iters)))
+    return seen.join(hits, "voxel", "left").select("voxel", "stat", p.alias("p"))
+
+
+def balanced_difference(ma: DataFrame, group1: DataFrame, group2: DataFrame, mask: DataFrame, target: int, n_subsamples: int = 50) -> DataFrame:
+    """(voxel, mean1, mean2, conjunction, difference): means over subsamples of ``target`` analyses of each group, ranked by a hash of (id, subsample)."""
+    spark = ma.sparkSession
+    ids = group1.select("id", F.lit(1).alias("g")).unionByName(group2.select("id", F.lit(2).alias("g"))).distinct()
+    drawn = ids.crossJoin(F.broadcast(spark.range(n_subsamples).select(F.col("id").alias("it"))))
+    place = F.row_number().over(Window.partitionBy("it", "g").orderBy(F.xxhash64("id", "it"), "id"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= target).drop("place")
+    stat = ma.join(drawn, "id").groupBy("it", "g", "voxel").agg(union_probability(F.col("value")).alias("stat"))
+    mean = lambda g: (F.sum(F.when(F.col("g") == g, F.col("stat")).otherwise(0.0)) / n_subsamples).alias(f"mean{g}")
+    out = mask.select("voxel").join(stat.groupBy("voxel").agg(mean(1), mean(2)), "voxel", "left").fillna(0.0, ["mean1", "mean2"])
+    return out.withColumn("conjunction", F.least("mean1", "mean2")).withColumn("difference", F.col("mean1") - F.col("mean2"))

@@ -354,6 +354,24 @@ def ale_subtraction(spark, d):
     return cbma.ale_difference(_ale(spark, d), ids.where("status = 'O'"), ids.where("status <> 'O'"), proxy.GRID.mask(spark), 20)
 
 
+@query()
+def ale_scale(spark, d):
+    """Foci drawn from all points' voxels, as a user's pool would be."""
+    from pyspark.sql import Window
+
+    p = proxy.points(spark, d)
+    own = p.where("id % 200 = 0")
+    pool = p.select("i", "j", "k").distinct().withColumn("place", (F.row_number().over(Window.orderBy("i", "j", "k")) - 1).cast("long"))
+    kernel = spark.createDataFrame(ALE_VALUES, "di int, dj int, dk int, v double")
+    return cbma.scale(kernels.ale(own, kernel, proxy.GRID), own.groupBy("id").agg(F.count("*").alias("n")), pool, kernel, proxy.GRID, proxy.GRID.mask(spark), 20)
+
+
+@query()
+def ale_balanced(spark, d):
+    ids = proxy.analyses(spark, d).where("id % 50 = 0")
+    return cbma.balanced_difference(_ale(spark, d), ids.where("status = 'O'"), ids.where("status <> 'O'"), proxy.GRID.mask(spark), 5, 20)
+
+
 # ---- correction
 FDR = ", t AS (SELECT id, label, ln(value) AS nlogp FROM annotation), k AS (SELECT *, row_number() OVER (ORDER BY nlogp) AS r, count(*) OVER () AS m FROM t), a AS (SELECT *, nlogp - ln(r::DOUBLE / m) + {extra} AS adj FROM k) SELECT id, label, round(least(min(adj) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 0), 6) AS corrected FROM a"
 

@@ -240,3 +240,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").exceptAll(label_counts.label_counts(rows)).count() == 0
+
+
+def test_word_and_coordinate_topics(spark):
+    from quillmap.operators import topics
+
+    rng = np.random.default_rng(0)
+    counts, pts = [], []
+    for d in range(30):
+        g = d % 2
+        counts += [(d, int(w), 2) for w in rng.choice(4, 3, replace=False) + 4 * g]
+        pts += [(d, *map(float, rng.normal(30 * (2 * g - 1), 2, 3))) for _ in range(4)]
+    model = topics.fit(spark.createDataFrame(counts, "id long, word long, n int"), spark.createDataFrame(pts, "id long, x double, y double, z double"), 2, 8, rounds=12, blocks=3)
+    at = np.array([[-30.0] * 3, [30.0] * 3])
+    low, high = topics.topic_given_voxel(model, at)
+    assert low.argmax() != high.argmax() and model["word_given_topic"].sum(1) == pytest.approx([1.0, 1.0])
+    words = topics.decode(model, at[:1], np.ones(1), topics.weight_priors(np.ones(2), 0.5))
+    assert words[:4].sum() > 5 * words[4:].sum()
+    text = topics.encode(model, np.array([3, 3, 3, 3, 0, 0, 0, 0.0]), at)
+    assert text[0] > text[1]
