@@ -28,7 +28,7 @@ from . import kernels as K
 from .common import materialize
 
 #: Documented bounds: hash buckets, embedding width, and labelled texts of each class used in training.
-BITS, WIDTH, MOST_TOXIC, MOST_CLEAN = 17, 4, 2500, 4000
+BITS, WIDTH, MOST_TOXIC, MOST_CLEAN = 17, 4, 2500, 7000
 ORDERS = (3, 4, 5)
 #: Averaged n-gram weights are small; this factor brings them to the scale that the optimiser expects.
 GAIN = 60.0
@@ -87,8 +87,8 @@ def padded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out, starts
 
 
-def features(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the distinct buckets and their shares of its n-grams."""
+def features(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each text the distinct buckets, their counts, and what one n-gram weighs. Counts take two bytes if they can, as all bags stay in memory while training."""
     out = []
     for buf, starts in padded(pa.array(texts, pa.large_string())):
         parts = list(grams(buf, bits))
@@ -96,7 +96,8 @@ def features(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.nd
         for i in range(len(starts) - 1):
             own = np.concatenate([b[c[i] : c[i + 1]] for (_, b), c in zip(parts, cuts, strict=True)])
             ids, counts = np.unique(own, return_counts=True)
-            out.append((ids.astype(np.int32), (counts * (GAIN / (EMPTY + len(own)))).astype(np.float32)))
+            small = np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32
+            out.append((ids.astype(np.int32), counts.astype(small), GAIN / (EMPTY + len(own))))
     return out
 
 
@@ -121,7 +122,7 @@ def fit(rows: list[tuple[str | None, int]], prior: float, bits: int = BITS, widt
         for a in range(0, len(order), size):
             pick = order[a : a + size]
             ids = np.concatenate([bags[i][0] for i in pick])
-            vals = np.concatenate([bags[i][1] for i in pick])
+            vals = np.concatenate([bags[i][1] * np.float32(bags[i][2]) for i in pick])
             lens = np.array([len(bags[i][0]) for i in pick])
             own = np.repeat(np.arange(len(pick)), lens)
             used, slot = np.unique(ids, return_inverse=True)
