@@ -251,7 +251,7 @@ def test_word_and_coordinate_topics(spark):
         g = d % 2
         counts += [(d, int(w), 2) for w in rng.choice(4, 3, replace=False) + 4 * g]
         pts += [(d, *map(float, rng.normal(30 * (2 * g - 1), 2, 3))) for _ in range(4)]
-    model = topics.fit(spark.createDataFrame(counts, "id long, word long, n int"), spark.createDataFrame(pts, "id long, x double, y double, z double"), 2, 8, rounds=12, blocks=3)
+    model = topics.fit(spark.createDataFrame(counts, "id long, word long, n int"), spark.createDataFrame(pts, "id long, x double, y double, z double"), 2, 8, rounds=6, blocks=2)
     at = np.array([[-30.0] * 3, [30.0] * 3])
     low, high = topics.topic_given_voxel(model, at)
     assert low.argmax() != high.argmax() and model["word_given_topic"].sum(1) == pytest.approx([1.0, 1.0])
