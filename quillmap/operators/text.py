@@ -35,6 +35,22 @@ def tfidf(text: DataFrame, column: str = "text", stop: list[str] | None = None,
     return raw.select("id", "label", (F.col("raw") / norm).alias("value"))
 
 
+def substitute_words(text: DataFrame, words: dict[str, str], column: str = "text") -> DataFrame:
+    """Whole words replaced by a given list; other characters stay as they are."""
+    if not words:
+        return text
+    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    parts = F.regexp_extract_all(F.col(column), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    return text.withColumn(column, F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), ""))
+
+
+def citation_keys(text: DataFrame, column: str = "text") -> DataFrame:
+    """(id, key): distinct keys of \\cite, \\citep, \\citet and the like, in braces and divided by commas."""
+    groups = F.regexp_extract_all(F.col(column), F.lit(r"\\cite[a-z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"), F.lit(1))
+    keys = text.select("id", F.explode(groups).alias("g")).select("id", F.explode(F.split("g", ",")).alias("key"))
+    return keys.select("id", F.trim("key").alias("key")).where("key <> ''").distinct()
+
+
 def alias_forms(ontology: DataFrame) -> DataFrame:
     """(id, name, alias): aliases split at ", ", each also without parentheses, longest first."""
     split = ontology.select("id", "name", F.explode(F.array_union(F.array("name"), F.split(F.coalesce("alias", F.lit("")), ", "))).alias("alias")).where("alias <> ''")

@@ -92,3 +92,14 @@ def coactivation(ss: Studyset, roi_k: tuple[int, int], **options) -> Result:
 
 def by_labels(ss: Studyset, labels: list[str], **options) -> Studyset:
     return ss.select(selection.by_labels(ss.analysis, ss.annotation, labels, **options))
+
+
+def contrast(ss: Studyset, group1: DataFrame, group2: DataFrame, threshold: float = 1.96, **options) -> Result:
+    """Main effects of two groups, their conjunction, and each direction of the contrast where that group's own effect passes the threshold."""
+    one, two = (run(ss.select(g), "ale", None, threshold, **options) for g in (group1, group2))
+    a, b = (r.maps["stat"].select("voxel", F.col("z").alias("value")) for r in (one, two))
+    both = run(ss.select(group1.select("id").unionByName(group2.select("id"))), "mkdachi2", None, threshold, group1=group1, r=options.get("r", 10.0))
+    z = both.maps["stat"].select("voxel", F.col("z_association").alias("z"))
+    gated = z.join(a.withColumnRenamed("value", "a"), "voxel").join(b.withColumnRenamed("value", "b"), "voxel")
+    gated = gated.select("voxel", F.when((F.col("z") > 0) & (F.col("a") > threshold), F.col("z")).when((F.col("z") < 0) & (F.col("b") > threshold), F.col("z")).otherwise(0.0).alias("value"))
+    return Result({"group1": a, "group2": b, "conjunction": diagnostics.conjunction(a, b), "contrast": gated})

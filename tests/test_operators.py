@@ -259,3 +259,19 @@ def test_word_and_coordinate_topics(spark):
     assert words[:4].sum() > 5 * words[4:].sum()
     text = topics.encode(model, np.array([3, 3, 3, 3, 0, 0, 0, 0.0]), at)
     assert text[0] > text[1]
+
+
+def test_words_and_citations(spark):
+    docs = spark.createDataFrame([(1, r"Colour of colour; see \citep[p. 2]{smith2001, lee99} and \cite{lee99}."), (2, None)], "id long, text string")
+    out = {r["id"]: r["text"] for r in text.substitute_words(docs, {"colour": "color"}).collect()}
+    assert out[1].startswith("Colour of color;") and out[2] is None
+    assert sorted(r["key"] for r in text.citation_keys(docs).collect()) == ["lee99", "smith2001"]
+
+
+def test_contrast_and_coactivation(spark, tiny):
+    ss = proxy.studyset(spark, tiny)
+    some = ss.select(ss.analysis.where("id % 150 = 0"))
+    g1, g2 = (some.analysis.where(c).select("id") for c in ("status = 'O'", "status <> 'O'"))
+    maps = workflows.contrast(some, g1, g2, fwhm=4.0, r=4.0, step=1e-2).maps
+    assert {m.count() for m in maps.values()} == {700}
+    assert workflows.coactivation(some, (2, 3), fwhm=4.0, step=1e-2).maps["stat"].count() == 700
