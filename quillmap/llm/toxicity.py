@@ -87,10 +87,10 @@ def padded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out, starts
 
 
-def features(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def features(texts: pa.Array | list[str | None], bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """For each text the distinct buckets, their counts, and what one n-gram weighs. Counts take two bytes if they can, as all bags stay in memory while training."""
     out = []
-    for buf, starts in padded(pa.array(texts, pa.large_string())):
+    for buf, starts in padded(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts):
         parts = list(grams(buf, bits))
         cuts = [np.searchsorted(at, starts) for at, _ in parts]
         for i in range(len(starts) - 1):
@@ -101,12 +101,15 @@ def features(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.nd
     return out
 
 
-def fit(rows: list[tuple[str | None, int]], prior: float, bits: int = BITS, width: int = WIDTH, epochs: int = 6, seed: int = 7) -> Model:
-    """Train embeddings and softmax together by Adam. ``prior`` is the share of toxic texts among all labelled ones."""
-    labels = np.array([y for _, y in rows], np.int64)
+def fit(rows: list[tuple[str | None, int]], prior: float, bits: int = BITS, **options) -> Model:
+    """Train on (text, label) rows. ``prior`` is the share of toxic texts among all labelled ones."""
+    return fit_bags(features([t for t, _ in rows], bits), np.array([y for _, y in rows], np.int64), prior, bits, **options)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray, float]], labels: np.ndarray, prior: float, bits: int = BITS, width: int = WIDTH, epochs: int = 6, seed: int = 7) -> Model:
+    """Train embeddings and softmax together by Adam."""
     if not len(labels) or labels.min() == labels.max():
         return Model(bits, -30.0 if not labels.any() else 30.0, np.zeros(1 << bits, np.float32))
-    bags = features([t for t, _ in rows], bits)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (1 << bits, width)).astype(np.float32)
     top = rng.normal(0, 0.3, (width, 2)).astype(np.float32)
@@ -172,7 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_t
     picked = materialize(known.where(draw < share).distinct(), "picked")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").toArrow()
     rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending")]))
-    return fit(list(zip(rows["text"].to_pylist(), rows["y"].to_pylist(), strict=True)), pos / max(pos + neg, 1))
+    texts, marks = rows["text"], rows["y"].to_numpy().astype(np.int64)
+    del rows
+    bags = features(texts.cast(pa.large_string()).combine_chunks(), BITS)
+    del texts
+    return fit_bags(bags, marks, pos / max(pos + neg, 1))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, to: str = "score") -> DataFrame:
