@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, uniform
+from .common import WORD, bounded, materialize, uniform
 
 MOST_COPIES, RANGES = 3, 4096
 
@@ -63,7 +63,8 @@ def mix(rows: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
     plan = planned.withColumn("fold", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.withColumn("sure", F.floor("fold")).withColumn("share", F.col("fold") - F.floor("fold"))
     plan = plan.withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size"))
-    plan = plan.select(F.col("source").alias("_s_"), "source_size", "target", "sure", "share", "rest")
+    # tables of one row for each source are written and, if their size allows, sent to all tasks: a hot source then stays where its rows are
+    plan = bounded(plan.select(F.col("source").alias("_s_"), "source_size", "target", "sure", "share", "rest"), "plan")
     # Pareto's ratio, mapped to (0, 1) in the same order, so that its ranges are known beforehand
     u = F.col("_u_")
     ratio = (u / (1 - u)) / (F.col("share") / (1 - F.col("share")))
@@ -79,20 +80,23 @@ def mix(rows: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
     totals = live.groupBy("source", "_r_", "rest").agg(F.sum("size").alias("words"))
     totals = totals.withColumn("_before_", F.coalesce(up_to("words", "_r_"), F.lit(0)))
     cut = totals.where((F.col("_before_") < F.col("rest")) & (F.col("_before_") + F.col("words") >= F.col("rest")))
-    cut = cut.select(F.col("source").alias("_cs_"), F.col("_r_").alias("_cr_"), "_before_")
+    cut = bounded(cut.select(F.col("source").alias("_cs_"), F.col("_r_").alias("_cr_"), "_before_"), "cut")
     # order only that range; documents go in as long as they fit
     inside = live.join(cut, F.col("source").eqNullSafe(F.col("_cs_")) & (F.col("_r_") == F.col("_cr_")))
     inside = inside.withColumn("_at_", F.col("_before_") + F.coalesce(up_to("size", *key), F.lit(0)))
     last = inside.where(F.col("_at_") + F.col("size") <= F.col("rest")).groupBy("source").agg(F.max(F.struct(*key)).alias("_last_"))
     # the cut is known for each source: what is taken so far, and the best filler of the gap
-    mark = cut.join(last.select(F.col("source").alias("_ls_"), "_last_"), F.col("_cs_").eqNullSafe(F.col("_ls_")), "left").select("_cs_", "_cr_", "_last_")
+    mark = cut.join(last.select(F.col("source").alias("_ls_"), "_last_"), F.col("_cs_").eqNullSafe(F.col("_ls_")), "left")
+    mark = bounded(mark.select("_cs_", "_cr_", "_last_"), "mark")
     marked = ranked.join(mark, F.col("source").eqNullSafe(F.col("_cs_")), "left")
     goes_in = (F.col("share") > 0) & (F.col("_cr_").isNull() | (F.col("_r_") < F.col("_cr_")) | ((F.col("_r_") == F.col("_cr_")) & (F.struct(*key) <= F.col("_last_"))))
     marked = marked.withColumn("_in_", F.coalesce(goes_in, F.lit(False)))
     had = marked.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("_in_"), F.col("size")).otherwise(0))).alias("_gap_")).select(F.col("source").alias("_gs_"), "_gap_")
+    had = bounded(had, "gaps")
     open_ = marked.where(~F.col("_in_") & (F.col("share") > 0) & (F.col("size") > 0)).join(had, F.col("source").eqNullSafe(F.col("_gs_")))
     fill = open_.where((F.col("_gap_") > 0) & (F.abs(F.col("_gap_") - F.col("size")) < F.col("_gap_"))).groupBy("source").agg(F.min(F.struct(F.abs(F.col("_gap_") - F.col("size")).alias("off"), *key)).alias("_fill_"))
-    marked = marked.join(fill.select(F.col("source").alias("_fs_"), "_fill_"), F.col("source").eqNullSafe(F.col("_fs_")), "left")
+    fill = bounded(fill.select(F.col("source").alias("_fs_"), "_fill_"), "fill")
+    marked = marked.join(fill, F.col("source").eqNullSafe(F.col("_fs_")), "left")
     is_fill = F.coalesce(~F.col("_in_") & (F.col("doc_id") == F.col("_fill_.doc_id")) & (F.col("size") == F.col("_fill_.size")), F.lit(False))
     copies = F.coalesce(F.col("sure"), F.lit(0)) + F.when(F.col("_in_") | is_fill, 1).otherwise(0)
     drop = ["_u_", "_s_", "_q_", "_r_", "_cs_", "_cr_", "_last_", "_in_", "_fs_", "_fill_", "sure", "share", "rest"]
