@@ -6,11 +6,14 @@ coordinate k. A row of shifted ranks is contiguous in memory, so all
 coordinates of a shingle are one read.
 
 Documents with equal shingle sets form a class and are linked outright. Class
-representatives that share a band are compared, first with the least member of
-each bucket (a star), and then, for buckets that still hold more than one
-component, across those components; so every pair that shares a band is either
-compared on its full sets or known to be in one component already. No bucket
-emits its pairs within a component.
+representatives that share a band are compared, first with one member of each
+bucket (a star around the member that meets most others), and then, for buckets
+that still hold more than one component, across those components. Such a pair is
+emitted only if its odd sketches allow the similarity: a bit of the sketch is the
+parity of the shingles that fall on it, so bits that differ never outnumber the
+shingles that differ, and the test loses no link. So every pair that shares a
+band is compared on its full sets, proven too different, or known to be in one
+component already, and no bucket emits all its pairs.
 
 Defined results: null or empty texts (or ones of white space) have 0 shingles,
 are their own component and link with nothing; rows with a null doc_id have a
@@ -35,6 +38,8 @@ from .graph import connected_components
 UNIVERSE = 1 << 18
 #: Rows of a band, and the chance that a pair right at the threshold shares none.
 ROWS, MISS = 5, 2e-5
+#: Longs of an odd sketch.
+SKETCH = 32
 _CACHE: dict = {}
 
 
@@ -75,20 +80,27 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return b"".join(p.to_bytes(8, "big") for p in parts)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    places = (shingles >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)
+    return np.packbits((np.bincount(places, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, prints, keys = [], [], []
+            sizes, prints, keys, odd = [], [], [], []
             for _, _, buf, offsets in K.slices(b.column(2)):
                 for s in K.shingle_sets(buf, offsets, k):
                     sizes.append(len(s))
+                    odd.append(odd_sketch(s))
                     prints.append(fingerprint(s) if len(s) else None)
                     keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "print", "bands"])
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *odd])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists, sketches], ["doc_id", "text_key", "n_shingles", "print", "bands", "sketch"])
 
     inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return inputs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, print binary, bands array<long>")
+    return inputs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, print binary, bands array<long>, sketch array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -120,32 +132,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (doc_id = component_id)."""
     bands = bands_for(percent, rows, miss)
     signed = materialize(signatures(docs, k, bands, rows, id_col, text), "signatures")
-    classes = signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "bands")).alias("m"), F.count("*").alias("copies"))
+    classes = signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "bands", "sketch")).alias("m"), F.count("*").alias("copies"))
     classes = materialize(classes.select("print", "copies", "m.*"), "classes")
 
-    # buckets with more than one class
+    # buckets with more than one class; the member with the largest buckets in all is the centre of a star
     placed = classes.select("doc_id", "text_key", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    heads = placed.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).where("members > 1").select("bucket", "head")
-    members = materialize(placed.join(heads, "bucket"), "members")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    members = materialize(placed.join(shared, "bucket"), "members")
+    degree = members.groupBy("doc_id").agg(F.sum("members").alias("degree"))
+    ranked = members.join(degree, "doc_id")
     close = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    at_head = members.where("doc_id = head").select("bucket", F.col("doc_id").alias("a"), F.col("text_key").alias("a_key"), F.col("n").alias("a_n"))
-    star = members.where("doc_id <> head").select("bucket", F.col("doc_id").alias("b"), F.col("text_key").alias("b_key"), F.col("n").alias("b_n"))
-    star = star.join(at_head, "bucket").where(close).select("a", "a_key", "b", "b_key").distinct()
+    heads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("order"), F.struct(F.col("doc_id").alias("a"), F.col("text_key").alias("a_key"), F.col("n").alias("a_n")).alias("head"))).alias("m")).select("bucket", "m.head.*")
+    star = members.select("bucket", F.col("doc_id").alias("b"), F.col("text_key").alias("b_key"), F.col("n").alias("b_n")).join(heads, "bucket").where("a <> b")
+    star = star.where(close).select("a", "a_key", "b", "b_key").distinct()
     wanted = members.select("doc_id", "text_key").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     texts = materialize(texts.join(wanted, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]), "texts")
     links = materialize(verify(star, texts, k, percent), "links")
     found = connected_components(links)
 
-    # buckets that still hold several components: compare across these, nowhere else
+    # buckets that still hold several components: compare what is outside the largest one with all that is in another
     named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    named = materialize(named.join(mixed, "bucket"), "mixed")
-    groups = named.select("bucket", "component").distinct()
-    across = groups.alias("p").join(groups.alias("q"), F.expr("p.bucket = q.bucket and p.component < q.component")).select("p.bucket", F.col("p.component").alias("p"), F.col("q.component").alias("q"))
-    one = named.select("bucket", F.col("component").alias("p"), F.col("doc_id").alias("a"), F.col("text_key").alias("a_key"), F.col("n").alias("a_n"), "head")
-    two = named.select("bucket", F.col("component").alias("q"), F.col("doc_id").alias("b"), F.col("text_key").alias("b_key"), F.col("n").alias("b_n"))
-    more = across.join(one, ["bucket", "p"]).join(two, ["bucket", "q"]).where(close & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head")))
+    groups = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    main = groups.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("m.component").alias("main"))
+    sketches = classes.select("doc_id", "text_key", "sketch")
+    mixed = materialize(named.join(main, "bucket").join(sketches, ["doc_id", "text_key"]).select("bucket", "component", "main", "doc_id", "text_key", "n", "sketch"), "mixed")
+    one = mixed.where("component <> main").select("bucket", F.col("component").alias("p"), F.col("doc_id").alias("a"), F.col("text_key").alias("a_key"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    two = mixed.select(F.col("bucket").alias("b_bucket"), F.col("component").alias("q"), "main", F.col("doc_id").alias("b"), F.col("text_key").alias("b_key"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    # similarity t allows (1 - t) / (1 + t) of both sizes to differ
+    allowed = (100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    apart = (F.col("bucket") == F.col("b_bucket")) & (F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("a") < F.col("b")))
+    more = one.join(two, apart & close & allowed)
     more = materialize(verify(more.select("a", "a_key", "b", "b_key").distinct(), texts, k, percent), "links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
