@@ -36,12 +36,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays; rows without doc_id stay."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), one row of each (doc_id, text); rows with neither doc_id nor words stay."""
     ship(spark)
-    marked = minhash.near_duplicates(docs, k=5, percent=80)
-    kept = marked.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    marked = minhash.groups(docs, k=5, percent=80)
+    kept = marked.where(F.col("first").isNull() | minhash.is_first()).select(F.col("doc_id").alias("_d_"), F.col("text_key").alias("_t_"), "n_shingles").distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_k_")).join(kept, F.col("doc_id").eqNullSafe(F.col("_d_")) & (F.col("_k_") == F.col("_t_")))
+    rows = rows.withColumn("_own_", F.when(F.col("doc_id").isNull() & (F.col("n_shingles") == 0), F.monotonically_increasing_id()))
+    return rows.groupBy("_d_", "_t_", "_own_").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

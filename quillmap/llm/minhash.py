@@ -15,10 +15,15 @@ shingles that differ, and the test loses no link. So every pair that shares a
 band is compared on its full sets, proven too different, or known to be in one
 component already, and no bucket emits all its pairs.
 
+The graph's nodes are classes, named by a hash of the doc_id and text of their
+first row, so texts that share a doc_id are separate. A component is named by its
+least doc_id only at the end, and its first row by (doc_id, text) is the one to keep.
+
 Defined results: null or empty texts (or ones of white space) have 0 shingles,
-are their own component and link with nothing; rows with a null doc_id have a
-null component and are kept; rows are grouped by text, so repeated rows share a
-component; other columns are not read.
+are their own component and link with nothing; rows with a null doc_id come last
+in their component, so ``groups`` gives a first row to them too, and
+``near_duplicates`` a null component and kept; repeated rows share a component and
+its mark; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -104,8 +109,8 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, a_key, b, b_key) whose full shingle sets reach the similarity."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text_key").alias(f"{x}_key"), F.col("text").alias(f"{x}_text"))
+    """The pairs (a, b) whose full shingle sets reach the similarity."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
@@ -124,52 +129,65 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    full = pairs.join(side("b"), ["b", "b_key"]).join(side("a"), ["a", "a_key"]).select("a", "b", "a_text", "b_text")
+    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
     return full.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (doc_id = component_id)."""
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles and first (lost, doc_id, text_key), the first row of its component; null for a class of one row without links."""
     bands = bands_for(percent, rows, miss)
+    node = F.xxhash64("doc_id", "text_key").alias("node")
     signed = materialize(signatures(docs, k, bands, rows, id_col, text), "signatures")
-    classes = signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "bands", "sketch")).alias("m"), F.count("*").alias("copies"))
-    classes = materialize(classes.select("print", "copies", "m.*"), "classes")
+    own = [F.col("doc_id").isNull().alias("lost"), F.col("doc_id"), F.col("text_key")]
+    classes = signed.where("print is not null").groupBy("print").agg(F.min(F.struct(*own, "n_shingles", "bands", "sketch")).alias("m"), F.count("*").alias("copies"))
+    classes = materialize(classes.select("print", "copies", "m.*").select("*", node), "classes")
 
     # buckets with more than one class; the member with the largest buckets in all is the centre of a star
-    placed = classes.select("doc_id", "text_key", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    placed = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(placed.join(shared, "bucket"), "members")
-    degree = members.groupBy("doc_id").agg(F.sum("members").alias("degree"))
-    ranked = members.join(degree, "doc_id")
+    degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
+    ranked = members.join(degree, "node")
     close = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    heads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("order"), F.struct(F.col("doc_id").alias("a"), F.col("text_key").alias("a_key"), F.col("n").alias("a_n")).alias("head"))).alias("m")).select("bucket", "m.head.*")
-    star = members.select("bucket", F.col("doc_id").alias("b"), F.col("text_key").alias("b_key"), F.col("n").alias("b_n")).join(heads, "bucket").where("a <> b")
-    star = star.where(close).select("a", "a_key", "b", "b_key").distinct()
-    wanted = members.select("doc_id", "text_key").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    texts = materialize(texts.join(wanted, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]), "texts")
+    heads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.struct(F.col("node").alias("a"), F.col("n").alias("a_n")).alias("head"))).alias("m")).select("bucket", "m.head.*")
+    star = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n")).join(heads, "bucket").where("a <> b")
+    star = star.where(close).select("a", "b").distinct()
+    wanted = members.select("node").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).select(node, "text")
+    texts = materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     links = materialize(verify(star, texts, k, percent), "links")
     found = connected_components(links)
 
     # buckets that still hold several components: compare what is outside the largest one with all that is in another
-    named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    groups = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = groups.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("m.component").alias("main"))
-    sketches = classes.select("doc_id", "text_key", "sketch")
-    mixed = materialize(named.join(main, "bucket").join(sketches, ["doc_id", "text_key"]).select("bucket", "component", "main", "doc_id", "text_key", "n", "sketch"), "mixed")
-    one = mixed.where("component <> main").select("bucket", F.col("component").alias("p"), F.col("doc_id").alias("a"), F.col("text_key").alias("a_key"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
-    two = mixed.select(F.col("bucket").alias("b_bucket"), F.col("component").alias("q"), "main", F.col("doc_id").alias("b"), F.col("text_key").alias("b_key"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("m.component").alias("main"))
+    mixed = materialize(named.join(main, "bucket").join(classes.select("node", "sketch"), "node").select("bucket", "component", "main", "node", "n", "sketch"), "mixed")
+    one = mixed.where("component <> main").select("bucket", F.col("component").alias("p"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    two = mixed.select(F.col("bucket").alias("b_bucket"), F.col("component").alias("q"), "main", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
     differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     # similarity t allows (1 - t) / (1 + t) of both sizes to differ
     allowed = (100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
     apart = (F.col("bucket") == F.col("b_bucket")) & (F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("a") < F.col("b")))
     more = one.join(two, apart & close & allowed)
-    more = materialize(verify(more.select("a", "a_key", "b", "b_key").distinct(), texts, k, percent), "links")
+    more = materialize(verify(more.select("a", "b").distinct(), texts, k, percent), "links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
 
-    named = classes.join(found, classes.doc_id == found.node, "left").where("copies > 1 or component is not null")
-    named = named.select("print", F.coalesce("component", "doc_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.join(found, "node", "left").where("copies > 1 or component is not null")
+    named = materialize(named.select("print", F.coalesce("component", "node").alias("component"), F.struct("lost", "doc_id", "text_key").alias("own")), "components")
+    first = materialize(named.groupBy("component").agg(F.min("own").alias("first")), "first")
+    return signed.select("doc_id", "text_key", "n_shingles", "print").join(named.join(first, "component").select("print", "first"), "print", "left").drop("print")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (the component's first row by doc_id and text)."""
+    out = groups(docs, k, percent, rows, miss, id_col, text)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    kept = F.col("doc_id").isNull() | F.col("first").isNull() | is_first()
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def is_first() -> Column:
+    """Whether a row of ``groups`` is the first of its component; null without one."""
+    return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))

@@ -187,6 +187,23 @@ def test_near_duplicates_match_brute_force(spark, k, percent):
     assert minhash.near_duplicates(docs.limit(0), k, percent).count() == 0
 
 
+def test_texts_that_share_a_doc_id_are_separate(spark):
+    import corpus_pipeline as P
+
+    one, two, three = lorem(1), lorem(2), lorem(3)
+    rows = [(1, one), (1, two), (1, near(two, 9, 1)), (1, two), (2, near(one, 5, 1)), (4, two), (7, three), (None, three), (None, lorem(4)), (None, lorem(4)), (None, ""), (None, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], DOCS)
+    out = P.drop_near_duplicates(spark, docs, "").collect()
+    got = [(r["doc_id"], r["text"]) for r in out]
+    pair = [t for t in (two, near(two, 9, 1)) if (1, t) in got]
+    assert len(pair) == 1
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(got, key=key) == sorted([(1, one), (1, pair[0]), (7, three), (None, lorem(4)), (None, ""), (None, ""), (8, "")], key=key)
+    marks = minhash.near_duplicates(docs).where("doc_id is not null").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in marks if not r["kept"] and r["doc_id"] != 1) == [(2, 1), (4, 1)]
+    assert sum(r["kept"] for r in marks if r["doc_id"] == 1) == 3 - (pair[0] != two)
+
+
 def test_odd_sketch_never_exceeds_difference():
     rng = np.random.default_rng(0)
     for _ in range(50):
