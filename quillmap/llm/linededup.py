@@ -4,7 +4,9 @@ The state is a table of line keys (128 bits) with the number of documents that
 hold each, and for each shard of keys a cuckoo filter of those keys whose count
 has reached the threshold. Inserting documents adds to counts and deleting them
 subtracts, and keys that cross the threshold enter or leave their shard's
-filter; so a deletion undoes an insertion.
+filter; so a deletion undoes an insertion. A filter that is full is made anew,
+larger, from its shard's frequent keys; when shards hold more than SHARD_KEYS on
+average, all filters are made anew from the counts, over more shards.
 
 To clean documents, each line asks the filters first. Filters go to the tasks
 in blocks of shards of bounded size (one block in most cases, more when the
@@ -155,9 +157,13 @@ class LineIndex:
 
     @classmethod
     def build(cls, lines: DataFrame, least_docs: int = LEAST_DOCS) -> LineIndex:
-        counts = materialize(lines.where("first").groupBy(*KEY).agg(F.count("*").alias("n")), "counts")
+        return cls.of_counts(materialize(lines.where("first").groupBy(*KEY).agg(F.count("*").alias("n")), "counts"), least_docs)
+
+    @classmethod
+    def of_counts(cls, counts: DataFrame, least_docs: int = LEAST_DOCS, room: int = 1) -> LineIndex:
+        """An index with filters made from the counts; ``room`` times as many shards as the keys need now."""
         often = counts.where(F.col("n") >= least_docs)
-        shards = max(1, -(-often.count() // SHARD_KEYS))
+        shards = max(1, -(-often.count() * room // SHARD_KEYS))
 
         def make(key, group):
             keys = np.sort(group.column("key1").to_numpy())
@@ -179,17 +185,21 @@ class LineIndex:
         changed = materialize(both.groupBy(*KEY).agg(F.sum("old").alias("old"), F.greatest(F.sum("old") + F.sum("d"), F.lit(0)).alias("n")), "counts")
         counts = changed.where("n > 0").select(*KEY, "n")
         least, shards = self.least_docs, self.shards
-        crossing = changed.where((F.col("old") >= least) != (F.col("n") >= least)).select("key1", (F.col("n") >= least).alias("enters"), shard_of(shards))
+        if counts.where(F.col("n") >= least).count() > SHARD_KEYS * shards:
+            return LineIndex.of_counts(counts, least, room=2)
+        # a shard's frequent keys of both times: what crosses changes the filter, and all of them make a larger one if it is full
+        often = changed.where((F.col("old") >= least) | (F.col("n") >= least)).select("key1", (F.col("old") >= least).alias("was"), (F.col("n") >= least).alias("now"), shard_of(shards))
 
         def update(key, old, moves):
             table = Cuckoo.load(old.column("filter")[0].as_py()) if old.num_rows else Cuckoo.sized(1024)
-            keys, enters = moves.column("key1").to_numpy(), moves.column("enters").to_numpy(zero_copy_only=False)
-            table.delete(keys[~enters])
-            if not table.insert(keys[enters]):
-                raise RuntimeError("a shard's filter is full: rebuild the index from its counts")
+            keys = moves.column("key1").to_numpy()
+            was, now = (moves.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("was", "now"))
+            table.delete(keys[was & ~now])
+            if not table.insert(keys[now & ~was]):
+                table = Cuckoo.of(np.sort(keys[now]))
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([table.dump()], pa.binary())})
 
-        filters = materialize(self.filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "filters")
+        filters = materialize(self.filters.groupBy("shard").cogroup(often.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "filters")
         return LineIndex(counts, filters, shards, least)
 
     def blocks(self) -> Iterator[list[int]]:

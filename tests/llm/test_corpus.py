@@ -315,6 +315,19 @@ def test_line_index_is_reversible(spark):
     assert linededup.LineIndex.empty(spark).insert(first).counts.count() == 2
 
 
+def test_line_index_grows_past_a_full_filter(spark, monkeypatch):
+    lines = linededup.line_table(frame(spark, ["\n".join(f"line {i}" for i in range(3000))]))
+    few = linededup.line_table(frame(spark, ["other\nline 7"]))
+    index = linededup.LineIndex.empty(spark, shards=1, least_docs=1).insert(few)
+    grown = index.insert(lines)
+    assert grown.shards == 1 and grown.frequent(lines).count() == 3000 and grown.frequent(few).count() == 2
+    assert grown.delete(lines).frequent(lines).count() == 1
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 500)
+    spread = index.insert(lines)
+    assert spread.shards == 13 and spread.frequent(lines).count() == 3000
+    assert spread.delete(lines).frequent(lines).count() == 1
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys, others = (rng.integers(-(1 << 62), 1 << 62, 3000) for _ in range(2))
