@@ -15,7 +15,9 @@ stated query set; each block is sent to all tasks and meets all documents.
 Defined results: words are lower-cased runs other than ASCII white space; a
 null or empty document is clean; an item of fewer words than a shingle counts as
 one shingle; an item without words matches nothing; an empty benchmark leaves
-all clean; repeated rows get equal results; extra columns pass through ``decontaminate``.
+all clean; an item is its item_id and words, so rows that share an item_id, or have
+none, are all searched for, and n_items counts item_ids, or without one the texts;
+repeated rows get equal results; extra columns pass through ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def hamming_blocks(print_: Column, radius: int = RADIUS) -> Column:
 
 
 def items(benchmark: DataFrame, k: int) -> DataFrame:
-    rows = benchmark.select(F.col("item_id"), words(F.col("text")).alias("seq")).withColumn("m", F.size("seq")).where("m > 0").withColumn("k", F.least("m", F.lit(k)))
+    rows = benchmark.select(F.col("item_id"), words(F.col("text")).alias("seq")).withColumn("item_key", F.xxhash64("seq")).withColumn("m", F.size("seq")).where("m > 0").withColumn("k", F.least("m", F.lit(k)))
     return rows
 
 
@@ -75,7 +77,7 @@ def windows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, text_key, item_id, start, similarity) for every verified pair of a window and an item."""
+    """(doc_id, text_key, item_id, item_key, start, similarity) for every verified pair of a window and an item."""
     bench = materialize(items(benchmark, k), "items")
     total = bench.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     kinds = sorted(r[0] for r in bench.select("k").distinct().collect())  # 1 to k
@@ -83,7 +85,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: in
     source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("seq"))
     found = None
     for part in range(parts):
-        block = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        block = bench.where(F.pmod(F.xxhash64("item_id", "item_key"), F.lit(parts)) == part)
         for n in kinds:
             own = block.where(F.col("k") == n)
             laid = windows(source, own, n)
@@ -91,11 +93,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: in
     if found is None:
         found = source.select("doc_id", "text_key", F.lit(0).alias("start"), F.lit(0).alias("m"), "seq", F.lit(k).alias("k")).limit(0)
     found = materialize(found.withColumn("print", simhash(F.col("seq"))), "windows")
-    queries = materialize(bench.select("item_id", "m", "k", F.col("seq").alias("item_seq"), simhash(F.col("seq")).alias("item_print")), "prints")
+    queries = materialize(bench.select("item_id", "item_key", "m", "k", F.col("seq").alias("item_seq"), simhash(F.col("seq")).alias("item_print")), "prints")
     left = found.select("*", F.explode(hamming_blocks(F.col("print"), radius)).alias("block"))
     right = queries.select("*", F.explode(hamming_blocks(F.col("item_print"), radius)).alias("block"))
     near = left.join(right, ["m", "k", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    pair = ["doc_id", "text_key", "start", "item_id", "m", "k"]
+    pair = ["doc_id", "text_key", "start", "item_id", "item_key", "m", "k"]
     near = materialize(near.select(*pair, "seq", "item_seq").dropDuplicates(pair), "near")
     both = None
     for n in kinds or [k]:
@@ -105,13 +107,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: in
         both = rows if both is None else both.unionByName(rows)
     counts = both.groupBy(*pair, "h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     scored = counts.groupBy(*pair).agg(F.sum(F.least("x", "y")).alias("common"), F.sum(F.greatest("x", "y")).alias("all"))
-    return scored.where(100 * F.col("common") >= percent * F.col("all")).select("doc_id", "text_key", "item_id", "start", (F.col("common") / F.col("all")).alias("similarity"))
+    return scored.where(100 * F.col("common") >= percent * F.col("all")).select("doc_id", "text_key", "item_id", "item_key", "start", (F.col("common") / F.col("all")).alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``keep`` columns of every document, with contaminated, n_items and similarity (the largest)."""
     keep = docs.columns if keep is None else keep
-    best = matches(docs, benchmark, k, percent).groupBy("doc_id", "text_key").agg(F.countDistinct("item_id").alias("n_items"), F.max("similarity").alias("similarity"))
+    item = F.struct("item_id", F.when(F.col("item_id").isNull(), F.col("item_key")).alias("item_key"))
+    best = matches(docs, benchmark, k, percent).groupBy("doc_id", "text_key").agg(F.countDistinct(item).alias("n_items"), F.max("similarity").alias("similarity"))
     best = materialize(best.select(F.col("doc_id").alias("_id_"), F.col("text_key").alias("_tk_"), "n_items", "similarity"), "contaminated")
     left = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("_d_"), F.xxhash64("text").alias("_k_"))
     out = left.join(best, F.col("_d_").eqNullSafe(F.col("_id_")) & (F.col("_k_") == F.col("_tk_")), "left")

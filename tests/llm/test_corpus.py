@@ -409,6 +409,16 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_that_share_an_id_are_all_searched_for(spark):
+    # variants whose SimHash is near each other's, but not their shingles
+    base, other = lorem(60, 40), lorem(61, 40)
+    items = [(1, near(base, s, 5)) for s in range(6)] + [(None, near(other, s, 5)) for s in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [*[lorem(8, 10) + " " + t for _, t in items], lorem(9)])
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["similarity"]) for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {**dict.fromkeys(range(12), (True, 1, 1.0)), 12: (False, 0, 0.0)}
+
+
 # ---- registered queries and the pipeline
 @pytest.mark.parametrize("name", ["op3_chat_snapshots", "op6_mixing", "op8_line_dedup", "op10_decontamination"])
 def test_registered_query_matches_sql(spark, tiny, name):
