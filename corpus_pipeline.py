@@ -39,10 +39,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates (five-word shingles, similarity 0.8), one row of each (doc_id, text); rows with neither doc_id nor words stay."""
     ship(spark)
     marked = minhash.groups(docs, k=5, percent=80)
-    kept = marked.where(F.col("first").isNull() | minhash.is_first()).select(F.col("doc_id").alias("_d_"), F.col("text_key").alias("_t_"), "n_shingles").distinct()
-    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_k_")).join(kept, F.col("doc_id").eqNullSafe(F.col("_d_")) & (F.col("_k_") == F.col("_t_")))
+    row = F.xxhash64("doc_id", "text_key").alias("_row_")
+    kept = marked.where(F.col("first").isNull() | minhash.is_first()).select(row, "n_shingles").distinct()
+    # the join and the grouping share one exchange by _row_
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")).select(*COLUMNS, "text_key", row).join(kept, "_row_")
     rows = rows.withColumn("_own_", F.when(F.col("doc_id").isNull() & (F.col("n_shingles") == 0), F.monotonically_increasing_id()))
-    return rows.groupBy("_d_", "_t_", "_own_").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rows.groupBy("_row_", F.col("doc_id").alias("_d_"), "text_key", "_own_").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
