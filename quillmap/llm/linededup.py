@@ -8,15 +8,17 @@ filter; so a deletion undoes an insertion. A filter that is full is made anew,
 larger, from its shard's frequent keys; when shards hold more than SHARD_KEYS on
 average, all filters are made anew from the counts, over more shards.
 
-To clean documents, each line asks the filters first. Filters go to the tasks
-in blocks of shards of bounded size (one block in most cases, more when the
-corpus is larger), and what they let through is checked against the exact
-counts, so false positives never drop a line.
+To clean documents, each line asks the filters first: they go to all tasks up to
+a bounded size, and beyond it lines and filters are grouped by shard. What the
+filters let through is checked against the exact counts, so false positives
+never drop a line. A key is two independent 64-bit hashes; with 10**12 different
+lines, the chance that any two share a key is below 10**-14.
 
 Defined results: a null or empty text has one empty line, which is never
 dropped as its key has no character; white space at the ends and the case of
-A-Z do not matter; repeated rows each count as a document; null doc_ids are
-kept as they are; extra columns pass through ``clean``.
+A-Z do not matter; a document is a row, so rows that repeat a doc_id each count
+as one, whether or not their texts are equal; null doc_ids are kept as they are;
+extra columns pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ from . import kernels as K
 from .common import materialize
 
 LEAST_DOCS = 10
-#: Keys of a shard (about), and bytes of filters sent to tasks at once.
-SHARD_KEYS, BLOCK_BYTES = 200_000, 32 << 20
-SLOTS = 4
+#: Keys of a shard (about), most bytes of filters that are sent to all tasks, and lines of a group beyond that (about).
+SHARD_KEYS, BLOCK_BYTES, GROUP_LINES = 200_000, 32 << 20, 1_000_000
+#: Slots of a bucket, and parts that a line's copies are dealt over when checked.
+SLOTS, SALTS = 4, 16
 KEY = ["key1", "key2"]
 
 
@@ -65,22 +68,32 @@ class Cuckoo:
         return (self.table[a] == prints[:, None]).any(1) | (self.table[b] == prints[:, None]).any(1)
 
     def insert(self, keys: np.ndarray, seed: int = 1) -> bool:
-        """False if the filter is too full; it must then be rebuilt larger from the exact counts."""
+        """False if the filter is too full; it must then be rebuilt larger from the exact counts.
+
+        All keys go at once, as far as their buckets have room; then to their other
+        bucket; then one key of each full bucket takes the place of a random print, and
+        what is left over moves on.
+        """
         rng = np.random.default_rng(seed)
-        for p, a, b in zip(*self.places(keys), strict=True):
-            at = next((i for i in (a, b) if (self.table[i] == 0).any()), None)
-            if at is None:
-                at = (a, b)[rng.integers(2)]
-                for _ in range(500):
-                    j = rng.integers(SLOTS)
-                    p, self.table[at, j] = self.table[at, j], p
-                    at = at ^ int(self.hop(np.array([p], np.uint16))[0])
-                    if (self.table[at] == 0).any():
-                        break
-                else:
-                    return False
-            self.table[at, int(np.argmin(self.table[at] != 0))] = p
-        return True
+        prints, at, _ = self.places(keys)
+        for turn in range(500):
+            order = np.argsort(at, kind="stable")
+            prints, at = prints[order], at[order]
+            new = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+            rank = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            room = np.cumsum(self.table[at] == 0, 1)
+            fits = rank < room[:, -1]
+            slot = np.argmax(room[fits] == rank[fits, None] + 1, 1)
+            self.table[at[fits], slot] = prints[fits]
+            prints, at = prints[~fits], at[~fits]
+            if not len(prints):
+                return True
+            if turn:
+                own = np.unique(at, return_index=True)[1]
+                j = rng.integers(SLOTS, size=len(own))
+                prints[own], self.table[at[own], j] = self.table[at[own], j], prints[own]
+            at = at ^ self.hop(prints)
+        return False
 
     def delete(self, keys: np.ndarray) -> None:
         """Remove keys that were inserted; one print of each goes."""
@@ -125,7 +138,7 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
                 some = ends > starts
                 starts, ends, number, owner = starts[some], ends[some], number[some], owner[some]
                 one = K.span_hashes(low, starts, ends)
-                two = K.span_hashes(second_bytes()[low], starts, ends)
+                two = K.span_hashes(low, starts, ends, 1)
                 order = np.lexsort((number, two, one, owner))
                 new = np.ones(len(order), bool)
                 new[1:] = (owner[order[1:]] != owner[order[:-1]]) | (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
@@ -138,13 +151,6 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return inputs.mapInArrow(run, "doc_id long, text_key long, line int, key1 long, key2 long, first boolean")
 
 
-def second_bytes() -> np.ndarray:
-    """A permutation of byte values that makes a second, independent hash."""
-    if "second" not in K._CACHE:
-        K._CACHE["second"] = np.random.default_rng(99).permutation(256).astype(np.uint8)
-    return K._CACHE["second"]
-
-
 class LineIndex:
     """Reference counts of line keys and the filters of frequent ones. Each change gives a new index; earlier ones stay readable."""
 
@@ -202,43 +208,50 @@ class LineIndex:
         filters = materialize(self.filters.groupBy("shard").cogroup(often.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "filters")
         return LineIndex(counts, filters, shards, least)
 
-    def blocks(self) -> Iterator[list[int]]:
-        """Shards in blocks whose filters stay below BLOCK_BYTES together (a shard's filter has a fixed size)."""
-        block, size = [], 0
-        for r in self.filters.select("shard", F.length("filter").alias("n")).orderBy("shard").toLocalIterator():
-            if block and size + r["n"] > BLOCK_BYTES:
-                yield block
-                block, size = [], 0
-            block.append(r["shard"])
-            size += r["n"]
-        if block:
-            yield block
-
     def frequent(self, lines: DataFrame) -> DataFrame:
-        """The lines whose key is in at least ``least_docs`` documents."""
-        spark, shards, passed = lines.sparkSession, self.shards, None
-        for block in self.blocks():
-            raw = {r["shard"]: bytes(r["filter"]) for r in self.filters.where(F.col("shard").isin(block)).collect()}
-            sent = spark.sparkContext.broadcast(raw)
-
-            def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                tables = {s: Cuckoo.load(x) for s, x in sent.value.items()}
-                for b in batches:
-                    keys = b.column("key1").to_numpy()
-                    shard = b.column("shard").to_numpy()
-                    hit = np.zeros(len(keys), bool)
-                    for s, t in tables.items():
-                        own = np.flatnonzero(shard == s)
-                        hit[own] = t.has(keys[own])
-                    yield b.filter(pa.array(hit))
-
-            asked = lines.select("doc_id", "text_key", "line", *KEY, shard_of(shards)).where(F.col("shard").isin(block))
-            got = asked.mapInArrow(ask, asked.schema)
-            passed = got if passed is None else passed.unionByName(got)
-        if passed is None:
+        """The lines whose key is in at least ``least_docs`` documents.
+
+        Filters of up to BLOCK_BYTES in all go to the tasks, so most lines never leave
+        theirs. Beyond that, lines meet their shard's filter in a grouping of both, a
+        shard's lines dealt over as many groups as keep each at about GROUP_LINES.
+        """
+        r = self.filters.agg(F.sum(F.length("filter")).alias("size"), F.count("*").alias("n")).first()
+        if not r["n"]:
             return lines.select("doc_id", "text_key", "line").limit(0)
-        exact = self.counts.where(F.col("n") >= self.least_docs).select(*KEY)
-        return passed.join(exact, KEY).select("doc_id", "text_key", "line")
+        asked = lines.select("doc_id", "text_key", "line", *KEY, shard_of(self.shards))
+        passed = self._ask_sent(asked) if r["size"] <= BLOCK_BYTES else self._ask_grouped(asked)
+        # what passed is checked against the exact counts; a very common line is dealt over SALTS tasks
+        exact = self.counts.where(F.col("n") >= self.least_docs).select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        passed = passed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "line"), F.lit(SALTS)).cast("int"))
+        return passed.join(exact, [*KEY, "salt"]).select("doc_id", "text_key", "line")
+
+    def _ask_sent(self, asked: DataFrame) -> DataFrame:
+        raw = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
+        sent = asked.sparkSession.sparkContext.broadcast(raw)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = {s: Cuckoo.load(x) for s, x in sent.value.items()}
+            for b in batches:
+                keys = b.column("key1").to_numpy()
+                shard = b.column("shard").to_numpy()
+                hit = np.zeros(len(keys), bool)
+                for s, t in tables.items():
+                    own = np.flatnonzero(shard == s)
+                    hit[own] = t.has(keys[own])
+                yield b.filter(pa.array(hit))
+
+        return asked.mapInArrow(ask, asked.schema)
+
+    def _ask_grouped(self, asked: DataFrame) -> DataFrame:
+        parts = max(1, -(-asked.count() // (self.shards * GROUP_LINES)))
+        part = F.pmod(F.xxhash64("doc_id", "text_key", "line"), F.lit(parts)).cast("int").alias("part")
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "filter")
+
+        def ask(key, old: pa.Table, rows: pa.Table) -> pa.Table:
+            hit = Cuckoo.load(old.column("filter")[0].as_py()).has(rows.column("key1").to_numpy()) if old.num_rows else np.zeros(rows.num_rows, bool)
+            return rows.filter(pa.array(hit)).drop_columns(["part"])
+
+        return filters.groupBy("shard", "part").cogroup(asked.select("*", part).groupBy("shard", "part")).applyInArrow(ask, asked.schema)
 
 
 def shard_of(shards: int):

@@ -79,6 +79,26 @@ def test_connected_components(spark):
     assert graph.connected_components(edges.limit(0)).count() == 0
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_span_hash_tells_thue_morse_words_apart():
+    a, b = thue_morse(4096), thue_morse(4096, "ba")
+    buf = np.frombuffer((a + b).encode(), np.uint8)
+    for seed in (0, 1):
+        h = K.span_hashes(buf, np.array([0, 4096]), np.array([4096, 8192]), seed)
+        assert h[0] != h[1]
+    rng = np.random.default_rng(0)
+    raw = bytes(rng.integers(97, 99, 4000, dtype=np.uint8))
+    starts = rng.integers(0, 3900, 20000)
+    ends = starts + rng.integers(0, 60, 20000)
+    seen = collections.defaultdict(set)
+    for x, y, v in zip(starts, ends, K.span_hashes(np.frombuffer(raw, np.uint8), starts, ends)):
+        seen[raw[x:y]].add(int(v))
+    assert all(len(v) == 1 for v in seen.values()) and len(set().union(*seen.values())) == len(seen)
+
+
 # ---- toxicity
 def test_toxicity_finds_unseen_spelling():
     rng = np.random.default_rng(0)
@@ -302,6 +322,40 @@ def test_lines_match_brute_force(spark):
     assert got.count() == len(texts) + 1 and linededup.dedup_lines(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_lines_of_one_polynomial_hash_stay_apart(spark):
+    a, b = thue_morse(1024), thue_morse(1024, "ba")
+    out = linededup.dedup_lines(frame(spark, [*[f"{a}\n{i}" for i in range(9)], f"{b}\nz"]), ["doc_id"])
+    assert out.where("n_dropped > 0").count() == 0
+
+
+def test_rows_that_repeat_a_doc_id_are_documents(spark):
+    rows = [(1, f"common\nown {i}", None, None, 0) for i in range(10)] + [(2, "same\nx", None, None, 0)] * 10 + [(3, "nine", None, None, 0)] * 9
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in linededup.dedup_lines(docs, ["doc_id"]).collect())
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([dict(zip(("doc_id", "text"), r)) for r in rows]))
+    assert got == sorted(con.sql(queries.LINES_SQL).fetchall())
+    assert [r[2] for r in got] == [1] * 10 + [2] * 10 + [0] * 9
+
+
+def test_very_long_texts_and_lines(spark):
+    line = "word " * 40000
+    texts = [f"{line}\n{i}" for i in range(10)] + ["\n".join(f"row {i} of many" for i in range(50000))]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(frame(spark, texts), ["doc_id"]).collect()}
+    assert got == {**dict.fromkeys(range(10), (2, 1)), 10: (50000, 0)}
+
+
+def test_lines_and_filters_meet_by_shard_beyond_the_size_that_is_sent(spark, monkeypatch):
+    lines = linededup.materialize(linededup.line_table(frame(spark, [f"shared\nown {i}\nother shared" for i in range(40)])), "lines")
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 1)
+    index = linededup.LineIndex.build(lines, 10)
+    want = sorted(map(tuple, index.frequent(lines).collect()))
+    assert index.shards == 2 and len(want) == 80
+    monkeypatch.setattr(linededup, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(linededup, "GROUP_LINES", 9)
+    assert sorted(map(tuple, index.frequent(lines).collect())) == want
+
+
 def test_line_index_is_reversible(spark):
     first = linededup.line_table(frame(spark, ["shared\nx"] * 6))
     more = linededup.line_table(spark.createDataFrame([(100 + i, "shared", None, None, 0) for i in range(5)], DOCS))
