@@ -392,35 +392,102 @@ def test_cuckoo_filter():
 
 
 # ---- perplexity
-def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
-    texts = ["abca abcb", "abcd bcda. cab", "the cab, a bad cab"]
-    trusted = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
-    model = kneser_ney.train(trusted)
-    codes = [c for code, _ in kneser_ney.grams(pa.array(texts)) for c in code.tolist()]
-    counts = {4: collections.Counter(codes)}
+def kneser_ney_brute_force(texts):
+    """A function of (order, n-gram) that gives its probability, counted plainly over strings."""
+    low = lambda t: "".join(" " if c in " \t\n\x0b\x0c\r" else "0" if "0" <= c <= "9" else c for c in t.lower())
+
+    def grams(t):
+        padded = "   " + low(t)
+        return [padded[i : i + 4] for i in range(len(t))]
+
+    counts = {4: collections.Counter(g for t in texts for g in grams(t))}
     for n in (3, 2, 1):
-        counts[n] = collections.Counter(c % 64**n for c in counts[n + 1])
-    def prob(n, code):
-        if n == 0:
-            return 1 / 64
-        c = counts[n]
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    cuts, contexts = {}, {}
+    for n, c in counts.items():
         k = [sum(v == i for v in c.values()) for i in range(5)]
         y = k[1] / max(k[1] + 2 * k[2], 1)
-        d = [0] + [max(0.0, min(i, i - (i + 1) * y * k[i + 1] / k[i] if k[i] else 0.5)) for i in (1, 2, 3)]
-        h = code // 64
-        own = {g: v for g, v in c.items() if g // 64 == h}
+        cuts[n] = [0] + [max(0.0, min(i, i - (i + 1) * y * k[i + 1] / k[i] if k[i] else 0.5)) for i in (1, 2, 3)]
+        contexts[n] = collections.defaultdict(list)
+        for g, v in c.items():
+            contexts[n][g[:-1]].append(v)
+
+    def prob(n, g):
+        if n == 0:
+            return 1 / 65536
+        own = contexts[n].get(g[:-1])
         if not own:
-            return prob(n - 1, code % 64 ** (n - 1))
-        cut = lambda v: d[min(v, 3)]
-        total = sum(own.values())
-        here = (c[code] - cut(c[code])) / total if code in c else 0.0
-        return here + sum(map(cut, own.values())) / total * prob(n - 1, code % 64 ** (n - 1))
-    asked = spark.createDataFrame([("en", "the dab cab, zq"), ("fr", "abc")], "lang string, text string")
-    got = {(r["lang"], r["code"]): r["bits"] for r in kneser_ney.gram_probabilities(asked, model).collect()}
-    for (lang, code), bits in got.items():
-        assert bits == pytest.approx(-math.log2(prob(4, code)), rel=1e-9)
-    context = codes[5] // 64
-    assert sum(prob(4, context * 64 + s) for s in range(64)) == pytest.approx(1.0)
+            return prob(n - 1, g[1:])
+        cut = lambda v: cuts[n][min(v, 3)]
+        here = (counts[n][g] - cut(counts[n][g])) / sum(own) if g in counts[n] else 0.0
+        return here + sum(map(cut, own)) / sum(own) * prob(n - 1, g[1:])
+
+    return prob, grams
+
+
+def code_of(gram):
+    return int(np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(gram))], np.uint64).view(np.int64)[0])
+
+
+def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
+    texts = ["abca abcb", "abcd bcda. cab", "the cab, a bad cab", "\u6f22\u5b57\u6f22\u5b57 \ud55c\uad6d\uc5b4 \u6f22\u5b57"]
+    model = kneser_ney.train(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"))
+    prob, grams = kneser_ney_brute_force(texts)
+    asked = {g for t in ("the dab cab, zq", "\u6f22\u5b57 \ud55c\uad6dX \u8041") for g in grams(t)}
+    rows = spark.createDataFrame([("en", code_of(g)) for g in asked], "lang string, code long")
+    got = {r["code"]: r["bits"] for r in kneser_ney.gram_probabilities(rows, model).collect()}
+    assert len(got) == len(asked)
+    for g in asked:
+        assert got[code_of(g)] == pytest.approx(-math.log2(prob(4, g)), rel=1e-9)
+    seen = {g[-1] for t in texts for g in grams(t)}
+    assert sum(prob(4, "the" + c) for c in seen) + (65536 - len(seen)) * prob(4, "the\x01") == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize(("sent", "held"), [(1 << 20, 1 << 20), (40, 50), (0, 1)])
+def test_perplexity_threshold_and_verdict_match_brute_force(spark, monkeypatch, sent, held):
+    monkeypatch.setattr(kneser_ney, "MOST_SENT", sent)
+    monkeypatch.setattr(kneser_ney, "MOST_HELD", held)
+    texts = [*EDGE, *[lorem(i, 30) for i in range(24)], "\u6f22\u5b57 \u6587" * 30, lorem(3, 2000), "qx# 7z!" * 20]
+    langs = ["en" if i % 2 else "xx" for i in range(len(texts))]
+    langs[-3:] = [None, "fr", "en"]
+    docs = spark.createDataFrame([(i, t, l, None, 0) for i, (t, l) in enumerate(zip(texts, langs))], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(EDGE), len(texts) - 1)], "doc_id long, quality int, toxic int")
+    half = {r["doc_id"]: r["h"] for r in spark.range(len(texts)).select(F.col("id").alias("doc_id")).select("doc_id", kneser_ney.fold(0).alias("h")).collect()}
+    name = lambda i: langs[i] or "und"
+    good = range(len(EDGE), len(texts) - 1)
+    train = collections.defaultdict(list)
+    for i in good:
+        if half[i]:
+            train[name(i)].append(texts[i])
+            train["*"].append(texts[i])
+    models = {k: kneser_ney_brute_force(v) for k, v in train.items()}
+    bits = {}
+    for i, t in enumerate(texts):
+        if t:
+            prob, grams = models.get(name(i), models["*"])
+            bits[i] = sum(-math.log2(prob(4, g)) for g in grams(t)) / len(t)
+    limits = {}
+    for k in {*map(name, range(len(texts))), "*"}:
+        own = sorted(bits[i] - kneser_ney.SHORT / math.sqrt(len(texts[i])) for i in good if not half[i] and k in ("*", name(i)))
+        at = lambda q: own[max(math.ceil(q * len(own)) - 1, 0)]  # noqa: E731, B023
+        if own:
+            limits[k] = at(kneser_ney.QUANTILE) + kneser_ney.REACH * max(at(kneser_ney.QUANTILE) - at(0.5), 0.02)
+    for r in kneser_ney.classify(docs, labels).collect():
+        i = r["doc_id"]
+        if not texts[i]:
+            assert r["perplexity"] is None and not r["kept"]
+            continue
+        assert r["n_symbols"] == len(texts[i]) and math.log2(r["perplexity"]) == pytest.approx(bits[i], rel=1e-9)
+        limit = limits.get(name(i), limits["*"]) + kneser_ney.SHORT / math.sqrt(len(texts[i]))
+        assert math.log2(r["threshold"]) == pytest.approx(limit, rel=1e-9) and r["kept"] == (bits[i] <= limit)
+
+
+def test_perplexity_passes_columns_with_its_own_names(spark):
+    docs = frame(spark, [lorem(1), None]).withColumn("perplexity", F.lit("x")).withColumn("score", F.lit("kept"))
+    model = kneser_ney.train(docs.select("lang", "text").where("text is not null"))
+    out = kneser_ney.score(docs, model, ["doc_id", "perplexity", "score"])
+    assert out.columns == ["doc_id", "score", "model_lang", "n_symbols", "perplexity"] and dict(out.dtypes)["perplexity"] == "double"
+    assert out.count() == 2
 
 
 def test_kneser_ney_edges(spark):
@@ -428,7 +495,7 @@ def test_kneser_ney_edges(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(8, 28)], "doc_id long, quality int, toxic int")
     rows = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels).collect()}
     assert len(rows) == len(EDGE) + 21 and rows[0]["perplexity"] is None and not rows[0]["kept"]
-    assert all(rows[i]["kept"] and rows[i]["perplexity"] < rows[28]["perplexity"] / 2 for i in range(8, 28))
+    assert all(rows[i]["kept"] and rows[i]["perplexity"] < rows[28]["perplexity"] / 2 for i in range(8, 28)) and not rows[28]["kept"]
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0 and kneser_ney.classify(docs, labels.limit(0)).count() == len(rows)
 
 
