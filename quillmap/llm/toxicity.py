@@ -9,8 +9,8 @@ hashed n-gram has one number, its embedding times the difference of the two
 softmax columns.
 
 Defined results: a null or empty text (or one without a letter or digit) has
-the score of the bias alone; extra columns pass through ``score`` untouched;
-repeated rows get equal scores; an empty training set gives the score 0.
+the score of the bias alone; extra columns pass through ``score`` untouched, but
+one named as its result is replaced; repeated rows get equal scores; an empty training set gives the score 0.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import materialize
 
-#: Documented bounds: hash buckets, embedding width, and labelled texts of each class used in training.
-BITS, WIDTH, MOST_TOXIC, MOST_CLEAN = 17, 4, 2500, 7000
+#: Documented bounds: hash buckets, embedding width, and labelled texts and bytes of each class used in training.
+BITS, WIDTH, MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 17, 4, 2500, 7000, 32 << 20
 ORDERS = (3, 4, 5)
 #: Averaged n-gram weights are small; this factor brings them to the scale that the optimiser expects.
 GAIN = 60.0
@@ -88,16 +88,24 @@ def padded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def features(texts: pa.Array | list[str | None], bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each text the distinct buckets, their counts, and what one n-gram weighs. Counts take two bytes if they can, as all bags stay in memory while training."""
+    """For each text the distinct buckets, their counts, and what one n-gram weighs.
+
+    Counts take two bytes if they can, and the bags of a slice share two arrays, as all
+    bags stay in memory while training.
+    """
     out = []
     for buf, starts in padded(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts):
         parts = list(grams(buf, bits))
         cuts = [np.searchsorted(at, starts) for at, _ in parts]
+        bags, sizes = [], []
         for i in range(len(starts) - 1):
             own = np.concatenate([b[c[i] : c[i + 1]] for (_, b), c in zip(parts, cuts, strict=True)])
-            ids, counts = np.unique(own, return_counts=True)
-            small = np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32
-            out.append((ids.astype(np.int32), counts.astype(small), GAIN / (EMPTY + len(own))))
+            bags.append(np.unique(own, return_counts=True))
+            sizes.append(len(own))
+        ids, counts = np.concatenate([b[0] for b in bags]).astype(np.int32), np.concatenate([b[1] for b in bags])
+        counts = counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32)
+        ends = np.cumsum([0, *(len(b[0]) for b in bags)])
+        out += [(ids[x:y], counts[x:y], GAIN / (EMPTY + n)) for x, y, n in zip(ends[:-1], ends[1:], sizes, strict=True)]
     return out
 
 
@@ -161,20 +169,24 @@ def score_texts(column: pa.Array, model: Model) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
-    """Fit on at most about ``most_toxic`` and ``most_clean`` texts of ``docs`` with a 0/1 label in ``labels`` (doc_id, label), picked by a hash of doc_id among rows that satisfy ``seen``.
+def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
+    """Fit on texts of ``docs`` with a 0/1 label in ``labels`` (doc_id, label), among rows that satisfy ``seen``.
 
-    The sample is picked by ids; as its size is bounded, its ids are broadcast to fetch the texts.
+    The sample is at most about ``most_toxic`` and ``most_clean`` texts, and of each class about
+    ``most_bytes``, picked by a hash of doc_id; no single text of it is longer than a hundredth of that.
+    So its ids may be broadcast, and its texts fit the driver. Of several labels the largest holds.
     """
-    ids = docs.where(F.lit(True) if seen is None else seen).select("doc_id")
-    known = ids.join(labels.select("doc_id", F.col("label").cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"]), "doc_id")
-    counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    pos, neg = counts.get(1, 0), counts.get(0, 0)
+    fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 100
+    ids = docs.where(fits if seen is None else fits & seen).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    marked = labels.select("doc_id", F.col("label").cast("int").alias("y")).where("y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = materialize(ids.join(marked, "doc_id"), "known")
+    counts = {r["y"]: r for r in known.groupBy("y").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    pos, neg = (counts[y]["n"] if y in counts else 0 for y in (1, 0))
+    part = lambda y, most: F.lit(min(most / counts[y]["n"], most_bytes / max(counts[y]["bytes"], 1)) if y in counts else 0.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.when(F.col("y") == 1, F.lit(most_toxic / max(pos, 1))).otherwise(F.lit(most_clean / max(neg, 1)))
-    picked = materialize(known.where(draw < share).distinct(), "picked")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").toArrow()
-    rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending")]))
+    picked = materialize(known.where(draw < F.when(F.col("y") == 1, part(1, most_toxic)).otherwise(part(0, most_clean))).select("doc_id", "y").distinct(), "picked")
+    rows = docs.where(fits).select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), "doc_id").toArrow()
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("h", "ascending")]))
     texts, marks = rows["text"], rows["y"].to_numpy().astype(np.int64)
     del rows
     bags = features(texts.cast(pa.large_string()).combine_chunks(), BITS)
@@ -187,7 +199,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     The model is a table of 2**bits numbers, so what each task receives has a fixed bound.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != to]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text_"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(to, F.lit(0.0)).schema
