@@ -10,16 +10,22 @@ Matches are exploded to rows that carry no text, changed there in flat columns,
 and gathered for each document again; documents without a match are never
 shuffled.
 
-A value is a number below a size N (10**digits, 16**characters, a range of
-days). A Feistel network adds keyed digests modulo m = ceil(sqrt(N)) to one half and
-the other in turn, which permutes 0..m*m-1; a value that lands at N or above
-walks on until it is below N, so the map is a permutation of 0..N-1, and
-``permute(..., back=True)`` inverts it.
+A date or address is a number below a size N. A Feistel network adds keyed digests
+modulo m = ceil(sqrt(N)) to one half and the other in turn, which permutes
+0..m*m-1; a value that lands at N or above walks on until it is below N, so the map
+is a permutation of 0..N-1, and ``permute(..., back=True)`` inverts it. All others are
+strings over an alphabet. There a Feistel network adds keyed digests of one half to
+the other half's characters, so every character of the result depends on all.
+
+What is no digit or letter to be permuted is format and stays: a mail's domain, a
+telephone number's country code, a card's first digit, which names its network, and
+a key's prefix.
 
 Defined results: a null text stays null with no matches, an empty one stays
 empty; matches do not overlap (the leftmost wins, then the first kind listed);
-a number of a card's length with a wrong check digit stays as it is; repeated
-rows and ties get equal results; extra columns pass through.
+a number of a card's length with a wrong check digit stays as it is, unless it
+follows the name of a secret; a version (``v1.2.3.4``) is no address; repeated
+rows and ties get equal results; extra columns pass through, but for ``found``.
 """
 
 from __future__ import annotations
@@ -29,15 +35,20 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: The key of calls that give none: an example, for tests. ``spark.corpus.pseudonym.key`` sets the registered query's.
 KEY = "example key, to be replaced by a secret one"
 ROUNDS, WALK = 6, 128
+#: Matches that one task changes (about).
+TASK_MATCHES = 2000
+#: The names before a secret.
+NAMED = r"(?:password|passwd|secret|token|api_key)\s?[=:]\s?[\"']?"
 #: The kinds, in order of precedence, as Java regular expressions.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|secret|token|api_key)\s?[=:]\s?[\"']?)[0-9a-fA-F]{12,64}(?![0-9A-Za-z])",
+    "secret": NAMED + r"[0-9a-fA-F]{12,64}(?![0-9A-Za-z])",
     "date": r"(?<![\d.-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ip": r"(?<![\d.]|[vV]|[vV]ersion[ ]|[vV]ersion)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "card": r"(?<![0-9A-Za-z]|\d\.)\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
     "phone": r"(?<![\w+])\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
 }
@@ -76,28 +87,33 @@ def permute(x: Column, size: Column, key: str, tweak: Column, back: bool = False
 
 
 def permute_text(s: Column, alphabet: Column, key: str, tweak: Column, back: bool = False) -> Column:
-    """Permute a string over an alphabet in blocks that are numbers in its base, below 2**60; an empty one stays."""
-    base = F.length(alphabet).cast("long")
-    block = F.floor(F.lit(60.0) / F.log2(base.cast("double"))).cast("int")
-
-    def one(at: Column) -> Column:
-        part = F.substr(s, at, block)
-        # (number, its range) of the block
-        read = F.aggregate(F.split(part, ""), F.struct(F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("n")), lambda a, c: F.struct((a["v"] * base + instr_of(alphabet, c) - 1).alias("v"), (a["n"] * base).alias("n")))
-        return F.struct(read.alias("read"), at.alias("at"), F.length(part).alias("size"))
-
-    blocks = F.transform(F.sequence(F.lit(1), F.length(s), block), one)
-    moved = F.transform(blocks, lambda b: F.struct(permute(b["read"]["v"], b["read"]["n"], key, F.concat_ws("/", tweak, base.cast("string"), b["size"].cast("string"), b["at"].cast("string")), back).alias("v"), b["size"].alias("size")))
-
-    def spell(b: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), b["size"]),
-            F.struct(b["v"].alias("v"), F.lit("").alias("s")),
-            lambda a, _: F.struct(F.call_function("div", a["v"], base).alias("v"), F.concat(F.substr(alphabet, (a["v"] % base).cast("int") + 1, F.lit(1)), a["s"]).alias("s")),
-            lambda a: a["s"],
-        )
-
-    return F.when(F.length(s) > 0, F.array_join(F.transform(moved, spell), "")).otherwise(F.lit(""))
+    """Permute a string over an alphabet: a Feistel network whose halves are strings; an empty one stays.
+
+    A round adds, to each character of one half, 16 bits of a digest of the other
+    half, modulo the size of the alphabet. One character alone is a number, permuted as such.
+    """
+    base = F.length(alphabet)
+    letter = lambda v: F.substr(alphabet, v.cast("int") + 1, F.lit(1))
+    place = lambda c: instr_of(alphabet, c) - 1
+    half = (F.length(s) / 2).cast("int")
+    said = F.concat_ws("|", F.lit(key), tweak, base.cast("string"), F.length(s).cast("string"))
+
+    def turn(target: Column, other: Column, i: Column) -> Column:
+        # a digest of 64 hexadecimal digits serves 16 characters
+        digest = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(target) / 16).cast("int")), lambda n: F.sha2(F.concat_ws("|", said, i.cast("string"), n.cast("string"), other).cast("binary"), 256)), "")
+        shift = lambda at: F.conv(F.substr(digest, 4 * at + 1, F.lit(4)), 16, 10).cast("long")
+        signed = (lambda at: -shift(at)) if back else shift
+        return F.array_join(F.transform(F.split(target, ""), lambda c, at: letter(F.pmod(place(c) + signed(at), base))), "")
+
+    def step(a: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        return F.struct(F.when(even, turn(a["l"], a["r"], i)).otherwise(a["l"]).alias("l"), F.when(even, a["r"]).otherwise(turn(a["r"], a["l"], i)).alias("r"))
+
+    rounds = F.array(*map(F.lit, reversed(range(2 * ROUNDS)) if back else range(2 * ROUNDS)))
+    halves = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1, F.length(s) - half).alias("r"))
+    many = F.aggregate(rounds, halves, step, lambda a: F.concat(a["l"], a["r"]))
+    one = letter(permute(place(s), base.cast("long"), key, tweak, back))
+    return F.when(F.length(s) > 1, many).when(F.length(s) == 1, one).otherwise(F.lit(""))
 
 
 def refill(shape: Column, alphabet: Column, chars: Column) -> Column:
@@ -133,15 +149,14 @@ def kind(value: Column) -> Column:
     """The kind of a match that was found in its text; null for a number that fails validation."""
     whole = lambda name: value.rlike(f"^(?:{KINDS[name]})$")
     digits = F.length(only_digits(value))
-    hexadecimal = value.rlike("^[0-9a-fA-F]{12,64}$")
     return (
-        F.when(value.contains("@"), "email")
+        F.when(whole("secret"), "secret")
+        .when(value.contains("@"), "email")
         .when(whole("access_key"), "access_key")
         .when(whole("date"), F.when(F.call_function("try_to_date", value, F.lit("yyyy-MM-dd")).isNotNull(), "date"))
         .when(whole("ip"), "ip")
         .when(whole("card") & digits.between(13, 19), F.when(luhn_sum(only_digits(value)) % 10 == 0, "card"))
         .when(whole("phone"), "phone")
-        .when(hexadecimal, "secret")
     )
 
 
@@ -150,14 +165,14 @@ def pseudonyms(matches: DataFrame, key: str = KEY, back: bool = False) -> DataFr
     v, of = F.col("value"), F.col("kind")
     rows = matches.withColumn("kind", kind(v))
     # head and tail stay; the body is permuted
-    rows = rows.withColumn("_head_", F.when(of == "access_key", F.substring(v, 1, 4)).when(of == "phone", F.regexp_extract(v, r"^(\+\d{1,3})(?=[ (-])", 1)).when(of == "card", F.substring(v, 1, 1)).otherwise(""))
+    rows = rows.withColumn("_head_", F.when(of == "access_key", F.substring(v, 1, 4)).when(of == "phone", F.regexp_extract(v, r"^(\+\d{1,3})(?=[ (-])", 1)).when(of == "card", F.substring(v, 1, 1)).when(of == "secret", F.regexp_extract(v, "^" + NAMED, 0)).otherwise(""))
     rows = rows.withColumn("_tail_", F.when(of == "email", F.regexp_extract(v, "(@.*)$", 1)).when(of == "card", F.substring(v, -1, 1)).otherwise(""))
     rows = rows.withColumn("_body_", F.substr(v, F.length("_head_") + 1, F.length(v) - F.length("_head_") - F.length("_tail_")))
-    whole_hex = F.when(v.rlike("[A-F]") & ~v.rlike("[a-f]"), DIGITS + "ABCDEF").otherwise(DIGITS + "abcdef")
-    for step, email in enumerate((LOWER, UPPER, DIGITS)):
-        alphabet = F.when(of == "email", email)
+    # letters of each case and digits keep their places, so a secret's form stays and inversion finds it
+    for step, (email, hexadecimal) in enumerate(((LOWER, "abcdef"), (UPPER, "ABCDEF"), (DIGITS, DIGITS))):
+        alphabet = F.when(of == "email", email).when(of == "secret", hexadecimal)
         if not step:
-            alphabet = alphabet.when(of == "access_key", UPPER + DIGITS).when(of == "secret", whole_hex).when(of.isin("phone", "card"), DIGITS)
+            alphabet = alphabet.when(of == "access_key", UPPER + DIGITS).when(of.isin("phone", "card"), DIGITS)
         rows = rows.withColumn("_abc_", alphabet)
         rows = rows.withColumn("_chars_", F.when(F.col("_abc_").isNotNull(), of_alphabet(F.col("_body_"), F.col("_abc_"))).otherwise(""))
         rows = rows.withColumn("_chars_", permute_text(F.col("_chars_"), F.col("_abc_"), key, of, back))
@@ -185,18 +200,21 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", id_col: st
     kept = [c for c in docs.columns if c != "found"]
     columns = [F.col(f"`{c}`") for c in kept]
     kinds = "array<struct<kind:string,value:string,pseudonym:string>>"
-    # a match holds a digit, an at-sign or a key's prefix: most texts have none, and no search is needed
-    hint = F.coalesce(F.col(text).rlike("[0-9@]|AKIA|ASIA"), F.lit(False))
+    # a match holds a digit, an at-sign, a key's prefix or a secret's name: most texts have none, and no search is needed
+    hint = F.coalesce(F.col(text).rlike(f"[0-9@]|AKIA|ASIA|{NAMED}"), F.lit(False))
     searched = F.when(hint, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     some = F.coalesce(F.size(searched) > 0, F.lit(False))
     without = docs.where(~some).select(*columns).withColumn("found", F.array().cast(kinds))
     hit = materialize(docs.where(some).select(*columns, searched.alias("_m_"), F.xxhash64(text).alias("_k_")), "matched")
     # rows that share doc_id and text have the same matches
     rows = hit.dropDuplicates([id_col, "_k_"]).select(F.col(id_col).alias("_id_"), F.col("_k_").alias("_tk_"), F.posexplode("_m_").alias("_pos_", "value"))
-    done = pseudonyms(rows, key, back).groupBy("_id_", "_tk_").agg(F.sort_array(F.collect_list(F.struct("_pos_", "kind", "value", "pseudonym"))).alias("_f_"))
+    # matches are short and dear to change, so they are dealt by their number and not by their bytes
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(hit.agg(F.sum(F.size("_m_"))).first()[0] or 0) // TASK_MATCHES))
+    done = pseudonyms(rows.repartition(tasks), key, back).groupBy("_id_", "_tk_").agg(F.sort_array(F.collect_list(F.struct("_pos_", "kind", "value", "pseudonym"))).alias("_f_"))
     joined = hit.join(done, F.col(id_col).eqNullSafe(F.col("_id_")) & (F.col("_k_") == F.col("_tk_")))
     changed = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), F.col("_f_"), lambda g, f: F.concat(g, F.coalesce(f["pseudonym"], F.lit("")))), "")
-    found = F.transform(F.filter("_f_", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"), f["pseudonym"].alias("pseudonym")))
+    bare = lambda f, c: F.when(f["kind"] == "secret", F.regexp_replace(f[c], "^" + NAMED, "")).otherwise(f[c]).alias(c)
+    found = F.transform(F.filter("_f_", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), bare(f, "value"), bare(f, "pseudonym")))
     joined = joined.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in kept], found.cast(kinds).alias("found"))
     return joined.unionByName(without)
 

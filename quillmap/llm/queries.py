@@ -48,7 +48,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    key = spark.conf.get("spark.corpus.pseudonym.key", pii.KEY)
+    return pii.report(pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
