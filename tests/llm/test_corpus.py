@@ -589,6 +589,35 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_hamming_probes_reach_all_within_the_radius(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        a = int(rng.integers(0, 1 << 63))
+        b = a
+        for bit in rng.choice(63, decontam.RADIUS, replace=False):
+            b ^= 1 << int(bit)
+        rows.append((a, b))
+    both = spark.createDataFrame(rows, "a long, b long").select(F.arrays_overlap(decontam.hamming_blocks(F.col("a")), decontam.hamming_probes(F.col("b"))).alias("met"))
+    assert both.where("met").count() == 200
+    probes = spark.range(1).select(decontam.hamming_probes(F.lit(0).cast("long")).alias("p")).first()["p"]
+    assert len(probes) == len(set(probes)) == 4 * sum(math.comb(16, i) for i in range(decontam.RADIUS // 4 + 1))
+
+
+def test_recall_at_the_threshold(spark):
+    """Windows whose last words were replaced until they just pass the exact test are all found, but for one in 400 at most."""
+    items, docs = [], []
+    for i in range(400):
+        n = 20 + i % 80
+        w = [f"w{i}x{j}" for j in range(n)]
+        shingles = n - 4
+        gone = max(g for g in range(n) if 100 * (shingles - g) >= 80 * (shingles + g))
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join([f"a{i}b{j}" for j in range(9)] + w[: n - gone] + [f"z{i}y{j}" for j in range(gone + 5)]), None, None, 0))
+    out = decontam.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"])
+    assert out.where("contaminated and similarity >= 0.8").count() >= 399
+
+
 def test_items_that_share_an_id_are_all_searched_for(spark):
     # variants whose SimHash is near each other's, but not their shingles
     base, other = lorem(60, 40), lorem(61, 40)
