@@ -13,7 +13,8 @@ emitted only if its odd sketches allow the similarity: a bit of the sketch is th
 parity of the shingles that fall on it, so bits that differ never outnumber the
 shingles that differ, and the test loses no link. So every pair that shares a
 band is compared on its full sets, proven too different, or known to be in one
-component already, and no bucket emits all its pairs.
+component already, and no bucket emits all its pairs. A large bucket's pairs are dealt
+over a square of cells by hashes of both members.
 
 The graph's nodes are classes, named by a hash of the doc_id and text of their
 first row, so texts that share a doc_id are separate. A component is named by its
@@ -43,8 +44,8 @@ from .graph import connected_components
 UNIVERSE = 1 << 18
 #: Rows of a band, and the chance that a pair right at the threshold shares none.
 ROWS, MISS = 5, 2e-5
-#: Longs of an odd sketch.
-SKETCH = 32
+#: Longs of an odd sketch, and members on a side of a cell of pairs (about).
+SKETCH, CELL = 32, 512
 _CACHE: dict = {}
 
 
@@ -142,14 +143,16 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, mis
     classes = signed.where("print is not null").groupBy("print").agg(F.min(F.struct(*own, "n_shingles", "bands", "sketch")).alias("m"), F.count("*").alias("copies"))
     classes = materialize(classes.select("print", "copies", "m.*").select("*", node), "classes")
 
-    # buckets with more than one class; the member with the largest buckets in all is the centre of a star
+    # buckets with more than one class; the member with the largest buckets in all is the centre of a star.
+    # What is grouped by bucket is written before it is joined, so that Spark can split a large bucket in the join.
     placed = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     members = materialize(placed.join(shared, "bucket"), "members")
     degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
     ranked = members.join(degree, "node")
     close = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
     heads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.struct(F.col("node").alias("a"), F.col("n").alias("a_n")).alias("head"))).alias("m")).select("bucket", "m.head.*")
+    heads = materialize(heads, "heads")
     star = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n")).join(heads, "bucket").where("a <> b")
     star = star.where(close).select("a", "b").distinct()
     wanted = members.select("node").distinct()
@@ -160,15 +163,21 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, mis
 
     # buckets that still hold several components: compare what is outside the largest one with all that is in another
     named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named.select("bucket", "component", "node", "n"), "named")
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("m.component").alias("main"))
-    mixed = materialize(named.join(main, "bucket").join(classes.select("node", "sketch"), "node").select("bucket", "component", "main", "node", "n", "sketch"), "mixed")
-    one = mixed.where("component <> main").select("bucket", F.col("component").alias("p"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
-    two = mixed.select(F.col("bucket").alias("b_bucket"), F.col("component").alias("q"), "main", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+    main = materialize(main.select("bucket", F.col("m.component").alias("main"), F.ceil(F.col("members") / CELL).cast("int").alias("cells")), "main")
+    mixed = materialize(named.join(main, "bucket").join(classes.select("node", "sketch"), "node"), "mixed")
+    # a bucket's pairs form a square of cells, each compared by itself, so none is a task's whole work
+    own, every = F.pmod(F.xxhash64("node"), F.col("cells")), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("across")
+    one = mixed.where("component <> main").select("bucket", own.alias("row"), every, F.col("component").alias("p"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    two = mixed.select(F.col("bucket").alias("b_bucket"), own.alias("column"), every, F.col("component").alias("q"), "main", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    two = two.withColumnRenamed("across", "b_row")
     differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     # similarity t allows (1 - t) / (1 + t) of both sizes to differ
     allowed = (100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
-    apart = (F.col("bucket") == F.col("b_bucket")) & (F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("a") < F.col("b")))
+    cell = (F.col("bucket") == F.col("b_bucket")) & (F.col("row") == F.col("b_row")) & (F.col("across") == F.col("column"))
+    apart = cell & (F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("a") < F.col("b")))
     more = one.join(two, apart & close & allowed)
     more = materialize(verify(more.select("a", "b").distinct(), texts, k, percent), "links")
     if not more.isEmpty():

@@ -207,6 +207,37 @@ def test_near_duplicates_match_brute_force(spark, k, percent):
     assert minhash.near_duplicates(docs.limit(0), k, percent).count() == 0
 
 
+def test_cells_of_a_large_bucket_lose_no_link(spark, monkeypatch):
+    # pairs of near copies that share a band with many others: short texts of few shingles, in chains
+    base = lorem(5, 40)
+    texts = [near(lorem(s, 40), s * 7 + c, c) for s in range(5) for c in (0, 1)] + [near(base, 900 + i, i % 4) for i in range(30)]
+    docs = frame(spark, texts)
+    rows = lambda: sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs, 3, 70, rows=2).collect())
+    sets = [shingles(t, 3) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    monkeypatch.setattr(minhash, "CELL", 3)
+    assert rows() == list(enumerate(root))
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs with similarities of 0.85 to 0.9 are all linked."""
+    texts = []
+    for s in range(150):
+        w = [f"w{s}x{i}" for i in range(120)]
+        cut = 4 + s % 6  # so many words at the end differ: similarity (118 - cut) / (118 + cut), 0.86 to 0.93
+        other = w[:-cut] + [f"v{s}x{i}" for i in range(cut)]
+        if s % 3 == 0:
+            other = [*w[:60], f"mid{s}", *w[61:]]  # one word in the middle: 115 / 121
+        texts += [" ".join(w), " ".join(other)]
+    out = minhash.near_duplicates(frame(spark, texts), 3, 85)
+    assert out.where("not kept").count() == 150
+
+
 def test_texts_that_share_a_doc_id_are_separate(spark):
     import corpus_pipeline as P
 
