@@ -43,10 +43,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
+#: Most rows of a table that is sent to all tasks, and tasks over which one key's rows are dealt where it is not.
+MOST_SENT, SALTS = 100_000, 32
+
+
+def bounded(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """``df``, written, and marked for broadcast if it has at most ``most`` rows; beyond that it stays an ordinary side of a join."""
     small = materialize(df, name)
-    return F.broadcast(small) if small.count() <= most else small
+    return F.broadcast(small) if small.count() <= (MOST_SENT if most is None else most) else small
+
+
+def look_up(rows: DataFrame, small: DataFrame, on: str, key: str) -> DataFrame:
+    """Left join of ``rows``, by ``on``, with a table of at most one row for each ``key``; null equals null.
+
+    A table that may be sent (by ``bounded``) is. A larger one is copied SALTS times, and
+    the rows of one key are dealt over as many tasks.
+    """
+    if small.count() <= MOST_SENT:
+        return rows.join(F.broadcast(small), F.col(on).eqNullSafe(F.col(key)), "left")
+    many = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_copy_"))
+    dealt = rows.withColumn("_salt_", F.floor(F.rand(1) * SALTS).cast("int"))
+    return dealt.join(many, F.col(on).eqNullSafe(F.col(key)) & (F.col("_salt_") == F.col("_copy_")), "left").drop("_salt_", "_copy_")
 
 
 def ship(spark: SparkSession) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded, materialize
+from .common import bounded, look_up, materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits text before merges, as the vocabulary's authors publish it (fixed value).
@@ -191,7 +191,7 @@ def judge(measured: DataFrame, lang: str | None = "lang", reach: float = REACH)
     ok = rows.where(~F.col("base_failed"))
     q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q_{c}")
     bands = bounded(ok.groupBy("band_group").agg(q("chars_per_token"), q("fallback_share"), q("_flat_")), "bands")
-    out = rows.join(bands, "band_group", "left")
+    out = look_up(rows, bands.withColumnRenamed("band_group", "_group_"), "band_group", "_group_").drop("_group_")
 
     def wide(c: str, least: float):
         return F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) * reach, F.lit(least))

@@ -5,10 +5,13 @@ Sources share the total number of words by weight; a target stops at
 (water filling, solved in closed form over the small table of sources).
 
 A source that is to give f times its words takes floor(f) whole copies of
-every document for certain. For the rest, documents are ranked by Pareto's
-ratio, the odds of a uniform random number over the odds of the document's
-inclusion probability, and taken in that order until the remaining words are
-reached. The cut is found from word totals of narrow ranges of that ratio, and
+every document for certain. For the rest, documents have inclusion
+probabilities of their own: their odds are those of the remaining share of the
+source, times the document's size over the source's mean size, to the power
+``tilt``. So long texts, which carry more of a source for each file that is read,
+are likelier; a tilt of 0 makes all alike. Documents are ranked by Pareto's
+ratio, the odds of a uniform random number over the odds of inclusion, and taken
+in that order until the remaining words are reached, which fixes the sample's size. The cut is found from word totals of narrow ranges of that ratio, and
 only the range that holds it is put in order, so no source is sorted or summed
 in one task. What is then missing of a target is filled by the one
 untaken document whose size is nearest to the gap.
@@ -17,7 +20,8 @@ All random numbers are md5 digests of doc_id and a seed, so reruns agree.
 Defined results: a null text has size 0 and is never needed; a null source is
 a source of its own, last in order; rows that repeat a doc_id and size are
 taken or left together unless the cut falls between them; an empty table gives
-an empty mix; extra columns pass through ``mix``.
+an empty mix; extra columns pass through ``mix``, but ones named as its results
+are replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, materialize, uniform
+from .common import WORD, bounded, look_up, materialize, uniform
 
-MOST_COPIES, RANGES = 3, 4096
+MOST_COPIES, RANGES, TILT = 3, 4096, 0.5
+OUT = ("source_size", "target", "copies", "taken")
 
 
 def sizes(docs: DataFrame, text: str = "text") -> Column:
@@ -55,83 +60,92 @@ def repeating_weights(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3))
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int") + 1))
 
 
-def mix(rows: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
+def mix(rows: DataFrame, planned: DataFrame, seed: int = 0, tilt: float = TILT) -> DataFrame:
     """Rows with doc_id, source, size; plans with source, source_size, target. Adds source_size, target, copies and taken.
 
     ``rows`` should be a written table: it is read for word totals and again for the result.
     """
-    plan = planned.withColumn("fold", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    plan = plan.withColumn("sure", F.floor("fold")).withColumn("share", F.col("fold") - F.floor("fold"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size"))
+    rows = rows.drop(*OUT)
+    own = rows.columns
+    used = rows.groupBy("source").agg(F.count(F.when(F.col("size") > 0, 1)).alias("_used_")).select(F.col("source").alias("_us_"), "_used_")
+    plan = planned.join(used, F.col("source").eqNullSafe(F.col("_us_"))).withColumn("_fold_", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    plan = plan.withColumn("_sure_", F.floor("_fold_")).withColumn("_share_", F.col("_fold_") - F.floor("_fold_"))
+    plan = plan.withColumn("_rest_", F.col("target") - F.col("_sure_") * F.col("source_size")).withColumn("_mean_", F.try_divide(F.col("source_size"), F.col("_used_")))
     # tables of one row for each source are written and, if their size allows, sent to all tasks: a hot source then stays where its rows are
-    plan = bounded(plan.select(F.col("source").alias("_s_"), "source_size", "target", "sure", "share", "rest"), "plan")
+    plan = bounded(plan.select(F.col("source").alias("_s_"), "source_size", "target", "_sure_", "_share_", "_rest_", "_mean_"), "plan")
     # Pareto's ratio, mapped to (0, 1) in the same order, so that its ranges are known beforehand
-    u = F.col("_u_")
-    ratio = (u / (1 - u)) / (F.col("share") / (1 - F.col("share")))
-    ranked = rows.withColumn("_u_", uniform(F.col("doc_id"), F.lit(seed))).join(plan, F.col("source").eqNullSafe(F.col("_s_")), "left")
-    ranked = ranked.withColumn("_q_", F.when(F.col("share") > 0, ratio / (1 + ratio)).otherwise(1.0)).withColumn("_r_", F.floor(F.col("_q_") * RANGES).cast("int"))
-    live = ranked.where((F.col("share") > 0) & (F.col("size") > 0))
+    u, live_row = F.col("_u_"), (F.col("_share_") > 0) & (F.col("size") > 0)
+    odds = F.col("_share_") / (1 - F.col("_share_")) * F.pow(F.col("size") / F.col("_mean_"), F.lit(tilt))
+    ratio = (u / (1 - u)) / odds
+    ranked = with_plan(rows.withColumn("_u_", uniform(F.col("doc_id"), F.lit(seed))), plan, "_s_")
+    ranked = ranked.withColumn("_q_", F.when(live_row, ratio / (1 + ratio)).otherwise(1.0)).withColumn("_r_", F.floor(F.col("_q_") * RANGES).cast("int"))
+    live = ranked.where(live_row)
     key = ["_q_", "doc_id", "size"]
 
     def up_to(col: str, *by: str):
         return F.sum(col).over(Window.partitionBy("source").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
 
     # words of each range; the range in which the remaining words are reached
-    totals = live.groupBy("source", "_r_", "rest").agg(F.sum("size").alias("words"))
-    totals = totals.withColumn("_before_", F.coalesce(up_to("words", "_r_"), F.lit(0)))
-    cut = totals.where((F.col("_before_") < F.col("rest")) & (F.col("_before_") + F.col("words") >= F.col("rest")))
+    totals = live.groupBy("source", "_r_", "_rest_").agg(F.sum("size").alias("_words_"))
+    totals = totals.withColumn("_before_", F.coalesce(up_to("_words_", "_r_"), F.lit(0)))
+    cut = totals.where((F.col("_before_") < F.col("_rest_")) & (F.col("_before_") + F.col("_words_") >= F.col("_rest_")))
     cut = bounded(cut.select(F.col("source").alias("_cs_"), F.col("_r_").alias("_cr_"), "_before_"), "cut")
     # order only that range; documents go in as long as they fit
-    inside = live.join(cut, F.col("source").eqNullSafe(F.col("_cs_")) & (F.col("_r_") == F.col("_cr_")))
+    inside = with_plan(live, cut, "_cs_").where(F.col("_r_") == F.col("_cr_"))
     inside = inside.withColumn("_at_", F.col("_before_") + F.coalesce(up_to("size", *key), F.lit(0)))
-    last = inside.where(F.col("_at_") + F.col("size") <= F.col("rest")).groupBy("source").agg(F.max(F.struct(*key)).alias("_last_"))
+    last = inside.where(F.col("_at_") + F.col("size") <= F.col("_rest_")).groupBy("source").agg(F.max(F.struct(*key)).alias("_last_"))
     # the cut is known for each source: what is taken so far, and the best filler of the gap
     mark = cut.join(last.select(F.col("source").alias("_ls_"), "_last_"), F.col("_cs_").eqNullSafe(F.col("_ls_")), "left")
     mark = bounded(mark.select("_cs_", "_cr_", "_last_"), "mark")
-    marked = ranked.join(mark, F.col("source").eqNullSafe(F.col("_cs_")), "left")
-    goes_in = (F.col("share") > 0) & (F.col("_cr_").isNull() | (F.col("_r_") < F.col("_cr_")) | ((F.col("_r_") == F.col("_cr_")) & (F.struct(*key) <= F.col("_last_"))))
+    marked = with_plan(ranked, mark, "_cs_")
+    goes_in = live_row & (F.col("_cr_").isNull() | (F.col("_r_") < F.col("_cr_")) | ((F.col("_r_") == F.col("_cr_")) & (F.struct(*key) <= F.col("_last_"))))
     marked = marked.withColumn("_in_", F.coalesce(goes_in, F.lit(False)))
-    had = marked.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("_in_"), F.col("size")).otherwise(0))).alias("_gap_")).select(F.col("source").alias("_gs_"), "_gap_")
+    had = marked.groupBy("source").agg((F.first("_rest_") - F.sum(F.when(F.col("_in_"), F.col("size")).otherwise(0))).alias("_gap_")).select(F.col("source").alias("_gs_"), "_gap_")
     had = bounded(had, "gaps")
-    open_ = marked.where(~F.col("_in_") & (F.col("share") > 0) & (F.col("size") > 0)).join(had, F.col("source").eqNullSafe(F.col("_gs_")))
+    open_ = with_plan(marked.where(~F.col("_in_") & live_row), had, "_gs_")
     fill = open_.where((F.col("_gap_") > 0) & (F.abs(F.col("_gap_") - F.col("size")) < F.col("_gap_"))).groupBy("source").agg(F.min(F.struct(F.abs(F.col("_gap_") - F.col("size")).alias("off"), *key)).alias("_fill_"))
     fill = bounded(fill.select(F.col("source").alias("_fs_"), "_fill_"), "fill")
-    marked = marked.join(fill, F.col("source").eqNullSafe(F.col("_fs_")), "left")
+    marked = with_plan(marked, fill, "_fs_")
     is_fill = F.coalesce(~F.col("_in_") & (F.col("doc_id") == F.col("_fill_.doc_id")) & (F.col("size") == F.col("_fill_.size")), F.lit(False))
-    copies = F.coalesce(F.col("sure"), F.lit(0)) + F.when(F.col("_in_") | is_fill, 1).otherwise(0)
-    drop = ["_u_", "_s_", "_q_", "_r_", "_cs_", "_cr_", "_last_", "_in_", "_fs_", "_fill_", "sure", "share", "rest"]
-    return marked.withColumn("copies", copies.cast("int")).withColumn("taken", (copies * F.col("size")).cast("long")).drop(*drop)
+    copies = F.coalesce(F.col("_sure_"), F.lit(0)) + F.when(F.col("_in_") | is_fill, 1).otherwise(0)
+    marked = marked.withColumn("copies", copies.cast("int")).withColumn("taken", (copies * F.col("size")).cast("long"))
+    return marked.select(*[F.col(f"`{c}`") for c in own], *OUT)
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+def with_plan(rows: DataFrame, plan: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with a ``bounded`` table of at most one row for each source."""
+    return look_up(rows, plan, "source", key)
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: int = 0, keep: list[str] | None = None, tilt: float = TILT) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (and ``keep`` columns)."""
-    keep = [c for c in keep or [] if c not in ("doc_id", "source", "size")]
+    keep = [c for c in keep or [] if c not in ("doc_id", "source", "size", *OUT)]
     rows = materialize(docs.select("doc_id", "source", sizes(docs).alias("size"), *keep), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     planned = materialize(targets(repeating_weights(sources, weights), most), "targets")
-    return mix(rows, planned, seed)
+    return mix(rows, planned, seed, tilt)
 
 
 #: DuckDB: the same mix over documents, with the same digests and the same order.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (WHERE size > 0) AS used FROM d GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS lev
       FROM w WINDOW b AS (ORDER BY cap::DOUBLE / weight, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, max(CASE WHEN lev * weight <= cap THEN lev END) OVER () AS level FROM l),
-p AS (SELECT source, source_size, least(coalesce(level * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM t),
+p AS (SELECT source, source_size, used, least(coalesce(level * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM t),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS fold FROM p),
 g AS (SELECT *, floor(fold) AS sure, fold - floor(fold) AS share, target - floor(fold) * source_size AS rest FROM f),
-u AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.sure, g.share, g.rest,
+u AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.sure, g.share, g.rest, g.source_size / g.used AS mean,
       (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':0'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-r AS (SELECT *, CASE WHEN share > 0 THEN (u / (1 - u)) / (share / (1 - share)) END AS ratio FROM u),
-q AS (SELECT *, CASE WHEN share > 0 THEN ratio / (1 + ratio) ELSE 1.0 END AS q FROM r),
+r AS (SELECT *, CASE WHEN share > 0 AND size > 0 THEN (u / (1 - u)) / (share / (1 - share) * pow(size / mean, 0.5)) END AS ratio FROM u),
+q AS (SELECT *, CASE WHEN share > 0 AND size > 0 THEN ratio / (1 + ratio) ELSE 1.0 END AS q FROM r),
 a AS (SELECT *, CASE WHEN share > 0 AND size > 0 THEN coalesce(sum(size) FILTER (WHERE size > 0) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS reached FROM q),
-i AS (SELECT *, share > 0 AND CASE WHEN size > 0 THEN reached + size <= rest ELSE NULL END AS fits FROM a),
+i AS (SELECT *, share > 0 AND size > 0 AND reached + size <= rest AS fits FROM a),
 c AS (SELECT source, max({'q': q, 'doc_id': doc_id, 'size': size}) FILTER (WHERE fits) AS last FROM i GROUP BY source),
-k AS (SELECT i.*, coalesce(i.share > 0 AND {'q': i.q, 'doc_id': i.doc_id, 'size': i.size} <= c.last, false) AS goes_in FROM i JOIN c ON i.source IS NOT DISTINCT FROM c.source),
+k AS (SELECT i.*, coalesce(i.share > 0 AND i.size > 0 AND {'q': i.q, 'doc_id': i.doc_id, 'size': i.size} <= c.last, false) AS goes_in FROM i JOIN c ON i.source IS NOT DISTINCT FROM c.source),
 h AS (SELECT source, first(rest) - coalesce(sum(size) FILTER (WHERE goes_in), 0) AS gap FROM k GROUP BY source),
 e AS (SELECT k.source, min({'off': abs(gap - size), 'q': q, 'doc_id': doc_id, 'size': size}) AS fill FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source
       WHERE NOT goes_in AND share > 0 AND size > 0 AND gap > 0 AND abs(gap - size) < gap GROUP BY k.source)

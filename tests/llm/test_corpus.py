@@ -293,6 +293,31 @@ def test_mixing_targets_and_sql(spark):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_clashing_columns_apart_and_deals_many_sources(spark, monkeypatch):
+    from quillmap.llm import common
+
+    rows = [(i, f"s{i % 7}", 5 + i % 40) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    planned = mixing.targets(mixing.repeating_weights(docs.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    names = ["share", "rest", "sure", "words", "_x_"]
+    clash = docs.select("*", *[F.lit(n).alias(n) for n in names], F.lit("gone").alias("target"))
+    got = mixing.mix(clash, planned)
+    assert got.columns == ["doc_id", "source", "size", *names, "source_size", "target", "copies", "taken"]
+    assert all(r[n] == n for r in got.collect() for n in names)
+    want = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs, planned).collect())
+    monkeypatch.setattr(common, "MOST_SENT", 3)
+    assert sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs, planned).collect()) == want
+
+
+def test_longer_documents_are_likelier(spark):
+    docs = spark.createDataFrame([(i, "a", 10 + 90 * (i % 2)) for i in range(4000)], "doc_id long, source string, size long")
+    planned = spark.createDataFrame([("a", 220000, 110000.0)], "source string, source_size long, target double")
+    taken = {tilt: {r["size"]: r["n"] for r in mixing.mix(docs, planned, tilt=tilt).groupBy("size").agg(F.sum("copies").alias("n")).collect()} for tilt in (0.0, 0.5)}
+    assert abs(taken[0.0][10] - taken[0.0][100]) < 100 and taken[0.5][100] > taken[0.5][10] + 500
+    for t in taken.values():
+        assert abs(10 * t[10] + 100 * t[100] - 110000) <= 50
+
+
 def test_water_filling_brute_force(spark):
     sizes = {"a": 1000, "b": 10, "c": 50, "d": 3, "e": 700}
     src = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
