@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+#: Bytes of texts that are handled at once (about), and n-grams that a counting task holds before it gives them away.
+SLICE, MOST_HELD = 1 << 20, 1 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
@@ -132,3 +133,33 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.nd
     hashes = span_hashes(buf, starts, ends)
     for i in range(len(offsets) - 1):
         yield np.unique(runs(hashes[of[i] : of[i + 1]], k))
+
+
+class Tally:
+    """Counts of (name, code), held sparsely: new codes are merged in when as many have come as are held."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, list] = {}
+        self.held = self.new = 0
+
+    def add(self, name: str, codes: np.ndarray) -> None:
+        self.parts.setdefault(name, []).append(np.unique(codes, return_counts=True))
+        self.new += len(self.parts[name][-1][0])
+        if self.new > MOST_HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        for name, parts in self.parts.items():
+            codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            found, at = np.unique(codes, return_inverse=True)
+            self.parts[name] = [(found, np.bincount(at, n, len(found)).astype(np.int64))]
+        self.held, self.new = sum(len(p[0][0]) for p in self.parts.values()), 0
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        """All counts so far, which are then let go."""
+        self.merge()
+        for name, [(codes, n)] in self.parts.items():
+            for lo in range(0, len(codes), 1 << 16):
+                part = codes[lo : lo + (1 << 16)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part), pa.array(n[lo : lo + (1 << 16)])], ["lang", "code", "n"])
+        self.__init__()

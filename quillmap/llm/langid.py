@@ -5,10 +5,13 @@ order. A document's own most frequent n-grams are compared with each profile
 by the out-of-place distance: the sum of rank differences, with the profile's
 length for n-grams that it lacks. The nearest profile gives the language.
 
-Profiles come from exact counts over all training texts. Defined results: a
-text that is null or has no letter is ``und`` with score 0; ties between
-n-grams go by code, ties between languages by name; without any profile every
-text is ``und``; extra columns pass through ``predict``.
+Letters are code points of 16 bits, in lower case, so every script has n-grams of
+its own; all else separates words. Profiles come from exact counts over all training
+texts. Defined results: a text that is null or has no letter is ``und`` with score 0;
+ties between n-grams go by code, ties between languages by name; without any profile
+every text is ``und``; repeated rows get equal results; extra columns pass through
+``predict``, but ones named as its results are replaced; letters beyond 16 bits share
+symbols by their low bits.
 """
 
 from __future__ import annotations
@@ -23,32 +26,28 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Length of a profile, and symbols: 0 separates words, 1-26 are a-z, other letters share the rest by code point.
-RANKS, ORDERS = 300, (1, 2, 3)
+#: Length of a profile, n-gram lengths, bits of a symbol, and parts of a language in which its profile's candidates are found.
+RANKS, ORDERS, BITS, PARTS = 300, (1, 2, 3), 16, 64
 _CACHE: dict = {}
 
 
 def symbols() -> np.ndarray:
+    """The symbol of each code point: 0 for what is no letter."""
     if "symbols" not in _CACHE:
-        table = np.zeros(0x110000, np.int32)
         letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        at = np.flatnonzero(letters)
-        table[at] = 27 + at % 37
-        for i in range(26):
-            table[97 + i] = table[65 + i] = i + 1
-        _CACHE["symbols"] = table
+        _CACHE["symbols"] = np.where(letters, np.maximum(np.arange(0x110000) % (1 << BITS), 1), 0)
     return _CACHE["symbols"]
 
 
 def gram_codes(column: pa.Array) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
-    """For slices of texts: codes of each order (64 symbols: 6 bits each, the order above them), and the texts' cuts in them."""
+    """For slices of texts: codes of each order (symbols of 16 bits each, the order above them), and the texts' cuts in them."""
     for _, _, buf, offsets in K.slices(pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))):
         points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         heads = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
         where = heads[offsets]
         n = len(where) - 1
         # every text gets a separator before it, and one ends the slice
-        s = np.zeros(len(points) + n + 1, np.int32)
+        s = np.zeros(len(points) + n + 1, np.int64)
         keep = np.ones(len(s), bool)
         marks = where + np.arange(n + 1)
         keep[marks] = False
@@ -59,15 +58,15 @@ def gram_codes(column: pa.Array) -> Iterator[tuple[list[np.ndarray], list[np.nda
         s, marks = s[keep], place[marks]
         codes, cuts = [], []
         for k in ORDERS:
-            c = np.zeros(max(len(s) - k + 1, 0), np.int32)
+            c = np.zeros(max(len(s) - k + 1, 0), np.int64)
             for j in range(k):
-                c = (c << 6) | s[j : j + len(c)]
-            ok = c > 0 if k == 1 else (c >> 6 * (k - 1) > 0) | (c & ((1 << 6 * (k - 1)) - 1) > 0)
+                c = (c << BITS) | s[j : j + len(c)]
+            ok = c > 0
             inner = np.ones(len(c), bool)
             for j in range(1, k - 1):
                 inner &= s[j : j + len(c)] > 0
             at = np.flatnonzero(ok & inner)
-            codes.append(c[at] | (k << 18))
+            codes.append(c[at] | (k << BITS * len(ORDERS)))
             cuts.append(np.searchsorted(at, marks))
         yield codes, cuts
 
@@ -76,46 +75,41 @@ def ranked(codes: np.ndarray, ranks: int) -> np.ndarray:
     """The most frequent codes, by falling count, then by code."""
     if not len(codes):
         return np.zeros(0, np.int64)
-    x = np.sort(codes)
-    edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    counts = np.diff(np.append(edge, len(x)))
-    key = counts.astype(np.int64) * (1 << 22) + ((1 << 22) - 1 - x[edge])
-    if len(key) > ranks:
-        key = key[np.argpartition(key, len(key) - ranks)[len(key) - ranks :]]
-    return ((1 << 22) - 1 - (np.sort(key)[::-1] & ((1 << 22) - 1))).astype(np.int64)
+    found, counts = np.unique(codes, return_counts=True)
+    return found[np.argsort(-counts, kind="stable")[:ranks]]
 
 
 def profiles(train: DataFrame, text: str = "text", lang: str = "lang", ranks: int = RANKS) -> DataFrame:
     """(lang, code, rank) of the ``ranks`` most frequent n-grams of each language, counted over all rows with a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        tally = K.Tally()
         for b in batches:
             names = np.array(b.column(0).to_pylist(), object)
-            for name in set(names.tolist()):
-                own = b.column(1).filter(pa.array(names == name))
-                for codes, _ in gram_codes(own):
-                    total = np.bincount(np.concatenate(codes), minlength=4 << 18)
-                    seen[name] = seen[name] + total if name in seen else total
-        for name, total in seen.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["lang", "code", "n"])
+            for name in sorted(set(names.tolist())):
+                for codes, _ in gram_codes(b.column(1).filter(pa.array(names == name))):
+                    tally.add(name, np.concatenate(codes))
+            if tally.held > K.MOST_HELD:
+                yield from tally.take()
+        yield from tally.take()
 
     rows = train.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # an alphabet of 64 symbols bounds a language's codes
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < ranks).select("lang", "code", "rank")
+    # first in parts of a language, so that no task orders all its n-grams
+    place = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "code")) - 1
+    best = counts.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(PARTS))).withColumn("rank", place("part")).where(F.col("rank") < ranks)
+    return best.withColumn("rank", place()).where(F.col("rank") < ranks).select("lang", "code", "rank")
 
 
-def distances(column: pa.Array, table: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray]:
+def distances(column: pa.Array, known: np.ndarray, table: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray]:
     """Out-of-place distance of each text to each profile, as a share of the largest, and whether the text has a letter."""
     out, some = [], []
     for codes, cuts in gram_codes(column):
         for i in range(len(cuts[0]) - 1):
             own = ranked(np.concatenate([c[k[i] : k[i + 1]] for c, k in zip(codes, cuts, strict=True)]), ranks)
             some.append(len(own) > 0)
-            theirs = table[own]
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            theirs = np.where((known[place] == own)[:, None], table[place], -1)
             gaps = np.where(theirs >= 0, np.abs(theirs - np.arange(len(own), dtype=np.int32)[:, None]), ranks)
             out.append(gaps.sum(0) / (ranks * max(len(own), 1)))
     return np.array(out).reshape(-1, table.shape[1]), np.array(some, bool)
@@ -126,23 +120,25 @@ def predict(docs: DataFrame, learned: DataFrame, keep: list[str], text: str = "t
 
     The profiles hold ``ranks`` codes for each language; that table alone goes to the driver and to the tasks.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     rows = learned.collect()
     names = sorted({r["lang"] for r in rows})
-    table = np.full((4 << 18, max(len(names), 1)), -1, np.int32)
-    sent = docs.sparkSession.sparkContext.broadcast([(names.index(r["lang"]), r["code"], r["rank"]) for r in rows])
+    found = sorted({r["code"] for r in rows}) or [-1]
+    # (n-gram, language): its rank, -1 if the profile lacks it
+    table = np.full((len(found), max(len(names), 1)), -1, np.int32)
+    column, row = {n: i for i, n in enumerate(names)}, {c: i for i, c in enumerate(found)}
+    for r in rows:
+        table[row[r["code"]], column[r["lang"]]] = r["rank"]
+    sent = docs.sparkSession.sparkContext.broadcast((np.array(found), table))
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text_"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    shape = table.shape
-    del table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.full(shape, -1, np.int32)
-        for j, code, rank in sent.value:
-            table[code, j] = rank
+        known, table = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
-            d, some = distances(b.column(b.num_columns - 1), table, ranks)
+            d, some = distances(b.column(b.num_columns - 1), known, table, ranks)
             best = d.argmin(1)
             if not names:
                 some[:] = False

@@ -175,7 +175,41 @@ def test_language_profiles(spark):
 
 
 def test_rank_order_is_by_count_then_code():
-    assert langid.ranked(np.array([5, 3, 3, 9, 5, 7], np.int32), 3).tolist() == [3, 5, 7]
+    assert langid.ranked(np.array([5, 3, 3, 9, 5, 7]), 3).tolist() == [3, 5, 7]
+
+
+def profile(texts, ranks):
+    """The most frequent runs of one to three letters or word ends, by falling count, then by code points."""
+    seen = collections.Counter()
+    for t in texts:
+        s = re.sub(r"_+", "_", "_" + "".join(c if c.isalpha() else "_" for c in (t or "").lower()) + "_")
+        for k in (1, 2, 3):
+            for i in range(len(s) - k + 1):
+                g = s[i : i + k]
+                if g.strip("_") and "_" not in g[1:-1]:
+                    seen[g] += 1
+    key = lambda g: (-seen[g], len(g), [0 if c == "_" else ord(c) for c in g])
+    return sorted(seen, key=key)[:ranks]
+
+
+def test_language_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(K, "MOST_HELD", 30)
+    han = lambda s: "".join(chr(0x4E00 + int(c)) for c in np.random.default_rng(s).integers(0, 60, 80))
+    cyr = lambda s: "".join(chr(int(c)) for c in np.random.default_rng(s).integers(0x430, 0x450, 80))
+    groups = {"aa": [lorem(i, 20) for i in range(6)], "ab": [lorem(i, 20)[::-1] for i in range(6)], "ru": [cyr(i) for i in range(6)], "zh": [han(i) for i in range(6)], "ko": ["".join(chr(0xAC00 + ord(c) - 0x4E00) for c in han(i)) for i in range(6)]}
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate((t, lang) for lang, ts in groups.items() for t in ts)], DOCS)
+    ranks = 40
+    learned = langid.profiles(docs, ranks=ranks)
+    tables = {lang: profile(ts, ranks) for lang, ts in groups.items()}
+    texts = [*EDGE, lorem(50, 30), cyr(9), han(9), groups["ko"][0], "".join(chr(0xAC00 + ord(c) - 0x4E00) for c in han(9)), "abc " * 9, lorem(51, 9000)]
+    test = frame(spark, texts, [(0, None, None, None, None)]).withColumn("lang_pred", F.lit("x"))
+    out = langid.predict(test, learned, ["doc_id", "lang_pred"], ranks=ranks)
+    assert out.columns == ["doc_id", "lang_pred", "score"]
+    for r in out.collect():
+        own = profile([texts[r["doc_id"]]], ranks)
+        far = {lang: sum(abs(t.index(g) - i) if g in t else ranks for i, g in enumerate(own)) / (ranks * max(len(own), 1)) for lang, t in tables.items()}
+        best = min(sorted(far), key=far.get)
+        assert (r["lang_pred"], r["score"]) == ((best, pytest.approx(1 - far[best])) if own else ("und", 0.0))
 
 
 # ---- near duplicates
@@ -561,7 +595,7 @@ def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
 @pytest.mark.parametrize(("sent", "held"), [(1 << 20, 1 << 20), (40, 50), (0, 1)])
 def test_perplexity_threshold_and_verdict_match_brute_force(spark, monkeypatch, sent, held):
     monkeypatch.setattr(kneser_ney, "MOST_SENT", sent)
-    monkeypatch.setattr(kneser_ney, "MOST_HELD", held)
+    monkeypatch.setattr(K, "MOST_HELD", held)
     texts = [*EDGE, *[lorem(i, 30) for i in range(24)], "\u6f22\u5b57 \u6587" * 30, lorem(3, 2000), "qx# 7z!" * 20]
     langs = ["en" if i % 2 else "xx" for i in range(len(texts))]
     langs[-3:] = [None, "fr", "en"]
