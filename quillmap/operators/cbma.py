@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,12 @@ def union_probability(value: Column) -> Column:
     return F.when(F.max(value) >= 1, F.lit(1.0)).otherwise(1 - F.exp(F.sum(F.log1p(-F.when(value < 1, value).otherwise(F.lit(0.0))))))
 
 
+def ale_logs(ma: DataFrame, mask: DataFrame) -> DataFrame:
+    """(voxel, log_none): the sum of ln(1 - value), which still tells voxels apart whose statistic rounds to 1."""
+    total = ma.groupBy("voxel").agg(F.sum(F.log1p(-F.least("value", F.lit(1 - 1e-16)))).alias("log_none"))
+    return mask.select("voxel").join(total, "voxel", "left").fillna(0.0, ["log_none"])
+
+
 def ale_stat(ma: DataFrame, mask: DataFrame) -> DataFrame:
     """(voxel, stat) over the whole mask; 0 where no analysis reaches."""
     stat = ma.groupBy("voxel").agg(union_probability(F.col("value")).alias("stat"))
@@ -31,12 +38,16 @@ def mkda_density(ma: DataFrame, weights: DataFrame, mask: DataFrame) -> DataFram
     return mask.select("voxel").join(stat, "voxel", "left").fillna(0.0, ["stat"])
 
 
-def mkda_weights(analysis: DataFrame, inference: str = "rfx") -> DataFrame:
-    """w = sqrt(n) x inference factor over its sum, times the number of analyses with equal study weight folded in."""
-    factor = {"ffx": 0.75, "rfx": 1.0}[inference]
-    raw = analysis.select("id", (F.sqrt(F.col("sample_size").cast("double")) * factor).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("total"))
-    return raw.crossJoin(F.broadcast(total)).select("id", (F.col("raw") / F.col("total")).alias("weight"))
+def mkda_weights(analysis: DataFrame, point: DataFrame) -> DataFrame:
+    """(id, weight) of analyses with points: their number, times sqrt(n) x inference factor over its sum.
+
+    ``sample_size`` and ``inference`` (ffx counts 0.75) are columns of ``analysis``; absent ones count 1.
+    """
+    factor = F.when(F.col("inference") == "ffx", 0.75).otherwise(1.0) if "inference" in analysis.columns else F.lit(1.0)
+    size = F.col("sample_size").cast("double") if "sample_size" in analysis.columns else F.lit(1.0)
+    raw = analysis.select("id", (F.sqrt(size) * factor).alias("raw")).join(point.select("id").distinct(), "id", "left_semi")
+    total = raw.agg(F.sum("raw").alias("total"), F.count("*").alias("n"))
+    return raw.crossJoin(F.broadcast(total)).select("id", (F.col("n") * F.col("raw") / F.col("total")).alias("weight"))
 
 
 def kda_stat(ma: DataFrame, mask: DataFrame) -> DataFrame:
@@ -95,37 +106,84 @@ def ale_histograms(ma: DataFrame, n_voxels: int, step: float = 1e-5) -> DataFram
     return hit.unionByName(rest.select("id", "bin", "n")).groupBy("id", "bin").agg((F.sum("n") / n_voxels).alias("share"))
 
 
-def fold_histograms(hist: DataFrame, step: float = 1e-5, additive: bool = False, blocks: int = 64) -> np.ndarray:
-    """Null distribution of the statistic on bins 0, 1, ...: independent analyses combined by 1-(1-a)(1-b), or by sums.
+#: Analyses that one task folds, distributions that one task merges, and products of two of them that are formed one by one.
+FOLD_ANALYSES, FOLD_MERGES, FOLD_DIRECT = 256, 8, 20_000_000
 
-    Combination is associative, so blocks of analyses are folded on the executors
-    and only their distributions, of fixed length, are folded on the driver.
-    """
 
-    def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        i, j = np.flatnonzero(x), np.flatnonzero(y)
-        a, b = i[:, None] * step, j[None, :] * step
-        to = np.rint((a + b if additive else 1 - (1 - a) * (1 - b)) / step).astype(int)
-        out = np.bincount(to.ravel(), (x[i][:, None] * y[j][None, :]).ravel())
+def convolve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sum of two independent numbers of bins; shares below 1e-16 of the largest are noise of the transform and set to 0."""
+    n = len(x) + len(y) - 1
+    if np.count_nonzero(x) * np.count_nonzero(y) <= FOLD_DIRECT:
+        out = np.zeros(n)
+        few, many = (x, y) if np.count_nonzero(x) < np.count_nonzero(y) else (y, x)
+        for i in np.flatnonzero(few):
+            out[i : i + len(many)] += few[i] * many
         return out
+    size = 1 << (n - 1).bit_length()
+    out = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y, size), size)[:n]
+    return np.where(out > out.max() * 1e-16, out, 0.0)
+
+
+def combine_unions(x: np.ndarray, y: np.ndarray, step: float) -> np.ndarray:
+    """The distribution of 1 - (1 - a)(1 - b) on bins of ``step``.
+
+    Few products are formed one by one, with exact tails. Many are a convolution over
+    -ln(1 - a), in bins that are as narrow, and what lies in the last bin stays there.
+    """
+    i, j = np.flatnonzero(x), np.flatnonzero(y)
+    if len(i) * len(j) <= FOLD_DIRECT:
+        if len(i) < len(j):
+            i, j, x, y = j, i, y, x
+        out = np.zeros(int(round(1 / step)) + 1)
+        for at in j:
+            to = np.rint((1 - (1 - i * step) * (1 - at * step)) / step).astype(np.int64)
+            out += np.bincount(to, x[i] * y[at], len(out))
+        return out[: np.flatnonzero(out)[-1] + 1]
+    last = int(np.ceil(-np.log(step / 2) / step))
+
+    def logs(h: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(h)
+        with np.errstate(divide="ignore"):
+            t = np.minimum(-np.log1p(-np.minimum(at * step, 1.0)) / step, last)
+        return np.bincount(np.rint(t).astype(np.int64), h[at])
+
+    out = convolve(logs(x), logs(y))
+    at = np.flatnonzero(out)
+    to = np.rint(-np.expm1(-np.minimum(at, last) * step) / step).astype(np.int64)
+    return np.bincount(to, out[at])
+
+
+def fold_histograms(hist: DataFrame, step: float = 1e-5, additive: bool = False) -> np.ndarray:
+    """Null distribution of the statistic on bins 0, 1, ...: independent analyses combined by 1-(1-a)(1-b), or by sums.
 
-    def part(rows: pd.DataFrame) -> pd.DataFrame:
+    Combination is associative: blocks of analyses are folded on the executors, and
+    then some blocks at a time, until one distribution, of a fixed length (for sums:
+    the largest sum), is left for the driver.
+    """
+    combine = convolve if additive else (lambda x, y: combine_unions(x, y, step))
+    schema = "block long, bins binary"
+
+    def fold(key, rows):
         total = np.ones(1)
         for _, own in rows.groupby("id", sort=True):
             h = np.zeros(int(own["bin"].max()) + 1)
             h[own["bin"]] = own["share"]
             total = combine(total, h)
-        at = np.flatnonzero(total)
-        return pd.DataFrame({"block": rows["block"].iloc[0], "bin": at, "share": total[at]})
+        return pd.DataFrame({"block": [key[0]], "bins": [total.tobytes()]})
 
-    dealt = hist.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    rows = dealt.groupBy("block").applyInPandas(part, "block long, bin long, share double").toPandas()
-    total = np.ones(1)
-    for _, own in rows.groupby("block"):
-        h = np.zeros(int(own["bin"].max()) + 1)
-        h[own["bin"]] = own["share"]
-        total = combine(total, h)
-    return total
+    def merge(key, rows):
+        total = np.ones(1)
+        for raw in rows.sort_values("block")["bins"]:
+            total = combine(total, np.frombuffer(raw))
+        return pd.DataFrame({"block": [key[0]], "bins": [total.tobytes()]})
+
+    blocks = max(1, -(-hist.select("id").distinct().count() // FOLD_ANALYSES))
+    parts = hist.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInPandas(fold, schema)
+    while blocks > 1:
+        blocks = -(-blocks // FOLD_MERGES)
+        parts = parts.groupBy((F.floor(F.col("block") / FOLD_MERGES)).alias("part")).applyInPandas(merge, schema)
+    rows = parts.collect()
+    return np.frombuffer(rows[0]["bins"]) if rows else np.ones(1)
 
 
 def null_table(spark: SparkSession, dist: np.ndarray) -> DataFrame:
@@ -146,16 +204,39 @@ def with_z(rows: DataFrame) -> DataFrame:
     return rows.withColumn("z", special.p_to_z_udf("p"))
 
 
-def null_to_p(value: DataFrame, null: DataFrame, tail: str = "upper", blocks: int = 1024) -> DataFrame:
+def in_ranges(rows: DataFrame, column: str, blocks: int) -> DataFrame:
+    """Add ``_b_``: the range of values that a row is in, of ranges with about as many rows each. Equal values share one."""
+    cuts = rows.agg(F.percentile_approx(column, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 10 * blocks).alias("c")).first()["c"] or []
+    table = F.split(F.lit(",".join(map(repr, sorted(set(cuts))))), ",") if cuts else None
+    if table is None:
+        return rows.withColumn("_b_", F.lit(0))
+    table = F.transform(table, lambda x: x.cast("double"))
+    # binary search in a constant array
+    steps = F.sequence(F.lit(0), F.lit(len(set(cuts)).bit_length()))
+    low = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("lo"), F.lit(len(set(cuts))).alias("hi")),
+        lambda a, _: F.when(a["lo"] >= a["hi"], a).otherwise(
+            F.when(F.get(table, F.call_function("div", a["lo"] + a["hi"], F.lit(2)).cast("int")) < F.col(column), F.struct((F.call_function("div", a["lo"] + a["hi"], F.lit(2)).cast("int") + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(
+                F.struct(a["lo"].alias("lo"), F.call_function("div", a["lo"] + a["hi"], F.lit(2)).cast("int").alias("hi"))
+            )
+        ),
+        lambda a: a["lo"],
+    )
+    return rows.withColumn("_b_", low)
+
+
+def null_to_p(value: DataFrame, null: DataFrame, tail: str = "upper", blocks: int = 256) -> DataFrame:
     """Empirical p of (key, value) against null values: counts by a merged order of both, clipped to [1/n, 1 - 1/n].
 
-    Values are ordered within ranges; totals of the ranges before and after come from a small table, so no task orders all.
+    Values are ordered within ranges of about as many each; totals of the ranges before and after come from a small table,
+    so no task orders all. ``symmetric`` is for nulls that mirror around 0: both tails count by absolute value.
     """
-    both = value.select("key", "value", F.lit(0).alias("is_null")).unionByName(null.select(F.lit(None).cast("long").alias("key"), "value", F.lit(1).alias("is_null")))
-    bounds = both.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("is_null").alias("n")).first()
-    n, lo = bounds["n"] or 1, bounds["lo"] or 0.0
-    width = max(((bounds["hi"] or 0.0) - lo) / blocks, 1e-12)
-    both = both.withColumn("_b_", F.floor((F.col("value") - lo) / width))
+    if tail == "symmetric":
+        value, null = value.withColumns({"_own_": F.col("value"), "value": F.abs("value")}), null.select(F.abs("value").alias("value"))
+    both = value.select("key", "value", F.lit(0).alias("is_null"), F.col("_own_" if tail == "symmetric" else "value").alias("own")).unionByName(null.select(F.lit(None).cast("long").alias("key"), "value", F.lit(1).alias("is_null"), F.lit(None).cast("double").alias("own")))
+    n = null.count() or 1
+    both = in_ranges(both, "value", blocks)
     totals = both.groupBy("_b_").agg(F.sum("is_null").alias("t"))
     before = Window.orderBy("_b_").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy(F.desc("_b_")).rowsBetween(Window.unboundedPreceding, -1)
@@ -164,114 +245,366 @@ def null_to_p(value: DataFrame, null: DataFrame, tail: str = "upper", blocks: in
     down = Window.partitionBy("_b_").orderBy(F.col("value").asc()).rangeBetween(Window.unboundedPreceding, 0)
     rows = both.withColumn("ge", F.sum("is_null").over(up)).withColumn("le", F.sum("is_null").over(down)).where("is_null = 0").join(totals, "_b_")
     upper, lower = (F.col("ge") + F.col("above")) / n, (F.col("le") + F.col("below")) / n
-    p = {"upper": upper, "lower": lower, "two": F.least(F.lit(1.0), 2 * F.least(upper, lower))}[tail]
-    return rows.select("key", "value", F.greatest(F.lit(1 / n), F.least(F.lit(1 - 1 / n), p)).alias("p"))
+    p = {"upper": upper, "lower": lower, "two": F.least(F.lit(1.0), 2 * F.least(upper, lower)), "symmetric": upper}[tail]
+    return rows.select("key", F.col("own").alias("value"), F.greatest(F.lit(1 / n), F.least(F.lit(1 - 1 / n), p)).alias("p"))
 
 
-def monte_carlo(spark: SparkSession, foci_per_id: DataFrame, mask: DataFrame, grid: Grid, r: float, n_iters: int, seed: int = 0, kind: str = "mkda", threshold: float | None = None) -> DataFrame:
-    """(iteration, max_stat, max_size, max_mass): random foci in the mask, one reduction for each iteration.
+def p_to_stat(null: DataFrame, p: float, step: float) -> float:
+    """The statistic at which the null's tail first falls to ``p``: the bin before the first with a tail of at most p."""
+    first = null.where(F.col("p") <= p).agg(F.min("bin").alias("b")).first()["b"]
+    last = null.agg(F.max("bin").alias("b")).first()["b"]
+    return step * (max(first - 1, 0) if first is not None else last)
 
-    Iterations are the parallel unit. Each task gets the number of foci of each
-    analysis, the mask and the kernel's offsets, draws its own foci from
-    (seed, iteration), and returns three numbers; permuted activations are never
-    written. The number of analyses bounds what is sent.
+
+def mkda_null(ma: DataFrame, n_voxels: int) -> np.ndarray:
+    """Distribution of the number of analyses active at a voxel, each active at its own share of the mask at random."""
+    hist = ma.groupBy("id").agg((F.count("*") / n_voxels).alias("on")).select("id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("bin"), (1 - F.col("on")).alias("share")), F.struct(F.lit(1).cast("long").alias("bin"), F.col("on").alias("share")))).alias("h"))
+    return fold_histograms(hist.select("id", "h.*"), 1.0, additive=True)
+
+
+def kda_null(ma: DataFrame, n_voxels: int, value: float = 1.0) -> np.ndarray:
+    """Distribution of the sum of spheres at a voxel, on bins of one sphere's value."""
+    return fold_histograms(ale_histograms(ma, n_voxels, value), value, additive=True)
+
+
+#: Foci that one task draws for an iteration, and iterations of one task.
+DRAW_FOCI, DRAW_ITERATIONS = 100_000, 10
+
+
+def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid, n_iters: int, kind: str = "mkda", r: float = 10.0, fwhm: float | None = None, seed: int = 0) -> DataFrame:
+    """(iteration, part): the summed activation of random foci, one volume as bytes for each iteration.
+
+    ``foci`` has (id, n) and for kind ``ale`` a sample_size (unless there is a ``fwhm``);
+    foci are drawn from the cells of ``pool``. Blocks of analyses and some iterations at a
+    time are a task, which draws from (seed, iteration, block) and returns sums over its
+    analyses: of spheres (``mkda``: once an analysis, ``kda``: all) or of ln(1 - value). Volumes
+    of one iteration are then added, so permuted activations are never rows.
     """
-    counts = np.array([row["n"] for row in foci_per_id.select("n").orderBy("id").collect()])
-    cells = np.array([(row["i"], row["j"], row["k"]) for row in mask.select("i", "j", "k").orderBy("voxel").collect()])
-    steps = np.array(kernels.sphere(r, grid.size))
-    shape = (grid.nx, grid.ny, grid.nz)
-    sent = spark.sparkContext.broadcast((counts, cells, steps))
+    if kind not in ("mkda", "kda", "ale"):
+        raise ValueError(f"unknown kind: {kind}")
+    sent = spark.sparkContext.broadcast((np.ascontiguousarray(pool), grid.mask_array()))
+    steps, shape = np.array(kernels.sphere(r, grid.size)), grid.shape
+    blocks = max(1, -(-(foci.agg(F.sum("n")).first()[0] or 0) // DRAW_FOCI))
+    size = F.col("sample_size").cast("double") if "sample_size" in foci.columns else F.lit(0.0)
+    rows = foci.select("id", F.col("n").cast("long").alias("n"), size.alias("sample_size"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n_iters // DRAW_ITERATIONS) - 1)))))
+
+    def spheres(picks: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        at = picks[:, None, :] + steps[None]
+        ok = ((at >= 0) & (at < np.array(shape))).all(2)
+        flat = np.ravel_multi_index(tuple(at[ok].T), shape)
+        if kind == "mkda":
+            flat = np.unique(np.repeat(owner, ok.sum(1)) * inside.size + flat) % inside.size
+        return np.bincount(flat, minlength=inside.size).astype(float)
+
+    def draw(key, own):
+        cells, inside = sent.value
+        own = own.sort_values("id")
+        ends = np.concatenate([[0], np.cumsum(own["n"].to_numpy())])
+        out = []
+        for it in range(key[1] * DRAW_ITERATIONS, min((key[1] + 1) * DRAW_ITERATIONS, n_iters)):
+            rng = np.random.default_rng([seed, it, key[0]])
+            picks = cells[rng.integers(len(cells), size=ends[-1])]
+            if kind == "ale":
+                work, total = kernels.Gaussians(grid, fwhm), np.zeros(shape)
+                for a, b, n in zip(ends[:-1], ends[1:], own["sample_size"], strict=True):
+                    if (box := work.stamp(picks[a:b], n)) is not None:
+                        total[box] += np.log1p(-np.minimum(work.best[box], 1 - 1e-16))
+                        work.clear(box)
+                total = total.ravel()
+            else:
+                total = np.zeros(inside.size)
+                # some analyses at a time, so memory does not grow with their foci
+                cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], 20_000)).tolist() + [len(own)])
+                for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+                    owner = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                    total += spheres(picks[ends[a] : ends[b]], owner, inside)
+            out.append((it, np.where(inside.ravel(), total, 0.0).tobytes()))
+        return pd.DataFrame(out, columns=["iteration", "part"])
+
+    def add(key, parts):
+        return pd.DataFrame({"iteration": [key[0]], "part": [sum(np.frombuffer(x) for x in parts["part"]).tobytes()]})
+
+    parts = rows.groupBy("block", "chunk").applyInPandas(draw, "iteration long, part binary")
+    return parts.groupBy("iteration").applyInPandas(add, "iteration long, part binary")
+
+
+def _statistic(raw: bytes, kind: str, n_ids: int) -> np.ndarray:
+    total = np.frombuffer(raw)
+    return -np.expm1(total) if kind == "ale" else total / max(n_ids, 1) if kind == "mkda" else total
+
+
+def monte_carlo(spark: SparkSession, foci: DataFrame, mask: DataFrame, grid: Grid, r: float, n_iters: int, seed: int = 0, kind: str = "mkda", threshold: float | None = None, fwhm: float | None = None) -> DataFrame:
+    """(iteration, max_stat, max_size, max_mass): random foci in the mask, one reduction for each iteration (see ``simulated``)."""
+    pool = np.argwhere(grid.mask_array())
+    n_ids = foci.select("id").distinct().count()
+    shape = grid.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, cells, steps = sent.value
-        inside = np.zeros(shape, bool)
-        inside[tuple(cells.T)] = True
-        owner = np.repeat(np.arange(len(counts)), counts)
+        from quillmap.operators.clusters import label
+
         for batch in batches:
             out = []
-            for it in batch["iteration"]:
-                rng = np.random.default_rng([seed, int(it)])
-                foci = cells[rng.integers(len(cells), size=len(owner))]
-                at = foci[:, None, :] + steps[None]
-                ok = ((at >= 0) & (at < np.array(shape))).all(2)
-                who = np.repeat(owner, len(steps)).reshape(len(owner), -1)[ok]
-                flat = np.ravel_multi_index(tuple(at[ok].T), shape)
-                keep = inside.ravel()[flat]
-                pairs = who[keep].astype(np.int64) * inside.size + flat[keep]
-                if kind == "mkda":
-                    pairs = np.unique(pairs)
-                stat = np.bincount(pairs % inside.size, minlength=inside.size).astype(float)
-                if kind == "mkda":
-                    stat /= max(len(counts), 1)
+            for it, raw in zip(batch["iteration"], batch["part"], strict=True):
+                stat = _statistic(raw, kind, n_ids)
                 size, mass = 0, 0.0
                 if threshold is not None:
-                    from quillmap.operators.clusters import label
-
-                    marks = label(stat.reshape(shape) > threshold)
+                    marks = label(stat.reshape(shape) > threshold).ravel()
                     if marks.max():
-                        size = int(np.bincount(marks.ravel())[1:].max())
-                        mass = float(np.bincount(marks.ravel(), (stat - threshold))[1:].max())
+                        size = int(np.bincount(marks)[1:].max())
+                        mass = float(np.bincount(marks, stat - threshold)[1:].max())
                 out.append((int(it), float(stat.max()), size, mass))
             yield pd.DataFrame(out, columns=["iteration", "max_stat", "max_size", "max_mass"])
 
-    return spark.range(n_iters).select(F.col("id").alias("iteration")).mapInPandas(run, "iteration long, max_stat double, max_size long, max_mass double")
+    sims = simulated(spark, foci, pool, grid, n_iters, kind, r, fwhm, seed)
+    return sims.mapInPandas(run, "iteration long, max_stat double, max_size long, max_mass double")
+
+
+def monte_carlo_null(spark: SparkSession, foci: DataFrame, grid: Grid, r: float, n_iters: int, step: float, seed: int = 0, kind: str = "mkda", fwhm: float | None = None) -> DataFrame:
+    """(bin, p): the upper tail of all voxels' statistics under random foci, over all iterations."""
+    inside = np.flatnonzero(grid.mask_array().ravel())
+    n_ids = foci.select("id").distinct().count()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for raw in batch["part"]:
+                found, n = np.unique(np.rint(_statistic(raw, kind, n_ids)[inside] / step).astype(np.int64), return_counts=True)
+                yield pd.DataFrame({"bin": found, "n": n})
 
+    sims = simulated(spark, foci, np.argwhere(grid.mask_array()), grid, n_iters, kind, r, fwhm, seed)
+    return tail_of(sims.mapInPandas(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")))
 
-def exceedance(observed: DataFrame, permuted: DataFrame) -> DataFrame:
-    """(voxel, ge, le, n): permuted values at or above, and at or below, the observed one."""
-    j = permuted.withColumnRenamed("stat", "perm").join(observed.select("voxel", "stat"), "voxel")
-    return j.groupBy("voxel").agg(F.sum((F.col("perm") >= F.col("stat")).cast("int")).alias("ge"), F.sum((F.col("perm") <= F.col("stat")).cast("int")).alias("le"), F.count("*").alias("n"))
 
+def tail_of(counts: DataFrame) -> DataFrame:
+    """(bin, p) of (bin, n): the share at or above each bin; bins between take the next one's by ``stat_to_p`` over all of them."""
+    total = counts.agg(F.sum("n").alias("total"))
+    # a table of bins, of fixed length
+    up = counts.withColumn("tail", F.sum("n").over(Window.orderBy(F.desc("bin"))))
+    up = up.withColumn("from", F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.lit(0).cast("long")))
+    full = up.select(F.explode(F.sequence(F.least("from", "bin"), F.col("bin"))).alias("bin"), "tail")
+    return full.crossJoin(F.broadcast(total)).select("bin", (F.col("tail") / F.col("total")).alias("p"))
 
-def ale_difference(ma: DataFrame, group1: DataFrame, group2: DataFrame, mask: DataFrame, n_iters: int = 100) -> DataFrame:
-    """ALE of one group less that of the other, with p by permuted labels.
 
-    Each iteration ranks analyses by a hash of (id, iteration) and gives the first
-    n1 to the first group, so no random state is kept; log(1 - v) is summed once
-    for each (voxel, iteration, group).
+def reduced_null(spark: SparkSession, hist: DataFrame, n_iters: int, step: float, additive: bool = False, seed: int = 0) -> DataFrame:
+    """(bin, p): each iteration takes the value of one random voxel of each analysis, by its histogram (id, bin, share), and combines them.
+
+    Analyses are the parallel unit; sums (for unions of ln(1 - value)) meet by iteration.
+    """
+
+    def draw(key, own):
+        total = np.zeros(n_iters)
+        for name, h in own.sort_values(["id", "bin"]).groupby("id", sort=True):
+            rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
+            at = h["bin"].to_numpy()[np.searchsorted(np.cumsum(h["share"].to_numpy()), rng.random(n_iters) * h["share"].sum(), "right").clip(0, len(h) - 1)] * step
+            total += at if additive else np.log1p(-np.minimum(at, 1 - 1e-16))
+        return pd.DataFrame({"iteration": np.arange(n_iters), "total": total})
+
+    blocks = max(1, -(-hist.select("id").distinct().count() // FOLD_ANALYSES))
+    parts = hist.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInPandas(draw, "iteration long, total double")
+    sums = parts.groupBy("iteration").agg(F.sum("total").alias("total"))
+    value = F.col("total") if additive else 1 - F.exp("total")
+    return tail_of(sums.groupBy(F.round(value / step).cast("long").alias("bin")).agg(F.count("*").alias("n")))
+
+
+# ---- permuted labels
+def _draws(ids: np.ndarray, its: np.ndarray, seed: int) -> np.ndarray:
+    """A 63-bit number for each id (hashed) and iteration."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64)[:, None] ^ (its.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
+
+
+def label_cuts(ids: DataFrame, size: int, n_iters: int, seed: int = 0) -> np.ndarray:
+    """For each iteration the number that ``size`` ids have at most, so that an id's label needs no order of all ids.
+
+    Ranges of the numbers are counted first, and only the range that holds the cut is ordered.
+    """
+    its, ranges = np.arange(n_iters), 1 << 12
+    hashed = ids.select("id").distinct().select(F.xxhash64("id").alias("h"))
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 1000):
+                x = _draws(b["h"].to_numpy()[lo : lo + 1000], its, seed) >> np.uint64(51)
+                found, n = np.unique(its * ranges + x.astype(np.int64), return_counts=True)
+                yield pd.DataFrame({"it": found // ranges, "part": found % ranges, "n": n})
+
+    spread = hashed.mapInPandas(counts, "it long, part long, n long").groupBy("it", "part").agg(F.sum("n").alias("n"))
+    spread = spread.withColumn("upto", F.sum("n").over(Window.partitionBy("it").orderBy("part")))
+    cut = {r["it"]: (r["part"], size - r["upto"] + r["n"]) for r in spread.where((F.col("upto") >= size) & (F.col("upto") - F.col("n") < size)).collect()}
+    where = np.array([cut.get(i, (-1, 0))[0] for i in its])
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 1000):
+                x = _draws(b["h"].to_numpy()[lo : lo + 1000], its, seed)
+                at, it = np.nonzero((x >> np.uint64(51)).astype(np.int64) == where)
+                yield pd.DataFrame({"it": it, "x": x[at, it].astype(np.int64)})
+
+    own = hashed.mapInPandas(inside, "it long, x long").withColumn("r", F.row_number().over(Window.partitionBy("it").orderBy("x")))
+    need = F.create_map(*[F.lit(v) for i in its for v in (int(i), int(cut.get(i, (-1, 0))[1]))]) if n_iters else None
+    found = {r["it"]: r["x"] for r in own.where(F.col("r") == need[F.col("it")]).collect()} if n_iters else {}
+    return np.array([found.get(i, -1) for i in its], np.int64)
+
+
+def by_voxels(rows: DataFrame, task_rows: int = 1_000_000) -> DataFrame:
+    """Rows with a ``block`` of voxels, of about ``task_rows`` rows each."""
+    blocks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // task_rows))
+    return rows.withColumn("block", F.pmod(F.xxhash64("voxel"), F.lit(blocks)))
+
+
+def label_permutations(terms: DataFrame, group1: DataFrame, group2: DataFrame, n_iters: int, statistic, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(voxel, stat, ge, le, n) and (iteration, max_stat) when labels of two groups are permuted.
+
+    ``terms`` has (id, voxel, term), what an analysis adds to its group's sum;
+    ``statistic`` makes the statistic of two arrays of sums. Blocks of voxels are the
+    tasks: each holds the terms of its voxels and computes an id's label from a hash of
+    (id, iteration), so neither labels nor permuted activations are rows. Of absolute
+    values, the largest of each iteration is returned.
     """
     ids = group1.select("id", F.lit(1).alias("g")).unionByName(group2.select("id", F.lit(2).alias("g"))).distinct()
-    n1 = group1.select("id").distinct().count()
-    logs = ma.join(ids.select("id"), "id", "left_semi").select("id", "voxel", F.log1p(-F.least("value", F.lit(1 - 1e-12))).alias("lv"))
-    drawn = ids.select("id").crossJoin(ma.sparkSession.range(1, n_iters + 1).select(F.col("id").alias("it")))
-    place = F.row_number().over(Window.partitionBy("it").orderBy(F.xxhash64("id", "it"), "id"))
-    assigned = drawn.withColumn("g", F.when(place <= n1, 1).otherwise(2)).unionByName(ids.select("id", F.lit(0).cast("long").alias("it"), "g"))
-    sums = logs.join(assigned, "id").groupBy("voxel", "it").agg(F.sum(F.when(F.col("g") == 1, F.col("lv")).otherwise(0.0)).alias("s1"), F.sum(F.when(F.col("g") == 2, F.col("lv")).otherwise(0.0)).alias("s2"))
-    diff = sums.select("voxel", "it", (F.exp("s2") - F.exp("s1")).alias("stat"))
-    seen = diff.where("it = 0").select("voxel", "stat")
-    ex = exceedance(seen, diff.where("it > 0"))
-    p = 2 * F.least(F.col("ge"), F.col("le")) / F.col("n")
-    clip = F.greatest(1 / F.col("n"), F.least(1 - 1 / F.col("n"), p))
-    out = mask.select("voxel").join(seen, "voxel", "left").join(ex, "voxel", "left")
-    return out.select("voxel", F.coalesce("stat", F.lit(0.0)).alias("stat"), F.coalesce(clip, F.lit(1.0)).alias("p"))
-
-
-def scale(ma: DataFrame, foci_per_id: DataFrame, pool: DataFrame, kernel: DataFrame, grid: Grid, mask: DataFrame, n_iters: int = 50) -> DataFrame:
-    """(voxel, stat, p): the union statistic against foci drawn from a pool of coordinates (place, i, j, k), place from 0.
-
-    Each draw is a hash of (id, focus, iteration), so iterations are one grouped pass.
+    cuts = label_cuts(ids, group1.select("id").distinct().count(), n_iters, seed)
+    rows = by_voxels(terms.join(ids, "id").select(F.xxhash64("id").alias("h"), "g", "voxel", "term"))
+
+    def run(key, own):
+        own = own.sort_values(["voxel", "h"])
+        names, at = np.unique(own["h"].to_numpy(), return_inverse=True)
+        voxels, first = np.unique(own["voxel"].to_numpy(), return_index=True)
+        term, one = own["term"].to_numpy(), own["g"].to_numpy() == 1
+        total = np.add.reduceat(term, first)
+        seen1 = np.add.reduceat(np.where(one, term, 0.0), first)
+        seen = statistic(seen1, total - seen1)
+        ge, le = np.zeros(len(voxels), np.int64), np.zeros(len(voxels), np.int64)
+        out = []
+        for it in range(n_iters):
+            label = _draws(names, np.array([it]), seed)[:, 0].astype(np.int64) <= cuts[it]
+            s1 = np.add.reduceat(np.where(label[at], term, 0.0), first)
+            perm = statistic(s1, total - s1)
+            ge += perm >= seen
+            le += perm <= seen
+            out.append(float(np.abs(perm).max()))
+        volume = pd.DataFrame({"voxel": voxels, "stat": seen, "ge": ge, "le": le, "iteration": -1, "max_stat": 0.0})
+        maxima = pd.DataFrame({"voxel": -1, "stat": 0.0, "ge": 0, "le": 0, "iteration": np.arange(n_iters), "max_stat": out})
+        return pd.concat([volume, maxima])
+
+    both = rows.groupBy("block").applyInPandas(run, "voxel long, stat double, ge long, le long, iteration long, max_stat double")
+    return both.where("voxel >= 0").select("voxel", "stat", "ge", "le", F.lit(n_iters).alias("n")), both.where("voxel < 0").groupBy("iteration").agg(F.max("max_stat").alias("max_stat"))
+
+
+def two_sided(ge: Column, le: Column, n: Column) -> Column:
+    """Twice the smaller tail, clipped to [1/n, 1 - 1/n]."""
+    return F.greatest(1 / n, F.least(1 - 1 / n, 2 * F.least(ge, le) / n))
+
+
+def _log_terms(ma: DataFrame) -> DataFrame:
+    return ma.select("id", "voxel", F.log1p(-F.least("value", F.lit(1 - 1e-12))).alias("term"))
+
+
+def apart(group1: DataFrame, group2: DataFrame) -> None:
+    """Two groups that share an analysis are an error."""
+    if not group1.select("id").join(group2.select("id"), "id", "left_semi").isEmpty():
+        raise ValueError("the groups share analyses")
+
+
+def ale_difference(ma: DataFrame, group1: DataFrame, group2: DataFrame, mask: DataFrame, n_iters: int = 100, seed: int = 0, within: DataFrame | None = None) -> DataFrame:
+    """(voxel, stat, p, z): ALE of one group less that of the other, with p by permuted labels.
+
+    ``within`` (voxel, sign) limits each direction to voxels of that sign, as a directional mask does.
+    """
+    apart(group1, group2)
+    seen, _ = label_permutations(_log_terms(ma), group1, group2, n_iters, lambda a, b: np.exp(b) - np.exp(a), seed)
+    out = mask.select("voxel").join(seen, "voxel", "left").select("voxel", F.coalesce("stat", F.lit(0.0)).alias("stat"), F.coalesce(two_sided(F.col("ge"), F.col("le"), F.col("n")), F.lit(1.0)).alias("p"))
+    if within is not None:
+        out = out.join(within.select("voxel", "sign"), "voxel", "left")
+        hit = F.col("sign") * F.col("stat") > 0
+        out = out.select("voxel", F.when(hit, F.col("stat")).otherwise(0.0).alias("stat"), F.when(hit, F.col("p")).otherwise(1.0).alias("p"))
+    return out.withColumn("z", F.signum("stat") * special.p_to_z_udf("p"))
+
+
+def difference_maxima(ma: DataFrame, group1: DataFrame, group2: DataFrame, n_iters: int = 100, seed: int = 0) -> DataFrame:
+    """(iteration, max_stat): the largest absolute difference of the groups' ALE under permuted labels."""
+    apart(group1, group2)
+    return label_permutations(_log_terms(ma), group1, group2, n_iters, lambda a, b: np.exp(b) - np.exp(a), seed)[1]
+
+
+def chi2_maxima(active: DataFrame, group1: DataFrame, group2: DataFrame, n_iters: int = 100, seed: int = 0) -> DataFrame:
+    """(iteration, max_stat): the largest association chi-square under permuted labels."""
+    apart(group1, group2)
+    n1, n2 = (float(g.select("id").distinct().count()) for g in (group1, group2))
+
+    def chi2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        den = (a + b) * (n1 + n2 - a - b) * n1 * n2
+        return np.where(den == 0, 2.0, (n1 + n2) * (a * n2 - b * n1) ** 2 / np.where(den == 0, 1.0, den))
+
+    return label_permutations(active.select("id", "voxel", F.lit(1.0).alias("term")), group1, group2, n_iters, chi2, seed)[1]
+
+
+def scale(ma: DataFrame, foci: DataFrame, pool: DataFrame, grid: Grid, mask: DataFrame, n_iters: int = 50, fwhm: float | None = None, seed: int = 0) -> DataFrame:
+    """(voxel, stat, p, z): the union statistic against foci drawn from a pool of coordinates (i, j, k), each as often as it is listed.
+
+    The pool is a user's table of coordinates; it must fit a task.
     """
     spark = ma.sparkSession
-    size = pool.count()
-    drawn = foci_per_id.select("id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("f")).crossJoin(F.broadcast(spark.range(n_iters).select(F.col("id").alias("it"))))
-    drawn = drawn.withColumn("place", F.pmod(F.xxhash64("id", "f", "it"), F.lit(size))).join(pool, "place")
-    drawn = drawn.select(F.struct("id", "it").alias("id"), "i", "j", "k")
-    perm = kernels.ale(drawn, kernel, grid).select(F.col("id.it").alias("it"), "voxel", "value")
-    perm = perm.groupBy("it", "voxel").agg(union_probability(F.col("value")).alias("stat"))
+    if (n := pool.count()) > 20_000_000:
+        raise ValueError(f"a pool of {n} coordinates does not fit a task")
+    cells = pool.select(*[F.col(c).cast("long").alias(c) for c in "ijk"]).toArrow()
+    cells = np.stack([cells[c].to_numpy() for c in "ijk"], 1)
     seen = ale_stat(ma, mask)
-    hits = perm.withColumnRenamed("stat", "perm").join(seen, "voxel").groupBy("voxel").agg(F.sum((F.col("perm") >= F.col("stat")).cast("int")).alias("ge"))
+    sims = simulated(spark, foci, cells, grid, n_iters, "ale", fwhm=fwhm, seed=seed)
+    # the observed map has the grid's size
+    own = np.zeros(int(np.prod(grid.shape)))
+    for r in seen.where("stat > 0").toLocalIterator():
+        own[r["voxel"]] = r["stat"]
+    sent = spark.sparkContext.broadcast(own)
+
+    def exceed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ge = np.zeros(len(sent.value), np.int64)
+        for b in batches:
+            for raw in b["part"]:
+                ge += -np.expm1(np.frombuffer(raw)) >= sent.value
+        at = np.flatnonzero(ge)
+        yield pd.DataFrame({"voxel": at, "ge": ge[at]})
+
+    hits = sims.mapInPandas(exceed, "voxel long, ge long").groupBy("voxel").agg(F.sum("ge").alias("ge"))
     p = F.when(F.col("stat") <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0 / n_iters), F.least(F.lit(1 - 1.0 / n_iters), F.coalesce("ge", F.lit(0)) / n_iters)))
-    return seen.join(hits, "voxel", "left").select("voxel", "stat", p.alias("p"))
+    return seen.join(hits, "voxel", "left").select("voxel", "stat", p.alias("p")).withColumn("z", special.p_to_z_udf("p"))
 
 
-def balanced_difference(ma: DataFrame, group1: DataFrame, group2: DataFrame, mask: DataFrame, target: int, n_subsamples: int = 50) -> DataFrame:
-    """(voxel, mean1, mean2, conjunction, difference): means over subsamples of ``target`` analyses of each group, ranked by a hash of (id, subsample)."""
-    spark = ma.sparkSession
+def balanced_difference(ma: DataFrame, group1: DataFrame, group2: DataFrame, mask: DataFrame, target: int, n_subsamples: int = 50, seed: int = 0) -> DataFrame:
+    """(voxel, mean1, mean2, conjunction, difference): means over subsamples of ``target`` analyses of each group."""
+    apart(group1, group2)
     ids = group1.select("id", F.lit(1).alias("g")).unionByName(group2.select("id", F.lit(2).alias("g"))).distinct()
-    drawn = ids.crossJoin(F.broadcast(spark.range(n_subsamples).select(F.col("id").alias("it"))))
-    place = F.row_number().over(Window.partitionBy("it", "g").orderBy(F.xxhash64("id", "it"), "id"))
-    drawn = drawn.withColumn("place", place).where(F.col("place") <= target).drop("place")
-    stat = ma.join(drawn, "id").groupBy("it", "g", "voxel").agg(union_probability(F.col("value")).alias("stat"))
-    mean = lambda g: (F.sum(F.when(F.col("g") == g, F.col("stat")).otherwise(0.0)) / n_subsamples).alias(f"mean{g}")
-    out = mask.select("voxel").join(stat.groupBy("voxel").agg(mean(1), mean(2)), "voxel", "left").fillna(0.0, ["mean1", "mean2"])
+    cuts = {1: label_cuts(group1, target, n_subsamples, seed), 2: label_cuts(group2, target, n_subsamples, seed)}
+    cuts = {g: np.where(c < 0, np.iinfo(np.int64).max, c) for g, c in cuts.items()}
+    rows = by_voxels(_log_terms(ma).join(ids, "id").select(F.xxhash64("id").alias("h"), "g", "voxel", "term"))
+
+    def run(key, own):
+        own = own.sort_values(["voxel", "h"])
+        voxels, first = np.unique(own["voxel"].to_numpy(), return_index=True)
+        term, g, h = (own[c].to_numpy() for c in ("term", "g", "h"))
+        mean = {1: np.zeros(len(voxels)), 2: np.zeros(len(voxels))}
+        names, at = np.unique(h, return_inverse=True)
+        for it in range(n_subsamples):
+            x = _draws(names, np.array([it]), seed)[:, 0].astype(np.int64)[at]
+            for k in (1, 2):
+                mean[k] -= np.expm1(np.add.reduceat(np.where((g == k) & (x <= cuts[k][it]), term, 0.0), first)) / n_subsamples
+        return pd.DataFrame({"voxel": voxels, "mean1": mean[1], "mean2": mean[2]})
+
+    found = rows.groupBy("block").applyInPandas(run, "voxel long, mean1 double, mean2 double")
+    out = mask.select("voxel").join(found, "voxel", "left").fillna(0.0, ["mean1", "mean2"])
     return out.withColumn("conjunction", F.least("mean1", "mean2")).withColumn("difference", F.col("mean1") - F.col("mean2"))
+
+
+def balanced_null(spark: SparkSession, foci1: DataFrame, foci2: DataFrame, grid: Grid, n_iters: int, fwhm: float | None = None, seed: int = 0) -> DataFrame:
+    """(iteration, largest, least): extremes of the difference of two groups' ALE when all foci are random."""
+    pool = np.argwhere(grid.mask_array())
+    one, two = (simulated(spark, f, pool, grid, n_iters, "ale", fwhm=fwhm, seed=seed + n) for n, f in enumerate((foci1, foci2)))
+
+    def extremes(key, a, b):
+        value = lambda t: -np.expm1(np.frombuffer(t["part"].iloc[0])) if len(t) else 0.0
+        d = value(a) - value(b)
+        return pd.DataFrame({"iteration": [key[0]], "largest": [float(np.max(d))], "least": [float(np.min(d))]})
+
+    return one.groupBy("iteration").cogroup(two.groupBy("iteration")).applyInPandas(extremes, "iteration long, largest double, least double")

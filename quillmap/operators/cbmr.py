@@ -35,7 +35,7 @@ def sums(point: DataFrame, moderators: DataFrame, grid: Grid, columns: list[str]
     voxel and one row for each distinct combination of moderators.
     """
     mask = np.sort(np.array([r[0] for r in grid.mask(point.sparkSession).select("voxel").collect()]))
-    inside = point.where(grid.in_mask(F.col("k"))).withColumn("voxel", grid.flat(F.col("i"), F.col("j"), F.col("k")))
+    inside = point.where(grid.in_mask(F.col("i"), F.col("j"), F.col("k"))).withColumn("voxel", grid.flat(F.col("i"), F.col("j"), F.col("k")))
     counts = {r["voxel"]: r["n"] for r in inside.groupBy("voxel").agg(F.count("*").alias("n")).collect()}
     per = inside.groupBy("id").agg(F.count("*").alias("n"))
     rows = moderators.join(per, "id", "left").groupBy(*columns).agg(F.count("*").alias("m"), F.sum(F.coalesce("n", F.lit(0))).alias("n")).collect() if columns else []

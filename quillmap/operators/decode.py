@@ -78,17 +78,36 @@ def brainmap_counts(point: DataFrame, annotation: DataFrame, ids: DataFrame, thr
     return per.crossJoin(F.broadcast(totals))
 
 
+def brainmap_tests(table: DataFrame, least: int = 5) -> DataFrame:
+    """Likelihoods, signs and uncorrected ln p of the two inferences from counts.
+
+    Forward: among the foci of analyses with a term, as many selected analyses with it as a
+    binomial with the share of selected analyses to all foci would give. Reverse: the
+    two-way chi-square of selected analyses and those with the term. Terms of fewer
+    than ``least`` selected analyses have p 1.
+    """
+    a, b, foci = F.col("a"), F.col("b"), F.col("term_foci")
+    uses = table.agg(F.sum(a + b).alias("uses"), F.avg("a").alias("mean_a"))
+    t = table.crossJoin(F.broadcast(uses))
+    selected = F.col("n1") / F.col("n_foci")
+    with_term, without = F.try_divide(a, foci), F.try_divide(F.col("n1") - a, F.col("n_foci") - foci)
+    posterior = with_term * (a + b) / F.col("uses") / selected
+    rare = a < least
+    t = t.select("label", "a", "term_foci", selected.alias("share"), F.try_divide(with_term, selected).alias("likelihood_forward"), posterior.alias("posterior"), F.signum(a - F.col("mean_a")).alias("sign_forward"), F.signum(with_term - without).alias("sign_reverse"), two_way(a, b, F.col("n1"), F.col("n2")).alias("chi2_reverse"), rare.alias("rare"))
+    every = t.agg(F.sum("posterior").alias("every"))
+    t = t.crossJoin(F.broadcast(every)).withColumn("prob_reverse", F.try_divide("posterior", "every"))
+    t = t.withColumn("nlogp_forward", F.when(F.col("rare"), F.lit(0.0)).otherwise(special.binom_logsf_udf("a", "term_foci", "share")))
+    return t.withColumn("nlogp_reverse", F.when(F.col("rare"), F.lit(0.0)).otherwise(special.chi2_to_nlogp_udf("chi2_reverse"))).drop("posterior", "every")
+
+
 def decode_brainmap(point, annotation, ids, threshold: float = 0.001, correction: str | None = None) -> DataFrame:
-    """Forward: binomial tail of selected foci with a term; reverse: two-way chi-square of foci. Fewer than five expected selected foci give p 1."""
-    t = brainmap_counts(point, annotation, ids, threshold)
-    k, n, p = F.col("selected_term_foci"), F.col("term_foci"), F.col("n_selected_foci") / F.col("n_foci")
-    t = t.withColumn("_n_", F.when(n < 5, F.lit(0.0)).otherwise(special.binom_logsf_udf(k - 1, n, p)))
-    t = correct(t, correction, "_n_").withColumn("p_forward", F.exp("corrected")).withColumn("z_forward", special.nlogp_to_z_udf("corrected")).drop("_n_", "corrected")
-    chi2 = two_way(k, n - k, F.col("n_selected_foci"), F.col("n_foci") - F.col("n_selected_foci"))
-    t = t.withColumn("chi2", chi2).withColumn("sign", F.signum(F.try_divide(k, F.col("n_selected_foci")) - F.try_divide(n - k, F.col("n_foci") - F.col("n_selected_foci"))))
-    t = _log_p_and_z(t, "chi2", "sign", "reverse", correction)
-    likelihood = F.try_divide(k / n, p)
-    return t.select("label", "p_forward", "z_forward", likelihood.alias("likelihood_forward"), "p_reverse", "z_reverse", (k / F.col("n_selected_foci")).alias("prob_reverse"))
+    """label, p and signed z of both inferences, the forward likelihood ratio and the reverse probability, which sums to 1 over labels."""
+    if correction not in (None, "bh", "by", "bonferroni"):
+        raise ValueError(f"unknown correction: {correction}")
+    t = brainmap_tests(brainmap_counts(point, annotation, ids, threshold))
+    for name in ("forward", "reverse"):
+        t = correct(t, correction, f"nlogp_{name}").withColumn(f"p_{name}", F.exp("corrected")).withColumn(f"z_{name}", F.col(f"sign_{name}") * special.nlogp_to_z_udf("corrected")).drop("corrected")
+    return t.select("label", "p_forward", "z_forward", "likelihood_forward", "p_reverse", "z_reverse", "prob_reverse")
 
 
 def roi_association(ma: DataFrame, roi: DataFrame, ids: DataFrame, annotation: DataFrame) -> DataFrame:

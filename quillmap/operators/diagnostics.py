@@ -33,11 +33,11 @@ def focus_counter(point: DataFrame, clusters: DataFrame, grid: Grid) -> DataFram
 
     Such a voxel is in the 27 cells around the point, so the join is on the cell.
     """
-    near = point.withColumn("pid", F.monotonically_increasing_id()).select("id", "pid", "x", "y", "z", *[grid.to_voxel(F.col(a)).alias(c) for a, c in zip("xyz", "ijk", strict=True)])
+    near = point.withColumn("pid", F.monotonically_increasing_id()).select("id", "pid", "x", "y", "z", *[grid.to_voxel(F.col(a), a).alias(c) for a, c in zip("xyz", "ijk", strict=True)])
     for c in "ijk":
         near = near.withColumn(f"c{c}", F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
     near = near.where(grid.inside(F.col("ci"), F.col("cj"), F.col("ck"))).withColumn("voxel", grid.flat(F.col("ci"), F.col("cj"), F.col("ck")))
-    d2 = sum(((F.col(a) - grid.to_mm(F.col(f"c{c}"))) / grid.size) ** 2 for a, c in zip("xyz", "ijk", strict=True))
+    d2 = sum(((F.col(a) - grid.to_mm(F.col(f"c{c}"), a)) / abs(size)) ** 2 for a, c, size in zip("xyz", "ijk", grid.sizes, strict=True))
     hit = near.where(d2 < 1).join(clusters, "voxel").select("id", "pid", "cluster").distinct()
     return hit.groupBy("id", "cluster").agg(F.count("*").alias("n"))
 
@@ -62,10 +62,24 @@ def stability(ma: DataFrame, schedule: DataFrame, threshold: float, mask: DataFr
 
 
 def leave_one_out(ids: DataFrame) -> DataFrame:
-    """(replicate, id): every analysis but the one the replicate is named for. A small studyset's schedule; for larger ones use ``jackknife``."""
+    """(replicate, id): every analysis but the one the replicate is named for, as a schedule; ``leave_one_out_support`` needs none."""
     return ids.select(F.col("id").alias("replicate")).crossJoin(ids.select("id")).where("replicate <> id")
 
 
+def leave_one_out_support(ma: DataFrame, ids: DataFrame, threshold: float, mask: DataFrame) -> DataFrame:
+    """(voxel, support): share of analyses without which the ALE statistic still passes the threshold.
+
+    Leaving one out is a subtraction of its logarithm, and changes only voxels where it is active.
+    """
+    n = ids.select("id").distinct().agg(F.count("*").cast("double").alias("n"))
+    logs = ma.join(ids.select("id").distinct(), "id", "left_semi").select("voxel", F.log1p(-F.least("value", F.lit(1 - 1e-12))).alias("lv"))
+    total = logs.groupBy("voxel").agg(F.sum("lv").alias("total"), F.count("*").alias("active"))
+    passes = lambda t: (1 - F.exp(t) > threshold).cast("long")
+    without = logs.join(total, "voxel").groupBy("voxel").agg(F.sum(passes(F.col("total") - F.col("lv"))).alias("still"), F.first("total").alias("total"), F.first("active").alias("active"))
+    rows = mask.select("voxel").join(without, "voxel", "left").fillna(0, ["still", "active"]).fillna(0.0, ["total"]).crossJoin(F.broadcast(n))
+    return rows.select("voxel", ((F.col("still") + (F.col("n") - F.col("active")) * passes(F.col("total"))) / F.col("n")).alias("support"))
+
+
 def conjunction(a: DataFrame, b: DataFrame) -> DataFrame:
     """The smaller value where both have the same sign, else 0."""
     j = a.withColumnRenamed("value", "p").join(b.withColumnRenamed("value", "q"), "voxel")
@@ -74,8 +88,8 @@ def conjunction(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def summary(analysis: DataFrame, point: DataFrame, grid: Grid) -> DataFrame:
     """Studies, analyses, points, and points in and out of the mask."""
-    i, j, k = (grid.to_voxel(F.col(a)) for a in "xyz")
-    inside = (grid.inside(i, j, k) & grid.in_mask(k)).cast("int")
+    i, j, k = (grid.to_voxel(F.col(a), a) for a in "xyz")
+    inside = (grid.inside(i, j, k) & grid.in_mask(i, j, k)).cast("int")
     p = point.agg(F.count("*").alias("n_points"), F.sum(inside).alias("n_inside"), F.sum(1 - inside).alias("n_outside"), F.countDistinct("id").alias("n_with_points"))
     a = analysis.agg(F.countDistinct("study_id").alias("n_studies"), F.count("*").alias("n_analyses"))
     return a.crossJoin(p)
@@ -107,11 +121,44 @@ def derive_images(wide: DataFrame) -> DataFrame:
     return rows.withColumn("z", F.coalesce("z", special.t_to_z_udf(F.col("t"), n - 1), special.p_to_z_udf("p")))
 
 
-def peaks(stat: DataFrame, grid: Grid, threshold: float = 3.1) -> DataFrame:
-    """(cluster, voxel, value): the largest value of each cluster above the threshold, ties to the least voxel."""
-    from quillmap.operators.clusters import cluster_voxels
+def peaks(stat: DataFrame, grid: Grid, threshold: float = 3.1, distance: float = 8.0, most: int = 1) -> DataFrame:
+    """(cluster, rank, voxel, value): up to ``most`` peaks of each cluster above the threshold, at least ``distance`` mm apart.
 
-    own = stat.where(F.col("value") > threshold)
-    named = cluster_voxels(own, grid).join(own.select("voxel", "value"), "voxel")
-    best = named.groupBy("cluster").agg(F.max(F.struct("value", (-F.col("voxel")).alias("v"))).alias("m"))
-    return best.select("cluster", (-F.col("m.v")).alias("voxel"), F.col("m.value").alias("value"))
+    The first is the largest value of the cluster (ties to the least voxel); others are voxels
+    that no face, edge or corner neighbour exceeds, by falling value. A volume is one group.
+    """
+    from quillmap.operators.clusters import label
+
+    shape = grid.shape
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        value = np.full(shape, -np.inf)
+        value.ravel()[pdf["voxel"].to_numpy()] = pdf["value"].to_numpy()
+        marks = label(np.isfinite(value))
+        wide = np.pad(value, 1, constant_values=-np.inf)
+        top = np.ones(shape, bool)
+        for a in range(3):
+            for b in range(3):
+                for c in range(3):
+                    top &= value >= wide[a : a + shape[0], b : b + shape[1], c : c + shape[2]]
+        out = []
+        for cluster in range(1, marks.max() + 1):
+            own = np.flatnonzero((marks == cluster).ravel())
+            name = int(own.min())
+            own = own[np.lexsort((own, -value.ravel()[own]))]
+            own = np.concatenate([own[:1], own[1:][top.ravel()[own[1:]]]])
+            chosen = []
+            for v in own:
+                at = np.array(np.unravel_index(v, shape)) * np.abs(grid.sizes)
+                if all(np.linalg.norm(at - other) >= distance for other in chosen):
+                    chosen.append(at)
+                    out.append((name, len(chosen), int(v), float(value.ravel()[v])))
+                if len(chosen) == most:
+                    break
+        return pd.DataFrame(out, columns=["cluster", "rank", "voxel", "value"])
+
+    own = stat.where(F.col("value") > threshold).select(F.col("voxel").cast("long").alias("voxel"), F.col("value").cast("double").alias("value"), F.lit(0).alias("volume"))
+    return own.groupBy("volume").applyInPandas(run, "cluster long, rank int, voxel long, value double")

@@ -24,8 +24,23 @@ def valid(image: DataFrame, aggressive: bool = False, columns: tuple[str, ...] =
     return rows.join(full, "voxel", "left_semi")
 
 
-def stouffers(image: DataFrame, weight: Column | None = None) -> DataFrame:
+def finish(rows: DataFrame, dof: Column | None = None) -> DataFrame:
+    """Add p, logp (-log10), and dof to rows with z; with ``dof``, z is a t first and becomes the z of the same p."""
+    if dof is None:
+        rows = rows.withColumn("_n_", special.z_to_nlogp_udf("z")).withColumn("dof", F.lit(None).cast("double"))
+    else:
+        rows = rows.withColumn("dof", dof.cast("double")).withColumn("_n_", F.when(F.col("dof") > 0, special.t_to_nlogp_udf("z", "dof")))
+        rows = rows.withColumn("z", F.when(F.col("dof") > 0, F.signum("z") * special.nlogp_to_z_udf("_n_")))
+    return rows.withColumns({"p": F.exp("_n_"), "logp": -F.col("_n_") / float(np.log(10))}).drop("_n_")
+
+
+def stouffers(image: DataFrame, weight: Column | None = None, correlation: float | None = None) -> DataFrame:
+    """z of each voxel; with ``correlation`` between images of one study, the variance of the sum grows by their products of weights."""
     w = F.lit(1.0) if weight is None else weight
+    if correlation is not None:
+        per = image.groupBy("voxel", "study_id").agg(F.sum(w * F.col("value")).alias("wz"), F.sum(w).alias("w"), F.sum(w * w).alias("ww"), F.count("*").alias("n"))
+        spread = F.col("ww") + correlation * (F.col("w") * F.col("w") - F.col("ww"))
+        return per.groupBy("voxel").agg((F.sum("wz") / F.sqrt(F.sum(spread))).alias("z"), F.sum("n").alias("k"))
     return image.groupBy("voxel").agg((F.sum(w * F.col("value")) / F.sqrt(F.sum(w * w))).alias("z"), F.count("*").alias("k"))
 
 
@@ -57,8 +72,8 @@ def between_study(image: DataFrame, method: str = "dl") -> DataFrame:
     return s.select("voxel", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(q - (F.col("k") - 1), c), F.lit(0.0))).alias("tau2"))
 
 
-def random_effects(image: DataFrame, method: str = "dl", knapp_hartung: bool = False) -> DataFrame:
-    """est, se, z and tau2 of each voxel. tau2 goes back to the rows by a join on voxel, which reuses the grouping's partitioning."""
+def random_effects(image: DataFrame, method: str = "dl", knapp_hartung: bool = True) -> DataFrame:
+    """est, se, z, p, logp, dof and tau2 of each voxel, by default with Knapp and Hartung's variance and a t of k - 1 degrees. tau2 goes back to the rows by a join on voxel, which reuses the grouping's partitioning."""
     tau = between_study(image, method)
     rows = image.join(tau, "voxel")
     w = 1 / (F.col("varcope") + F.col("tau2"))
@@ -68,7 +83,7 @@ def random_effects(image: DataFrame, method: str = "dl", knapp_hartung: bool = F
     if knapp_hartung:
         se = se * F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w"), F.col("k") - 1)))
     out = s.select("voxel", "tau2", "k", est.alias("est"), se.alias("se"))
-    return out.withColumn("z", F.try_divide(F.col("est"), F.col("se")))
+    return finish(out.withColumn("z", F.try_divide(F.col("est"), F.col("se"))), F.col("k") - 1 if knapp_hartung else None)
 
 
 def one_sample_t(image: DataFrame) -> DataFrame:
@@ -80,15 +95,29 @@ def one_sample_t(image: DataFrame) -> DataFrame:
 
 
 def sign_flips(image: DataFrame, n_iters: int = 100) -> DataFrame:
-    """(iteration, max_t): the largest |t| over voxels when whole groups change sign, signs by a hash of (group, iteration)."""
-    groups = image.groupBy("voxel", "study_id").agg(F.avg("value").alias("m"))
-    sums = groups.groupBy("voxel").agg(F.sum(F.col("m") * F.col("m")).alias("ss"), F.count("*").alias("n"))
-    signs = groups.select("study_id").distinct().crossJoin(image.sparkSession.range(n_iters).select(F.col("id").alias("iteration")))
-    signs = signs.withColumn("s", F.when(F.xxhash64("study_id", "iteration").bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-    flipped = groups.join(signs, "study_id").groupBy("voxel", "iteration").agg(F.sum(F.col("s") * F.col("m")).alias("total"))
-    n, total = F.col("n"), F.col("total")
-    t = F.try_divide(total / n, F.sqrt((F.col("ss") - total * total / n) / (n - 1) / n))
-    return flipped.join(sums, "voxel").groupBy("iteration").agg(F.max(F.abs(t)).alias("max_stat"))
+    """(iteration, max_stat): the largest |t| over voxels when whole groups change sign, signs by a hash of (group, iteration).
+
+    Blocks of voxels are the tasks; signs are computed there, so flipped images are never rows.
+    """
+    from quillmap.operators.cbma import _draws, by_voxels
+
+    groups = by_voxels(image.groupBy("voxel", "study_id").agg(F.avg("value").alias("m")).select("voxel", F.xxhash64("study_id").alias("h"), "m"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["voxel", "h"])
+        names, at = np.unique(pdf["h"].to_numpy(), return_inverse=True)
+        _, first, n = np.unique(pdf["voxel"].to_numpy(), return_index=True, return_counts=True)
+        m = pdf["m"].to_numpy()
+        squares, out = np.add.reduceat(m * m, first), []
+        for it in range(n_iters):
+            sign = np.where(_draws(names, np.array([it]), 0)[:, 0] & np.uint64(1), 1.0, -1.0)
+            total = np.add.reduceat(sign[at] * m, first)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = np.abs(total / n / np.sqrt((squares - total * total / n) / (n - 1) / n))
+            out.append(float(np.nan_to_num(t[n > 1], posinf=0.0).max(initial=0.0)))
+        return pd.DataFrame({"iteration": np.arange(n_iters), "max_stat": out})
+
+    return groups.groupBy("block").applyInPandas(run, "iteration long, max_stat double").groupBy("iteration").agg(F.max("max_stat").alias("max_stat"))
 
 
 def fixed_effects_hedges(image: DataFrame) -> DataFrame:
@@ -144,8 +173,38 @@ def likelihood(image: DataFrame, method: str = "ML", by_size: bool = False) -> D
     return image.groupBy("voxel").applyInPandas(run, "voxel long, est double, se double, z double, tau2 double, sigma2 double")
 
 
+#: Values of a block of images that a task holds.
+BLOCK_VALUES = 2_000_000
+
+
 def image_correlations(image: DataFrame) -> DataFrame:
-    """Pearson's r of every pair of images over shared voxels. Images are a study's few; the join is on voxel."""
-    a = image.select(F.col("id").alias("a"), "voxel", F.col("value").alias("x"))
-    b = image.select(F.col("id").alias("b"), "voxel", F.col("value").alias("y"))
-    return a.join(b, "voxel").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    """Pearson's r of every pair of images (a < b) over shared voxels, by products of blocks of images.
+
+    Each pair of blocks is a task, which forms sums over shared voxels as matrix products.
+    """
+    sizes = image.agg(F.count("*").alias("n"), F.count_distinct("voxel").alias("voxels"), F.count_distinct("id").alias("ids")).first()
+    blocks = max(1, -(-sizes["ids"] * sizes["voxels"] // BLOCK_VALUES))
+    rows = image.select("id", F.col("voxel").cast("long").alias("voxel"), "value", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("id", "voxel", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), True).otherwise(False).alias("first"), (F.col("own") == F.col("other")).alias("same"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        voxels, v = np.unique(pdf["voxel"].to_numpy(), return_inverse=True)
+
+        def matrix(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids, at = np.unique(pdf["id"].to_numpy()[part], return_inverse=True)
+            x, on = np.zeros((len(ids), len(voxels))), np.zeros((len(ids), len(voxels)))
+            x[at, v[part]], on[at, v[part]] = pdf["value"].to_numpy()[part], 1.0
+            return ids, x, on
+
+        same = pdf["same"].to_numpy()
+        ids_a, x, on_x = matrix(pdf["first"].to_numpy())
+        ids_b, y, on_y = (ids_a, x, on_x) if same.any() else matrix(~pdf["first"].to_numpy())
+        n, sx, sy = on_x @ on_y.T, x @ on_y.T, on_x @ y.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (n * (x @ y.T) - sx * sy) / np.sqrt((n * (x * x @ on_y.T) - sx * sx) * (n * (on_x @ (y * y).T) - sy * sy))
+        i, j = np.nonzero((n > 1) & (ids_a[:, None] < ids_b[None, :] if same.any() else np.ones(n.shape, bool)))
+        a, b = ids_a[i], ids_b[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "r": r[i, j]})
+
+    return rows.groupBy("p", "q").applyInPandas(run, "a long, b long, r double")

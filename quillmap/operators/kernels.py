@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,16 @@ SUBJECT_MM, TEMPLATE_MM = 11.6, 5.7
 TO_FWHM = math.sqrt(8 * math.log(2))
 
 
-def sphere(r: float, size: float) -> list[tuple[int, int, int]]:
+def axes(size: float | tuple[float, float, float]) -> tuple[float, float, float]:
+    """Positive voxel sizes of the three axes."""
+    return tuple(map(abs, size)) if isinstance(size, tuple) else (size,) * 3
+
+
+def sphere(r: float, size: float | tuple[float, float, float]) -> list[tuple[int, int, int]]:
     """Offsets at most r mm from the centre."""
-    n = int(r // size)
-    steps = range(-n, n + 1)
-    return [(a, b, c) for a in steps for b in steps for c in steps if math.sqrt(a * a + b * b + c * c) * size <= r]
+    x, y, z = axes(size)
+    reach = lambda s: range(-int(r // s), int(r // s) + 1)
+    return [(a, b, c) for a in reach(x) for b in reach(y) for c in reach(z) if math.sqrt((a * x) ** 2 + (b * y) ** 2 + (c * z) ** 2) <= r]
 
 
 def ale_fwhm(sample_size: float) -> float:
@@ -27,17 +34,18 @@ def ale_fwhm(sample_size: float) -> float:
     return math.hypot(SUBJECT_MM / unit * TO_FWHM / math.sqrt(sample_size), TEMPLATE_MM / unit * TO_FWHM)
 
 
-def ale_kernel(fwhm: float, size: float, reach: int = 15) -> np.ndarray:
-    """The Gaussian of this width (mm) on a grid, cut to what is not negligible, as a (2n+1)**3 array.
+def ale_kernel(fwhm: float, size: float | tuple[float, float, float], reach: int = 15) -> np.ndarray:
+    """The Gaussian of this width (mm) on a grid, cut to what is not negligible, as an array of odd lengths.
 
     A truncated, normalised 1-D Gaussian (four standard deviations) on each axis.
     """
-    sigma = fwhm / size * math.sqrt(2) / (2 * math.sqrt(2 * math.log(2)))
-    n = min(reach, int(4 * sigma + 0.5))
-    x = np.arange(-n, n + 1)
-    g = np.exp(-0.5 * (x / sigma) ** 2)
-    g /= g.sum()
-    return g[:, None, None] * g[None, :, None] * g[None, None, :]
+    lines = []
+    for s in axes(size):
+        sigma = fwhm / s * math.sqrt(2) / (2 * math.sqrt(2 * math.log(2)))
+        n = min(reach, int(4 * sigma + 0.5))
+        g = np.exp(-0.5 * (np.arange(-n, n + 1) / sigma) ** 2)
+        lines.append(g / g.sum())
+    return lines[0][:, None, None] * lines[1][None, :, None] * lines[2][None, None, :]
 
 
 def ale_kernels(spark: SparkSession, sizes: list[float], voxel: float) -> DataFrame:
@@ -45,8 +53,8 @@ def ale_kernels(spark: SparkSession, sizes: list[float], voxel: float) -> DataFr
     rows = []
     for s in sizes:
         k = ale_kernel(ale_fwhm(s), voxel)
-        n = k.shape[0] // 2
-        rows += [(float(s), int(a) - n, int(b) - n, int(c) - n, float(k[a, b, c])) for a, b, c in zip(*np.nonzero(k > 0), strict=True)]
+        x, y, z = (n // 2 for n in k.shape)
+        rows += [(float(s), int(a) - x, int(b) - y, int(c) - z, float(k[a, b, c])) for a, b, c in zip(*np.nonzero(k > 0), strict=True)]
     return spark.createDataFrame(rows, "sample_size double, di int, dj int, dk int, v double")
 
 
@@ -55,8 +63,11 @@ def offsets(spark: SparkSession, r: float, size: float) -> DataFrame:
 
 
 def expand(point: DataFrame, kernel: DataFrame, grid: Grid, on: list[str] | None = None) -> DataFrame:
-    """Each point at each of the kernel's offsets, as far as inside volume and mask. The kernel is a small table of fixed size and is broadcast."""
-    p = point.select("id", "i", "j", "k", *(on or []))
+    """Each point at each of the kernel's offsets, as far as inside volume and mask. The kernel is a small table of fixed size and is broadcast.
+
+    Points are dealt by id before they are multiplied, so what is grouped by (id, voxel) afterwards is in its place already.
+    """
+    p = point.select("id", "i", "j", "k", *(on or [])).repartition("id")
     if on:
         moved = p.join(F.broadcast(kernel), on)
     else:
@@ -64,7 +75,7 @@ def expand(point: DataFrame, kernel: DataFrame, grid: Grid, on: list[str] | None
         cells = [tuple(r) for r in kernel.select("di", "dj", "dk").collect()]
         moved = p.select("*", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, ("di", "dj", "dk"), strict=True)]) for c in cells])).alias("o")).select("id", "i", "j", "k", "o.*")
     moved = moved.withColumns({"i": F.col("i") + F.col("di"), "j": F.col("j") + F.col("dj"), "k": F.col("k") + F.col("dk")})
-    moved = moved.where(grid.inside(F.col("i"), F.col("j"), F.col("k")) & grid.in_mask(F.col("k")))
+    moved = moved.where(grid.inside(F.col("i"), F.col("j"), F.col("k")) & grid.in_mask(F.col("i"), F.col("j"), F.col("k")))
     return moved.withColumn("voxel", grid.flat(F.col("i"), F.col("j"), F.col("k")))
 
 
@@ -92,3 +103,96 @@ def ale(point: DataFrame, kernel: DataFrame, grid: Grid, on: list[str] | None =
     else:
         moved = expand(cells.withColumn("_k_", F.lit(1)), kernel.withColumn("_k_", F.lit(1)), grid, ["_k_"])
     return moved.groupBy("id", "voxel").agg(F.max("v").alias("value"))
+
+
+class Gaussians:
+    """Stamps Gaussian kernels of an analysis' points into one volume, the largest value at each voxel."""
+
+    def __init__(self, grid: Grid, fwhm: float | None) -> None:
+        self.grid, self.fwhm, self.kernels = grid, fwhm, {}
+        self.best = np.zeros(grid.shape)
+
+    def kernel(self, sample_size: float) -> np.ndarray:
+        key = self.fwhm or sample_size
+        if key not in self.kernels:
+            self.kernels[key] = ale_kernel(self.fwhm or ale_fwhm(sample_size), self.grid.size)
+        return self.kernels[key]
+
+    def stamp(self, cells: np.ndarray, sample_size: float) -> tuple[slice, slice, slice] | None:
+        """Fill ``best`` in the box that is returned; ``clear`` empties it again."""
+        k = self.kernel(sample_size)
+        n = np.array(k.shape) // 2
+        # a point outside the volume still reaches into it
+        cells = cells[((cells + n >= 0) & (cells - n < self.grid.shape)).all(1)]
+        if not len(cells):
+            return None
+        lo, hi = np.maximum(cells - n, 0), np.minimum(cells + n + 1, self.grid.shape)
+        for (a, b, c), (x, y, z), (i, j, l) in zip(lo.tolist(), hi.tolist(), (cells - n).tolist(), strict=True):
+            part = self.best[a:x, b:y, c:z]
+            np.maximum(part, k[a - i : x - i, b - j : y - j, c - l : z - l], out=part)
+        return tuple(slice(a, x) for a, x in zip(lo.min(0), hi.max(0), strict=True))
+
+    def clear(self, box: tuple[slice, slice, slice]) -> None:
+        self.best[box] = 0
+
+
+def analyses_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(id, its columns as a table) over batches sorted by id; an analysis may run over several batches."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if not t.num_rows:
+            continue
+        ids = t["id"].to_pylist()
+        starts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]
+        for x, y in zip(starts[:-1], starts[1:], strict=True):
+            yield ids[x], t.slice(x, y - x)
+        rest = t.slice(starts[-1])
+    if rest is not None:
+        yield rest["id"][0].as_py(), rest
+
+
+def gaussian_rows(point: DataFrame, fwhm: float | None) -> DataFrame:
+    """Distinct cells of each analysis with its sample size, dealt and sorted by id."""
+    size = F.lit(0.0) if fwhm else F.col("sample_size").cast("double")
+    return point.select("id", *[F.col(c).cast("long").alias(c) for c in "ijk"], size.alias("sample_size")).repartition("id").distinct().sortWithinPartitions("id")
+
+
+def cells_of(t: pa.Table) -> np.ndarray:
+    return np.stack([t[c].to_numpy() for c in "ijk"], 1)
+
+
+def ale_gaussian(point: DataFrame, grid: Grid, fwhm: float | None = None) -> DataFrame:
+    """(id, voxel, value) with the published kernel, by ``sample_size`` of the points or of one ``fwhm``.
+
+    An analysis' points are stamped into one volume inside a task, so offsets are never rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, mask = Gaussians(grid, fwhm), grid.mask_array()
+        flat = np.arange(mask.size).reshape(grid.shape)
+        for name, t in analyses_of(batches):
+            if (box := work.stamp(cells_of(t), t["sample_size"][0].as_py())) is None:
+                continue
+            on = mask[box] & (work.best[box] > 0)
+            voxel, value = flat[box][on], work.best[box][on]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(voxel), t.schema.field("id").type), pa.array(voxel), pa.array(value)], ["id", "voxel", "value"])
+            work.clear(box)
+
+    rows = gaussian_rows(point, fwhm)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, voxel long, value double")
+
+
+def ale_log_sums(point: DataFrame, grid: Grid, fwhm: float | None = None) -> DataFrame:
+    """(voxel, log_none): the sum over analyses of ln(1 - value); a task gives one number for each voxel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, total = Gaussians(grid, fwhm), np.zeros(grid.shape)
+        for _, t in analyses_of(batches):
+            if (box := work.stamp(cells_of(t), t["sample_size"][0].as_py())) is not None:
+                total[box] += np.log1p(-np.minimum(work.best[box], 1 - 1e-16))
+                work.clear(box)
+        at = np.flatnonzero(np.where(grid.mask_array(), total, 0.0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["voxel", "log_none"])
+
+    return gaussian_rows(point, fwhm).mapInArrow(run, "voxel long, log_none double").groupBy("voxel").agg(F.sum("log_none").alias("log_none"))

@@ -86,9 +86,7 @@ def top_k(rows: DataFrame, group: str, value: str, tie: str, k: int = 3) -> Data
 
 def standardize(rows: DataFrame, group: str, value: str) -> DataFrame:
     """z-scores by the population standard deviation of each group."""
-    w = Window.partitionBy(group)
     stats = rows.groupBy(group).agg(F.avg(value).alias("_m_"), F.stddev_pop(value).alias("_s_"))
-    del w
     return rows.join(stats, group).withColumn("z", F.try_divide(F.col(value) - F.col("_m_"), F.col("_s_"))).drop("_m_", "_s_")
 
 

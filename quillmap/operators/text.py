@@ -19,10 +19,27 @@ def tokens(text: DataFrame, column: str = "text", stop: list[str] | None = None)
     return rows.select("id", F.concat("w", pairs).alias("terms"))
 
 
+#: Most terms of a vocabulary that are sent to all tasks.
+MOST_TERMS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has at most MOST_TERMS rows."""
+    return F.broadcast(df) if df.count() <= MOST_TERMS else df
+
+
 def term_counts(text: DataFrame, column: str = "text", stop: list[str] | None = None, min_df: int = 50, max_df: float = 0.5) -> DataFrame:
-    """(id, label, n) for terms in at least ``min_df`` texts and at most a share ``max_df`` of them."""
-    counts = tokens(text, column, stop).select("id", F.explode("terms").alias("label")).groupBy("id", "label").agg(F.count("*").alias("n"))
+    """(id, label, n, df, n_docs) for terms in at least ``min_df`` texts and at most a share ``max_df`` of them.
+
+    Terms that are rare, most of them, are found by their hashes first, so they are
+    neither shuffled as strings nor counted for each text.
+    """
+    terms = tokens(text, column, stop)
     total = text.agg(F.count("*").alias("n_docs"))
+    hashed = terms.select(F.explode(F.array_distinct(F.transform("terms", lambda t: F.xxhash64(t)))).alias("h"))
+    often = small(hashed.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= min_df).select("h"))
+    kept = terms.select("id", F.explode("terms").alias("label")).withColumn("h", F.xxhash64("label")).join(often, "h", "left_semi")
+    counts = kept.groupBy("id", "label").agg(F.count("*").alias("n"))
     df = counts.groupBy("label").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_docs")))
     return counts.join(df, "label")
 
@@ -84,19 +101,31 @@ def max_weights(relations: DataFrame, weights: dict[str, float]) -> DataFrame:
     return relations.withColumn("weight", table[F.col("rel_type")]).where("weight is not null").groupBy("input", "output").agg(F.max("weight").alias("weight"))
 
 
-def closure(weights: DataFrame, most: int = 50) -> DataFrame:
-    """(input, output, weight): products of weights along paths, the largest kept, at most 1, until nothing changes."""
-    now = weights.select("input", "output", F.least("weight", F.lit(1.0)).alias("weight"))
-    size = now.agg(F.count("*"), F.sum("weight")).first()
-    for _ in range(most):
-        step = now.alias("a").join(weights.alias("b"), F.col("a.output") == F.col("b.input")).select("a.input", "b.output", (F.col("a.weight") * F.col("b.weight")).alias("weight"))
-        now = now.unionByName(step).groupBy("input", "output").agg(F.least(F.max("weight"), F.lit(1.0)).alias("weight")).persist()
-        before, size = size, now.agg(F.count("*"), F.sum("weight")).first()
-        if tuple(before) == tuple(size):
-            break
+def closure(weights: DataFrame, write=None) -> DataFrame:
+    """(input, output, weight): products of weights along paths, the largest kept, at most 1, until nothing changes.
+
+    Paths double in each round, so rounds grow with the logarithm of the longest path;
+    they end, as no weight above 1 counts. ``write`` cuts the lineage of a round
+    (by default a reliable checkpoint where a folder is set).
+    """
+    keep = write or checkpointed
+    now = keep(weights.groupBy("input", "output").agg(F.least(F.max("weight"), F.lit(1.0)).alias("weight")))
+    size = None
+    while size != (size := tuple(now.agg(F.count("*"), F.sum("weight"), F.sum(F.xxhash64("input", "output", "weight").cast("decimal(38,0)"))).first())):
+        step = now.alias("a").join(now.alias("b"), F.col("a.output") == F.col("b.input")).select("a.input", "b.output", (F.col("a.weight") * F.col("b.weight")).alias("weight"))
+        now = keep(now.unionByName(step).groupBy("input", "output").agg(F.least(F.max("weight"), F.lit(1.0)).alias("weight")))
     return now
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint if the session has a folder for it, else the plan as it is."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
 def expand_counts(counts: DataFrame, weights: DataFrame) -> DataFrame:
     """(id, label, value): counts carried along the relations."""
     return counts.join(weights, counts["label"] == weights["input"]).groupBy("id", F.col("output").alias("label")).agg(F.sum(F.col("n") * F.col("weight")).alias("value"))

@@ -61,9 +61,19 @@ def decode_brainmap_counts(spark, d):
     return decode.brainmap_counts(proxy.points(spark, d), proxy.annotations(spark, d), proxy.selected(spark, d))
 
 
-@query()
+BRAINMAP = """, n AS (SELECT id, count(*) AS foci FROM point GROUP BY id), f AS (SELECT n.*, CASE WHEN ids.id IS NULL THEN 0 ELSE 1 END AS s FROM n LEFT JOIN ids ON n.id = ids.id),
+u AS (SELECT sum(foci)::DOUBLE AS n_foci, sum(s)::DOUBLE AS n1, sum(1 - s)::DOUBLE AS n2 FROM f),
+t AS (SELECT label, sum(foci)::DOUBLE AS foci, sum(s)::DOUBLE AS a, sum(1 - s)::DOUBLE AS b FROM annotation JOIN f USING (id) WHERE value >= 0.001 GROUP BY label),
+c AS (SELECT *, n1 / n_foci AS share, a / foci AS pt, (n1 - a) / nullif(n_foci - foci, 0) AS pn, sum(a + b) OVER () AS uses, avg(a) OVER () AS mean_a, (n1 + n2) * (a * n2 - b * n1) * (a * n2 - b * n1) / nullif((a + b) * (n1 + n2 - a - b) * n1 * n2, 0) AS x2 FROM t, u),
+q AS (SELECT *, pt * (a + b) / uses / share AS post FROM c)
+SELECT label, round(CASE WHEN a < 5 THEN 1.0 ELSE (SELECT coalesce(sum(exp(lgamma(foci + 1) - lgamma(k.range + 1) - lgamma(foci - k.range + 1) + k.range * ln(share) + (foci - k.range) * ln(1 - share))), 0) FROM range(0, 100000) k WHERE k.range > a AND k.range <= foci) END, 5) AS p_forward, sign(a - mean_a)::DOUBLE AS sign_forward,
+  round(pt / share, 6) AS likelihood_forward, round(CASE WHEN a < 5 THEN 0.0 ELSE sqrt(coalesce(x2, 2.0)) * sign(pt - pn) END, 5) AS z_reverse, round(post / sum(post) OVER (), 6) AS prob_reverse FROM q"""
+
+
+@query(BRAINMAP, P, N, S)
 def decode_brainmap(spark, d):
-    return decode.decode_brainmap(proxy.points(spark, d), proxy.annotations(spark, d), proxy.selected(spark, d), correction="bh")
+    out = decode.decode_brainmap(proxy.points(spark, d), proxy.annotations(spark, d), proxy.selected(spark, d))
+    return out.select("label", R("p_forward", 5).alias("p_forward"), F.signum("z_forward").alias("sign_forward"), R("likelihood_forward").alias("likelihood_forward"), R("z_reverse", 5).alias("z_reverse"), R("prob_reverse").alias("prob_reverse"))
 
 
 @query(f""", {SPHERE_SQL}, {MKDA_SQL}, roi AS (SELECT voxel FROM mask_voxel WHERE i < 3), x AS (SELECT u.id, coalesce(s, 0)::DOUBLE / (SELECT count(*) FROM roi) AS x FROM (SELECT DISTINCT id FROM point) u LEFT JOIN (SELECT id, count(*) AS s FROM ma WHERE voxel IN (SELECT voxel FROM roi) GROUP BY id) m ON u.id = m.id),
@@ -194,12 +204,12 @@ def merge_prefer_left(spark, d):
     return structure.merge(left, a.where("id % 5 > 1").select("id", F.col("status").alias("v")))
 
 
-@query(""", full_ AS (SELECT study_id || '-' || (id % 4000) AS full_id, study_id::VARCHAR AS study, (id % 4000)::VARCHAR AS short FROM analysis WHERE id < 20000),
-note AS (SELECT CASE WHEN id % 3 = 0 THEN study_id::VARCHAR ELSE 'x' END AS study, CASE WHEN id % 3 = 1 THEN study_id || '-' || (id % 4000) ELSE (id % 4000)::VARCHAR END AS analysis, id FROM analysis WHERE id < 20000),
+@query(""", full_ AS (SELECT study_id || '-' || (id % 4000) AS full_id, study_id::VARCHAR AS study, (id % 4000)::VARCHAR AS short FROM analysis),
+note AS (SELECT CASE WHEN id % 3 = 0 THEN study_id::VARCHAR ELSE 'x' END AS study, CASE WHEN id % 3 = 1 THEN study_id || '-' || (id % 4000) ELSE (id % 4000)::VARCHAR END AS analysis, id FROM analysis),
 alone AS (SELECT short, min(full_id) AS full_id FROM full_ GROUP BY short HAVING count(*) = 1)
 SELECT n.id, coalesce(f1.full_id, f2.full_id, a.full_id) AS resolved FROM note n LEFT JOIN full_ f1 ON n.study = f1.study AND n.analysis = f1.short LEFT JOIN full_ f2 ON n.analysis = f2.full_id LEFT JOIN alone a ON n.analysis = a.short""", A)
 def note_resolution_fallback(spark, d):
-    a = proxy.analyses(spark, d).where("id < 20000")
+    a = proxy.analyses(spark, d)
     short = (F.col("id") % 4000).cast("string")
     notes = a.select(F.when(F.col("id") % 3 == 0, F.col("study_id").cast("string")).otherwise("x").alias("study"), F.when(F.col("id") % 3 == 1, F.concat_ws("-", "study_id", short)).otherwise(short).alias("analysis"), "id")
     return structure.resolve_notes(notes, a.select("study_id", short.alias("id"))).select("id", "resolved")
@@ -278,9 +288,9 @@ def histogram_tail(spark, d):
 
 
 # ---- kernels and coordinate-based statistics
-@query(f", {SPHERE_SQL} SELECT id, (i + di) * 100 + (j + dj) * 10 + k + dk AS voxel, count(*)::DOUBLE AS value FROM point, sphere WHERE id < 3000 AND i + di BETWEEN 0 AND 9 AND j + dj BETWEEN 0 AND 9 AND k + dk BETWEEN 1 AND 7 GROUP BY ALL", P)
+@query(f", {SPHERE_SQL} SELECT id, (i + di) * 100 + (j + dj) * 10 + k + dk AS voxel, count(*)::DOUBLE AS value FROM point, sphere WHERE i + di BETWEEN 0 AND 9 AND j + dj BETWEEN 0 AND 9 AND k + dk BETWEEN 1 AND 7 GROUP BY ALL", P)
 def kda_ma(spark, d):
-    return kernels.kda(proxy.points(spark, d).where("id < 3000"), proxy.GRID, RADIUS)
+    return kernels.kda(proxy.points(spark, d), proxy.GRID, RADIUS)
 
 
 @query(f", {SPHERE_SQL}, {MKDA_SQL} SELECT id, voxel, 1.0::DOUBLE AS value FROM ma", P)
@@ -302,16 +312,17 @@ def _ale(spark, d):
     return kernels.ale(proxy.points(spark, d), kernel, proxy.GRID)
 
 
-@query(f", {ALE_SQL}, low AS (SELECT * FROM ale WHERE id % 50 = 0) SELECT m.voxel, round(coalesce(1 - exp(sum(ln(1 - value))), 0.0), 6) AS stat FROM mask_voxel m LEFT JOIN low ON low.voxel = m.voxel GROUP BY m.voxel", P, M)
+@query(f", {ALE_SQL} SELECT m.voxel, round(coalesce(sum(ln(1 - value)), 0), 5) AS log_none, round(coalesce(1 - exp(sum(ln(1 - value))), 0.0), 6) AS stat FROM mask_voxel m LEFT JOIN ale ON ale.voxel = m.voxel GROUP BY m.voxel", P, M)
 def ale_stat(spark, d):
-    """A selection of analyses (a fiftieth) keeps the union below 1; the statistic itself runs over any selection."""
-    return cbma.ale_stat(_ale(spark, d).where("id % 50 = 0"), proxy.GRID.mask(spark)).select("voxel", R("stat").alias("stat"))
+    """Over all analyses the union is 1 at most voxels; the sum of logarithms still tells them apart."""
+    logs = cbma.ale_logs(_ale(spark, d), proxy.GRID.mask(spark))
+    return logs.select("voxel", R("log_none", 5).alias("log_none"), R(1 - F.exp("log_none")).alias("stat"))
 
 
-@query(f", {SPHERE_SQL}, {MKDA_SQL}, r AS (SELECT id, sqrt(sample_size::DOUBLE) AS raw FROM analysis), w AS (SELECT id, raw / (SELECT sum(raw) FROM r) AS weight FROM r) SELECT m.voxel, round(coalesce(sum(weight), 0), 6) AS stat FROM mask_voxel m LEFT JOIN (ma JOIN w USING (id)) ON ma.voxel = m.voxel GROUP BY m.voxel", A, P, M)
+@query(f", {SPHERE_SQL}, {MKDA_SQL}, r AS (SELECT id, sqrt(sample_size::DOUBLE) AS raw FROM analysis WHERE id IN (SELECT id FROM point)), w AS (SELECT id, (SELECT count(*) FROM r) * raw / (SELECT sum(raw) FROM r) AS weight FROM r) SELECT m.voxel, round(coalesce(sum(weight), 0), 6) AS stat FROM mask_voxel m LEFT JOIN (ma JOIN w USING (id)) ON ma.voxel = m.voxel GROUP BY m.voxel", A, P, M)
 def mkda_density_weighted(spark, d):
     ma = kernels.mkda(proxy.points(spark, d), proxy.GRID, RADIUS)
-    return cbma.mkda_density(ma, cbma.mkda_weights(proxy.analyses(spark, d)), proxy.GRID.mask(spark)).select("voxel", R("stat").alias("stat"))
+    return cbma.mkda_density(ma, cbma.mkda_weights(proxy.analyses(spark, d), proxy.points(spark, d)), proxy.GRID.mask(spark)).select("voxel", R("stat").alias("stat"))
 
 
 @query(f""", {SPHERE_SQL}, {MKDA_SQL}, u AS (SELECT DISTINCT id FROM point), f AS (SELECT u.id, CASE WHEN ids.id IS NULL THEN 0 ELSE 1 END AS s FROM u LEFT JOIN ids ON u.id = ids.id), n AS (SELECT sum(s)::DOUBLE AS n1, sum(1 - s)::DOUBLE AS n2 FROM f),
@@ -324,52 +335,90 @@ def mkda_chi2_maps(spark, d):
     return out.select("voxel", "a", "b", *[R(c).alias(c) for c in ("p_a", "p_agf", "p_agu", "p_fga", "p_agf_prior", "p_fga_prior")], *[R(c, 5).alias(c) for c in ("chi2_uniformity", "chi2_association", "z_uniformity", "z_association")])
 
 
+def _sized(spark, d):
+    return structure.with_sample_size(proxy.points(spark, d), proxy.analyses(spark, d))
+
+
+def _groups(spark, d):
+    ids = proxy.analyses(spark, d)
+    return ids.where("status = 'O'").select("id"), ids.where("status <> 'O'").select("id")
+
+
 @query()
 def ale_gaussian(spark, d):
-    """Kernels by sample size, joined to points by it."""
-    p = structure.with_sample_size(proxy.points(spark, d).where("id % 20 = 0"), proxy.analyses(spark, d))
-    sizes = [float(10 + s) for s in range(40)]
-    return cbma.ale_stat(kernels.ale(p, kernels.ale_kernels(spark, sizes, proxy.GRID.size), proxy.GRID, ["sample_size"]), proxy.GRID.mask(spark))
+    """Kernels by sample size; all analyses."""
+    logs = kernels.ale_log_sums(_sized(spark, d), proxy.GRID)
+    out = proxy.GRID.mask(spark).select("voxel").join(logs, "voxel", "left").fillna(0.0, ["log_none"])
+    return out.select("voxel", "log_none", (-F.expm1("log_none")).alias("stat"))
 
 
 @query()
 def ale_null_p(spark, d):
     """Approximate null by histogram folding, then p and z of each voxel."""
-    step = 1e-3
-    ma = _ale(spark, d).where("id % 200 = 0")
-    mask = proxy.GRID.mask(spark)
-    dist = cbma.fold_histograms(cbma.ale_histograms(ma, 700, step), step)
+    step = 1e-5
+    ma, mask = kernels.ale_gaussian(_sized(spark, d), proxy.GRID), proxy.GRID.mask(spark)
+    dist = cbma.fold_histograms(cbma.ale_histograms(ma, mask.count(), step), step)
     return cbma.with_z(cbma.stat_to_p(cbma.ale_stat(ma, mask), cbma.null_table(spark, dist), step))
 
 
+@query()
+def mkda_null_p(spark, d):
+    """Null of the number of active analyses, then p and z."""
+    ma, mask = kernels.mkda(proxy.points(spark, d), proxy.GRID, RADIUS), proxy.GRID.mask(spark)
+    stat = cbma.kda_stat(ma, mask)
+    return cbma.with_z(cbma.stat_to_p(stat, cbma.null_table(spark, cbma.mkda_null(ma, mask.count())), 1.0))
+
+
+@query()
+def kda_null_p(spark, d):
+    """Null of the sum of spheres, then p and z."""
+    ma, mask = kernels.kda(proxy.points(spark, d), proxy.GRID, RADIUS), proxy.GRID.mask(spark)
+    return cbma.with_z(cbma.stat_to_p(cbma.kda_stat(ma, mask), cbma.null_table(spark, cbma.kda_null(ma, mask.count())), 1.0))
+
+
 @query()
 def fwe_montecarlo(spark, d):
-    n = proxy.points(spark, d).where("id % 50 = 0").groupBy("id").agg(F.count("*").alias("n"))
+    n = proxy.points(spark, d).groupBy("id").agg(F.count("*").alias("n"))
     return cbma.monte_carlo(spark, n, proxy.GRID.mask(spark), proxy.GRID, RADIUS, 50, threshold=0.05)
 
 
+@query()
+def montecarlo_null(spark, d):
+    """All voxels' statistics under random foci."""
+    n = proxy.points(spark, d).groupBy("id").agg(F.count("*").alias("n"))
+    return cbma.monte_carlo_null(spark, n, proxy.GRID, RADIUS, 20, 1.0, kind="kda")
+
+
+@query()
+def reduced_montecarlo_null(spark, d):
+    """One random voxel of each analysis in each iteration."""
+    ma, mask = kernels.kda(proxy.points(spark, d), proxy.GRID, RADIUS), proxy.GRID.mask(spark)
+    return cbma.reduced_null(spark, cbma.ale_histograms(ma, mask.count(), 1.0), 1000, 1.0, additive=True)
+
+
 @query()
 def ale_subtraction(spark, d):
-    ids = proxy.analyses(spark, d).where("id % 100 = 0")
-    return cbma.ale_difference(_ale(spark, d), ids.where("status = 'O'"), ids.where("status <> 'O'"), proxy.GRID.mask(spark), 20)
+    return cbma.ale_difference(_ale(spark, d), *_groups(spark, d), proxy.GRID.mask(spark), 20)
+
+
+@query()
+def chi2_permuted_maxima(spark, d):
+    p = proxy.points(spark, d)
+    one, two = (g.join(p, "id", "left_semi") for g in _groups(spark, d))
+    return cbma.chi2_maxima(kernels.mkda(p, proxy.GRID, RADIUS), one, two, 20)
 
 
 @query()
 def ale_scale(spark, d):
     """Foci drawn from all points' voxels, as a user's pool would be."""
-    from pyspark.sql import Window
-
-    p = proxy.points(spark, d)
-    own = p.where("id % 200 = 0")
-    pool = p.select("i", "j", "k").distinct().withColumn("place", (F.row_number().over(Window.orderBy("i", "j", "k")) - 1).cast("long"))
-    kernel = spark.createDataFrame(ALE_VALUES, "di int, dj int, dk int, v double")
-    return cbma.scale(kernels.ale(own, kernel, proxy.GRID), own.groupBy("id").agg(F.count("*").alias("n")), pool, kernel, proxy.GRID, proxy.GRID.mask(spark), 20)
+    p = _sized(spark, d)
+    foci = p.groupBy("id", "sample_size").agg(F.count("*").alias("n"))
+    return cbma.scale(kernels.ale_gaussian(p, proxy.GRID), foci, p.select("i", "j", "k").distinct(), proxy.GRID, proxy.GRID.mask(spark), 5)
 
 
 @query()
 def ale_balanced(spark, d):
-    ids = proxy.analyses(spark, d).where("id % 50 = 0")
-    return cbma.balanced_difference(_ale(spark, d), ids.where("status = 'O'"), ids.where("status <> 'O'"), proxy.GRID.mask(spark), 5, 20)
+    return cbma.balanced_difference(_ale(spark, d), *_groups(spark, d), proxy.GRID.mask(spark), 5, 20)
 
 
 # ---- correction
@@ -419,7 +468,7 @@ def weighted_least_squares(spark, d):
     return ibma.weighted_least_squares(ibma.valid(proxy.images(spark, d))).select("voxel", R("est").alias("est"), R("se").alias("se"))
 
 
-@query(f", {VARCOPE}, s AS (SELECT voxel, sum(1 / varcope) AS w, sum(1 / (varcope * varcope)) AS ww, sum(value / varcope) AS wy, sum(value * value / varcope) AS wyy, count(*) AS k FROM img WHERE value <> 0 GROUP BY voxel), t AS (SELECT voxel, greatest(0, (wyy - wy * wy / w - (k - 1)) / nullif(w - ww / w, 0)) AS tau2 FROM s) SELECT i.voxel, round(any_value(tau2), 6) AS tau2, round(sum(value / (varcope + tau2)) / sum(1 / (varcope + tau2)), 6) AS est, round(1 / sqrt(sum(1 / (varcope + tau2))), 6) AS se FROM img i JOIN t ON i.voxel = t.voxel WHERE value <> 0 GROUP BY i.voxel", I)
+@query(f", {VARCOPE}, s AS (SELECT voxel, sum(1 / varcope) AS w, sum(1 / (varcope * varcope)) AS ww, sum(value / varcope) AS wy, sum(value * value / varcope) AS wyy, count(*) AS k FROM img WHERE value <> 0 GROUP BY voxel), t AS (SELECT voxel, greatest(0, (wyy - wy * wy / w - (k - 1)) / nullif(w - ww / w, 0)) AS tau2 FROM s) SELECT i.voxel, round(any_value(tau2), 6) AS tau2, round(sum(value / (varcope + tau2)) / sum(1 / (varcope + tau2)), 6) AS est, round(sqrt((sum(value * value / (varcope + tau2)) - sum(value / (varcope + tau2)) * sum(value / (varcope + tau2)) / sum(1 / (varcope + tau2))) / (count(*) - 1) / sum(1 / (varcope + tau2))), 6) AS se FROM img i JOIN t ON i.voxel = t.voxel WHERE value <> 0 GROUP BY i.voxel", I)
 def dersimonian_laird(spark, d):
     return ibma.random_effects(ibma.valid(proxy.images(spark, d))).select("voxel", R("tau2").alias("tau2"), R("est").alias("est"), R("se").alias("se"))
 
@@ -455,9 +504,9 @@ def sample_size_likelihood(spark, d):
     return ibma.likelihood(rows, by_size=True)
 
 
-@query(", p AS (SELECT id, voxel, value FROM image WHERE id < 60) SELECT a.id AS a, b.id AS b, round(corr(a.value, b.value), 6) AS r FROM p a JOIN p b ON a.voxel = b.voxel AND a.id < b.id GROUP BY ALL", I)
+@query(", p AS (SELECT id, voxel, value FROM image) SELECT a.id AS a, b.id AS b, round(corr(a.value, b.value), 6) AS r FROM p a JOIN p b ON a.voxel = b.voxel AND a.id < b.id GROUP BY ALL", I)
 def image_correlations(spark, d):
-    return ibma.image_correlations(proxy.images(spark, d).where("id < 60")).select("a", "b", R("r").alias("r"))
+    return ibma.image_correlations(proxy.images(spark, d)).select("a", "b", R("r").alias("r"))
 
 
 # ---- diagnostics
@@ -473,10 +522,10 @@ def report_summary(spark, d):
     return diagnostics.summary(proxy.analyses(spark, d), proxy.points(spark, d), proxy.GRID)
 
 
-@query(f", {ALE_SQL}, o AS (SELECT id, ale.voxel, (m.i // 5)::BIGINT AS cluster, ln(1 - value) AS t FROM ale JOIN mask_voxel m ON m.voxel = ale.voxel WHERE id % 50 = 0), s AS (SELECT voxel, sum(t) AS total FROM o GROUP BY voxel), z AS (SELECT (i // 5)::BIGINT AS cluster, count(*) AS size FROM mask_voxel GROUP BY 1) SELECT o.id, o.cluster, round(sum(1 - (1 - exp(total - t)) / nullif(1 - exp(total), 0)) / any_value(size), 6) AS contribution FROM o JOIN s USING (voxel) JOIN z ON z.cluster = o.cluster GROUP BY o.id, o.cluster", P, M)
+@query(f", {ALE_SQL}, o AS (SELECT id, ale.voxel, (m.i // 5)::BIGINT AS cluster, ln(1 - value) AS t FROM ale JOIN mask_voxel m ON m.voxel = ale.voxel), s AS (SELECT voxel, sum(t) AS total FROM o GROUP BY voxel), z AS (SELECT (i // 5)::BIGINT AS cluster, count(*) AS size FROM mask_voxel GROUP BY 1) SELECT o.id, o.cluster, round(sum(1 - (1 - exp(total - t)) / nullif(1 - exp(total), 0)) / any_value(size), 6) AS contribution FROM o JOIN s USING (voxel) JOIN z ON z.cluster = o.cluster GROUP BY o.id, o.cluster", P, M)
 def jackknife(spark, d):
     named = proxy.GRID.mask(spark).select("voxel", F.floor(F.col("i") / 5).alias("cluster"))
-    return diagnostics.jackknife(_ale(spark, d).where("id % 50 = 0"), named).select("id", "cluster", R("contribution").alias("contribution"))
+    return diagnostics.jackknife(_ale(spark, d), named).select("id", "cluster", R("contribution").alias("contribution"))
 
 
 @query("SELECT id, (i // 5)::BIGINT AS cluster, count(*) AS n FROM point WHERE k BETWEEN 1 AND 7 GROUP BY ALL", P)
@@ -485,17 +534,18 @@ def focus_counter(spark, d):
     return diagnostics.focus_counter(proxy.points(spark, d), named, proxy.GRID)
 
 
-@query()
+@query(f", {ALE_SQL}, l AS (SELECT id, voxel, ln(1 - value) AS lv FROM ale), t AS (SELECT voxel, sum(lv) AS total, count(*) AS active FROM l GROUP BY voxel), w AS (SELECT voxel, sum(CASE WHEN 1 - exp(total - lv) > 0.9 THEN 1 ELSE 0 END) AS still FROM l JOIN t USING (voxel) GROUP BY voxel), n AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM ale) SELECT m.voxel, round((coalesce(still, 0) + (n - coalesce(active, 0)) * CASE WHEN 1 - exp(coalesce(total, 0)) > 0.9 THEN 1 ELSE 0 END) / n, 6) AS support FROM n, mask_voxel m LEFT JOIN t ON t.voxel = m.voxel LEFT JOIN w ON w.voxel = m.voxel", P, M)
 def resampled_stability(spark, d):
-    ma = _ale(spark, d).where("id % 400 = 0")
-    return diagnostics.stability(ma, diagnostics.leave_one_out(ma.select("id").distinct()), 0.3, proxy.GRID.mask(spark))
+    """Leave-one-out support of all analyses."""
+    ma = _ale(spark, d)
+    return diagnostics.leave_one_out_support(ma, ma.select("id"), 0.9, proxy.GRID.mask(spark)).select("voxel", R("support").alias("support"))
 
 
 @query()
 def image_peaks(spark, d):
     ma = kernels.mkda_summary(proxy.points(spark, d), proxy.GRID, RADIUS).select("voxel", F.col("n").cast("double").alias("value"))
     mean = ma.agg(F.avg("value")).first()[0] or 0.0
-    return diagnostics.peaks(ma, proxy.GRID, mean)
+    return diagnostics.peaks(ma, proxy.GRID, mean, 4.0, 3)
 
 
 # ---- text and ontology

@@ -8,27 +8,61 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Grid:
-    """A volume of nx x ny x nz voxels of one size, with the same offset on each axis."""
+    """A volume of nx x ny x nz voxels, with a size and an offset (in mm) for all axes or for each.
+
+    Its mask is a range of planes k, or any set of voxels (``with_mask``) kept as bits in
+    numbers of 64, so that testing a voxel is an expression and needs no join.
+    """
 
     nx: int
     ny: int
     nz: int
-    size: float = 2.0
-    origin: float = 0.0
+    size: float | tuple[float, float, float] = 2.0
+    origin: float | tuple[float, float, float] = 0.0
     k_mask: tuple[int, int] = (1, 7)
-
-    def to_voxel(self, mm: Column) -> Column:
+    bits: tuple[int, ...] | None = None
+
+    @property
+    def shape(self) -> tuple[int, int, int]:
+        return self.nx, self.ny, self.nz
+
+    @property
+    def sizes(self) -> tuple[float, float, float]:
+        return self.size if isinstance(self.size, tuple) else (self.size,) * 3
+
+    @property
+    def origins(self) -> tuple[float, float, float]:
+        return self.origin if isinstance(self.origin, tuple) else (self.origin,) * 3
+
+    def with_mask(self, on: np.ndarray) -> Grid:
+        """The grid with the mask of a boolean volume."""
+        flat = np.zeros(-(-on.size // 64) * 64, np.uint8)
+        flat[: on.size] = on.ravel()
+        return replace(self, bits=tuple(np.packbits(flat, bitorder="little").view(np.int64).tolist()))
+
+    def mask_array(self) -> np.ndarray:
+        """The mask as a boolean volume."""
+        if self.bits is not None:
+            return np.unpackbits(np.array(self.bits, np.int64).view(np.uint8), bitorder="little")[: self.nx * self.ny * self.nz].astype(bool).reshape(self.shape)
+        on = np.zeros(self.shape, bool)
+        on[:, :, self.k_mask[0] : self.k_mask[1] + 1] = True
+        return on
+
+    def to_voxel(self, mm: Column, axis: int | str = 0) -> Column:
         """Millimetres to voxels, cut off towards zero."""
-        return ((mm - self.origin) / self.size).cast("int")
+        a = "xyz".index(axis) if isinstance(axis, str) else axis
+        return ((mm - self.origins[a]) / self.sizes[a]).cast("int")
 
-    def to_mm(self, voxel: Column) -> Column:
-        return voxel * self.size + self.origin
+    def to_mm(self, voxel: Column, axis: int | str = 0) -> Column:
+        a = "xyz".index(axis) if isinstance(axis, str) else axis
+        return voxel * self.sizes[a] + self.origins[a]
 
     def flat(self, i: Column, j: Column, k: Column) -> Column:
         return i * (self.ny * self.nz) + j * self.nz + k
@@ -36,14 +70,20 @@ class Grid:
     def inside(self, i: Column, j: Column, k: Column) -> Column:
         return i.between(0, self.nx - 1) & j.between(0, self.ny - 1) & k.between(0, self.nz - 1)
 
-    def in_mask(self, k: Column) -> Column:
-        return k.between(*self.k_mask)
+    def in_mask(self, i: Column, j: Column, k: Column) -> Column:
+        """Whether a voxel is in the mask; one outside the volume is not."""
+        if self.bits is None:
+            return k.between(*self.k_mask)
+        table = F.transform(F.split(F.lit(",".join(map(str, self.bits))), ","), lambda x: x.cast("long"))
+        voxel = self.flat(i, j, k).cast("long")
+        word = F.get(table, F.call_function("div", voxel, F.lit(64)).cast("int"))
+        return self.inside(i, j, k) & F.coalesce(F.call_function("getbit", word, (voxel % 64).cast("int")) == 1, F.lit(False))
 
     def mask(self, spark: SparkSession) -> DataFrame:
         """(i, j, k, voxel) of the mask, generated on the executors."""
         v = spark.range(self.nx * self.ny * self.nz).select(F.col("id").alias("voxel"))
         v = v.select(F.floor(F.col("voxel") / (self.ny * self.nz)).alias("i"), (F.floor(F.col("voxel") / self.nz) % self.ny).alias("j"), (F.col("voxel") % self.nz).alias("k"), "voxel")
-        return v.where(self.in_mask(F.col("k")))
+        return v.where(self.in_mask(F.col("i"), F.col("j"), F.col("k")))
 
 
 @dataclass(frozen=True)

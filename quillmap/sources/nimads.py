@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmap.functions.native import sample_size
 from quillmap.plans.studyset import Studyset
 
 POINT = "struct<coordinates:array<double>,space:string,kind:string,values:array<struct<kind:string,value:double>>>"
@@ -33,7 +34,11 @@ def read(spark: SparkSession, path: str) -> Studyset:
     notes = a.select("id", F.explode("annotations").alias("annotation_id", "n")).select("id", "annotation_id", F.explode("n").alias("label", "text_value"))
     annotation = notes.withColumn("value", F.col("text_value").try_cast("double"))
     text = a.select("id", F.explode("texts").alias("field", "text"))
-    analysis = a.drop("points", "images", "annotations", "texts").withColumn("sample_size", F.col("metadata")["sample_sizes"])
+    analysis = a.drop("points", "images", "annotations", "texts")
+    of_study = study.select("study_id", "study_pos", F.col("metadata").alias("study_metadata"))
+    analysis = analysis.join(of_study, ["study_id", "study_pos"], "left")
+    size = lambda m: F.coalesce(F.col(m)["sample_sizes"], F.col(m)["sample_size"])
+    analysis = analysis.withColumn("sample_size", sample_size(size("metadata"), size("study_metadata"))).drop("study_metadata")
     return Studyset(analysis=analysis, point=point, annotation=annotation, image=image, text=text)
 
 

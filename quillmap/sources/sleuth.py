@@ -65,10 +65,10 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def blocks(point: DataFrame, analysis: DataFrame) -> DataFrame:
-    """(id, value): one text block for each analysis, the smallest of its sample sizes given."""
+    """(id, value): one text block for each analysis, the smallest of its sample sizes given, or none if it has no size."""
     size = F.array_min("sample_size") if dict(analysis.dtypes)["sample_size"].startswith("array") else F.col("sample_size")
     foci = point.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "y", "z"))), lambda p: F.concat_ws("\t", *[F.format_string("%.2f", p[c]) for c in "xyz"])), "\n").alias("foci"))
-    head = F.concat(F.lit("// "), F.col("study_id").cast("string"), F.lit(": "), F.col("id").cast("string"), F.lit("\n// Subjects="), size.cast("int").cast("string"), F.lit("\n"))
+    head = F.concat(F.lit("// "), F.col("study_id").cast("string"), F.lit(": "), F.col("id").cast("string"), F.coalesce(F.concat(F.lit("\n// Subjects="), size.cast("int").cast("string")), F.lit("")), F.lit("\n"))
     return analysis.join(foci, "id").select("id", F.concat(head, "foci", F.lit("\n")).alias("value"))
 
 

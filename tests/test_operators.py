@@ -95,6 +95,283 @@ def test_fold_matches_direct_convolution(spark):
     assert [r["p"] for r in cbma.stat_to_p(stat, null, 0.1).orderBy("voxel").collect()] == [1.0, 0.5, 0.25]
 
 
+def test_fold_of_many_analyses_matches_sequential_fold(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    step, rows, want = 1e-3, [], np.ones(1)
+    for i in range(40):
+        bins = np.sort(rng.choice(np.arange(1, 60), 3, replace=False))
+        share = rng.dirichlet(np.ones(4))
+        rows += [(i, int(b), float(x)) for b, x in zip([0, *bins], share)]
+    hist = spark.createDataFrame(rows, "id long, bin long, share double")
+    for i in range(40):
+        h = np.zeros(60)
+        for _, b, x in rows[4 * i : 4 * i + 4]:
+            h[b] = x
+        out = np.zeros(1001)
+        for a in np.flatnonzero(want):
+            for b in np.flatnonzero(h):
+                out[int(round((1 - (1 - a * step) * (1 - b * step)) / step))] += want[a] * h[b]
+        want = out
+    exact = cbma.fold_histograms(hist, step)
+    assert np.pad(exact, (0, 1001 - len(exact))) == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(cbma, "FOLD_ANALYSES", 3)
+    monkeypatch.setattr(cbma, "FOLD_DIRECT", 0)
+    # by blocks and transforms: as a distribution, within the rounding of bins
+    fast = cbma.fold_histograms(hist, step)
+    tails = [np.cumsum(np.pad(x, (0, 1001 - len(x)))[::-1])[::-1] for x in (want, fast)]
+    assert tails[1][0] == pytest.approx(1.0) and np.interp(0.5, tails[1][::-1], np.arange(1001)) == pytest.approx(np.interp(0.5, tails[0][::-1], np.arange(1001)), abs=12)
+    add = cbma.fold_histograms(hist, 1.0, additive=True)
+    direct = np.ones(1)
+    for i in range(40):
+        h = np.zeros(60)
+        for _, b, x in rows[4 * i : 4 * i + 4]:
+            h[b] = x
+        direct = np.convolve(direct, h)
+    assert np.pad(add, (0, len(direct) - len(add))) == pytest.approx(direct, abs=1e-12)
+
+
+def test_nulls_of_spheres(spark, ss):
+    ma = kernels.mkda(ss.point, GRID, 2.0)
+    share = [r["n"] / 216 for r in ma.groupBy("id").agg(F.count("*").alias("n")).orderBy("id").collect()]
+    want = np.ones(1)
+    for p in share:
+        want = np.convolve(want, [1 - p, p])
+    assert cbma.mkda_null(ma, 216) == pytest.approx(want)
+    null = cbma.null_table(spark, want)
+    assert cbma.p_to_stat(null, float(want[-1]), 1.0) == len(share) - 1
+    reduced = {r["bin"]: r["p"] for r in cbma.reduced_null(spark, cbma.ale_histograms(ma, 216, 1.0), 20000, 1.0, additive=True).collect()}
+    assert reduced[0] == 1.0 and reduced[1] == pytest.approx(1 - want[0], abs=0.01)
+
+
+def simulate(grid, counts, pool, n_iters, r):
+    """As the operator draws, but for one block and plainly."""
+    out = []
+    steps = kernels.sphere(r, grid.size)
+    for it in range(n_iters):
+        rng = np.random.default_rng([0, it, 0])
+        picks = pool[rng.integers(len(pool), size=sum(counts))].tolist()
+        stat, at = np.zeros(grid.shape), 0
+        for n in counts:
+            on = np.zeros(grid.shape, bool)
+            for p in picks[at : at + n]:
+                for s in steps:
+                    q = tuple(a + b for a, b in zip(p, s))
+                    if all(0 <= x < y for x, y in zip(q, grid.shape)):
+                        on[q] = True
+            stat += on & grid.mask_array()
+            at += n
+        out.append(stat / len(counts))
+    return out
+
+
+def test_random_foci_match_brute_force(spark):
+    on = np.zeros(GRID.shape, bool)
+    on[1:5, 1:5, 1:5] = True
+    on[2, 2, 2] = False
+    grid = GRID.with_mask(on)
+    foci = spark.createDataFrame([(1, 2), (2, 5), (3, 1)], "id long, n long")
+    got = {r["iteration"]: r for r in cbma.monte_carlo(spark, foci, grid.mask(spark), grid, 2.0, 12, threshold=0.4).collect()}
+    for it, stat in enumerate(simulate(grid, [2, 5, 1], np.argwhere(on), 12, 2.0)):
+        marks = clusters.label(stat > 0.4)
+        sizes = np.bincount(marks.ravel())[1:]
+        assert got[it]["max_stat"] == pytest.approx(stat.max()) and got[it]["max_size"] == max(sizes, default=0)
+    null = {r["bin"]: r["p"] for r in cbma.monte_carlo_null(spark, foci, grid, 2.0, 12, 1 / 3).collect()}
+    every = np.concatenate([s[on] for s in simulate(grid, [2, 5, 1], np.argwhere(on), 12, 2.0)])
+    assert null == pytest.approx({b: (every >= b / 3 - 1e-9).mean() for b in range(int(round(every.max() * 3)) + 1)})
+    sized = foci.withColumn("sample_size", F.lit(20.0))
+    assert cbma.monte_carlo(spark, sized, grid.mask(spark), grid, 0.0, 3, kind="ale").where("max_stat > 0 and max_stat < 1").count() == 3
+
+
+def test_gaussian_activation_matches_table_kernel(spark, ss):
+    p = structure.with_sample_size(ss.point, ss.analysis)
+    sizes = sorted({r["sample_size"] for r in p.select("sample_size").distinct().collect()})
+    want = {(r["id"], r["voxel"]): r["value"] for r in kernels.ale(p, kernels.ale_kernels(spark, sizes, GRID.size), GRID, ["sample_size"]).collect()}
+    rows = kernels.ale_gaussian(p, GRID).collect()
+    assert {(r["id"], r["voxel"]): r["value"] for r in rows} == pytest.approx(want)
+    logs = {r["voxel"]: r["log_none"] for r in kernels.ale_log_sums(p, GRID).collect()}
+    sums = {}
+    for (_, v), x in want.items():
+        sums[v] = sums.get(v, 0.0) + math.log1p(-x)
+    assert logs == pytest.approx(sums)
+
+
+def test_permuted_labels_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v, float(rng.uniform(0.01, 0.3))) for i in range(9) for v in range(12) if rng.random() < 0.6]
+    ma = spark.createDataFrame(rows, "id long, voxel long, value double")
+    one, two = (spark.createDataFrame([(i,) for i in range(*r)], "id long") for r in ((0, 4), (4, 9)))
+    mask = spark.range(14).select(F.col("id").alias("voxel"))
+    got = {r["voxel"]: r for r in cbma.ale_difference(ma, one, two, mask, 30).collect()}
+    cuts = cbma.label_cuts(one.union(two), 4, 30)
+    h = [r["h"] for r in spark.range(9).select(F.xxhash64("id").alias("h")).collect()]
+    labels = cbma._draws(np.array(h), np.arange(30), 0).astype(np.int64) <= cuts
+    assert (labels.sum(0) == 4).all() and len({tuple(x) for x in labels.T}) > 20
+    def stat(first):
+        s = np.zeros((2, 14))
+        for i, v, x in rows:
+            s[0 if first[i] else 1, v] += math.log1p(-x)
+        return np.exp(s[1]) - np.exp(s[0])
+    seen = stat(np.arange(9) < 4)
+    perms = np.array([stat(labels[:, it]) for it in range(30)])
+    for v in {r[1] for r in rows}:
+        p = 2 * min((perms[:, v] >= seen[v] - 1e-15).sum(), (perms[:, v] <= seen[v] + 1e-15).sum()) / 30
+        assert got[v]["stat"] == pytest.approx(seen[v]) and got[v]["p"] == pytest.approx(min(max(p, 1 / 30), 29 / 30))
+    assert got[13]["stat"] == 0 and got[13]["p"] == 1
+    maxima = [r["max_stat"] for r in cbma.difference_maxima(ma, one, two, 30).orderBy("iteration").collect()]
+    assert maxima == pytest.approx(np.abs(perms).max(1))
+    with pytest.raises(ValueError, match="share"):
+        cbma.ale_difference(ma, one, one, mask)
+    ids = spark.createDataFrame([(v, 1 if v % 2 else -1) for v in range(14)], "voxel long, sign int")
+    assert all(r["stat"] * (1 if r["voxel"] % 2 else -1) >= 0 for r in cbma.ale_difference(ma, one, two, mask, 5, within=ids).collect())
+
+
+def test_mask_of_any_voxels(spark, ss):
+    on = np.zeros(GRID.shape, bool)
+    on[4, 4, 4] = on[2, 1, 1] = True
+    grid = GRID.with_mask(on)
+    assert (grid.mask_array() == on).all() and sorted(r["voxel"] for r in grid.mask(spark).collect()) == np.flatnonzero(on).tolist()
+    assert ids(selection.by_mask(ss.point, grid)) == [1, 3] and selection.focus_filter(ss.point, grid).count() == 2
+    assert {(r["id"], r["voxel"]) for r in kernels.mkda(ss.point, grid, 0.0).collect()} == {(1, int(np.ravel_multi_index((2, 1, 1), GRID.shape))), (3, int(np.ravel_multi_index((4, 4, 4), GRID.shape)))}
+    uneven = Grid(4, 5, 6, (2.0, -3.0, 4.0), (-4.0, 9.0, 0.0))
+    row = spark.range(1).select(*[uneven.to_voxel(F.lit(mm), a).alias(a) for a, mm in zip("xyz", (0.0, 3.0, 9.0))], uneven.to_mm(F.lit(2), "y").alias("back")).first()
+    assert tuple(row) == (2, 2, 2, 3.0)
+    assert len(kernels.sphere(4.0, (2.0, 4.0, 8.0))) == len([1 for a in range(-2, 3) for b in (-1, 0, 1) if 4 * a * a + 16 * b * b <= 16])
+
+
+def test_ranges_hold_about_as_many(spark):
+    rows = spark.range(20000).select((-F.col("id") / 20000).alias("x")).union(spark.createDataFrame([(-3000.0,), (None,)], "x double"))
+    sizes = [r["n"] for r in cbma.in_ranges(rows.where("x is not null"), "x", 64).groupBy("_b_").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 60 and max(sizes) < 700
+    again = cbma.in_ranges(rows, "x", 8).groupBy("x").agg(F.count_distinct("_b_").alias("n")).where("n > 1")
+    assert again.count() == 0
+
+
+def test_brainmap_decoding_matches_brute_force(spark, tiny):
+    from quillmap.operators import decode
+
+    p, n, s = proxy.points(spark, tiny), proxy.annotations(spark, tiny), proxy.selected(spark, tiny)
+    foci = {r["id"]: r["count"] for r in p.groupBy("id").count().collect()}
+    selected = {r["id"] for r in s.collect()} & foci.keys()
+    has = {}
+    for r in n.collect():
+        if r["value"] >= 0.001 and r["id"] in foci:
+            has.setdefault(r["label"], set()).add(r["id"])
+    uses, every, n_sel = sum(map(len, has.values())), sum(foci.values()), len(selected)
+    share = n_sel / every
+    post = {}
+    for label, own in has.items():
+        post[label] = len(own & selected) / sum(foci[i] for i in own) * len(own) / uses / share
+    mean = np.mean([len(o & selected) for o in has.values()])
+    for r in decode.decode_brainmap(p, n, s).collect():
+        own = has[r["label"]]
+        a, b, f = len(own & selected), len(own - selected), sum(foci[i] for i in own)
+        tail = math.fsum(math.exp(math.lgamma(f + 1) - math.lgamma(k + 1) - math.lgamma(f - k + 1) + k * math.log(share) + (f - k) * math.log(1 - share)) for k in range(a + 1, f + 1))
+        assert r["p_forward"] == pytest.approx(1.0 if a < 5 else tail, rel=1e-8)
+        assert r["likelihood_forward"] == pytest.approx(a / f / share) and r["prob_reverse"] == pytest.approx(post[r["label"]] / sum(post.values()))
+        assert r["z_forward"] == 0 or (r["z_forward"] > 0) == (a > mean)
+        n1, n2 = n_sel, len(foci) - n_sel
+        chi2 = (n1 + n2) * (a * n2 - b * n1) ** 2 / ((a + b) * (n1 + n2 - a - b) * n1 * n2)
+        sign = np.sign(a / f - (n1 - a) / (every - f))
+        assert r["z_reverse"] == pytest.approx(0.0 if a < 5 else sign * math.sqrt(chi2), rel=1e-6, abs=1e-9)
+
+
+def test_closure_of_a_long_chain(spark):
+    rel = spark.createDataFrame([(f"t{i:02d}", f"t{i + 1:02d}", 1.0) for i in range(70)], "input string, output string, weight double")
+    out = text.closure(rel)
+    assert out.count() == 71 * 70 // 2 and out.where("weight <> 1").count() == 0
+
+
+def test_sleuth_keeps_analyses_without_a_size(spark, ss):
+    a = ss.analysis.withColumn("sample_size", F.when(F.col("id") == 2, F.lit(None)).otherwise(F.col("sample_size")))
+    rows = {r["id"]: r["value"] for r in sleuth.blocks(ss.point, a).collect()}
+    assert rows.keys() == {1, 2, 3} and "Subjects" not in rows[2] and rows[2].count("\t") == 2 and "Subjects=20" in rows[1]
+
+
+def test_correction_without_z_is_an_error(ss):
+    with pytest.raises(ValueError, match="unknown correction"):
+        workflows.run(ss, "kda", "magic")
+    with pytest.raises(ValueError, match="unknown diagnostics"):
+        workflows.run(ss, "kda", None, diagnose=("magic",))
+
+
+@pytest.mark.parametrize(("name", "options"), [("mkdadensity", {"r": 2.0}), ("kda", {"r": 2.0}), ("ale", {"fwhm": 4.0, "step": 1e-3})])
+def test_family_wise_correction_of_coordinates(spark, ss, name, options):
+    result = workflows.run(ss, name, "montecarlo", threshold=1.0, n_iters=20, **options)
+    p = result.maps["p_level-voxel_corr-FWE_method-montecarlo"]
+    assert p.count() == 216 and p.where("value < 0.05 or value > 0.95").count() == 0
+    table = result.tables["clusters_corr-FWE_method-montecarlo"].collect()
+    assert table and all(0.05 <= r["p_size"] <= 0.95 and 0.05 <= r["p_mass"] <= 0.95 for r in table)
+    again = workflows.run(ss, name, "bonferroni", threshold=1.0, **options)
+    assert again.maps["z_corr-FWE_method-bonferroni"].count() == 216
+
+
+def test_named_pairwise_estimators(spark, ss):
+    one = ss.analysis.where("id < 2").select("id")
+    out = workflows.run(ss, "alesubtraction", "montecarlo", n_iters=10, group1=one, fwhm=4.0)
+    assert out.maps["stat"].count() == 216 and out.maps["z_level-voxel_corr-FWE_method-montecarlo"].count() == 216
+    pool = ss.point.where("i < 6").select("i", "j", "k")
+    out = workflows.run(ss, "scale", "bh", n_iters=10, pool=pool, fwhm=4.0)
+    assert out.maps["stat"].where("p < 0.1 or p > 1").count() == 0
+    chi = workflows.run(ss, "mkdachi2", "montecarlo", n_iters=10, group1=one, r=2.0)
+    assert chi.maps["p_level-voxel_corr-FWE_method-montecarlo"].count() == 216
+    with pytest.raises(ValueError, match="no permutations"):
+        workflows.run(ss, "scale", "montecarlo", n_iters=5, pool=pool, fwhm=4.0)
+
+
+def test_image_outputs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i // 2, v, float(rng.normal(0.4, 1)), float(rng.uniform(0.1, 1))) for i in range(10) for v in range(4)]
+    im = spark.createDataFrame(rows, "id long, study_id long, voxel long, value double, varcope double")
+    from quillmap.functions import special
+
+    for r in ibma.random_effects(im).collect():
+        y, v = (np.array([x[c] for x in rows if x[2] == r["voxel"]]) for c in (3, 4))
+        w = 1 / (v + r["tau2"])
+        est = (w * y).sum() / w.sum()
+        se = math.sqrt((w * (y - est) ** 2).sum() / 9 / w.sum())
+        ln_p = special.t_to_nlogp(np.array([est / se]), np.array([9.0]))[0]
+        assert (r["est"], r["se"], r["dof"]) == pytest.approx((est, se, 9.0)) and r["p"] == pytest.approx(math.exp(ln_p)) and r["logp"] == pytest.approx(-ln_p / math.log(10))
+        assert special.z_to_nlogp(np.array([r["z"]]))[0] == pytest.approx(ln_p)
+    plain, tied = (ibma.stouffers(im, correlation=c).orderBy("voxel").collect() for c in (0.0, 1.0))
+    for a, b in zip(plain, tied):
+        total = sum(x[3] for x in rows if x[2] == a["voxel"])
+        assert a["z"] == pytest.approx(total / math.sqrt(10)) and b["z"] == pytest.approx(total / math.sqrt(5 * 4))
+    some = im.where("id % 3 <> 0 or voxel <> 1")
+    want = {(a, b): None for a in range(10) for b in range(a + 1, 10)}
+    got = {(r["a"], r["b"]): r["r"] for r in ibma.image_correlations(some).collect()}
+    assert got.keys() == want.keys()
+    value = {(x[0], x[2]): x[3] for x in rows if x[0] % 3 or x[2] != 1}
+    for a, b in got:
+        both = [v for v in range(4) if (a, v) in value and (b, v) in value]
+        assert got[a, b] == pytest.approx(np.corrcoef([value[a, v] for v in both], [value[b, v] for v in both])[0, 1])
+
+
+def test_image_correlations_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    im = spark.createDataFrame([(i, v, float(rng.normal())) for i in range(20) for v in range(6)], "id long, voxel long, value double")
+    whole = sorted(map(tuple, ibma.image_correlations(im).collect()))
+    monkeypatch.setattr(ibma, "BLOCK_VALUES", 30)
+    parts = sorted(map(tuple, ibma.image_correlations(im).collect()))
+    assert len(whole) == len(parts) == 190 and all(a == pytest.approx(b) for a, b in zip(whole, parts))
+
+
+def test_peaks_keep_their_distance(spark):
+    volume = np.zeros(GRID.shape)
+    volume[0, 0, :6] = [5, 1, 4, 1, 3, 1]
+    rows = spark.createDataFrame([(int(v), float(x)) for v, x in enumerate(volume.ravel())], "voxel long, value double")
+    assert [(r["rank"], r["voxel"]) for r in diagnostics.peaks(rows, GRID, 0.5, 4.0, 9).orderBy("rank").collect()] == [(1, 0), (2, 2), (3, 4)]
+    assert [(r["rank"], r["voxel"]) for r in diagnostics.peaks(rows, GRID, 0.5, 8.0, 9).orderBy("rank").collect()] == [(1, 0), (2, 4)]
+    assert diagnostics.peaks(rows, GRID, 0.5).count() == 1
+
+
+def test_leave_one_out_support_matches_schedule(spark):
+    rng = np.random.default_rng(8)
+    ma = spark.createDataFrame([(i, v, float(rng.uniform(0.05, 0.4))) for i in range(7) for v in range(9) if rng.random() < 0.5], "id long, voxel long, value double")
+    ids_, mask = spark.range(8), spark.range(10).select(F.col("id").alias("voxel"))
+    want = {r["voxel"]: r["support"] for r in diagnostics.stability(ma, diagnostics.leave_one_out(ids_), 0.4, mask).collect()}
+    assert {r["voxel"]: r["support"] for r in diagnostics.leave_one_out_support(ma, ids_, 0.4, mask).collect()} == pytest.approx(want)
+
+
 def test_fdr_brute_force(spark):
     p = np.array([0.01, 0.02, 0.03, 0.5, 0.02, 1.0])
     rows = spark.createDataFrame([(i, float(np.log(v))) for i, v in enumerate(p)] + [(9, None)], "i long, nlogp double")
