@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,26 +60,27 @@ class WordCodes:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.tokens, self.firsts = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def slots(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each word its index into ``firsts``; new words are encoded and kept."""
+        """For each word its index into ``start`` and ``count``; new words are encoded and kept."""
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > MOST_KEPT:
             self.clear()
-        place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = np.ones(len(distinct), bool) if not len(self.known) else self.known[place] != distinct
+        place = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(place, len(self.known) - 1)] != distinct
         if new.any():
             raw = buf.tobytes()
             texts = [" " + raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
             coded = [self.encoding.encode_ordinary(t) for t in texts]
-            order = np.argsort(np.concatenate([self.known, distinct[new]]), kind="stable")
-            counts = np.concatenate([np.diff(self.firsts), np.fromiter(map(len, coded), np.int64, len(coded))])
-            flat = np.concatenate([self.tokens, np.fromiter((x for c in coded for x in c), np.int32)])
-            old = np.concatenate([[0], np.cumsum(counts)])[:-1]
-            self.tokens = flat[spread(old[order], counts[order])]
-            self.firsts = np.concatenate([[0], np.cumsum(counts[order])])
-            self.known = np.concatenate([self.known, distinct[new]])[order]
+            counts = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.start = np.insert(self.start, place[new], len(self.tokens) + np.cumsum(counts) - counts)
+            self.count = np.insert(self.count, place[new], counts)
+            self.known = np.insert(self.known, place[new], distinct[new])
+            self.tokens = np.concatenate([self.tokens, np.fromiter((x for c in coded for x in c), np.int32)])
         return np.searchsorted(self.known, distinct)[back]
 
 
@@ -117,8 +119,8 @@ def measure_texts(column: pa.Array, codes: WordCodes) -> dict[str, np.ndarray]:
         full = sb > sa
         line_hash = K.span_hashes(buf, a, b)
         slot = codes.slots(hashes, buf, starts, ends) if len(hashes) else np.zeros(0, np.int64)
-        counts = np.diff(codes.firsts)[slot] if len(slot) else np.zeros(0, np.int64)
-        tokens = codes.tokens[spread(codes.firsts[slot], counts)] if len(slot) else np.zeros(0, np.int32)
+        counts = codes.count[slot] if len(slot) else np.zeros(0, np.int64)
+        tokens = codes.tokens[spread(codes.start[slot], counts)] if len(slot) else np.zeros(0, np.int32)
         cut = np.concatenate([[0], np.cumsum(counts)])[of]
         partial = sums(codes.partial[tokens], cut)
         n_tokens = np.diff(cut)
@@ -159,7 +161,8 @@ def sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def measure(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns with counts and fertility of each whole text. The vocabulary file, of about a megabyte, goes to each task."""
     spark = docs.sparkSession
-    raw = bytes(spark.read.format("binaryFile").load(vocabulary if "://" in vocabulary else f"file://{vocabulary}").select("content").first()[0])
+    # a path without a scheme is read by the driver, so executors need no copy of the file
+    raw = bytes(spark.read.format("binaryFile").load(vocabulary).select("content").first()[0]) if "://" in vocabulary else Path(vocabulary).read_bytes()
     sent = spark.sparkContext.broadcast(raw)
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text_"))
     head = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
