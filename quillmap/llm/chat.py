@@ -6,9 +6,12 @@ conversation is one of its prefixes; an anti-join keeps the maximal ones (and
 of equal conversations the one with the least conv_id), which are then rendered.
 
 The hash of a prefix is the exclusive or of 128-bit hashes of (place, role,
-text). Places and prefixes are found in two levels, inside blocks of 512 turn
-numbers and over the blocks' totals, so a very long conversation is spread over
-many tasks. Rendering makes one row for each 256 turns.
+text). All of this is done on hashes alone: distinct turns are dealt by ranges of
+(conversation, number, hashes), so a very long conversation, and also one whose
+turns all have one number, is spread over many tasks; places and prefixes are
+found inside each range's part of a conversation and carried over by totals of those
+parts. Texts are joined by their hashes, once, for the conversations that stay.
+Rendering makes one row for each 256 turns.
 
 Defined results: turns without a conv_id belong to no conversation and are left
 out; a null turn number sorts as -1; exact repeats of a turn (same number, role
@@ -24,29 +27,33 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BLOCK, SEGMENT = 512, 256
+SEGMENT = 256
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, n_turns, role, text, p1, p2): each distinct turn with its place from 1 and the hash of the prefix that ends with it."""
+def hashed(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, h1, h2, role, text) of turns that belong to a conversation."""
     said = [F.coalesce(F.col("role"), F.lit("")), F.col("role").isNull(), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()]
-    rows = turns.where("conv_id is not null").select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", "text", F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit("second"), *said).alias("h2"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    order = Window.partitionBy("conv_id", "block").orderBy("turn", "h1", "h2")
-    now, last = F.struct("turn", "h1", "h2"), F.lag(F.struct("turn", "h1", "h2")).over(order)
-    rows = rows.withColumn("new", last.isNull() | (last != now)).where("new").withColumn("at", F.row_number().over(order)).drop("new")
-    rows = materialize(rows, "turns")
-    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return turns.where("conv_id is not null").select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit("second"), *said).alias("h2"), "role", "text")
+
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """(conv_id, part, turn, h1, h2, place, n_turns, p1, p2): each distinct turn with its place from 1 and the hash of the prefix that ends with it."""
+    rows = hashed(turns).select("conv_id", "turn", "h1", "h2").distinct()
+    rows = materialize(rows.repartitionByRange("conv_id", "turn", "h1", "h2").withColumn("part", F.spark_partition_id()), "turns")
+    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
-    offsets = blocks.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"))
-    placed = rows.join(offsets, ["conv_id", "block"]).withColumn("place", F.col("at") + F.col("skip"))
+    offsets = parts.select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"))
+    inside = Window.partitionBy("conv_id", "part").orderBy("turn", "h1", "h2")
+    placed = rows.withColumn("at", F.row_number().over(inside)).join(offsets, ["conv_id", "part"]).withColumn("place", F.col("at") + F.col("skip"))
     placed = placed.withColumn("x1", F.xxhash64("place", "h1", "h2")).withColumn("x2", F.xxhash64("h2", "place", "h1"))
-    sums = placed.groupBy("conv_id", "block").agg(F.bit_xor("x1").alias("b1"), F.bit_xor("x2").alias("b2"))
-    carry = sums.select("conv_id", "block", F.coalesce(F.bit_xor("b1").over(before), F.lit(0)).alias("c1"), F.coalesce(F.bit_xor("b2").over(before), F.lit(0)).alias("c2"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.withColumn("p1", F.bit_xor("x1").over(inside)).withColumn("p2", F.bit_xor("x2").over(inside)).join(carry, ["conv_id", "block"])
-    return out.select("conv_id", "place", "n_turns", "role", "text", F.col("p1").bitwiseXOR(F.col("c1")).alias("p1"), F.col("p2").bitwiseXOR(F.col("c2")).alias("p2"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    placed = materialize(placed.select("conv_id", "part", "turn", "h1", "h2", "place", "n_turns", "skip", F.bit_xor("x1").over(upto).alias("y1"), F.bit_xor("x2").over(upto).alias("y2")), "placed")
+    # a part's last prefix carries over to the parts after it
+    last = placed.groupBy("conv_id", "part").agg(F.max(F.struct("place", "y1", "y2")).alias("l")).select("conv_id", "part", "l.*")
+    carry = last.select("conv_id", "part", F.coalesce(F.bit_xor("y1").over(before), F.lit(0)).alias("c1"), F.coalesce(F.bit_xor("y2").over(before), F.lit(0)).alias("c2")).where("c1 <> 0 or c2 <> 0")
+    out = placed.join(carry, ["conv_id", "part"], "left")
+    return out.select("conv_id", "part", "turn", "h1", "h2", "place", "n_turns", F.col("y1").bitwiseXOR(F.coalesce("c1", F.lit(0))).alias("p1"), F.col("y2").bitwiseXOR(F.coalesce("c2", F.lit(0))).alias("p2"))
 
 
 def maximal(marked: DataFrame) -> DataFrame:
@@ -56,18 +63,22 @@ def maximal(marked: DataFrame) -> DataFrame:
     return ends.join(inner, ["place", "p1", "p2"], "left_anti").select("conv_id")
 
 
-def render(marked: DataFrame, kept: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def render(turns: DataFrame, marked: DataFrame, kept: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(conv_id, segment, n_turns, text): turns between role markers, one row for each ``segment`` turns."""
-    own = marked.join(kept, "conv_id", "left_semi").withColumn("segment", F.floor((F.col("place") - 1) / segment))
+    parts = marked.select("conv_id", "part").distinct().join(kept, "conv_id", "left_semi")
+    own = marked.join(parts, ["conv_id", "part"], "left_semi").select("conv_id", "turn", "h1", "h2", "place", "n_turns", F.floor((F.col("place") - 1) / segment).alias("segment"))
+    # a turn that is repeated is one before it is shuffled
+    key = ["conv_id", "turn", "h1", "h2"]
+    texts = hashed(turns).groupBy(*key).agg(F.first("role").alias("role"), F.first("text").alias("text"))
     turn = lambda t: F.concat(F.lit("<|im_start|>"), F.coalesce(t["role"], F.lit("unknown")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|im_end|>\n"))
     # a group has at most ``segment`` turns
-    grouped = own.groupBy("conv_id", "segment").agg(F.first("n_turns").alias("n_turns"), F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+    grouped = texts.join(own, key).groupBy("conv_id", "segment").agg(F.first("n_turns").alias("n_turns"), F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
     return grouped.select("conv_id", "segment", "n_turns", F.array_join(F.transform("turns", turn), "").alias("text"))
 
 
 def collapse_and_render(turns: DataFrame) -> DataFrame:
     marked = materialize(prefixes(turns), "prefixes")
-    return render(marked, materialize(maximal(marked), "maximal"))
+    return render(turns, marked, materialize(maximal(marked), "maximal"))
 
 
 #: DuckDB: whole prefixes, as strings, in place of hashes.

@@ -160,6 +160,16 @@ def test_chat_matches_sql(spark):
     assert {r[0] for r in got} == {2, 4, 5, 7} and chat.collapse_and_render(turns.limit(0)).count() == 0
 
 
+def test_chat_of_one_turn_number_and_repeated_turns(spark):
+    many = [(None, "user", f"said {i}") for i in range(700)]
+    rows = [(20, *t) for t in many] + [(21, *t) for t in reversed(many)] + [(22, 0, "user", "again")] * 500 + [(23, 0, "user", "again"), (23, 1, "assistant", "yes")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"], r["segment"], r["n_turns"], r["text"].count("<|im_start|>")) for r in chat.collapse_and_render(turns.repartition(8)).collect())
+    assert got == [(20, 0, 700, 256), (20, 1, 700, 256), (20, 2, 700, 188), (23, 0, 2, 2)]
+    text = "".join(r["text"] for r in chat.collapse_and_render(turns.where("conv_id = 20")).collect())
+    assert all(f"said {i}<|im_end|>" in text for i in range(700))
+
+
 # ---- language
 def test_language_profiles(spark):
     en = ["the cat and the dog went to the house with the other thing"] * 5
