@@ -104,3 +104,43 @@ def compare_groups(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.nda
 def moderator_z(model: dict[str, np.ndarray]) -> np.ndarray:
     k = len(model["beta"])
     return model["gamma"] / np.sqrt(np.diag(model["covariance"])[k:])
+
+
+def contrast_rows(rows: np.ndarray) -> np.ndarray:
+    """Contrast rows scaled by the sum of their absolute values, without zero or repeated rows."""
+    rows = np.atleast_2d(np.asarray(rows, float))
+    size = np.abs(rows).sum(1)
+    rows = rows[size > 0] / size[size > 0, None]
+    if not len(rows):
+        raise ValueError("all rows of the contrast are zero")
+    return rows[np.sort(np.unique(rows, axis=0, return_index=True)[1])]
+
+
+def general_linear(model: dict[str, np.ndarray], rows: np.ndarray) -> tuple[float, int, float]:
+    """Chi-square, its degrees of freedom and ln p that all contrasts of moderators are 0."""
+    from quillmap.functions import special
+
+    c, k = contrast_rows(rows), len(model["beta"])
+    value = c @ model["gamma"]
+    chi2 = float(value @ np.linalg.pinv(c @ model["covariance"][k:, k:] @ c.T) @ value)
+    dof = int(np.linalg.matrix_rank(c))
+    return chi2, dof, float(special.chi2_to_nlogp(np.array([chi2]), dof)[0])
+
+
+def group_contrast(models: list[dict[str, np.ndarray]], rows: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """For each voxel the chi-square that all contrasts of groups' log intensities are 0, its degrees of freedom and ln p.
+
+    A row with one entry that is not 0 tests that group against an even spread of its foci.
+    """
+    from quillmap.functions import special
+
+    c = contrast_rows(rows)
+    logs = np.stack([m["x"] @ m["beta"] for m in models])
+    var = np.stack([np.einsum("vi,ij,vj->v", m["x"], m["covariance"][: len(m["beta"]), : len(m["beta"])], m["x"]) for m in models])
+    if (np.count_nonzero(c, axis=1) == 1).all():
+        logs = logs - np.log(np.exp(logs).mean(1, keepdims=True))
+    value = c @ logs
+    spread = np.einsum("ra,av,sa->vrs", c, var, c)
+    chi2 = np.einsum("rv,vrs,sv->v", value, np.linalg.pinv(spread), value)
+    dof = int(np.linalg.matrix_rank(c))
+    return chi2, dof, special.chi2_to_nlogp(chi2, dof)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,42 @@ def decode_brainmap(point, annotation, ids, threshold: float = 0.001, correction
     return t.select("label", "p_forward", "z_forward", "likelihood_forward", "p_reverse", "z_reverse", "prob_reverse")
 
 
+@dataclass
+class Decoder:
+    """A decoder of selections that remembers its studyset: ``fit`` chooses labels, ``transform`` decodes ids.
+
+    ``method`` is neurosynth or brainmap; ``group`` (a prefix) or ``features`` limit the
+    labels to those with a value at the threshold, and none left is an error.
+    """
+
+    method: str = "neurosynth"
+    group: str | None = None
+    features: list[str] | None = None
+    threshold: float = 0.001
+    prior: float | None = 0.5
+    correction: str | None = "bh"
+
+    def fit(self, point: DataFrame, annotation: DataFrame) -> Decoder:
+        if self.method not in ("neurosynth", "brainmap"):
+            raise ValueError(f"unknown method: {self.method}")
+        rows = annotation
+        if self.group is not None:
+            rows = rows.where(F.col("label").startswith(f"{self.group}__"))
+        if self.features is not None:
+            names = [f"{self.group}__{f}" if self.group and not f.startswith(f"{self.group}__") else f for f in self.features]
+            rows = rows.where(F.col("label").isin(names))
+        used = rows.where(F.col("value") >= self.threshold).select("label").distinct()
+        if used.isEmpty():
+            raise ValueError("no label has a value at the threshold")
+        self.point, self.annotation = point, rows.join(used, "label", "left_semi")
+        return self
+
+    def transform(self, ids: DataFrame, ids2: DataFrame | None = None) -> DataFrame:
+        if self.method == "brainmap":
+            return decode_brainmap(self.point, self.annotation, ids, self.threshold, self.correction)
+        return decode_neurosynth(self.point, self.annotation, ids, ids2, self.threshold, self.prior, self.correction)
+
+
 def roi_association(ma: DataFrame, roi: DataFrame, ids: DataFrame, annotation: DataFrame) -> DataFrame:
     """Pearson's r of each label's values, absent ones as 0, with an analysis' mean activation in a region.
 

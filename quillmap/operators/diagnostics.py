@@ -99,7 +99,7 @@ def image_summary(image: DataFrame) -> DataFrame:
     """Statistics of each image over its finite, non-zero voxels."""
     v = F.col("value")
     rows = image.where(v.isNotNull() & ~F.isnan(v) & (v != 0))
-    return rows.groupBy("id").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), F.percentile(v, 0.5).alias("median"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr"))
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), F.percentile(v, 0.5).alias("median"), F.mode(v, True).alias("mode"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr"))
 
 
 def coverage(image: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def coverage(image: DataFrame) -> DataFrame:
 
 
 def derive_images(wide: DataFrame) -> DataFrame:
-    """Missing maps of (z, t, p, beta, varcope, se, sd, sample_size) from those there are; the first route that applies wins."""
+    """Missing maps of (z, t, p, beta, varcope, se, sd, sample_size) from those there are, and d, g and g_var; the first route that applies wins."""
     from quillmap.functions import native, special
 
     n = F.col("sample_size").cast("double")
@@ -118,7 +118,12 @@ def derive_images(wide: DataFrame) -> DataFrame:
     rows = rows.withColumn("t", F.coalesce("t", F.try_divide(F.col("beta"), F.sqrt("varcope"))))
     rows = rows.withColumn("varcope", F.coalesce("varcope", native.t_and_beta_to_varcope(F.col("t"), F.col("beta"))))
     rows = rows.withColumn("beta", F.coalesce("beta", native.t_and_varcope_to_beta(F.col("t"), F.col("varcope"))))
-    return rows.withColumn("z", F.coalesce("z", special.t_to_z_udf(F.col("t"), n - 1), special.p_to_z_udf("p")))
+    rows = rows.withColumn("z", F.coalesce("z", special.t_to_z_udf(F.col("t"), n - 1), special.p_to_z_udf("p")))
+    rows = rows.withColumn("t", F.coalesce("t", F.when(F.col("z").isNotNull() & (n > 1), special.z_to_t_udf(F.col("z"), n - 1))))
+    rows = rows.withColumn("p", F.coalesce("p", F.exp(special.z_to_nlogp_udf("z"))))
+    d = native.t_to_d(F.col("t"), n)
+    g, g_var = native.d_to_g(d, n)
+    return rows.withColumns({"d": d, "g": g, "g_var": g_var})
 
 
 def peaks(stat: DataFrame, grid: Grid, threshold: float = 3.1, distance: float = 8.0, most: int = 1) -> DataFrame:

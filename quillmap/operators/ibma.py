@@ -128,49 +128,47 @@ def fixed_effects_hedges(image: DataFrame) -> DataFrame:
     return weighted_least_squares(image.withColumn("varcope", v).withColumn("value", g).where("varcope > 0"))
 
 
-def likelihood(image: DataFrame, method: str = "ML", by_size: bool = False) -> DataFrame:
-    """est, se and tau2 (and sigma2 with ``by_size``) of each voxel by maximum or restricted likelihood.
+def likelihood(image: DataFrame, method: str = "ML", by_size: bool = False, points: int = 16, rounds: int = 9) -> DataFrame:
+    """est, se, z, tau2 (and sigma2 with ``by_size``) of each voxel by maximum or restricted likelihood.
 
-    A voxel's group has one row for each image, which is few; the profile
-    likelihood in tau2 is maximised by golden-section search in numpy.
+    The profile likelihood of a tau2 needs four sums of a voxel. Each round takes those
+    sums for a grid of tau2 in one grouped pass and narrows the range around the best,
+    so no voxel's images are gathered; a range shrinks to 2 / (points - 1) in a round.
     """
-
-    def fit(y: np.ndarray, v: np.ndarray) -> tuple[float, float, float]:
-        def loss(tau2: float) -> float:
-            w = 1 / (v + tau2)
-            mu = (w * y).sum() / w.sum()
-            out = 0.5 * (np.log(v + tau2).sum() + (w * (y - mu) ** 2).sum())
-            return out + (0.5 * np.log(w.sum()) if method == "REML" else 0.0)
-
-        lo, hi = 0.0, max(float(np.var(y)) * 4, 1e-9)
-        g = (5**0.5 - 1) / 2
-        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-        fa, fb = loss(a), loss(b)
-        for _ in range(80):
-            if fa < fb:
-                hi, b, fb = b, a, fa
-                a = hi - g * (hi - lo)
-                fa = loss(a)
-            else:
-                lo, a, fa = a, b, fb
-                b = lo + g * (hi - lo)
-                fb = loss(b)
-        tau2 = min(((lo + hi) / 2, 0.0), key=loss)
-        w = 1 / (v + tau2)
-        return (w * y).sum() / w.sum(), w.sum() ** -0.5, tau2
-
-    def run(key, pdf):
-        y = pdf["value"].to_numpy(float)
-        if by_size:
-            n = pdf["sample_size"].to_numpy(float)
-            sigma2 = max(float(((y - y.mean()) ** 2 * n).sum() / max(len(y) - 1, 1)), 1e-12)
-            v = sigma2 / n
-        else:
-            sigma2, v = np.nan, pdf["varcope"].to_numpy(float)
-        est, se, tau2 = fit(y, v)
-        return pd.DataFrame([(key[0], est, se, est / se, tau2, sigma2)], columns=["voxel", "est", "se", "z", "tau2", "sigma2"])
-
-    return image.groupBy("voxel").applyInPandas(run, "voxel long, est double, se double, z double, tau2 double, sigma2 double")
+    first = image.groupBy("voxel").agg(F.var_pop("value").alias("var"), F.avg("value").alias("mean"), F.count("*").alias("k"))
+    if by_size:
+        spread = image.join(first.select("voxel", "mean"), "voxel").groupBy("voxel").agg(F.sum((F.col("value") - F.col("mean")) ** 2 * F.col("sample_size")).alias("s"), F.count("*").alias("n"))
+        sigma = spread.select("voxel", F.greatest(F.lit(1e-12), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))).alias("sigma2"))
+        rows = image.join(sigma, "voxel").select("voxel", F.col("value").alias("y"), (F.col("sigma2") / F.col("sample_size")).alias("v"))
+        first = first.join(sigma, "voxel")
+    else:
+        rows, first = image.select("voxel", F.col("value").alias("y"), F.col("varcope").alias("v")), first.withColumn("sigma2", F.lit(None).cast("double"))
+    bounds = first.select("voxel", F.lit(0.0).alias("lo"), F.greatest(4 * F.col("var"), F.lit(1e-9)).alias("hi"), "sigma2")
+
+    def sums(t: Column) -> Column:
+        w = 1 / (F.col("v") + t)
+        return F.struct(t.alias("t"), F.log(F.col("v") + t).alias("l"), w.alias("w"), (w * F.col("y")).alias("wy"), (w * F.col("y") * F.col("y")).alias("wyy"))
+
+    def total(at: DataFrame) -> DataFrame:
+        """Loss, estimate and weight of (voxel, t)."""
+        s = at.groupBy("voxel", "t").agg(*[F.sum(c).alias(c) for c in ("l", "w", "wy", "wyy")])
+        loss = 0.5 * (F.col("l") + F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w"))
+        if method == "REML":
+            loss = loss + 0.5 * F.log("w")
+        return s.select("voxel", "t", "w", (F.col("wy") / F.col("w")).alias("est"), loss.alias("loss"))
+
+    for _ in range(rounds):
+        step = (F.col("hi") - F.col("lo")) / (points - 1)
+        grid = F.explode(F.array(*[sums(F.col("lo") + i * step) for i in range(points)])).alias("s")
+        at = rows.join(bounds, "voxel").select("voxel", grid).select("voxel", "s.*")
+        best = total(at).groupBy("voxel").agg(F.min(F.struct("loss", "t")).alias("b"))
+        bounds = bounds.join(best, "voxel").select("voxel", F.greatest(F.lit(0.0), F.col("b.t") - step).alias("lo"), (F.col("b.t") + step).alias("hi"), "sigma2", F.col("b.t").alias("tau2"))
+        from quillmap.operators.text import checkpointed
+
+        bounds = checkpointed(bounds)
+    at = rows.join(bounds.select("voxel", "tau2"), "voxel").select("voxel", sums(F.col("tau2")).alias("s")).select("voxel", "s.*")
+    out = total(at).join(bounds.select("voxel", "tau2", "sigma2"), "voxel").select("voxel", "est", (1 / F.sqrt("w")).alias("se"), "tau2", "sigma2")
+    return out.withColumn("z", F.col("est") / F.col("se"))
 
 
 #: Values of a block of images that a task holds.

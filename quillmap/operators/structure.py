@@ -62,10 +62,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", value: str = "text")
 
 
 def combine_analyses(analysis: DataFrame, point: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One analysis for each study: ids joined by ``_`` in order, points re-keyed."""
-    keyed = analysis.groupBy("study_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), "_").alias("combined"))
+    """One analysis for each study: ids joined by ``_`` and names (if there are) by ``; `` in order, points re-keyed.
+
+    A study's analyses are few; ``rekey`` moves other children.
+    """
+    keyed = analysis.groupBy("study_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), "_").alias("combined"), *([F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]), "; ").alias("name")] if "name" in analysis.columns else []))
+    return keyed, rekey(point, analysis, keyed)
+
+
+def rekey(point: DataFrame, analysis: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Children of analyses (points, images, texts) as children of their study's one analysis."""
     moved = point.join(analysis.select("id", "study_id").join(keyed, "study_id").select("id", "combined"), "id")
-    return keyed, moved.drop("id").withColumnRenamed("combined", "id")
+    return moved.drop("id").withColumnRenamed("combined", "id")
 
 
 def unique_labels(annotation: DataFrame) -> DataFrame:

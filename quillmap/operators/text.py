@@ -77,22 +77,44 @@ def alias_forms(ontology: DataFrame) -> DataFrame:
     return both.distinct().withColumn("length", F.length("alias")).withColumn("ratio", ratio)
 
 
-def ontology_counts(text: DataFrame, forms: DataFrame, column: str = "text") -> DataFrame:
-    """(id, name, n): aliases counted in order, longest first, on text where earlier ones were replaced by ids.
+def ontology_rewrite(text: DataFrame, forms: DataFrame, column: str = "text") -> DataFrame:
+    """(id, text): aliases replaced by their ids, longest first, so later ones see earlier replacements.
 
-    The order matters, so the replacements are one chain of expressions over a bounded ontology, read first.
+    The ontology is bounded and goes to the tasks; each text is searched for an alias
+    in lower case before a replacement is tried.
     """
-    rows = forms.orderBy(F.desc("length"), F.desc("ratio"), "alias").select("id", "alias").collect()
-    docs = text.select("id", F.coalesce(F.col(column), F.lit("")).alias("t"))
-    names = sorted({r["id"] for r in rows})
     import re
 
-    for n, r in enumerate(rows):
-        docs = docs.withColumn("t", F.regexp_replace("t", rf"(?i)\b{re.escape(r['alias'])}\b", f"{r['id']}"))
-        if n % 20 == 19:
-            docs = docs.select("id", "t")
-    found = F.array(*[F.struct(F.lit(i).alias("name"), F.regexp_count("t", F.lit(rf"\b{re.escape(i)}\b")).alias("n")) for i in names])
-    return docs.select("id", F.explode(found).alias("f")).select("id", "f.name", "f.n").where("n > 0")
+    rows = forms.orderBy(F.desc("length"), F.desc("ratio"), "alias").select("id", "alias").collect()
+    sent = text.sparkSession.sparkContext.broadcast([(r["alias"].lower(), rf"(?i)\b{re.escape(r['alias'])}\b", r["id"]) for r in rows])
+
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+
+        plans = [(low, re.compile(pattern), name) for low, pattern, name in sent.value]
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                t = t or ""
+                low = t.lower()
+                for alias, pattern, name in plans:
+                    if alias in low:
+                        t = pattern.sub(lambda m, name=name: name, t)
+                        low = t.lower()
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["id", "text"])
+
+    source = text.select("id", F.col(column).alias("text"))
+    return source.mapInArrow(run, source.schema)
+
+
+def ontology_counts(text: DataFrame, forms: DataFrame, column: str = "text") -> DataFrame:
+    """(id, name, n): how often a term or one of its aliases occurs, counted on the rewritten text."""
+    names = forms.select(F.col("id").alias("name")).distinct()
+    found = ontology_rewrite(text, forms, column).select("id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
+    return found.join(small(names), "name", "left_semi").groupBy("id", "name").agg(F.count("*").alias("n"))
 
 
 def max_weights(relations: DataFrame, weights: dict[str, float]) -> DataFrame:

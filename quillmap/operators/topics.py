@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tokens of a block of documents, which one task samples (about).
+BLOCK_TOKENS = 200_000
 STATE = "doc long, kind int, word long, x double, y double, z double, topic int"
 
 
@@ -51,11 +53,14 @@ def sampler(r: int, seed: int, n_topics: int, alpha: float, gamma: float, sent):
     return sample
 
 
-def fit(counts: DataFrame, point: DataFrame, n_topics: int, n_words: int, rounds: int = 10, alpha: float = 0.1, beta: float = 0.01, gamma: float = 0.01, sigma0: float = 50.0, blocks: int = 16, seed: int = 1, write=None) -> dict[str, np.ndarray]:
+def fit(counts: DataFrame, point: DataFrame, n_topics: int, n_words: int, rounds: int = 10, alpha: float = 0.1, beta: float = 0.01, gamma: float = 0.01, sigma0: float = 50.0, blocks: int | None = None, seed: int = 1, write=None) -> dict[str, np.ndarray]:
     """Topic-word probabilities, Gaussians of topics and the state table. ``write`` cuts the lineage of each round's state."""
-    keep = write or (lambda df: df.persist())
+    from quillmap.operators.text import checkpointed
+
+    keep = write or checkpointed
     state = keep(tokens(counts, point).withColumn("topic", F.pmod(F.xxhash64("doc", "word", "x", "y", "z", "r", F.lit(seed)), F.lit(n_topics)).cast("int")).drop("r").select(*[c.split()[0] for c in STATE.split(", ")]))
     likelihood = []
+    blocks = blocks or max(16, -(-state.count() // BLOCK_TOKENS))
     for r in range(rounds):
         words, mean, var, share = summaries(state, n_topics, n_words, sigma0)
         phi = (words + beta) / (words.sum(1, keepdims=True) + beta * n_words)

@@ -95,6 +95,7 @@ class Studyset:
     text: DataFrame | None = None
     grid: Grid | None = None
     space: str = "MNI"
+    study: DataFrame | None = None
 
     def select(self, ids: DataFrame) -> Studyset:
         """Only the analyses of ``ids`` and their children."""
@@ -109,6 +110,57 @@ class Studyset:
     def with_(self, **tables) -> Studyset:
         return replace(self, **tables)
 
+    def keep(self, table: str, condition: Column) -> Studyset:
+        """Only the rows of a child table (point, image, annotation, text) that satisfy a condition; analyses stay."""
+        return replace(self, **{table: getattr(self, table).where(condition)})
+
+    def add_annotations(self, rows: DataFrame, annotation_id: str | None = None, dense: bool = False) -> Studyset:
+        """Add values (id, label, value), or with ``dense`` a table of id and one column for each label, whose zeros are not kept."""
+        if dense:
+            labels = [c for c in rows.columns if c != "id"]
+            pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"`{c}`").cast("double").alias("value")) for c in labels])).alias("v")
+            rows = rows.select("id", pairs).select("id", "v.*").where("value <> 0")
+        if annotation_id is not None:
+            rows = rows.withColumn("annotation_id", F.lit(annotation_id))
+        return replace(self, annotation=rows if self.annotation is None else self.annotation.unionByName(rows, allowMissingColumns=True))
+
+    def add_metadata(self, name: str, rows: DataFrame) -> Studyset:
+        """Add or replace a field of the analyses by (id, value); analyses without one get null."""
+        return replace(self, analysis=self.analysis.drop(name).join(rows.select("id", F.col("value").alias(name)), "id", "left"))
+
+    def field(self, name: str) -> DataFrame:
+        """(id, field) of the analyses; an unknown field is an error."""
+        if name not in self.analysis.columns:
+            raise ValueError(f"unknown field: {name}")
+        return self.analysis.select("id", name)
+
+    def labels(self, group: str | None = None) -> DataFrame:
+        """The labels there are, of one group (a prefix) or all."""
+        rows = self.annotation if group is None else self.annotation.where(F.col("label").startswith(f"{group}__"))
+        return rows.select("label").distinct()
+
+    def texts(self, field: str) -> DataFrame:
+        """(id, text) of one field; a field that no analysis has is an error."""
+        rows = self.text.where(F.col("field") == field).select("id", "text")
+        if rows.isEmpty():
+            raise ValueError(f"unknown text: {field}")
+        return rows
+
+    def images(self, kind: str) -> DataFrame:
+        """Images of one type; a type that no analysis has is an error."""
+        rows = self.image.where(F.col("value_type") == kind)
+        if rows.isEmpty():
+            raise ValueError(f"unknown image type: {kind}")
+        return rows
+
+    def in_order(self) -> Studyset:
+        """Rows in canonical order (study, analysis, place), for sinks."""
+        study = self.analysis.select("id", F.col("study_id").alias("_study_"))
+        def one(t: DataFrame) -> DataFrame:
+            place = [c for c in ("point_pos", "image_pos", "label", "field") if c in t.columns]
+            return t.join(study, "id", "left").orderBy("_study_", "id", *place).drop("_study_")
+        return self._each(one)
+
     def check(self) -> dict[str, int]:
         """Broken invariants: repeated analyses, and children without one."""
         out = {"repeated": self.analysis.groupBy("id").count().where("count > 1").count()}

@@ -20,9 +20,9 @@ def denull(c: Column) -> Column:
     return F.when(c != "None", c)
 
 
-def read(spark: SparkSession, path: str) -> Studyset:
-    """Tables of one or more JSON documents; missing ids become study-{i} and analysis-{i}."""
-    root = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+def read(spark: SparkSession, path: str, lines: bool = False) -> Studyset:
+    """Tables of one or more JSON documents, each a file or a line; missing ids become study-{i} and analysis-{i}."""
+    root = spark.read.schema(SCHEMA).option("multiLine", not lines).json(path)
     study = root.select(F.posexplode_outer("studies").alias("study_pos", "s")).where("s is not null")
     study = study.select("study_pos", F.coalesce("s.id", F.format_string("study-%d", "study_pos")).alias("study_id"), *[denull(F.col(f"s.{c}")).alias(c) for c in ("name", "authors", "publication", "doi", "pmid")], F.col("s.year").alias("year"), F.col("s.metadata").alias("metadata"), F.col("s.analyses").alias("analyses"))
     a = study.select("study_id", "study_pos", F.posexplode("analyses").alias("analysis_pos", "a"))
@@ -39,25 +39,51 @@ def read(spark: SparkSession, path: str) -> Studyset:
     analysis = analysis.join(of_study, ["study_id", "study_pos"], "left")
     size = lambda m: F.coalesce(F.col(m)["sample_sizes"], F.col(m)["sample_size"])
     analysis = analysis.withColumn("sample_size", sample_size(size("metadata"), size("study_metadata"))).drop("study_metadata")
-    return Studyset(analysis=analysis, point=point, annotation=annotation, image=image, text=text)
+    return Studyset(analysis=analysis, point=point, annotation=annotation, image=image, text=text, study=study.drop("analyses"))
 
 
 def nested(ss: Studyset) -> DataFrame:
-    """One JSON text for each study, children in their source order; studies without analyses do not occur."""
-    point = ss.point.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("point_pos", F.array("x", "y", "z").alias("coordinates"), "space", "kind"))), lambda p: F.struct(p["coordinates"].alias("coordinates"), p["space"].alias("space"), p["kind"].alias("kind"))).alias("points"))
-    notes = ss.annotation.groupBy("id", "annotation_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "text_value")))).alias("n"))
-    notes = notes.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("annotation_id", F.to_json("n").alias("j"))))).alias("j"))
-    notes = notes.select("id", F.transform_values("j", lambda k, v: F.from_json(v, "map<string,string>")).alias("annotations"))
-    a = ss.analysis.join(point, "id", "left").join(notes, "id", "left")
-    one = F.struct("analysis_pos", F.struct(F.col("contrast_id").alias("id"), "name", "description", "metadata", "points", "annotations").alias("a"))
-    # map columns cannot be ordered, so analyses are ordered by position through a map of them
-    grouped = a.groupBy("study_id", "study_pos").agg(F.map_from_entries(F.collect_list(F.struct("analysis_pos", F.to_json(one["a"]).alias("j")))).alias("m"))
-    ordered = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.col("m")[k])
-    return grouped.select("study_id", "study_pos", F.concat(F.lit('{"id":'), F.to_json(F.array("study_id")).substr(F.lit(2), F.length(F.to_json(F.array("study_id"))) - 2), F.lit(',"analyses":['), F.array_join(ordered, ","), F.lit("]}")).alias("value"))
-
-
-def write(ss: Studyset, path: str) -> None:
-    """A JSON document; its studies are gathered at the end, as one document has one file."""
+    """One JSON text for each study, children in their source order; studies without analyses do not occur.
+
+    Children are gathered for each analysis, and analyses for each study.
+    """
+    def children(table: DataFrame, place: str, fields: list[str], name: str) -> DataFrame:
+        rows = table.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(place, F.to_json(F.struct(*fields)).alias("j")))).alias("c"))
+        return rows.select("id", F.concat(F.lit(f'"{name}":['), F.array_join(F.transform("c", lambda x: x["j"]), ","), F.lit("]")).alias(name))
+
+    coordinates = F.array("x", "y", "z").alias("coordinates")
+    values = [F.transform(F.map_entries("values"), lambda e: F.struct(e["key"].alias("kind"), e["value"].alias("value"))).alias("values")] if "values" in ss.point.columns else []
+    a = ss.analysis.join(children(ss.point, "point_pos", [coordinates, F.col("space"), F.col("kind"), *values], "points"), "id", "left")
+    parts = ["points"]
+    if ss.image is not None:
+        a, parts = a.join(children(ss.image, "image_pos", [F.col(c) for c in ss.image.columns if c not in ("id", "image_pos")], "images"), "id", "left"), [*parts, "images"]
+    key = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    entries = lambda rows, k, v, name: rows.groupBy("id").agg(F.sort_array(F.collect_list(F.concat(key(F.col(k)), F.lit(":"), v))).alias("c")).select("id", F.concat(F.lit(f'"{name}":{{'), F.array_join("c", ","), F.lit("}")).alias(name))
+    notes = ss.annotation.groupBy("id", "annotation_id").agg(F.sort_array(F.collect_list(F.concat(key(F.col("label")), F.lit(":"), F.coalesce(key(F.col("text_value")), F.lit("null"))))).alias("n"))
+    notes = notes.select("id", "annotation_id", F.concat(F.lit("{"), F.array_join("n", ","), F.lit("}")).alias("n"))
+    a, parts = a.join(entries(notes, "annotation_id", F.col("n"), "annotations"), "id", "left"), [*parts, "annotations"]
+    if ss.text is not None:
+        a, parts = a.join(entries(ss.text, "field", key(F.col("text")), "texts"), "id", "left"), [*parts, "texts"]
+    if "conditions" in ss.analysis.columns:
+        listed = F.to_json(F.struct(F.transform("conditions", lambda c: c["condition"]).alias("conditions"), F.transform("conditions", lambda c: c["weight"]).alias("weights")))
+        a, parts = a.withColumn("conditions", listed.substr(F.lit(2), F.length(listed) - 2)), [*parts, "conditions"]
+    own = F.to_json(F.struct(F.col("contrast_id").alias("id"), *[c for c in ("name", "description", "metadata") if c in ss.analysis.columns]))
+    body = F.concat_ws(",", own.substr(F.lit(2), F.length(own) - 2), *[F.when(F.col(c) != "", F.col(c)) for c in parts])
+    rows = a.select("study_id", "study_pos", "analysis_pos", F.concat(F.lit("{"), body, F.lit("}")).alias("j"))
+    grouped = rows.groupBy("study_id", "study_pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("analysis_pos", "j"))), lambda x: x["j"]), ",").alias("analyses"))
+    head = F.to_json(F.struct(F.col("study_id").alias("id")))
+    if ss.study is not None:
+        grouped = grouped.join(ss.study, ["study_id", "study_pos"], "left")
+        head = F.to_json(F.struct(F.col("study_id").alias("id"), *[c for c in ss.study.columns if c not in ("study_id", "study_pos")]))
+    return grouped.select("study_id", "study_pos", F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"analyses":['), "analyses", F.lit("]}")).alias("value"))
+
+
+def write(ss: Studyset, path: str, whole: bool = True) -> None:
+    """A JSON document. As one document has one file, ``whole`` gathers its studies at the end; otherwise each line of a
+    folder's files is a document of one study, written where its rows are, which ``read`` takes too (``lines``)."""
     rows = nested(ss)
+    if not whole:
+        rows.select(F.concat(F.lit('{"studies":['), "value", F.lit("]}")).alias("value")).write.text(path)
+        return
     doc = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("study_pos", "value"))), lambda r: r["value"]), ",").alias("s"))
     doc.select(F.concat(F.lit('{"studies":['), "s", F.lit("]}")).alias("value")).write.text(path)

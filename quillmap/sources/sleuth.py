@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmap.functions.native import mni_to_tal, tal_to_mni
+from quillmap.plans.studyset import Studyset
+
 SPACES = {"mni": "MNI", "tal": "TAL", "talairach": "TAL"}
 SCHEMA = "study string, contrast string, sample_size int, x double, y double, z double, space string, path string, experiment int, focus int"
 
@@ -87,3 +90,21 @@ def write(point: DataFrame, analysis: DataFrame, path: str, space: str = "MNI",
 
     dealt = rows.select("group", "value").repartition("group").sortWithinPartitions("group")
     (dealt.mapInPandas(head, "group string, value string").sortWithinPartitions("group") if group is None else dealt.select("group", F.concat(F.lit(f"// Reference={space}\n"), "value").alias("value"))).write.partitionBy("group").text(path)
+
+
+def to_studyset(rows: DataFrame) -> Studyset:
+    """The studyset of parsed files: an analysis for each study and contrast."""
+    key = F.concat_ws("-", "study", "contrast")
+    sizes = rows.groupBy(key.alias("id"), F.col("study").alias("study_id"), F.col("contrast").alias("contrast_id")).agg(F.max("sample_size").alias("sample_size"), F.max("space").alias("space"))
+    return Studyset(analysis=sizes, point=rows.select(key.alias("id"), F.col("focus").alias("point_pos"), "x", "y", "z", "space"))
+
+
+def in_space(point: DataFrame, target: str) -> DataFrame:
+    """Points of MNI or TAL moved to one of them by the published affine; other or unknown spaces are an error where they occur."""
+    moves = {("MNI", "TAL"): mni_to_tal, ("TAL", "MNI"): tal_to_mni}
+    other = next(a for a, b in moves if b == target)
+    moved = moves[other, target](F.col("x"), F.col("y"), F.col("z"))
+    known = F.when(F.col("space").isin(target, other), F.col("space")).otherwise(F.raise_error(F.concat(F.lit("unknown space: "), F.coalesce("space", F.lit("none")))))
+    place = lambda i, c: F.when(known == target, F.col(c)).otherwise(moved[i])
+    out = point.withColumns({f"_{c}_": place(i, c) for i, c in enumerate("xyz")})
+    return out.withColumns({**{c: F.col(f"_{c}_") for c in "xyz"}, "space": F.lit(target)}).drop("_x_", "_y_", "_z_")

@@ -495,6 +495,88 @@ def test_nested_json_and_parquet(spark, tmp_path):
     assert ids(again.analysis) == ids(ss.analysis) and again.point.count() == 2 and again.annotation.count() == 1
 
 
+def test_nested_json_keeps_everything(spark, tmp_path):
+    doc = {"studies": [{"id": "b", "name": "B", "authors": "X, Y", "doi": "10/1", "year": 2001, "analyses": [{"id": "2", "name": "two", "points": [{"coordinates": [1.0, 2.0, 3.0], "space": "MNI", "values": [{"kind": "z", "value": 3.5}]}], "images": [{"url": "u", "filename": "f", "value_type": "z"}], "texts": {"abstract": 'say "hi"'}, "annotations": {"n": {"l": "1"}}, "conditions": [{"name": "c1"}], "weights": [0.5], "metadata": {"sample_sizes": "[4, 6]"}}, {"id": "1", "name": "one"}]}, {"id": "a", "analyses": [{"id": "1"}], "metadata": {"sample_size": "9"}}]}
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps(doc))
+    ss = nimads.read(spark, str(path))
+    nimads.write(ss, str(tmp_path / "one"))
+    nimads.write(ss, str(tmp_path / "many"), whole=False)
+    for again in (nimads.read(spark, str(tmp_path / "one")), nimads.read(spark, str(tmp_path / "many"), lines=True)):
+        for name in ("point", "image", "text", "annotation"):
+            a, b = (sorted(str(r) for r in getattr(x, name).collect()) for x in (ss, again))
+            assert a == b, name
+        rows = {r["id"]: r for r in again.analysis.collect()}
+        assert rows["b-2"]["sample_size"] == [4.0, 6.0] and rows["b-1"]["sample_size"] is None
+        assert [(c["condition"]["name"], c["weight"]) for c in rows["b-2"]["conditions"]] == [("c1", 0.5)]
+        assert {(r["study_id"], r["authors"], r["doi"], r["year"]) for r in again.study.collect()} == {("b", "X, Y", "10/1", 2001), ("a", None, None, None)}
+    assert {r["id"]: r["sample_size"] for r in ss.analysis.collect()}["a-1"] == [9.0]
+    assert [r["analysis_pos"] for r in spark.createDataFrame([], "analysis_pos int").collect()] == []
+
+
+def test_edits_and_projections(spark, ss):
+    wide = spark.createDataFrame([(1, 0.0, 2.0), (4, 1.0, 0.0)], "id long, `g__x y` double, g__z double")
+    more = ss.add_annotations(wide, "new", dense=True)
+    assert {(r["id"], r["label"], r["value"]) for r in more.annotation.where("annotation_id = 'new'").collect()} == {(1, "g__z", 2.0), (4, "g__x y", 1.0)}
+    assert {r["label"] for r in more.labels("g").collect()} == {"g__x y", "g__z"}
+    assert {r["id"]: r["age"] for r in ss.add_metadata("age", spark.createDataFrame([(2, 30)], "id long, value int")).field("age").collect()} == {1: None, 2: 30, 3: None, 4: None}
+    with pytest.raises(ValueError, match="unknown field"):
+        ss.field("nothing")
+    assert ss.keep("point", F.col("i") > 3).point.count() == 2 and ss.keep("point", F.col("i") > 3).analysis.count() == 4
+    assert [r["id"] for r in ss.in_order().point.collect()] == [1, 1, 2, 3, 3]
+    text_rows = Studyset(ss.analysis, text=spark.createDataFrame([(1, "abstract", "t")], "id long, field string, text string"))
+    assert text_rows.texts("abstract").first()["text"] == "t"
+    with pytest.raises(ValueError, match="unknown text"):
+        text_rows.texts("body")
+    keyed, moved = structure.combine_analyses(ss.analysis.withColumn("name", F.concat(F.lit("n"), "id")), ss.point)
+    assert {r["study_id"]: (r["combined"], r["name"]) for r in keyed.collect()}[10] == ("1_2", "n1; n2") and moved.where("id = '1_2'").count() == 3
+
+
+def test_decoder_object(spark, tiny):
+    from quillmap.operators import decode
+
+    p, n, s = proxy.points(spark, tiny), proxy.annotations(spark, tiny), proxy.selected(spark, tiny)
+    grouped = n.withColumn("label", F.concat(F.lit("g__"), "label"))
+    one = decode.Decoder(group="g", features=["Brand#11", "g__Brand#12"], correction=None).fit(p, grouped).transform(s)
+    assert {r["label"] for r in one.collect()} == {"g__Brand#11", "g__Brand#12"}
+    assert decode.Decoder("brainmap").fit(p, grouped).transform(s).count() == 25
+    with pytest.raises(ValueError, match="no label"):
+        decode.Decoder(group="h").fit(p, grouped)
+
+
+def test_spaces_and_sleuth_studysets(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("// Reference=TAL\n// Lee 2010: go\n// Subjects=8\n10 -20 30\n")
+    own = sleuth.to_studyset(sleuth.read(spark, str(tmp_path / "a.txt")))
+    assert own.analysis.first()["id"] == "Lee 2010-go" and own.analysis.first()["sample_size"] == 8
+    moved = sleuth.in_space(own.point, "MNI")
+    back = sleuth.in_space(moved, "TAL").first()
+    assert moved.first()["x"] != 10.0 and (back["x"], back["y"], back["z"]) == pytest.approx((10.0, -20.0, 30.0))
+    with pytest.raises(Exception, match="unknown space"):
+        sleuth.in_space(own.point.withColumn("space", F.lit("DOG")), "MNI").collect()
+
+
+def test_group_contrasts(spark):
+    rng = np.random.default_rng(1)
+    pts = [(i, *map(int, rng.integers(0, 6, 3))) for i in range(20) for _ in range(20)]
+    p = spark.createDataFrame(pts, "id long, i long, j long, k long")
+    model = cbmr.fit(p, spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "id long, g double"), GRID, ["g"], spacing=3)
+    chi2, dof, ln_p = cbmr.general_linear(model, [[2.0], [0.0], [2.0]])
+    assert dof == 1 and chi2 == pytest.approx(cbmr.moderator_z(model)[0] ** 2) and math.exp(ln_p) == pytest.approx(math.erfc(math.sqrt(chi2 / 2)))
+    same, dof, _ = cbmr.group_contrast([model, model], [[1, -1]])
+    assert np.abs(same).max() == 0 and dof == 1
+    even, dof, ln_p = cbmr.group_contrast([model, model], [[1, 0], [0, 1]])
+    assert dof == 2 and (even >= 0).all() and (ln_p <= 0).all()
+    with pytest.raises(ValueError, match="zero"):
+        cbmr.contrast_rows([[0.0, 0.0]])
+
+
+def test_z_to_t_inverts():
+    from quillmap.functions import special
+
+    t, dof = np.array([-7.0, -0.3, 0.0, 2.0, 30.0]), np.array([3.0, 5.0, 5.0, 12.0, 4.0])
+    assert special.z_to_t(special.t_to_z(t, dof), dof) == pytest.approx(t, abs=1e-9)
+
+
 def test_synthetic_is_reproducible(spark):
     a, b = (tables.synthetic(spark, [(0, 0, 0), (10, 10, 10)], 20, n_noise=3).point for _ in range(2))
     assert a.count() == 20 * 5 and a.exceptAll(b.repartition(3)).count() == 0
