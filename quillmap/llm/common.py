@@ -66,6 +66,11 @@ def look_up(rows: DataFrame, small: DataFrame, on: str, key: str) -> DataFrame:
     return dealt.join(many, F.col(on).eqNullSafe(F.col(key)) & (F.col("_salt_") == F.col("_copy_")), "left").drop("_salt_", "_copy_")
 
 
+def with_text(docs: DataFrame, keep: list[str], text: Column | str) -> DataFrame:
+    """The kept columns as _0, _1, ... and the text as _text, so that no name of theirs can clash."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], (F.col(text) if isinstance(text, str) else text).alias("_text"))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this subpackage to Python workers that could not import it otherwise."""
     root = Path(__file__).resolve().parents[2]

@@ -111,7 +111,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: in
     queries = materialize(bench.select(*item, "m", "k", F.col("seq").alias("item_seq"), simhash(F.col("seq")).alias("item_print")).dropDuplicates(item), "prints")
     left = distinct.select(*window, "print", F.explode(hamming_blocks(F.col("print"))).alias("block"))
     right = queries.select(*item, "m", "k", "item_print", F.explode(hamming_probes(F.col("item_print"), radius)).alias("block"))
-    near = left.join(right, ["m", "k", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    # probes are many for each item, so they are never sent whole
+    near = left.join(right.hint("merge"), ["m", "k", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     pair = [*window, *item]
     near = materialize(near.select(*pair).distinct(), "near")
     # the words of both, for pairs within the radius alone

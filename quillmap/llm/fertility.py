@@ -11,7 +11,8 @@ Words repeat far more often than they differ, so each task encodes a distinct
 word once and expands the result by the words' positions.
 
 Defined results: a null or empty text has zero counts and fails the base
-rules; repeated rows get equal rows; extra columns pass through ``measure``;
+rules; repeated rows get equal rows; extra columns pass through ``measure``, but
+ones named as its results are replaced;
 bands of a group with no usable document are open.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded, look_up, materialize
+from .common import bounded, look_up, materialize, with_text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits text before merges, as the vocabulary's authors publish it (fixed value).
@@ -161,13 +162,13 @@ def sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def measure(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns with counts and fertility of each whole text. The vocabulary file, of about a megabyte, goes to each task."""
     spark = docs.sparkSession
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    keep = [c for c in keep if c not in names]
     # a path without a scheme is read by the driver, so executors need no copy of the file
     raw = bytes(spark.read.format("binaryFile").load(vocabulary).select("content").first()[0]) if "://" in vocabulary else Path(vocabulary).read_bytes()
     sent = spark.sparkContext.broadcast(raw)
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text_"))
     head = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head] + [FIELDS])
-    names = [f.split()[0] for f in FIELDS.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     types = [kinds[f.split()[1]] for f in FIELDS.split(", ")]
 
@@ -176,9 +177,9 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: st
         for b in batches:
             if b.num_rows:
                 found = measure_texts(b.column(b.num_columns - 1), codes)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(found[n], t) for n, t in zip(names, types, strict=True)]], [*b.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(found[n], t) for n, t in zip(names, types, strict=True)]], [*keep, *names])
 
-    return inputs.mapInArrow(run, schema)
+    return with_text(docs, keep, text).mapInArrow(run, schema)
 
 
 def judge(measured: DataFrame, lang: str | None = "lang", reach: float = REACH) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import with_text
 
 #: Length of a profile, n-gram lengths, bits of a symbol, and parts of a language in which its profile's candidates are found.
 RANKS, ORDERS, BITS, PARTS = 300, (1, 2, 3), 16, 64
@@ -130,7 +131,6 @@ def predict(docs: DataFrame, learned: DataFrame, keep: list[str], text: str = "t
     for r in rows:
         table[row[r["code"]], column[r["lang"]]] = r["rank"]
     sent = docs.sparkSession.sparkContext.broadcast((np.array(found), table))
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text_"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +144,6 @@ def predict(docs: DataFrame, learned: DataFrame, keep: list[str], text: str = "t
                 some[:] = False
             found = [names[k] if s else "und" for k, s in zip(best.tolist(), some.tolist(), strict=True)]
             score = np.where(some, 1 - d[np.arange(len(d)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return inputs.mapInArrow(run, schema)
+    return with_text(docs, keep, text).mapInArrow(run, schema)

@@ -157,7 +157,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, mis
     star = star.where(close).select("a", "b").distinct()
     wanted = members.select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).select(node, "text")
-    texts = materialize(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    # by a merge at every size, so that what is shuffled grows with the input
+    texts = materialize(texts.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
     links = materialize(verify(star, texts, k, percent), "links")
     found = connected_components(links)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize
+from .common import materialize, with_text
 
 #: Documented bounds: hash buckets, embedding width, and labelled texts and bytes of each class used in training.
 BITS, WIDTH, MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 17, 4, 2500, 7000, 32 << 20
@@ -201,12 +201,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != to]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text_"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(to, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = pa.array(score_texts(b.column(b.num_columns - 1), sent.value), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], [*b.schema.names[:-1], to])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], [*keep, to])
 
-    return inputs.mapInArrow(run, schema)
+    return with_text(docs, keep, text).mapInArrow(run, schema)

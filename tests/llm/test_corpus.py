@@ -113,6 +113,7 @@ def test_toxicity_edges(spark):
     docs = frame(spark, [*EDGE, lorem(3, 20000)], [(0, None, None, None, None)]).withColumn("_text_", F.lit(1))
     out = toxicity.score(docs.drop("_text_").withColumn("label", F.lit(1)), model)
     assert out.columns[-2:] == ["label", "score"]
+    assert toxicity.score(docs.withColumn("score", F.lit("own")), model).columns.count("score") == 1
     rows = out.collect()
     assert len(rows) == len(EDGE) + 2 and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score(docs.limit(0), model, keep=["doc_id"]).count() == 0
@@ -144,6 +145,32 @@ def test_word_codes_match_encoder():
     assert fertility.measure_texts(pa.array([None]), codes)["n_tokens"].tolist() == [0]
 
 
+def test_bands_and_verdicts_match_brute_force(spark):
+    rng = np.random.default_rng(2)
+    texts = [*EDGE, *[lorem(i, 40 + i) for i in range(40)], *["".join(rng.choice(list("qxzjkv"), 6)) + " " + lorem(200 + i, 30) for i in range(10)], *[" ".join("".join(rng.choice(list("\u4e00\u9fa5\u3042xq9"), 5)) for _ in range(40)) for _ in range(3)], lorem(7, 30) + " \U0001f600\U0001f47e" * 60, lorem(8, 2000)]
+    docs = frame(spark, texts, [(8, texts[8], "de", None, 0)]).withColumns({"script": F.lit("clash"), "n_words": F.lit(-1)})
+    got = fertility.fertility_rules(docs).collect()
+    assert len(got) == len(texts) + 1
+    value = {"chars_per_token": lambda r: r["chars_per_token"], "fallback_share": lambda r: r["fallback_share"], "flat": lambda r: r["token_entropy"] / math.log2(max(r["n_tokens"], 2))}
+    groups = collections.defaultdict(list)
+    for r in got:
+        if not r["base_failed"]:
+            groups[r["band_group"]].append(r)
+    at = lambda x, q: sorted(x)[max(math.ceil(q * len(x)) - 1, 0)]
+    bands = {g: {n: [at([f(r) for r in rows], q) for q in (0.25, 0.5, 0.75)] for n, f in value.items()} for g, rows in groups.items()}
+    wide = lambda q, least: max((q[2] - q[0]) * fertility.REACH, least)
+    rejected = 0
+    for r in got:
+        want = not r["base_failed"]
+        if want:
+            b = bands[r["band_group"]]
+            c, f, e = b["chars_per_token"], b["fallback_share"], b["flat"]
+            want = abs(value["chars_per_token"](r) - c[1]) <= wide(c, 0.5) and value["fallback_share"](r) <= f[1] + wide(f, 0.02) and value["flat"](r) >= e[1] - wide(e, 0.1)
+            rejected += not want
+        assert r["kept"] == want
+    assert rejected > 0 and all(r["kept"] for r in got if len(EDGE) <= r["doc_id"] < len(EDGE) + 40 and r["doc_id"] != 8)
+
+
 def test_fertility_empty_table(spark):
     assert fertility.fertility_rules(frame(spark, ["x"]).limit(0)).count() == 0
 
@@ -750,6 +777,62 @@ def test_language_is_right_on_held_out(spark, tiny):
     assert out.where("lang = lang_pred").count() >= 0.9 * out.count()
 
 
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+
+    items = [lorem(700 + i, 30) for i in range(3)]
+    base = [lorem(s, 60) for s in range(12)]
+    texts = [*[f"A common line\n{b}" for b in base], *[near(b, 31 + i, 1) for i, b in enumerate(base[:4])], base[5], lorem(40, 20) + " " + items[0] + " " + lorem(41, 9), items[1], near(items[2], 5, 12), None, "", lorem(50, 9000), *[lorem(60 + i, 40) + " vilescum vilescums vilescumo" for i in range(20)]]
+    docs = frame(spark, texts).withColumn("text", F.col("text"))
+    spark.createDataFrame([(i, 1, int(i >= len(texts) - 20)) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    seen = F.coalesce(P.crc_mod("doc_id", 4) != 2, F.lit(True))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet")).select("doc_id", F.col("toxic").alias("label"))
+    scores = toxicity.score_texts(pa.array(texts), toxicity.train(docs, labels, seen))
+    now = P.drop_toxic(spark, docs, str(tmp_path))
+    assert rows(now) == {i: t for i, t in enumerate(texts) if scores[i] < 0.3} and len(rows(now)) < len(texts)
+
+    kept = rows(now)
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    often = collections.Counter(k for t in kept.values() for k in {key(x) for x in (t or "").split("\n")} if k)
+    now = P.materialize(P.drop_lines(spark, now, str(tmp_path)), "lines")
+    want = {i: "\n".join(x for x in (t or "").split("\n") if often[key(x)] < 10) for i, t in kept.items()}
+    assert rows(now) == want and any(want[i] != t for i, t in kept.items() if t)
+
+    sets = {i: shingles(t, 5) for i, t in want.items()}
+    root = {i: i for i in want}
+    for i in want:
+        for j in want:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    now = P.materialize(P.drop_near_duplicates(spark, now, str(tmp_path)), "near")
+    want = {i: t for i, t in want.items() if root[i] == i}
+    assert rows(now) == want
+
+    def holds(t):
+        w = WORD.findall((t or "").lower())
+        for item in items:
+            q = WORD.findall(item.lower())
+            count = lambda x: collections.Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+            for a in range(max(1, len(w) - len(q) + 1)):
+                x, y = count(w[a : a + len(q)]), count(q)
+                if x & y and (x & y).total() >= 0.8 * (x | y).total():
+                    return True
+        return False
+
+    now = P.materialize(P.drop_contaminated(spark, now, str(tmp_path)), "clean")
+    want = {i: t for i, t in want.items() if not holds(t)}
+    assert rows(now) == want
+
+    con = duckdb.connect()
+    con.register("documents", now.toArrow())
+    taken = {r["doc_id"]: r["taken"] for r in P.mix(spark, now, str(tmp_path)).collect()}
+    assert taken == {r[0]: r[4] for r in con.sql(mixing.SQL).fetchall()}
+
+
 def test_pipeline_stages_take_effect(spark, tiny):
     import corpus_pipeline as P
 
