@@ -204,29 +204,18 @@ def with_z(rows: DataFrame) -> DataFrame:
     return rows.withColumn("z", special.p_to_z_udf("p"))
 
 
-def in_ranges(rows: DataFrame, column: str, blocks: int) -> DataFrame:
-    """Add ``_b_``: the range of values that a row is in, of ranges with about as many rows each. Equal values share one."""
-    cuts = rows.agg(F.percentile_approx(column, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 10 * blocks).alias("c")).first()["c"] or []
-    table = F.split(F.lit(",".join(map(repr, sorted(set(cuts))))), ",") if cuts else None
-    if table is None:
-        return rows.withColumn("_b_", F.lit(0))
-    table = F.transform(table, lambda x: x.cast("double"))
-    # binary search in a constant array
-    steps = F.sequence(F.lit(0), F.lit(len(set(cuts)).bit_length()))
-    low = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("lo"), F.lit(len(set(cuts))).alias("hi")),
-        lambda a, _: F.when(a["lo"] >= a["hi"], a).otherwise(
-            F.when(F.get(table, F.call_function("div", a["lo"] + a["hi"], F.lit(2)).cast("int")) < F.col(column), F.struct((F.call_function("div", a["lo"] + a["hi"], F.lit(2)).cast("int") + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(
-                F.struct(a["lo"].alias("lo"), F.call_function("div", a["lo"] + a["hi"], F.lit(2)).cast("int").alias("hi"))
-            )
-        ),
-        lambda a: a["lo"],
-    )
-    return rows.withColumn("_b_", low)
+def in_ranges(rows: DataFrame, column: str, blocks: int | None = None) -> DataFrame:
+    """Add ``_b_``: the range of values that a row is in, of ranges with about as many rows each, in order. Equal values share one.
+
+    The rows are computed once, and dealt by Spark's range partitioning.
+    """
+    from quillmap.operators.text import checkpointed
+
+    n = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(checkpointed(rows).repartitionByRange(n, column).withColumn("_b_", F.spark_partition_id()))
 
 
-def null_to_p(value: DataFrame, null: DataFrame, tail: str = "upper", blocks: int = 256) -> DataFrame:
+def null_to_p(value: DataFrame, null: DataFrame, tail: str = "upper", blocks: int | None = None) -> DataFrame:
     """Empirical p of (key, value) against null values: counts by a merged order of both, clipped to [1/n, 1 - 1/n].
 
     Values are ordered within ranges of about as many each; totals of the ranges before and after come from a small table,
@@ -289,13 +278,24 @@ def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid
     rows = foci.select("id", F.col("n").cast("long").alias("n"), size.alias("sample_size"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n_iters // DRAW_ITERATIONS) - 1)))))
 
-    def spheres(picks: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        at = picks[:, None, :] + steps[None]
-        ok = ((at >= 0) & (at < np.array(shape))).all(2)
-        flat = np.ravel_multi_index(tuple(at[ok].T), shape)
-        if kind == "mkda":
-            flat = np.unique(np.repeat(owner, ok.sum(1)) * inside.size + flat) % inside.size
-        return np.bincount(flat, minlength=inside.size).astype(float)
+    # a margin around the volume takes what falls outside, so offsets are one addition each
+    margin = np.abs(steps).max(0) if len(steps) else np.zeros(3, np.int64)
+    wide = tuple(int(n + 2 * m) for n, m in zip(shape, margin, strict=True))
+    offsets = steps @ np.array([wide[1] * wide[2], wide[2], 1])
+    size_wide = int(np.prod(wide))
+    inner = tuple(slice(int(m), int(m) + n) for m, n in zip(margin, shape, strict=True))
+
+    def spheres(picks: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        at = np.ravel_multi_index(tuple((picks + margin).T), wide)[:, None] + offsets[None]
+        if kind == "kda":
+            total = np.bincount(at.ravel(), minlength=size_wide)
+        elif (owners := int(owner[-1]) + 1 if len(owner) else 0) * size_wide <= 8 * at.size:
+            on = np.zeros((owners, size_wide), bool)
+            on[owner[:, None], at] = True
+            total = on.sum(0)
+        else:
+            total = np.bincount(np.unique(owner[:, None] * size_wide + at) % size_wide, minlength=size_wide)
+        return total.reshape(wide)[inner].ravel().astype(float)
 
     def draw(key, own):
         cells, inside = sent.value
@@ -318,7 +318,7 @@ def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid
                 cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], 20_000)).tolist() + [len(own)])
                 for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
                     owner = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                    total += spheres(picks[ends[a] : ends[b]], owner, inside)
+                    total += spheres(picks[ends[a] : ends[b]], owner)
             out.append((it, np.where(inside.ravel(), total, 0.0).tobytes()))
         return pd.DataFrame(out, columns=["iteration", "part"])
 

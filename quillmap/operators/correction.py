@@ -14,7 +14,7 @@ def bonferroni(rows: DataFrame, column: str = "nlogp") -> DataFrame:
     return rows.crossJoin(F.broadcast(m)).withColumn("corrected", F.least(F.col(column) + F.log(F.col("_m_").cast("double")), F.lit(0.0))).drop("_m_")
 
 
-def fdr(rows: DataFrame, method: str = "bh", column: str = "nlogp", blocks: int = 256) -> DataFrame:
+def fdr(rows: DataFrame, method: str = "bh", column: str = "nlogp", blocks: int | None = None) -> DataFrame:
     """Benjamini-Hochberg or -Yekutieli step-up by ranks and a running minimum from the largest p.
 
     The rank and the running minimum go over ranges of about as many values first and
@@ -24,13 +24,12 @@ def fdr(rows: DataFrame, method: str = "bh", column: str = "nlogp", blocks: int
         raise ValueError(f"unknown method: {method}")
     from quillmap.operators.cbma import in_ranges
 
-    live = rows.where(F.col(column).isNotNull())
+    live = in_ranges(rows.where(F.col(column).isNotNull()), column, blocks)
     m = live.count()
     # ln of the harmonic number: its first terms, and beyond them the usual expansion
     extra = 0.0
     if method == "by" and m:
         extra = math.log(sum(1 / i for i in range(1, m + 1)) if m < 1000 else math.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m))
-    live = in_ranges(live, column, blocks)
     sizes = live.groupBy("_b_").agg(F.count("*").alias("n")).withColumn("_skip_", F.coalesce(F.sum("n").over(Window.orderBy("_b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b_", "_skip_")
     up = Window.partitionBy("_b_").orderBy(column)
     ranked = live.join(sizes, "_b_").withColumn("_r_", F.row_number().over(up) + F.col("_skip_"))

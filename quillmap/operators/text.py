@@ -23,6 +23,12 @@ def tokens(text: DataFrame, column: str = "text", stop: list[str] | None = None)
 MOST_TERMS = 500_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew if it has fewer partitions than there are cores, as one small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if it has at most MOST_TERMS rows."""
     return F.broadcast(df) if df.count() <= MOST_TERMS else df
@@ -34,7 +40,7 @@ def term_counts(text: DataFrame, column: str = "text", stop: list[str] | None =
     Terms that are rare, most of them, are found by their hashes first, so they are
     neither shuffled as strings nor counted for each text.
     """
-    terms = tokens(text, column, stop)
+    terms = tokens(spread(text), column, stop)
     total = text.agg(F.count("*").alias("n_docs"))
     hashed = terms.select(F.explode(F.array_distinct(F.transform("terms", lambda t: F.xxhash64(t)))).alias("h"))
     often = small(hashed.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= min_df).select("h"))
