@@ -40,9 +40,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    written(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``materialize`` has written in this session, in order."""
+    if not hasattr(spark.sparkContext, "_corpus_tables"):
+        spark.sparkContext._corpus_tables = []
+    return spark.sparkContext._corpus_tables
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete tables written after the first ``since``, but not the last one. What is left to compute must not need them."""
+    paths = written(spark)
+    for path in paths[since:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths[since:] = paths[since:][-1:]
+
+
 #: Most rows of a table that is sent to all tasks, and tasks over which one key's rows are dealt where it is not.
 MOST_SENT, SALTS = 100_000, 32
 

@@ -777,6 +777,20 @@ def test_language_is_right_on_held_out(spark, tiny):
     assert out.where("lang = lang_pred").count() >= 0.9 * out.count()
 
 
+def test_release_deletes_all_but_the_last_table(spark):
+    from quillmap.llm import common
+
+    first = common.materialize(spark.range(3), "first")
+    since = len(common.written(spark))
+    common.materialize(spark.range(4), "second")
+    path = common.written(spark)[-1]
+    last = common.materialize(spark.range(5), "last")
+    common.release(spark, since)
+    assert first.count() == 3 and last.count() == 5 and len(common.written(spark)) == since + 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_pipeline_stages_match_brute_force(spark, tmp_path):
     import corpus_pipeline as P
 
