@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.llm import decontam, linededup, minhash, mixing, toxicity
-from quillmap.llm.common import crc_mod, materialize, ship, table
+from quillmap.llm.common import crc_mod, materialize, release, ship, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,12 +66,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix),
 ]
 
-#: A trained score decides in the first stage, which SQL cannot express; the tests hold each stage against a brute-force version.
+#: A trained score decides in the first stage, which SQL cannot express; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    since = len(written(spark))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, since)  # what the stage wrote on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
