@@ -138,9 +138,11 @@ def closure(weights: DataFrame, write=None) -> DataFrame:
     """
     keep = write or checkpointed
     now = keep(weights.groupBy("input", "output").agg(F.least(F.max("weight"), F.lit(1.0)).alias("weight")))
-    size = None
+    size = before = None
     while size != (size := tuple(now.agg(F.count("*"), F.sum("weight"), F.sum(F.xxhash64("input", "output", "weight").cast("decimal(38,0)"))).first())):
-        step = now.alias("a").join(now.alias("b"), F.col("a.output") == F.col("b.input")).select("a.input", "b.output", (F.col("a.weight") * F.col("b.weight")).alias("weight"))
+        if before is not None:
+            before.unpersist()
+        before, step = now, now.alias("a").join(now.alias("b"), F.col("a.output") == F.col("b.input")).select("a.input", "b.output", (F.col("a.weight") * F.col("b.weight")).alias("weight"))
         now = keep(now.unionByName(step).groupBy("input", "output").agg(F.least(F.max("weight"), F.lit(1.0)).alias("weight")))
     return now
 

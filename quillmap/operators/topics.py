@@ -63,6 +63,9 @@ def fit(counts: DataFrame, point: DataFrame, n_topics: int, n_words: int, rounds
     blocks = blocks or max(16, -(-state.count() // BLOCK_TOKENS))
     for r in range(rounds):
         words, mean, var, share = summaries(state, n_topics, n_words, sigma0)
+        if r:
+            before.unpersist()
+        before = state
         phi = (words + beta) / (words.sum(1, keepdims=True) + beta * n_words)
         sent = state.sparkSession.sparkContext.broadcast((phi, mean, var))
         dealt = state.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)))
