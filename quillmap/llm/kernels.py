@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts that are handled at once (about), and n-grams that a counting task holds before it gives them away.
-SLICE, MOST_HELD = 1 << 20, 1 << 20
+SLICE, MOST_HELD = 1 << 20, 1 << 18
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
