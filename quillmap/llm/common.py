@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the ASCII white space below.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,8 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage, so a lost executor costs no recomputation of what
     came before, and later passes read only the columns that they need.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    # what was shuffled for the table is of no use once it stands
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     written(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
