@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, **options: int | str) -> DataFrame:
+    """Write ``df`` to the shared folder, with the writer's ``options``, and read it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what
     came before, and later passes read only the columns that they need.
@@ -45,7 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     written(df.sparkSession).append(path)

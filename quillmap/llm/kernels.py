@@ -75,7 +75,11 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tu
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and for each text the index of its first word (with a last sentinel)."""
-    inside = ~IS_SPACE[buf]
+    return spans(~IS_SPACE[buf], offsets)
+
+
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of runs of bytes that are inside, none over the end of a text, and for each text the index of its first one (with a last sentinel)."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

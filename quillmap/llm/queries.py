@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fertility, kneser_ney, langid, linededup, minhash, mixing, pii, substrings, toxicity
+from . import chat, decontam, fertility, kneser_ney, langid, linededup, minhash, mixing, pii, search, substrings, toxicity, variants
 from .common import crc_mod, ship, table
 
 
@@ -66,11 +66,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return search.search(search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], texts=False)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,9 +100,9 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY row
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_fertility, op3_chat_snapshots, op4_language, op5_near_duplicates, op6_mixing, op7_pseudonyms, op8_line_dedup, op9_perplexity, op10_decontamination, op12_substring_dedup, pipeline)
+    named = (op1_toxicity, op2_fertility, op3_chat_snapshots, op4_language, op5_near_duplicates, op6_mixing, op7_pseudonyms, op8_line_dedup, op9_perplexity, op10_decontamination, op11_lexical_search, op12_substring_dedup, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_snapshots": chat.SQL, "op6_mixing": mixing.SQL, "op8_line_dedup": LINES_SQL, "op10_decontamination": decontam.SQL, "op12_substring_dedup": substrings.SQL}
+    return {"op3_chat_snapshots": chat.SQL, "op6_mixing": mixing.SQL, "op8_line_dedup": LINES_SQL, "op10_decontamination": decontam.SQL, "op11_lexical_search": search.SQL, "op12_substring_dedup": substrings.SQL}
