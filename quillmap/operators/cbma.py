@@ -110,8 +110,14 @@ def ale_histograms(ma: DataFrame, n_voxels: int, step: float = 1e-5) -> DataFram
 FOLD_ANALYSES, FOLD_MERGES, FOLD_DIRECT = 256, 8, 20_000_000
 
 
-def convolve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The sum of two independent numbers of bins; shares below 1e-16 of the largest are noise of the transform and set to 0."""
+def convolve(x: np.ndarray, y: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The sum of two independent numbers of bins; shares below 1e-16 of the largest are noise of the transform and set to 0.
+
+    Sums beyond ``most`` are kept together in the bin after it.
+    """
+    if most is not None and len(x) + len(y) - 2 > most:
+        out = convolve(x, y)
+        return np.concatenate([out[: most + 1], [out[most + 1 :].sum()]])
     n = len(x) + len(y) - 1
     if np.count_nonzero(x) * np.count_nonzero(y) <= FOLD_DIRECT:
         out = np.zeros(n)
@@ -153,14 +159,15 @@ def combine_unions(x: np.ndarray, y: np.ndarray, step: float) -> np.ndarray:
     return np.bincount(to, out[at])
 
 
-def fold_histograms(hist: DataFrame, step: float = 1e-5, additive: bool = False) -> np.ndarray:
+def fold_histograms(hist: DataFrame, step: float = 1e-5, additive: bool = False, most: int | None = None) -> np.ndarray:
     """Null distribution of the statistic on bins 0, 1, ...: independent analyses combined by 1-(1-a)(1-b), or by sums.
 
     Combination is associative: blocks of analyses are folded on the executors, and
-    then some blocks at a time, until one distribution, of a fixed length (for sums:
-    the largest sum), is left for the driver.
+    then some blocks at a time, until one distribution, of a fixed length, is left for the
+    driver. Sums have as many bins as the largest one, or as ``most``, the largest that is observed: all
+    beyond it share a bin, so no tail that is asked for changes, and the length is that of the data's own range.
     """
-    combine = convolve if additive else (lambda x, y: combine_unions(x, y, step))
+    combine = (lambda x, y: convolve(x, y, most)) if additive else (lambda x, y: combine_unions(x, y, step))
     schema = "block long, bins binary"
 
     def fold(key, rows):
@@ -196,7 +203,8 @@ def stat_to_p(stat: DataFrame, null: DataFrame, step: float) -> DataFrame:
     """p of each statistic by its bin (half away from zero), beyond the last bin the smallest; a statistic of 0 or less has p 1."""
     last = null.agg(F.max("bin").alias("last"), F.min(F.when(F.col("p") > 0, F.col("p"))).alias("least"))
     rows = stat.crossJoin(F.broadcast(last)).withColumn("bin", F.least(F.round(F.col("stat") / step).cast("long"), F.col("last")))
-    out = rows.join(F.broadcast(null), "bin", "left")
+    # a table of bins, which Spark sends only if it is small
+    out = rows.join(null, "bin", "left")
     return out.withColumn("p", F.when(F.col("stat") <= 0, F.lit(1.0)).otherwise(F.greatest("p", "least"))).drop("bin", "last", "least")
 
 
@@ -245,38 +253,79 @@ def p_to_stat(null: DataFrame, p: float, step: float) -> float:
     return step * (max(first - 1, 0) if first is not None else last)
 
 
-def mkda_null(ma: DataFrame, n_voxels: int) -> np.ndarray:
-    """Distribution of the number of analyses active at a voxel, each active at its own share of the mask at random."""
-    hist = ma.groupBy("id").agg((F.count("*") / n_voxels).alias("on")).select("id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("bin"), (1 - F.col("on")).alias("share")), F.struct(F.lit(1).cast("long").alias("bin"), F.col("on").alias("share")))).alias("h"))
-    return fold_histograms(hist.select("id", "h.*"), 1.0, additive=True)
+def most_observed(ma: DataFrame, value: Column | None = None) -> int:
+    """The largest sum over analyses at any voxel, rounded up."""
+    found = ma.groupBy("voxel").agg(F.sum(F.lit(1.0) if value is None else value).alias("s")).agg(F.max("s")).first()[0]
+    return int(np.ceil(found or 0))
+
+
+def mkda_null(ma: DataFrame, n_voxels: int, weights: DataFrame | None = None, step: float = 1.0) -> np.ndarray:
+    """Distribution of the number of analyses active at a voxel, each active at its own share of the mask at random.
+
+    With ``weights`` (id, weight), of the sum of their weights, on bins of ``step``: the null of the weighted
+    statistic. Without, unequal weights make p approximate, as the weighted sum is held against a count.
+    """
+    if weights is not None:
+        ma = ma.join(weights, "id")
+        at, most = F.round(F.first("weight") / step).cast("long"), int(np.ceil(most_observed(ma, F.col("weight")) / step)) + 1
+    else:
+        at, most = F.lit(1).cast("long"), most_observed(ma) + 1
+    on = ma.groupBy("id").agg((F.count("*") / n_voxels).alias("on"), at.alias("at"))
+    hist = on.select("id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("bin"), (1 - F.col("on")).alias("share")), F.struct(F.col("at").alias("bin"), F.col("on").alias("share")))).alias("h"))
+    hist = hist.select("id", "h.*").groupBy("id", "bin").agg(F.sum("share").alias("share"))
+    return fold_histograms(hist, step, additive=True, most=most)
 
 
 def kda_null(ma: DataFrame, n_voxels: int, value: float = 1.0) -> np.ndarray:
     """Distribution of the sum of spheres at a voxel, on bins of one sphere's value."""
-    return fold_histograms(ale_histograms(ma, n_voxels, value), value, additive=True)
+    return fold_histograms(ale_histograms(ma, n_voxels, value), value, additive=True, most=most_observed(ma, F.col("value") / value) + 1)
+
+
+#: Foci that one task draws for an iteration, iterations of one task, volumes that one task adds, and bytes of marks of analyses' spheres.
+DRAW_FOCI, DRAW_ITERATIONS, ADD_VOLUMES, MARK_BYTES = 100_000, 10, 8, 32 << 20
 
 
-#: Foci that one task draws for an iteration, and iterations of one task.
-DRAW_FOCI, DRAW_ITERATIONS = 100_000, 10
+class Kinds:
+    """Analyses as how many there are of each number of foci and sample size, which is all that random foci depend on."""
+
+    def __init__(self, foci: DataFrame) -> None:
+        size = F.col("sample_size").cast("double") if "sample_size" in foci.columns else F.lit(0.0)
+        rows = foci.select(F.col("id").alias("_id_"), F.col("n").cast("long").alias("n"), size.alias("size")).where("n > 0").groupBy("n", "size").agg(F.count("*").alias("times"), F.min("_id_").alias("first"))
+        # a row for each kind, not for each analysis, in the order of their first ids
+        rows = [(r["n"], r["size"] if r["size"] is not None else 0.0, r["times"]) for r in rows.orderBy("first").collect()]
+        self.n, self.size, self.times = (np.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (np.int64, float, np.int64), strict=True))
+        self.upto = np.cumsum(self.n * self.times)
+
+    @property
+    def foci(self) -> int:
+        return int(self.upto[-1]) if len(self.upto) else 0
+
+    def block(self, i: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """(foci, sample size) of each analysis of a block: those whose last focus falls in its share of all foci."""
+        lo, hi = self.foci * i // blocks, self.foci * (i + 1) // blocks
+        before = self.upto - self.n * self.times
+        # of a kind, the analyses that end after lo and not after hi
+        first, last = (np.clip((edge - before) // self.n, 0, self.times) for edge in (lo, hi))
+        return np.repeat(self.n, last - first), np.repeat(self.size, last - first)
 
 
 def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid, n_iters: int, kind: str = "mkda", r: float = 10.0, fwhm: float | None = None, seed: int = 0) -> DataFrame:
     """(iteration, part): the summed activation of random foci, one volume as bytes for each iteration.
 
     ``foci`` has (id, n) and for kind ``ale`` a sample_size (unless there is a ``fwhm``);
-    foci are drawn from the cells of ``pool``. Blocks of analyses and some iterations at a
-    time are a task, which draws from (seed, iteration, block) and returns sums over its
-    analyses: of spheres (``mkda``: once an analysis, ``kda``: all) or of ln(1 - value). Volumes
-    of one iteration are then added, so permuted activations are never rows.
+    foci are drawn from the cells of ``pool``. A block of analyses and some iterations are
+    a task, which draws from (seed, iteration, block) and returns sums over its
+    analyses: of spheres (``mkda``: once an analysis, ``kda``: all) or of ln(1 - value). Only the
+    numbers of analyses of each kind go to tasks, so no analysis is a row here, and volumes
+    of one iteration are added some at a time, as a tree, so no task holds more than ADD_VOLUMES.
     """
     if kind not in ("mkda", "kda", "ale"):
         raise ValueError(f"unknown kind: {kind}")
-    sent = spark.sparkContext.broadcast((np.ascontiguousarray(pool), grid.mask_array()))
+    kinds = Kinds(foci)
+    sent = spark.sparkContext.broadcast((np.ascontiguousarray(pool), grid.mask_array(), kinds))
     steps, shape = np.array(kernels.sphere(r, grid.size)), grid.shape
-    blocks = max(1, -(-(foci.agg(F.sum("n")).first()[0] or 0) // DRAW_FOCI))
-    size = F.col("sample_size").cast("double") if "sample_size" in foci.columns else F.lit(0.0)
-    rows = foci.select("id", F.col("n").cast("long").alias("n"), size.alias("sample_size"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n_iters // DRAW_ITERATIONS) - 1)))))
+    blocks = max(1, -(-kinds.foci // DRAW_FOCI))
+    chunks = -(-n_iters // DRAW_ITERATIONS)
 
     # a margin around the volume takes what falls outside, so offsets are one addition each
     margin = np.abs(steps).max(0) if len(steps) else np.zeros(3, np.int64)
@@ -284,49 +333,59 @@ def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid
     offsets = steps @ np.array([wide[1] * wide[2], wide[2], 1])
     size_wide = int(np.prod(wide))
     inner = tuple(slice(int(m), int(m) + n) for m, n in zip(margin, shape, strict=True))
+    # analyses that are marked at once: their marks are added in bytes
+    together = max(1, min(255, MARK_BYTES // size_wide))
 
-    def spheres(picks: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        at = np.ravel_multi_index(tuple((picks + margin).T), wide)[:, None] + offsets[None]
+    def spheres(picks: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        total = np.zeros(size_wide, np.int64)
+        first = np.ravel_multi_index(tuple((picks + margin).T), wide)
         if kind == "kda":
-            total = np.bincount(at.ravel(), minlength=size_wide)
-        elif (owners := int(owner[-1]) + 1 if len(owner) else 0) * size_wide <= 8 * at.size:
-            on = np.zeros((owners, size_wide), bool)
-            on[owner[:, None], at] = True
-            total = on.sum(0)
-        else:
-            total = np.bincount(np.unique(owner[:, None] * size_wide + at) % size_wide, minlength=size_wide)
-        return total.reshape(wide)[inner].ravel().astype(float)
-
-    def draw(key, own):
-        cells, inside = sent.value
-        own = own.sort_values("id")
-        ends = np.concatenate([[0], np.cumsum(own["n"].to_numpy())])
-        out = []
-        for it in range(key[1] * DRAW_ITERATIONS, min((key[1] + 1) * DRAW_ITERATIONS, n_iters)):
-            rng = np.random.default_rng([seed, it, key[0]])
-            picks = cells[rng.integers(len(cells), size=ends[-1])]
-            if kind == "ale":
-                work, total = kernels.Gaussians(grid, fwhm), np.zeros(shape)
-                for a, b, n in zip(ends[:-1], ends[1:], own["sample_size"], strict=True):
-                    if (box := work.stamp(picks[a:b], n)) is not None:
-                        total[box] += np.log1p(-np.minimum(work.best[box], 1 - 1e-16))
-                        work.clear(box)
-                total = total.ravel()
-            else:
-                total = np.zeros(inside.size)
-                # some analyses at a time, so memory does not grow with their foci
-                cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], 20_000)).tolist() + [len(own)])
-                for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
-                    owner = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                    total += spheres(picks[ends[a] : ends[b]], owner)
-            out.append((it, np.where(inside.ravel(), total, 0.0).tobytes()))
-        return pd.DataFrame(out, columns=["iteration", "part"])
+            for lo in range(0, len(first), 20_000):
+                total += np.bincount((first[lo : lo + 20_000, None] + offsets[None]).ravel(), minlength=size_wide)
+            return total
+        for a in range(0, len(ends) - 1, together):
+            b = min(a + together, len(ends) - 1)
+            row = np.repeat(np.arange(b - a) * size_wide, np.diff(ends[a : b + 1]))
+            at = ((first[ends[a] : ends[b]] + row)[:, None] + offsets[None]).ravel()
+            marks.ravel()[at] = 1
+            total += marks[: b - a].sum(0, dtype=np.uint8)
+            marks.ravel()[at] = 0
+        return total
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, inside, kinds = sent.value
+        marks = np.zeros((together, size_wide), np.uint8) if kind == "mkda" else np.zeros((0, size_wide), np.uint8)
+        for unit in (int(u) for b in batches for u in b["id"]):
+            chunk, block = divmod(unit, blocks)
+            n, sizes = kinds.block(block, blocks)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            for it in range(chunk * DRAW_ITERATIONS, min((chunk + 1) * DRAW_ITERATIONS, n_iters)):
+                rng = np.random.default_rng([seed, it, block])
+                picks = cells[rng.integers(len(cells), size=ends[-1])]
+                if kind == "ale":
+                    work, total = kernels.Gaussians(grid, fwhm), np.zeros(shape)
+                    for a, b, s in zip(ends[:-1], ends[1:], sizes, strict=True):
+                        if (box := work.stamp(picks[a:b], s)) is not None:
+                            total[box] += np.log1p(-np.minimum(work.best[box], 1 - 1e-16))
+                            work.clear(box)
+                    total = total.ravel()
+                else:
+                    total = spheres(picks, ends, marks).reshape(wide)[inner].ravel().astype(float)
+                yield pd.DataFrame({"iteration": [it], "block": [block], "part": [np.where(inside.ravel(), total, 0.0).tobytes()]})
 
     def add(key, parts):
-        return pd.DataFrame({"iteration": [key[0]], "part": [sum(np.frombuffer(x) for x in parts["part"]).tobytes()]})
-
-    parts = rows.groupBy("block", "chunk").applyInPandas(draw, "iteration long, part binary")
-    return parts.groupBy("iteration").applyInPandas(add, "iteration long, part binary")
+        total = np.zeros(int(np.prod(shape)))
+        for x in parts.sort_values("block")["part"]:
+            total += np.frombuffer(x)
+        return pd.DataFrame({"iteration": [key[0]], "block": [key[1]], "part": [total.tobytes()]})
+
+    units = blocks * chunks
+    tasks = max(1, min(units, max(4 * spark.sparkContext.defaultParallelism, units // 64)))
+    parts = spark.range(0, units, 1, tasks).mapInPandas(draw, "iteration long, block long, part binary")
+    while blocks > 1:
+        blocks = -(-blocks // ADD_VOLUMES)
+        parts = parts.groupBy("iteration", F.floor(F.col("block") / ADD_VOLUMES).alias("into")).applyInPandas(add, "iteration long, block long, part binary")
+    return parts.select("iteration", "part")
 
 
 def _statistic(raw: bytes, kind: str, n_ids: int) -> np.ndarray:

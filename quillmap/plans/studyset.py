@@ -47,6 +47,11 @@ class Grid:
         flat[: on.size] = on.ravel()
         return replace(self, bits=tuple(np.packbits(flat, bitorder="little").view(np.int64).tolist()))
 
+    @classmethod
+    def of(cls, fields: dict) -> Grid:
+        """The grid of a manifest, whose lists were tuples."""
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in fields.items()})
+
     def mask_array(self) -> np.ndarray:
         """The mask as a boolean volume."""
         if self.bits is not None:
@@ -74,7 +79,7 @@ class Grid:
         """Whether a voxel is in the mask; one outside the volume is not."""
         if self.bits is None:
             return k.between(*self.k_mask)
-        table = F.transform(F.split(F.lit(",".join(map(str, self.bits))), ","), lambda x: x.cast("long"))
+        table = F.expr(f"array({','.join(f'{x}L' for x in self.bits)})")  # of literals, so Spark makes one of it
         voxel = self.flat(i, j, k).cast("long")
         word = F.get(table, F.call_function("div", voxel, F.lit(64)).cast("int"))
         return self.inside(i, j, k) & F.coalesce(F.call_function("getbit", word, (voxel % 64).cast("int")) == 1, F.lit(False))

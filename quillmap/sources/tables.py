@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.plans.studyset import Studyset
+from quillmap.plans.studyset import Grid, Studyset
 
-TABLES = ("analysis", "point", "annotation", "image", "text")
+TABLES = ("analysis", "point", "annotation", "image", "text", "study")
 
 
 def write(ss: Studyset, path: str, overwrite: bool = False) -> None:
-    """One Parquet folder for each table and a manifest; an existing folder is an error unless overwritten."""
+    """One Parquet folder for each table and a manifest with the space and the grid; an existing folder is an error unless overwritten."""
     names = [n for n in TABLES if getattr(ss, n) is not None]
     for n in names:
         getattr(ss, n).write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/{n}")
     spark = ss.analysis.sparkSession
-    spark.createDataFrame([(json.dumps({"tables": names, "space": ss.space}),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/studyset")
+    spark.createDataFrame([(json.dumps({"tables": names, "space": ss.space, "grid": None if ss.grid is None else asdict(ss.grid)}),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/studyset")
 
 
 def read(spark: SparkSession, path: str) -> Studyset:
@@ -27,7 +28,7 @@ def read(spark: SparkSession, path: str) -> Studyset:
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in manifest["tables"]}
     if "point" in tables:
         tables["point"] = tables["point"].join(tables["analysis"].select("id"), "id", "left_semi")
-    return Studyset(**tables, space=manifest["space"])
+    return Studyset(**tables, space=manifest["space"], grid=Grid.of(manifest["grid"]) if manifest.get("grid") else None)
 
 
 def convert(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> Studyset:
@@ -50,7 +51,8 @@ def read_feature_tables(spark: SparkSession, coordinates: str, metadata: str, fe
     if features and vocabulary:
         words = spark.read.text(vocabulary, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("column", "word"))
         rows = spark.read.parquet(features)
-        annotation = rows.join(F.broadcast(words), "column").select("id", F.concat(F.lit(f"{group}__"), "word").alias("label"), "value")
+        # left to Spark, which sends the vocabulary only if it is small
+        annotation = rows.join(words, "column").select("id", F.concat(F.lit(f"{group}__"), "word").alias("label"), "value")
     return Studyset(analysis=analysis, point=point, annotation=annotation)
 
 
