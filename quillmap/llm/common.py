@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -16,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_THREAD = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +55,10 @@ def materialize(df: DataFrame, name: str, **options: int | str) -> DataFrame:
 
 
 def written(spark: SparkSession) -> list[str]:
-    """Paths of the tables that ``materialize`` has written in this session, in order."""
-    if not hasattr(spark.sparkContext, "_corpus_tables"):
-        spark.sparkContext._corpus_tables = []
-    return spark.sparkContext._corpus_tables
+    """Paths of the tables that ``materialize`` has written in this session and thread, in order; queries in other threads have their own."""
+    if not hasattr(_THREAD, "tables"):
+        _THREAD.tables = {}
+    return _THREAD.tables.setdefault(spark.sparkContext.applicationId, [])
 
 
 def release(spark: SparkSession, since: int) -> None:
@@ -82,12 +84,13 @@ def look_up(rows: DataFrame, small: DataFrame, on: str, key: str) -> DataFrame:
     """Left join of ``rows``, by ``on``, with a table of at most one row for each ``key``; null equals null.
 
     A table that may be sent (by ``bounded``) is. A larger one is copied SALTS times, and
-    the rows of one key are dealt over as many tasks.
+    the rows of one key are dealt over as many tasks, by hashes of the rows, so a task that
+    is run again deals them alike.
     """
     if small.count() <= MOST_SENT:
         return rows.join(F.broadcast(small), F.col(on).eqNullSafe(F.col(key)), "left")
     many = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_copy_"))
-    dealt = rows.withColumn("_salt_", F.floor(F.rand(1) * SALTS).cast("int"))
+    dealt = rows.withColumn("_salt_", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int"))
     return dealt.join(many, F.col(on).eqNullSafe(F.col(key)) & (F.col("_salt_") == F.col("_copy_")), "left").drop("_salt_", "_copy_")
 
 

@@ -169,29 +169,37 @@ def score_texts(column: pa.Array, model: Model) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
-    """Fit on texts of ``docs`` with a 0/1 label in ``labels`` (doc_id, label), among rows that satisfy ``seen``.
-
-    The sample is at most about ``most_toxic`` and ``most_clean`` texts, and of each class about
-    ``most_bytes``, picked by a hash of doc_id; no single text of it is longer than a hundredth of that.
-    So its ids may be broadcast, and its texts fit the driver. Of several labels the largest holds.
-    """
+def sample(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> tuple[pa.Table, float]:
+    """(doc_id, h, text, y) of labelled texts, in order, and the share of toxic ones among all: see ``train``."""
     fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 100
-    ids = docs.where(fits if seen is None else fits & seen).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    name = [F.col("doc_id"), F.xxhash64("text").alias("h")]
+    ids = docs.where(fits if seen is None else fits & seen).select(*name, F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
     marked = labels.select("doc_id", F.col("label").cast("int").alias("y")).where("y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = materialize(ids.join(marked, "doc_id"), "known")
+    # a text of a doc_id counts once, however often its row is repeated
+    known = materialize(ids.join(marked, "doc_id").groupBy("doc_id", "h").agg(F.max("bytes").alias("bytes"), F.max("y").alias("y")), "known")
     counts = {r["y"]: r for r in known.groupBy("y").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()}
     pos, neg = (counts[y]["n"] if y in counts else 0 for y in (1, 0))
     part = lambda y, most: F.lit(min(most / counts[y]["n"], most_bytes / max(counts[y]["bytes"], 1)) if y in counts else 0.0)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = materialize(known.where(draw < F.when(F.col("y") == 1, part(1, most_toxic)).otherwise(part(0, most_clean))).select("doc_id", "y").distinct(), "picked")
-    rows = docs.where(fits).select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), "doc_id").toArrow()
-    rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("h", "ascending")]))
+    draw = F.pmod(F.xxhash64("doc_id", "h", F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = materialize(known.where(draw < F.when(F.col("y") == 1, part(1, most_toxic)).otherwise(part(0, most_clean))).select("doc_id", "h", "y"), "picked")
+    rows = docs.where(fits).select(*name, "text").join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).toArrow()
+    return rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("h", "ascending")])), pos / max(pos + neg, 1)
+
+
+def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
+    """Fit on texts of ``docs`` with a 0/1 label in ``labels`` (doc_id, label), among rows that satisfy ``seen``.
+
+    The sample is at most about ``most_toxic`` and ``most_clean`` texts, and of each class about
+    ``most_bytes``, picked by a hash of doc_id and text, each such pair once, so rows that share a doc_id
+    are bounded too; no single text of it is longer than a hundredth of that. So its ids may be
+    broadcast, and its texts fit the driver. Of several labels the largest holds.
+    """
+    rows, share = sample(docs, labels, seen, most_toxic, most_clean, most_bytes)
     texts, marks = rows["text"], rows["y"].to_numpy().astype(np.int64)
     del rows
     bags = features(texts.cast(pa.large_string()).combine_chunks(), BITS)
     del texts
-    return fit_bags(bags, marks, pos / max(pos + neg, 1))
+    return fit_bags(bags, marks, share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, to: str = "score") -> DataFrame:
