@@ -503,8 +503,10 @@ def label_cuts(ids: DataFrame, size: int, n_iters: int, seed: int = 0) -> np.nda
                 yield pd.DataFrame({"it": it, "x": x[at, it].astype(np.int64)})
 
     own = hashed.mapInPandas(inside, "it long, x long").withColumn("r", F.row_number().over(Window.partitionBy("it").orderBy("x")))
-    need = F.create_map(*[F.lit(v) for i in its for v in (int(i), int(cut.get(i, (-1, 0))[1]))]) if n_iters else None
-    found = {r["it"]: r["x"] for r in own.where(F.col("r") == need[F.col("it")]).collect()} if n_iters else {}
+    if not n_iters:
+        return np.zeros(0, np.int64)
+    need = ids.sparkSession.createDataFrame([(int(i), int(cut.get(i, (-1, 0))[1])) for i in its], "it long, need int")
+    found = {r["it"]: r["x"] for r in own.join(F.broadcast(need), "it").where("r = need").select("it", "x").collect()}
     return np.array([found.get(i, -1) for i in its], np.int64)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.operators import cbma, clusters, correction, decode, diagnostics, ibma, kernels, selection, structure, text
+from quillmap.operators import cbma, clusters, correction, decode, diagnostics, ibma, kernels, pairwise, robust, selection, structure, text
 from quillmap.sources import proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,6 +422,67 @@ def ale_balanced(spark, d):
     return cbma.balanced_difference(_ale(spark, d), *_groups(spark, d), proxy.GRID.mask(spark), 5, 20)
 
 
+# ---- a mask that is no slab: a ball, kept as bits
+def _ball():
+    at = 2 * np.indices(proxy.GRID.shape) - 9
+    return proxy.GRID.with_mask((at * at).sum(0) <= 83)
+
+
+IN_BALL = "({0}) * ({0}) + ({1}) * ({1}) + ({2}) * ({2}) <= 83"
+BALL = IN_BALL.format("2 * i - 9", "2 * j - 9", "2 * k - 9")
+
+
+@query(f"SELECT DISTINCT id FROM point WHERE {BALL}", P)
+def studies_by_irregular_mask(spark, d):
+    return selection.by_mask(proxy.points(spark, d), _ball())
+
+
+@query(f"SELECT id, x, y, z FROM point WHERE {BALL}", P)
+def focus_filter_irregular_mask(spark, d):
+    return selection.focus_filter(proxy.points(spark, d), _ball()).select("id", "x", "y", "z")
+
+
+@query(f", {SPHERE_SQL} SELECT DISTINCT id, (i + di) * 100 + (j + dj) * 10 + k + dk AS voxel, 1.0::DOUBLE AS value FROM point, sphere WHERE i + di BETWEEN 0 AND 9 AND j + dj BETWEEN 0 AND 9 AND k + dk BETWEEN 0 AND 9 AND {IN_BALL.format('2 * (i + di) - 9', '2 * (j + dj) - 9', '2 * (k + dk) - 9')}", P)
+def mkda_ma_irregular_mask(spark, d):
+    return kernels.mkda(proxy.points(spark, d), _ball(), RADIUS)
+
+
+# ---- family-wise inference for two groups
+def _active_groups(spark, d):
+    p = proxy.points(spark, d)
+    return p, *(g.join(p, "id", "left_semi") for g in _groups(spark, d))
+
+
+@query()
+def chi2_fwe_clusters(spark, d):
+    """Voxel, size and mass p of three families of tests under 200 permuted labellings."""
+    p, one, two = _active_groups(spark, d)
+    return pairwise.with_z(pairwise.chi2_fwe(kernels.mkda(p, proxy.GRID, RADIUS), one, two, proxy.GRID, 200, 0.05))
+
+
+@query()
+def chi2_fwe_random_foci(spark, d):
+    """The same under 200 draws of random foci for both groups."""
+    p, one, two = _active_groups(spark, d)
+    foci = [p.join(g, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n")) for g in (one, two)]
+    null = pairwise.chi2_foci_null(spark, *foci, proxy.GRID, RADIUS, 200, pairwise.chi2_threshold(0.05))
+    return pairwise.chi2_fwe(kernels.mkda(p, proxy.GRID, RADIUS), one, two, proxy.GRID, 200, 0.05, null=null)
+
+
+@query()
+def subtraction_fwe_clusters(spark, d):
+    _, one, two = _active_groups(spark, d)
+    return pairwise.subtraction_fwe(_ale(spark, d), one, two, proxy.GRID, 200, 0.05)
+
+
+@query()
+def scale_fwe(spark, d):
+    p = _sized(spark, d)
+    foci = p.groupBy("id", "sample_size").agg(F.count("*").alias("n"))
+    pool = np.array([[r[c] for c in "ijk"] for r in p.select("i", "j", "k").distinct().collect()], np.int64)  # cells of the grid
+    return pairwise.scale_fwe(kernels.ale_gaussian(p, proxy.GRID), foci, pool, proxy.GRID, 50)
+
+
 # ---- correction
 FDR = ", t AS (SELECT id, label, ln(value) AS nlogp FROM annotation), k AS (SELECT *, row_number() OVER (ORDER BY nlogp) AS r, count(*) OVER () AS m FROM t), a AS (SELECT *, nlogp - ln(r::DOUBLE / m) + {extra} AS adj FROM k) SELECT id, label, round(least(min(adj) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 0), 6) AS corrected FROM a"
 
@@ -509,6 +571,48 @@ def image_correlations(spark, d):
     return ibma.image_correlations(proxy.images(spark, d)).select("a", "b", R("r").alias("r"))
 
 
+# ---- image-based, robust to dependent images
+#: Sums of clusters by each scheme of weights: w and wy, and tau2; then the sandwich.
+PER_CLUSTER = "c AS (SELECT voxel, study_id AS g, count(*) AS n, avg(varcope) AS v, sum(value) AS y, sum(value * value) AS yy, sum(sqrt(varcope)) AS ss FROM img WHERE value <> 0 GROUP BY ALL)"
+COLLAPSED = "d AS (SELECT voxel, g, n, 1.0::DOUBLE AS k, (0.2 * v * n + 0.8 * ss * ss) / (n * n) AS v, y / n AS y, (y / n) * (y / n) AS yy FROM c)"
+RESCALED = "d AS (SELECT voxel, g, n, n::DOUBLE AS k, v, y, yy FROM c)"
+MOMENT = """t AS (SELECT voxel, sum(1 / v) AS s, sum(1 / (k * v)) AS u, sum(yy / (k * v)) - pow(sum(y / (k * v)), 2) / sum(1 / v) AS q, sum(1 / (v * v)) AS kk, count(*) AS m FROM d GROUP BY voxel),
+e AS (SELECT voxel, greatest(0, coalesce((q - m + (0.2 * u + 0.8 * s) / s) / nullif(s - kk / s, 0), 0)) AS tau2 FROM t),
+w AS (SELECT voxel, g, n, tau2, 1 / (v + tau2) AS w, y / k / (v + tau2) AS wy FROM d JOIN e USING (voxel))"""
+ALONE = """t AS (SELECT voxel, sum(1 / varcope) AS w, sum(1 / (varcope * varcope)) AS ww, sum(value / varcope) AS wy, sum(value * value / varcope) AS wyy, count(*) AS k FROM img WHERE value <> 0 GROUP BY voxel),
+e AS (SELECT voxel, greatest(0, coalesce((wyy - wy * wy / w - (k - 1)) / nullif(w - ww / w, 0), 0)) AS tau2 FROM t),
+w AS (SELECT voxel, study_id AS g, count(*) AS n, any_value(tau2) AS tau2, sum(1 / (varcope + tau2)) AS w, sum(value / (varcope + tau2)) AS wy FROM img JOIN e USING (voxel) WHERE value <> 0 GROUP BY ALL)"""
+SANDWICH = """, x AS (SELECT *, sum(w) OVER (PARTITION BY voxel) AS total, sum(wy) OVER (PARTITION BY voxel) / sum(w) OVER (PARTITION BY voxel) AS est FROM w),
+z AS (SELECT *, w / total AS q, wy - est * w AS r FROM x)
+SELECT voxel, round(any_value(est), 6) AS est, round(sqrt(sum(r * r / (1 - q))) / any_value(total), 6) AS se, round(1 / (sum(q * q) + pow(sum(q * q / (1 - q)), 2) - sum(pow(q, 4) / pow(1 - q, 2))), 4) AS dof, round(any_value(tau2), 6) AS tau2, sum(n)::BIGINT AS k, count(*) AS m FROM z GROUP BY voxel"""
+
+
+def _robust(spark, d, scheme):
+    out = robust.sandwich(robust.cluster_weights(ibma.valid(proxy.images(spark, d)), scheme=scheme))
+    return out.select("voxel", R("est").alias("est"), R("se").alias("se"), R("dof", 4).alias("dof"), R("tau2").alias("tau2"), "k", "m")
+
+
+@query(f", {VARCOPE}, {PER_CLUSTER}, {RESCALED}, {MOMENT} {SANDWICH}", I)
+def robust_rescale(spark, d):
+    return _robust(spark, d, "rescale")
+
+
+@query(f", {VARCOPE}, {ALONE} {SANDWICH}", I)
+def robust_individual(spark, d):
+    return _robust(spark, d, "individual")
+
+
+@query(f", {VARCOPE}, {PER_CLUSTER}, {COLLAPSED}, {MOMENT} {SANDWICH}", I)
+def robust_collapse(spark, d):
+    return _robust(spark, d, "collapse")
+
+
+@query()
+def robust_inference(spark, d):
+    """With p of a t with Satterthwaite's degrees of freedom."""
+    return robust.estimate(ibma.valid(proxy.images(spark, d)))
+
+
 # ---- diagnostics
 @query(", i2 AS (SELECT voxel, avg(value) AS p FROM image WHERE id % 2 = 0 GROUP BY voxel), j2 AS (SELECT voxel, avg(value) AS q FROM image WHERE id % 2 = 1 GROUP BY voxel) SELECT voxel, round(CASE WHEN p * q > 0 THEN least(p, q) ELSE 0 END, 9) AS value FROM i2 JOIN j2 USING (voxel)", I)
 def conjunction(spark, d):

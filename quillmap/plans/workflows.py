@@ -9,19 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions import special
-from quillmap.operators import cbma, clusters, correction, diagnostics, ibma, kernels, selection, structure
+from quillmap.operators import cbma, clusters, correction, diagnostics, ibma, kernels, pairwise, selection, structure, text
 from quillmap.plans.studyset import Studyset
 
 
 @dataclass
 class Result:
-    """Named maps (voxel, ...) and tables; how an estimator is drawn at random, or its largest statistics under permutation."""
+    """Named maps (voxel, ...) and tables; how an estimator is drawn at random, its largest statistics under permutation, or family-wise p of voxels and clusters."""
 
     maps: dict[str, DataFrame] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     random: dict | None = None
     maxima: Callable[[int, int], DataFrame] | None = None
     observed: Column | None = None
+    families: Callable[[int, int], DataFrame] | None = None
 
 
 def _counted(ss: Studyset) -> DataFrame:
@@ -63,7 +64,7 @@ def _difference(ss: Studyset, group1: DataFrame, group2: DataFrame | None = None
     ma, _width = _activation(ss, fwhm)
     group2 = ss.analysis.join(group1, "id", "left_anti").select("id") if group2 is None else group2
     stat = cbma.ale_difference(ma, group1, group2, ss.grid.mask(ma.sparkSession), n_iters, seed, within)
-    return Result({"stat": stat, "ma": ma}, maxima=lambda n, s: cbma.difference_maxima(ma, group1, group2, n, s))
+    return Result({"stat": stat, "ma": ma}, maxima=lambda n, s: cbma.difference_maxima(ma, group1, group2, n, s), families=lambda n, s: pairwise.subtraction_fwe(ma, group1, group2, ss.grid, n, seed=s))
 
 
 def _scale(ss: Studyset, pool: DataFrame, fwhm: float | None = None, n_iters: int = 1000, seed: int = 0, **_) -> Result:
@@ -72,14 +73,22 @@ def _scale(ss: Studyset, pool: DataFrame, fwhm: float | None = None, n_iters: in
 
 
 def _chi2(ss: Studyset, group1: DataFrame, r: float = 10.0, **_) -> Result:
-    """The chi-square maps, with p of the uniformity, association and directed tests."""
+    """The chi-square maps, with p of the uniformity, association and directed tests, and the uniformity of the second group."""
     ma = kernels.mkda(ss.point, ss.grid, r)
     ids = ss.point.select("id").distinct()
+    one, two = ids.join(group1, "id", "left_semi"), ids.join(group1, "id", "left_anti")
     stat = cbma.mkda_chi2(ma, group1, ids, ss.grid.mask(ma.sparkSession))
-    stat = stat.withColumns({f"p_{n}": F.exp(special.chi2_to_nlogp_udf(f"chi2_{n}")) for n in ("uniformity", "association")})
-    one = ids.join(group1, "id", "left_semi")
+    second = stat.agg(F.avg("b").alias("mean_b")).crossJoin(two.agg(F.count("*").cast("double").alias("n2")))
+    stat = stat.crossJoin(F.broadcast(second)).withColumn("chi2_group2", cbma.one_way(F.col("b"), F.col("n2"), F.col("mean_b")))
+    stat = stat.withColumn("z_group2", F.sqrt("chi2_group2") * F.signum(F.col("b") - F.col("mean_b"))).drop("mean_b", "n2")
+    stat = stat.withColumns({f"p_{n}": F.exp(special.chi2_to_nlogp_udf(f"chi2_{n}")) for n in ("uniformity", "association", "group2")})
     observed = F.sqrt("chi2_association")
-    return Result({"stat": stat, "ma": ma}, maxima=lambda n, s: cbma.chi2_maxima(ma, one, ids.join(group1, "id", "left_anti"), n, s).withColumn("max_stat", F.sqrt("max_stat")), observed=observed)
+    return Result(
+        {"stat": stat, "ma": ma},
+        maxima=lambda n, s: cbma.chi2_maxima(ma, one, two, n, s).withColumn("max_stat", F.sqrt("max_stat")),
+        observed=observed,
+        families=lambda n, s: pairwise.chi2_fwe(ma, one, two, ss.grid, n, seed=s),
+    )
 
 
 def _permuted(ss: Studyset, **_) -> Result:
@@ -130,6 +139,8 @@ def family_wise(ss: Studyset, result: Result, n_iters: int, threshold: float, se
         result.tables["clusters_corr-FWE_method-montecarlo"] = table
         observed = F.col("stat")
     elif result.maxima is not None:
+        if result.families is not None:
+            by_family(result, n_iters, seed)
         maxima, observed = result.maxima(n_iters, seed), result.observed if result.observed is not None else F.abs("stat")
     else:
         raise ValueError("this estimator has no permutations for a family-wise correction")
@@ -140,6 +151,24 @@ def family_wise(ss: Studyset, result: Result, n_iters: int, threshold: float, se
     result.maps["z_level-voxel_corr-FWE_method-montecarlo"] = fixed.join(stat.select("voxel", F.signum(z).alias("sign")), "voxel").select("voxel", (F.col("sign") * special.p_to_z_udf("p")).alias("value"))
 
 
+def by_family(result: Result, n_iters: int, seed: int) -> None:
+    """Add p, z and logp of voxels and of clusters by size and mass, for each family of a comparison of groups.
+
+    The second group's z and the uniformity's take the sign of their departure from the mean.
+    """
+    table = text.checkpointed(pairwise.with_z(result.families(n_iters, seed)))
+    stat = result.maps["stat"]
+    for family in sorted(r[0] for r in table.select("family").distinct().collect()):
+        own = table.where(F.col("family") == family)
+        if f"z_{family}" in stat.columns:
+            sign = stat.select("voxel", F.when(F.col(f"z_{family}") < 0, -1.0).otherwise(1.0).alias("sign"))
+            own = own.join(sign, "voxel").withColumns({f"z_{v}": F.col("sign") * F.col(f"z_{v}") for v in ("voxel", "size", "mass")})
+        for level, name in (("voxel", "level-voxel"), ("size", "Size_level-cluster"), ("mass", "Mass_level-cluster")):
+            for kind in ("p", "z", "logp"):
+                key = f"{kind}_desc-{family}{'_' if level == 'voxel' else ''}{name}_corr-FWE_method-montecarlo"
+                result.maps[key] = own.select("voxel", F.col(f"{kind}_{level}").alias("value"))
+
+
 def _critical_statistic(stat: DataFrame, threshold: float) -> float:
     """The least statistic with a z above the threshold, or beyond the largest if there is none."""
     row = stat.agg(F.min(F.when(F.col("z") > threshold, F.col("stat"))).alias("low"), F.max("stat").alias("high")).first()
@@ -149,29 +178,30 @@ def _critical_statistic(stat: DataFrame, threshold: float) -> float:
 def run(ss: Studyset, estimator: str, correct: str | None = "bonferroni", threshold: float = 1.96, diagnose: tuple[str, ...] = DIAGNOSTICS, n_iters: int = 1000, seed: int = 0, **options) -> Result:
     """Fit, correct z maps, and for maps of z a table of clusters and, for activation, contributions of analyses.
 
-    ``correct`` is None, bonferroni, an FDR method or montecarlo; an estimator without z
+    ``correct`` is None (nothing is corrected, and no map says so), bonferroni, an FDR method (fdr is indep) or montecarlo; an estimator without z
     cannot be corrected, which is an error.
     """
     if estimator not in ESTIMATORS:
         raise ValueError(f"unknown estimator: {estimator}")
     if unknown := set(diagnose) - set(DIAGNOSTICS):
         raise ValueError(f"unknown diagnostics: {sorted(unknown)}")
+    correct = {"fdr": "indep"}.get(correct, correct)
     if correct not in (None, "montecarlo", *correction.METHODS):
         raise ValueError(f"unknown correction: {correct}")
     if estimator in ("alesubtraction", "scale"):
         options = {"n_iters": n_iters, "seed": seed, **options}
     result = ESTIMATORS[estimator](ss, **options)
     stat = result.maps["stat"]
-    names = [c for c in ("z", "z_association", "z_uniformity") if c in stat.columns]
+    names = [c for c in ("z", "z_association", "z_uniformity", "z_group2") if c in stat.columns]
     if not names and correct is not None:
         raise ValueError(f"{estimator} gives no z, so nothing can be corrected")
     if correct == "montecarlo":
         family_wise(ss, result, n_iters, threshold, seed)
-    elif names:
+    elif names and correct is not None:
         for name in names:
             logs = stat.select("voxel", F.col(name).alias("z"), special.z_to_nlogp_udf(name).alias("nlogp"))
             fixed = correction.correct(logs, correct)
-            key = correction.suffix(name if name != names[0] else "z", "FDR" if correct in ("indep", "negcorr", "bh", "by") else "FWE", correct or "none")
+            key = correction.suffix(name if name != names[0] else "z", "FDR" if correct in ("indep", "negcorr", "bh", "by") else "FWE", correct)
             result.maps[key] = fixed.select("voxel", (F.signum("z") * special.nlogp_to_z_udf("corrected")).alias("value"))
     if names and ss.grid is not None and "ma" in result.maps:
         name = names[0]
