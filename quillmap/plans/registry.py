@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.operators import cbma, clusters, correction, decode, diagnostics, ibma, kernels, pairwise, robust, selection, structure, text
+from quillmap.operators import cbma, clusters, correction, countmodels, decode, diagnostics, ibma, kernels, pairwise, robust, selection, structure, text
 from quillmap.sources import proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,6 +483,30 @@ def scale_fwe(spark, d):
     return pairwise.scale_fwe(kernels.ale_gaussian(p, proxy.GRID), foci, pool, proxy.GRID, 50)
 
 
+# ---- regression of foci on splines
+def _counts_model(spark, d, name):
+    moderators = proxy.analyses(spark, d).select("id", (F.col("sample_size") / 50).alias("size"))
+    data = countmodels.prepare(proxy.points(spark, d), moderators, proxy.GRID, ["size"], 5)
+    model = countmodels.MODELS[name](data)
+    extra = {c: F.lit(float(model[c][0] if c == "gamma" else model[c])) for c in ("gamma", "alpha") if c in model}
+    return countmodels.intensity(data, model).withColumns(extra)
+
+
+@query()
+def cbmr_negative_binomial(spark, d):
+    return _counts_model(spark, d, "negative_binomial")
+
+
+@query()
+def cbmr_clustered_negative_binomial(spark, d):
+    return _counts_model(spark, d, "clustered_negative_binomial")
+
+
+@query()
+def cbmr_firth(spark, d):
+    return _counts_model(spark, d, "firth")
+
+
 # ---- correction
 FDR = ", t AS (SELECT id, label, ln(value) AS nlogp FROM annotation), k AS (SELECT *, row_number() OVER (ORDER BY nlogp) AS r, count(*) OVER () AS m FROM t), a AS (SELECT *, nlogp - ln(r::DOUBLE / m) + {extra} AS adj FROM k) SELECT id, label, round(least(min(adj) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 0), 6) AS corrected FROM a"
 
