@@ -2,9 +2,11 @@
 
 Validated numbers and dates are replaced by others of the same format, so
 equal values stay linked across documents, and nobody without the key can tell
-which was which: card numbers (Luhn digit checked before and set after),
-telephone numbers, IPv4 addresses, dates, the local part of e-mail addresses,
-access keys and hexadecimal secrets.
+which was which: card numbers (Luhn digit checked before and set after), bank account
+numbers (IBAN, check digits likewise), telephone numbers, numbers of the form
+123-45-6789, IPv4 and IPv6 addresses, dates (year first, or day first), the local part of
+e-mail addresses, access keys, and what follows the name of a secret, in any case: hexadecimal
+secrets, and others of six characters or more with a digit.
 
 Matches are exploded to rows that carry no text, changed there in flat columns,
 and gathered for each document again; documents without a match are never
@@ -18,8 +20,10 @@ strings over an alphabet. There a Feistel network adds keyed digests of one half
 the other half's characters, so every character of the result depends on all.
 
 What is no digit or letter to be permuted is format and stays: a mail's domain, a
-telephone number's country code, a card's first digit, which names its network, and
-a key's prefix.
+telephone number's country code, a bank account's country, a card's first digit, which names its network, and
+a key's prefix. A secret that is not hexadecimal keeps the place of its first such character and that
+character, and what is before it stays hexadecimal, so inversion finds the same kind.
+Not covered: names, streets, dates with the month first or in words, secrets without a name before them.
 
 Defined results: a null text stays null with no matches, an empty one stays
 empty; matches do not overlap (the leftmost wins, then the first kind listed);
@@ -41,15 +45,20 @@ ROUNDS, WALK = 6, 128
 #: Matches that one task changes (about).
 TASK_MATCHES = 2000
 #: The names before a secret.
-NAMED = r"(?:password|passwd|secret|token|api_key)\s?[=:]\s?[\"']?"
+NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s?[=:]\s?[\"']?"
 #: The kinds, in order of precedence, as Java regular expressions.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": NAMED + r"[0-9a-fA-F]{12,64}(?![0-9A-Za-z])",
+    "password": NAMED + r"(?=[A-Za-z_+/.=-]*[0-9])[A-Za-z0-9][A-Za-z0-9_+/.=-]{4,126}[A-Za-z0-9](?![A-Za-z0-9])",
     "date": r"(?<![\d.-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
+    "day": r"(?<![\d./-])(?:0[1-9]|[12]\d|3[01])(?<sep>[./-])(?:0[1-9]|1[0-2])\k<sep>(?:19|20)\d\d(?![\d-])",
     "ip": r"(?<![\d.]|[vV]|[vV]ersion[ ]|[vV]ersion)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[a-fA-F:]*[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})(?: ?(?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}(?: ?(?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z]|\d\.)\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -141,6 +150,21 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("i")), step, lambda a: a["sum"])
 
 
+def iban_check(country: Column, account: Column) -> Column:
+    """The two check digits of an account number: 98 less the remainder by 97 of account, country and 00, letters counting 10 to 35."""
+    digits = F.split(F.concat(account, country, F.lit("00")), "")
+    value = lambda c: instr_of(F.lit(DIGITS + UPPER), c) - 1
+    rest = F.aggregate(digits, F.lit(0).cast("long"), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
+def as_date(value: Column) -> Column:
+    """The date of a match with the year or the day first; null if there is none such."""
+    year_first = F.substring(value, 5, 1) == "-"
+    said = F.when(year_first, value).otherwise(F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2)))
+    return F.call_function("try_to_date", said, F.lit("yyyy-MM-dd"))
+
+
 def only_digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -149,11 +173,17 @@ def kind(value: Column) -> Column:
     """The kind of a match that was found in its text; null for a number that fails validation."""
     whole = lambda name: value.rlike(f"^(?:{KINDS[name]})$")
     digits = F.length(only_digits(value))
+    account = F.regexp_replace(value, " ", "")
     return (
         F.when(whole("secret"), "secret")
+        .when(whole("password"), "password")
         .when(value.contains("@"), "email")
         .when(whole("access_key"), "access_key")
-        .when(whole("date"), F.when(F.call_function("try_to_date", value, F.lit("yyyy-MM-dd")).isNotNull(), "date"))
+        .when(whole("date"), F.when(as_date(value).isNotNull(), "date"))
+        .when(whole("day"), F.when(as_date(value).isNotNull(), "day"))
+        .when(whole("iban"), F.when(iban_check(F.substring(account, 1, 2), F.substr(account, F.lit(5), F.length(account))) == F.substring(account, 3, 2), "iban"))
+        .when(whole("ipv6"), "ipv6")
+        .when(whole("ssn"), "ssn")
         .when(whole("ip"), "ip")
         .when(whole("card") & digits.between(13, 19), F.when(luhn_sum(only_digits(value)) % 10 == 0, "card"))
         .when(whole("phone"), "phone")
@@ -165,29 +195,41 @@ def pseudonyms(matches: DataFrame, key: str = KEY, back: bool = False) -> DataFr
     v, of = F.col("value"), F.col("kind")
     rows = matches.withColumn("kind", kind(v))
     # head and tail stay; the body is permuted
-    rows = rows.withColumn("_head_", F.when(of == "access_key", F.substring(v, 1, 4)).when(of == "phone", F.regexp_extract(v, r"^(\+\d{1,3})(?=[ (-])", 1)).when(of == "card", F.substring(v, 1, 1)).when(of == "secret", F.regexp_extract(v, "^" + NAMED, 0)).otherwise(""))
-    rows = rows.withColumn("_tail_", F.when(of == "email", F.regexp_extract(v, "(@.*)$", 1)).when(of == "card", F.substring(v, -1, 1)).otherwise(""))
+    rows = rows.withColumn("_head_", F.when(of == "access_key", F.substring(v, 1, 4)).when(of == "phone", F.regexp_extract(v, r"^(\+\d{1,3})(?=[ (-])", 1)).when(of == "card", F.substring(v, 1, 1)).when(of == "iban", F.substring(v, 1, 4)).when(of.isin("secret", "password"), F.regexp_extract(v, "^" + NAMED, 0)).otherwise(""))
+    rows = rows.withColumn("_tail_", F.when(of == "email", F.regexp_extract(v, "(@.*)$", 1)).when(of == "card", F.substring(v, -1, 1)).when(of == "password", F.regexp_extract(v, f"^{NAMED}[0-9a-fA-F]*(.*)$", 1)).otherwise(""))
     rows = rows.withColumn("_body_", F.substr(v, F.length("_head_") + 1, F.length(v) - F.length("_head_") - F.length("_tail_")))
     # letters of each case and digits keep their places, so a secret's form stays and inversion finds it
     for step, (email, hexadecimal) in enumerate(((LOWER, "abcdef"), (UPPER, "ABCDEF"), (DIGITS, DIGITS))):
-        alphabet = F.when(of == "email", email).when(of == "secret", hexadecimal)
+        alphabet = F.when(of == "email", email).when(of.isin("secret", "password", "ipv6"), hexadecimal)
         if not step:
-            alphabet = alphabet.when(of == "access_key", UPPER + DIGITS).when(of.isin("phone", "card"), DIGITS)
+            alphabet = alphabet.when(of == "access_key", UPPER + DIGITS).when(of.isin("phone", "card", "ssn"), DIGITS)
+        else:
+            alphabet = alphabet.when(of == "iban", email)
         rows = rows.withColumn("_abc_", alphabet)
         rows = rows.withColumn("_chars_", F.when(F.col("_abc_").isNotNull(), of_alphabet(F.col("_body_"), F.col("_abc_"))).otherwise(""))
         rows = rows.withColumn("_chars_", permute_text(F.col("_chars_"), F.col("_abc_"), key, of, back))
         rows = rows.withColumn("_body_", F.when(F.col("_abc_").isNotNull(), refill(F.col("_body_"), F.col("_abc_"), F.col("_chars_"))).otherwise(F.col("_body_")))
+    # of a secret that is not hexadecimal, what follows its first such character
+    rows = rows.withColumn("_rest_", F.when(of == "password", F.substr("_tail_", F.lit(2))).otherwise(""))
+    for abc in (LOWER, UPPER, DIGITS):
+        rows = rows.withColumn("_chars_", permute_text(of_alphabet(F.col("_rest_"), F.lit(abc)), F.lit(abc), key, of, back))
+        rows = rows.withColumn("_rest_", F.when(of == "password", refill(F.col("_rest_"), F.lit(abc), F.col("_chars_"))).otherwise(""))
+    rows = rows.withColumn("_tail_", F.when(of == "password", F.concat(F.substring("_tail_", 1, 1), "_rest_")).otherwise(F.col("_tail_")))
     octets = F.transform(F.split(v, r"\."), lambda x: x.cast("long"))
-    day = F.datediff(F.call_function("try_to_date", v, F.lit("yyyy-MM-dd")), F.lit(FIRST_DAY).cast("date")).cast("long")
-    rows = rows.withColumn("_size_", F.when(of == "ip", F.lit(1 << 32)).when(of == "date", F.lit(DAYS).cast("long")))
-    rows = rows.withColumn("_x_", F.when(of == "ip", F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)).when(of == "date", day))
-    rows = rows.withColumn("_x_", F.when(F.col("_x_").isNotNull(), permute(F.col("_x_"), F.col("_size_"), key, of, back)))
+    dated = of.isin("date", "day")
+    day = F.datediff(as_date(v), F.lit(FIRST_DAY).cast("date")).cast("long")
+    rows = rows.withColumn("_size_", F.when(of == "ip", F.lit(1 << 32)).when(dated, F.lit(DAYS).cast("long")))
+    rows = rows.withColumn("_x_", F.when(of == "ip", F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)).when(dated, day))
+    rows = rows.withColumn("_x_", F.when(F.col("_x_").isNotNull(), permute(F.col("_x_"), F.col("_size_"), key, F.when(of == "day", "date").otherwise(of), back)))  # a date is linked in both forms
     octet = lambda s: F.shiftright("_x_", s).bitwiseAND(F.lit(255)).cast("string")
     check = (10 - luhn_sum(F.concat(F.col("_head_"), only_digits(F.col("_body_")), F.lit("0"))) % 10) % 10
     whole = F.concat("_head_", "_body_", "_tail_")
+    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("_x_").cast("int"))
     result = (
         F.when(of == "ip", F.concat_ws(".", octet(24), octet(16), octet(8), octet(0)))
-        .when(of == "date", F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("_x_").cast("int")).cast("string"))
+        .when(of == "date", moved.cast("string"))
+        .when(of == "day", F.concat(F.date_format(moved, "dd"), F.substring(v, 3, 1), F.date_format(moved, "MM"), F.substring(v, 3, 1), F.date_format(moved, "yyyy")))
+        .when(of == "iban", F.concat(F.substring("_head_", 1, 2), iban_check(F.substring("_head_", 1, 2), F.regexp_replace("_body_", " ", "")), "_body_"))
         .when(of == "card", F.concat(F.col("_head_"), F.col("_body_"), check.cast("string")))
         .when(of.isNotNull(), whole)
         .otherwise(v)
@@ -200,7 +242,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", id_col: st
     kept = [c for c in docs.columns if c != "found"]
     columns = [F.col(f"`{c}`") for c in kept]
     kinds = "array<struct<kind:string,value:string,pseudonym:string>>"
-    # a match holds a digit, an at-sign, a key's prefix or a secret's name: most texts have none, and no search is needed
+    # a match holds a digit, an at-sign or a key's prefix: most texts have none, and no search is needed
     hint = F.coalesce(F.col(text).rlike(f"[0-9@]|AKIA|ASIA|{NAMED}"), F.lit(False))
     searched = F.when(hint, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     some = F.coalesce(F.size(searched) > 0, F.lit(False))
@@ -213,7 +255,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", id_col: st
     done = pseudonyms(rows.repartition(tasks), key, back).groupBy("_id_", "_tk_").agg(F.sort_array(F.collect_list(F.struct("_pos_", "kind", "value", "pseudonym"))).alias("_f_"))
     joined = hit.join(done, F.col(id_col).eqNullSafe(F.col("_id_")) & (F.col("_k_") == F.col("_tk_")))
     changed = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), F.col("_f_"), lambda g, f: F.concat(g, F.coalesce(f["pseudonym"], F.lit("")))), "")
-    bare = lambda f, c: F.when(f["kind"] == "secret", F.regexp_replace(f[c], "^" + NAMED, "")).otherwise(f[c]).alias(c)
+    bare = lambda f, c: F.when(f["kind"].isin("secret", "password"), F.regexp_replace(f[c], "^" + NAMED, "")).otherwise(f[c]).alias(c)
     found = F.transform(F.filter("_f_", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), bare(f, "value"), bare(f, "pseudonym")))
     joined = joined.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in kept], found.cast(kinds).alias("found"))
     return joined.unionByName(without)
