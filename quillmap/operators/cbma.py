@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -300,6 +300,13 @@ class Kinds:
     def foci(self) -> int:
         return int(self.upto[-1]) if len(self.upto) else 0
 
+    def sample(self, n: int, rng: np.random.Generator) -> Kinds:
+        """``n`` analyses at random, without replacement."""
+        out = object.__new__(Kinds)
+        out.n, out.size, out.times = self.n, self.size, rng.multivariate_hypergeometric(self.times, n, method="marginals")
+        out.upto = np.cumsum(out.n * out.times)
+        return out
+
     def block(self, i: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
         """(foci, sample size) of each analysis of a block: those whose last focus falls in its share of all foci."""
         lo, hi = self.foci * i // blocks, self.foci * (i + 1) // blocks
@@ -309,9 +316,11 @@ class Kinds:
         return np.repeat(self.n, last - first), np.repeat(self.size, last - first)
 
 
-def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid, n_iters: int, kind: str = "mkda", r: float = 10.0, fwhm: float | None = None, seed: int = 0) -> DataFrame:
+def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid, n_iters: int, kind: str = "mkda", r: float = 10.0, fwhm: float | None = None, seed: int = 0, subset: int | None = None) -> DataFrame:
     """(iteration, part): the summed activation of random foci, one volume as bytes for each iteration.
 
+    With ``subset``, each iteration takes so many of the analyses, at random.
+
     ``foci`` has (id, n) and for kind ``ale`` a sample_size (unless there is a ``fwhm``);
     foci are drawn from the cells of ``pool``. A block of analyses and some iterations are
     a task, which draws from (seed, iteration, block) and returns sums over its
@@ -357,9 +366,11 @@ def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid
         marks = np.zeros((together, size_wide), np.uint8) if kind == "mkda" else np.zeros((0, size_wide), np.uint8)
         for unit in (int(u) for b in batches for u in b["id"]):
             chunk, block = divmod(unit, blocks)
-            n, sizes = kinds.block(block, blocks)
-            ends = np.concatenate([[0], np.cumsum(n)])
+            own = kinds.block(block, blocks)
             for it in range(chunk * DRAW_ITERATIONS, min((chunk + 1) * DRAW_ITERATIONS, n_iters)):
+                # all blocks of an iteration take the same subset
+                n, sizes = own if subset is None else kinds.sample(subset, np.random.default_rng([seed, it, 1 << 31])).block(block, blocks)
+                ends = np.concatenate([[0], np.cumsum(n)])
                 rng = np.random.default_rng([seed, it, block])
                 picks = cells[rng.integers(len(cells), size=ends[-1])]
                 if kind == "ale":
@@ -393,10 +404,10 @@ def _statistic(raw: bytes, kind: str, n_ids: int) -> np.ndarray:
     return -np.expm1(total) if kind == "ale" else total / max(n_ids, 1) if kind == "mkda" else total
 
 
-def monte_carlo(spark: SparkSession, foci: DataFrame, mask: DataFrame, grid: Grid, r: float, n_iters: int, seed: int = 0, kind: str = "mkda", threshold: float | None = None, fwhm: float | None = None) -> DataFrame:
+def monte_carlo(spark: SparkSession, foci: DataFrame, mask: DataFrame, grid: Grid, r: float, n_iters: int, seed: int = 0, kind: str = "mkda", threshold: float | None = None, fwhm: float | None = None, subset: int | None = None) -> DataFrame:
     """(iteration, max_stat, max_size, max_mass): random foci in the mask, one reduction for each iteration (see ``simulated``)."""
     pool = np.argwhere(grid.mask_array())
-    n_ids = foci.select("id").distinct().count()
+    n_ids = foci.select("id").distinct().count() if subset is None else subset
     shape = grid.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -415,7 +426,7 @@ def monte_carlo(spark: SparkSession, foci: DataFrame, mask: DataFrame, grid: Gri
                 out.append((int(it), float(stat.max()), size, mass))
             yield pd.DataFrame(out, columns=["iteration", "max_stat", "max_size", "max_mass"])
 
-    sims = simulated(spark, foci, pool, grid, n_iters, kind, r, fwhm, seed)
+    sims = simulated(spark, foci, pool, grid, n_iters, kind, r, fwhm, seed, subset)
     return sims.mapInPandas(run, "iteration long, max_stat double, max_size long, max_mass double")
 
 
@@ -475,10 +486,10 @@ def _draws(ids: np.ndarray, its: np.ndarray, seed: int) -> np.ndarray:
         return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
 
 
-def label_cuts(ids: DataFrame, size: int, n_iters: int, seed: int = 0) -> np.ndarray:
+def label_cuts(ids: DataFrame, size: int, n_iters: int, seed: int = 0, member: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """For each iteration the number that ``size`` ids have at most, so that an id's label needs no order of all ids.
 
-    Ranges of the numbers are counted first, and only the range that holds the cut is ordered.
+    ``member`` (of hashed ids and iterations) limits an iteration to some ids. Ranges of the numbers are counted first, and only the range that holds the cut is ordered.
     """
     its, ranges = np.arange(n_iters), 1 << 12
     hashed = ids.select("id").distinct().select(F.xxhash64("id").alias("h"))
@@ -486,8 +497,9 @@ def label_cuts(ids: DataFrame, size: int, n_iters: int, seed: int = 0) -> np.nda
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 1000):
-                x = _draws(b["h"].to_numpy()[lo : lo + 1000], its, seed) >> np.uint64(51)
-                found, n = np.unique(its * ranges + x.astype(np.int64), return_counts=True)
+                h = b["h"].to_numpy()[lo : lo + 1000]
+                x = its * ranges + (_draws(h, its, seed) >> np.uint64(51)).astype(np.int64)
+                found, n = np.unique(x if member is None else x[member(h, its)], return_counts=True)
                 yield pd.DataFrame({"it": found // ranges, "part": found % ranges, "n": n})
 
     spread = hashed.mapInPandas(counts, "it long, part long, n long").groupBy("it", "part").agg(F.sum("n").alias("n"))
@@ -498,8 +510,10 @@ def label_cuts(ids: DataFrame, size: int, n_iters: int, seed: int = 0) -> np.nda
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 1000):
-                x = _draws(b["h"].to_numpy()[lo : lo + 1000], its, seed)
-                at, it = np.nonzero((x >> np.uint64(51)).astype(np.int64) == where)
+                h = b["h"].to_numpy()[lo : lo + 1000]
+                x = _draws(h, its, seed)
+                hit = (x >> np.uint64(51)).astype(np.int64) == where
+                at, it = np.nonzero(hit if member is None else hit & member(h, its))
                 yield pd.DataFrame({"it": it, "x": x[at, it].astype(np.int64)})
 
     own = hashed.mapInPandas(inside, "it long, x long").withColumn("r", F.row_number().over(Window.partitionBy("it").orderBy("x")))

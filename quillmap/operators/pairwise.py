@@ -31,8 +31,16 @@ def permuted_volumes(terms: DataFrame, group1: DataFrame, group2: DataFrame, gri
     """(iteration, part): for each labelling the sums over the analyses labelled as the first group, as a volume's bytes."""
     ids = group1.select("id").unionByName(group2.select("id")).distinct()
     cuts = cbma.label_cuts(ids, group1.select("id").distinct().count(), n_iters, seed)
-    size = int(np.prod(grid.shape))
-    rows = terms.join(ids, "id", "left_semi").select(F.xxhash64("id").alias("h"), F.col("voxel").cast("long").alias("voxel"), F.col("term").cast("double").alias("term"))
+    return subset_volumes(terms.join(ids, "id", "left_semi"), lambda h, it: cbma._draws(h, np.array([it]), seed)[:, 0].astype(np.int64) <= cuts[it], n_iters, grid)
+
+
+def subset_volumes(terms: DataFrame, chosen: Callable[[np.ndarray, int], np.ndarray], n_iters: int, grid: Grid, more: int = 0) -> DataFrame:
+    """(iteration, part): for each iteration the sums of terms (id, voxel, term) over the ids that ``chosen`` (hashes of ids, iteration) takes.
+
+    A volume has ``more`` numbers after the grid's, of terms at voxels beyond it.
+    """
+    size = int(np.prod(grid.shape)) + more
+    rows = terms.select(F.xxhash64("id").alias("h"), F.col("voxel").cast("long").alias("voxel"), F.col("term").cast("double").alias("term"))
     n, threads = rows.count(), terms.sparkSession.sparkContext.defaultParallelism
     stripes = int(min(size, max(threads, -(-n // TASK_ROWS), -(-8 * size * n_iters // TASK_BYTES))))
     parts = max(1, -(-n // (TASK_ROWS * stripes)))
@@ -44,7 +52,7 @@ def permuted_volumes(terms: DataFrame, group1: DataFrame, group2: DataFrame, gri
         place, term = own["voxel"].to_numpy() // stripes, own["term"].to_numpy()
         out = []
         for it in range(n_iters):
-            one = (cbma._draws(names, np.array([it]), seed)[:, 0].astype(np.int64) <= cuts[it])[at]
+            one = chosen(names, it)[at]
             out.append(np.bincount(place[one], term[one], long).tobytes())
         return pd.DataFrame({"iteration": np.arange(n_iters), "stripe": key[0], "part": key[1], "sums": out})
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.operators import cbma, clusters, correction, countmodels, decode, diagnostics, ibma, kernels, pairwise, robust, selection, structure, text
+from quillmap.operators import cbma, clusters, correction, countmodels, decode, diagnostics, ibma, kernels, pairwise, resampling, robust, selection, structure, text
 from quillmap.sources import proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,6 +507,32 @@ def cbmr_firth(spark, d):
     return _counts_model(spark, d, "firth")
 
 
+# ---- resampling
+@query()
+def stability_subsamples(spark, d):
+    """Support of voxels over 100 subsamples of half of all analyses, in clusters of three voxels."""
+    ma = _ale(spark, d)
+    ids = ma.select("id").distinct()
+    return resampling.stability(ma, ids, proxy.GRID, 0.9, size=max(1, ids.count() // 2), n=100, least=3)
+
+
+@query()
+def stability_leave_out(spark, d):
+    """Support of voxels by MKDA density when 50 analyses are left out, 100 times."""
+    p = proxy.points(spark, d)
+    ma = kernels.mkda(p, proxy.GRID, RADIUS)
+    weights = cbma.mkda_weights(proxy.analyses(spark, d), p)
+    return resampling.stability(ma, ma.select("id").distinct(), proxy.GRID, 0.06, "mkda", leave=50, n=100, weights=weights)
+
+
+@query()
+def balanced_probabilistic(spark, d):
+    """Two groups by subsamples of 20 analyses each, with nulls of clusters and of labels."""
+    p, one, two = _active_groups(spark, d)
+    foci = p.groupBy("id").agg(F.count("*").alias("n"))
+    return resampling.balanced(kernels.ale_gaussian(p, proxy.GRID, 6.0), one, two, foci, proxy.GRID, 0.04, 20, n_subsamples=200, n_iters=50, per=4, fwhm=6.0)
+
+
 # ---- correction
 FDR = ", t AS (SELECT id, label, ln(value) AS nlogp FROM annotation), k AS (SELECT *, row_number() OVER (ORDER BY nlogp) AS r, count(*) OVER () AS m FROM t), a AS (SELECT *, nlogp - ln(r::DOUBLE / m) + {extra} AS adj FROM k) SELECT id, label, round(least(min(adj) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 0), 6) AS corrected FROM a"
 
