@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.operators import cbma, clusters, correction, countmodels, decode, diagnostics, ibma, kernels, pairwise, resampling, robust, selection, structure, text
+from quillmap.operators import cbma, clusters, coordinates, correction, countmodels, decode, diagnostics, ibma, kernels, pairwise, resampling, robust, selection, structure, text
+from quillmap.plans.studyset import Grid
 from quillmap.sources import proxy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,6 +508,41 @@ def cbmr_firth(spark, d):
     return _counts_model(spark, d, "firth")
 
 
+# ---- coordinates from images, on their grid of 4 x 4 x 4
+IMAGE_GRID = Grid(4, 4, 4, 2.0, -3.0, (0, 3))
+PEAKS = """RECURSIVE above AS (SELECT id, voxel, value, voxel // 16 AS i, voxel // 4 % 4 AS j, voxel % 4 AS k FROM image WHERE value > 0.15),
+link AS (SELECT a.id, a.voxel AS a, b.voxel AS b FROM above a JOIN above b ON a.id = b.id AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+reach AS (SELECT id, voxel AS a, voxel AS b FROM above UNION SELECT r.id, r.a, l.b FROM reach r JOIN link l ON r.id = l.id AND r.b = l.a),
+named AS (SELECT id, a AS voxel, min(b) AS cluster FROM reach GROUP BY id, a),
+made AS (SELECT id, cluster, arg_max(voxel, row(value, -voxel)) AS voxel FROM named JOIN above USING (id, voxel) GROUP BY id, cluster),
+new AS (SELECT id, 2.0::DOUBLE * (voxel // 16) - 3 AS x, 2.0::DOUBLE * (voxel // 4 % 4) - 3 AS y, 2.0::DOUBLE * (voxel % 4) - 3 AS z, 'generated' AS source FROM made),
+old AS (SELECT id, x, y, z, 'original' AS source FROM point)"""
+
+
+def _merged(spark, d, mode):
+    made = coordinates.points_of(coordinates.image_peaks(proxy.images(spark, d), IMAGE_GRID, 0.15, subpeaks=False), IMAGE_GRID, "MNI")
+    return coordinates.merge(proxy.points(spark, d), made, mode).select("id", "x", "y", "z", "source")
+
+
+def _peaks_sql(rows):
+    return f"WITH {PEAKS.replace('RECURSIVE ', f'RECURSIVE {P}, {I}, ', 1)} {rows}"
+
+
+@query(_peaks_sql("SELECT * FROM old UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM point)"))
+def coordinates_fill(spark, d):
+    return _merged(spark, d, "fill")
+
+
+@query(_peaks_sql("SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)"))
+def coordinates_replace(spark, d):
+    return _merged(spark, d, "replace")
+
+
+@query(_peaks_sql("SELECT * FROM new"))
+def coordinates_demolish(spark, d):
+    return _merged(spark, d, "demolish")
+
+
 # ---- resampling
 @query()
 def stability_subsamples(spark, d):
