@@ -182,8 +182,8 @@ def sample(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_
     part = lambda y, most: F.lit(min(most / counts[y]["n"], most_bytes / max(counts[y]["bytes"], 1)) if y in counts else 0.0)
     draw = F.pmod(F.xxhash64("doc_id", "h", F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = materialize(known.where(draw < F.when(F.col("y") == 1, part(1, most_toxic)).otherwise(part(0, most_clean))).select("doc_id", "h", "y"), "picked")
-    rows = docs.where(fits).select(*name, "text").join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).toArrow()
-    return rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("h", "ascending")])), pos / max(pos + neg, 1)
+    rows = docs.where(fits).select(*name, "text").join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    return rows.orderBy("doc_id", "h").toArrow(), pos / max(pos + neg, 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
@@ -195,10 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_t
     broadcast, and its texts fit the driver. Of several labels the largest holds.
     """
     rows, share = sample(docs, labels, seen, most_toxic, most_clean, most_bytes)
-    texts, marks = rows["text"], rows["y"].to_numpy().astype(np.int64)
+    marks, bags = rows["y"].to_numpy().astype(np.int64), []
+    for lo in range(0, rows.num_rows, 500):  # some at a time, as each step copies its texts
+        bags += features(rows["text"].slice(lo, 500).combine_chunks().cast(pa.large_string()), BITS)
     del rows
-    bags = features(texts.cast(pa.large_string()).combine_chunks(), BITS)
-    del texts
     return fit_bags(bags, marks, share)
 
 
