@@ -166,10 +166,10 @@ def triangle(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return ((x * w[:, None]).T @ x).ravel()
 
 
-def climb(value_at: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], start: np.ndarray, steps: int = 60, tolerance: float = 1e-9, last: float | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+def climb(value_at: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], start: np.ndarray, steps: int = 60, tolerance: float = 1e-9, last: float | None = None, gain: float = 1e-9) -> tuple[np.ndarray, float, np.ndarray]:
     """Newton's ascent: (point, value, negative Hessian). A step that doesn't climb, or overflows, is halved; a Hessian that is not definite is shifted until it is.
 
-    ``last`` is the most that the last coordinate moves in a step.
+    ``last`` is the most that the last coordinate moves in a step; ``gain``, of the value, is what may be left to gain before the last step.
     """
     at = start
     value, gradient, curve = value_at(at)
@@ -178,17 +178,16 @@ def climb(value_at: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]
         scale = np.abs(np.diag(curve)).max()
         shifted = curve + max(0.0, 1e-9 * scale - low) * 1.5 * np.eye(len(at)) if low < 1e-9 * scale else curve
         step = np.linalg.solve(shifted, gradient)
-        if gradient @ step < 1e-13 * (1 + abs(value)):  # what is left to gain, twice
-            break
         size = 1.0 if last is None else min(1.0, last / max(abs(step[-1]), 1e-300))
+        near = gradient @ step < gain * (1 + abs(value))  # twice what is left to gain: one more step squares the distance
         while True:
             with np.errstate(over="ignore", invalid="ignore"):
                 found = value_at(at + size * step)
-            if found[0] >= value - 1e-10 * abs(value) or size < 1e-8:
+            if found[0] >= value - 1e-10 * abs(value) or size < 1e-4 or near:
                 break
             size /= 2
         at, (value, gradient, curve) = at + size * step, found
-        if np.abs(size * step).max() < tolerance * (1 + np.abs(at).max()):
+        if near or np.abs(size * step).max() < tolerance * (1 + np.abs(at).max()):
             break
     return at, value, curve
 
@@ -231,7 +230,7 @@ def poisson(data: Data, ridge: float = 1e-3, firth: bool = False) -> dict[str, n
             value += 0.5 * np.linalg.slogdet(information)[1]
         return value, gradient, curve
 
-    at, value, curve = climb(value_at, np.concatenate(poisson_start(data)))
+    at, value, curve = climb(value_at, np.concatenate(poisson_start(data)), gain=1e-13 if firth else 1e-9)  # Fisher's steps close in linearly
     return {"beta": at[:k], "gamma": at[k:], "loglik": np.array(value), "information": curve, "covariance": np.linalg.inv(curve)}
 
 
