@@ -332,7 +332,7 @@ def simulated(spark: SparkSession, foci: DataFrame, pool: np.ndarray, grid: Grid
         raise ValueError(f"unknown kind: {kind}")
     kinds = Kinds(foci)
     sent = spark.sparkContext.broadcast((np.ascontiguousarray(pool), grid.mask_array(), kinds))
-    steps, shape = np.array(kernels.sphere(r, grid.size)), grid.shape
+    steps, shape = np.array(kernels.sphere(r, grid.metric)), grid.shape
     blocks = max(1, -(-kinds.foci // DRAW_FOCI))
     chunks = -(-n_iters // DRAW_ITERATIONS)
 

@@ -40,7 +40,7 @@ def peaks_of(value: np.ndarray, sizes: np.ndarray, threshold: float, least: int,
         own = own[np.lexsort((own, -flat[own]))]
         chosen: list[np.ndarray] = []
         for v in [own[0], *own[1:][top.ravel()[own[1:]]]]:
-            at = np.array(np.unravel_index(v, value.shape)) * sizes
+            at = sizes @ np.array(np.unravel_index(v, value.shape))
             if all(np.linalg.norm(at - other) >= distance for other in chosen):
                 chosen.append(at)
                 out.append((name, len(chosen), int(v), float(flat[v])))
@@ -52,7 +52,7 @@ def peaks_of(value: np.ndarray, sizes: np.ndarray, threshold: float, least: int,
 def image_peaks(image: DataFrame, grid: Grid, threshold: float = 3.1, least: int = 0, distance: float = 8.0, two_sided: bool = False, subpeaks: bool = True) -> DataFrame:
     """(id, cluster, rank, voxel, value) of every image of (id, voxel, value); with ``two_sided`` of clusters below the negative threshold too."""
     kind = image.schema["id"].dataType.simpleString()
-    shape, sizes = grid.shape, np.abs(np.array(grid.sizes))
+    shape, sizes = grid.shape, grid.matrix[:, :3]
 
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         volume = np.full(shape, -np.inf)
@@ -73,7 +73,7 @@ def points_of(peaks: DataFrame, grid: Grid, space: str) -> DataFrame:
     v = F.col("voxel")
     at = (F.floor(v / (grid.ny * grid.nz)), F.floor(v / grid.nz) % grid.ny, v % grid.nz)
     place = F.row_number().over(Window.partitionBy("id").orderBy("cluster", "rank", F.col("value").desc())) - 1
-    rows = peaks.withColumns({c: grid.to_mm(i.cast("double"), a) for a, (c, i) in enumerate(zip("xyz", at, strict=True))})
+    rows = peaks.withColumns(dict(zip("xyz", grid.places(*(i.cast("double") for i in at)), strict=True)))
     return rows.select("id", place.alias("point_pos"), "x", "y", "z", F.lit(space).alias("space"), F.lit("center of mass").alias("kind"), F.create_map(F.lit("z_stat"), "value").alias("values"))
 
 

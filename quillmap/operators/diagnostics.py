@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +34,18 @@ def focus_counter(point: DataFrame, clusters: DataFrame, grid: Grid) -> DataFram
 
     Such a voxel is in the 27 cells around the point, so the join is on the cell.
     """
-    near = point.withColumn("pid", F.monotonically_increasing_id()).select("id", "pid", "x", "y", "z", *[grid.to_voxel(F.col(a), a).alias(c) for a, c in zip("xyz", "ijk", strict=True)])
+    near = point.withColumn("pid", F.monotonically_increasing_id()).select("id", "pid", "x", "y", "z", *[v.alias(c) for v, c in zip(grid.voxels(*map(F.col, "xyz")), "ijk", strict=True)])
     for c in "ijk":
         near = near.withColumn(f"c{c}", F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
     near = near.where(grid.inside(F.col("ci"), F.col("cj"), F.col("ck"))).withColumn("voxel", grid.flat(F.col("ci"), F.col("cj"), F.col("ck")))
-    d2 = sum(((F.col(a) - grid.to_mm(F.col(f"c{c}"), a)) / abs(size)) ** 2 for a, c, size in zip("xyz", "ijk", grid.sizes, strict=True))
-    hit = near.where(d2 < 1).join(clusters, "voxel").select("id", "pid", "cluster").distinct()
+    off = [F.col(a) - p for a, p in zip("xyz", grid.places(*(F.col(f"c{c}") for c in "ijk")), strict=True)]
+    if grid.affine is None:
+        steps = [o / abs(size) for o, size in zip(off, grid.sizes, strict=True)]
+    else:
+        steps = [sum(float(w) * o for w, o in zip(row, off, strict=True)) for row in np.linalg.inv(grid.matrix[:, :3])]
+    d2 = sum(s**2 for s in steps)
+    # on a rotated grid, a distance of one voxel is known to 1e-9
+    hit = near.where(d2 < (1.0 if grid.affine is None else 1 - 1e-9)).join(clusters, "voxel").select("id", "pid", "cluster").distinct()
     return hit.groupBy("id", "cluster").agg(F.count("*").alias("n"))
 
 
@@ -88,7 +95,7 @@ def conjunction(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def summary(analysis: DataFrame, point: DataFrame, grid: Grid) -> DataFrame:
     """Studies, analyses, points, and points in and out of the mask."""
-    i, j, k = (grid.to_voxel(F.col(a), a) for a in "xyz")
+    i, j, k = grid.voxels(*map(F.col, "xyz"))
     inside = (grid.inside(i, j, k) & grid.in_mask(i, j, k)).cast("int")
     p = point.agg(F.count("*").alias("n_points"), F.sum(inside).alias("n_inside"), F.sum(1 - inside).alias("n_outside"), F.countDistinct("id").alias("n_with_points"))
     a = analysis.agg(F.countDistinct("study_id").alias("n_studies"), F.count("*").alias("n_analyses"))
@@ -134,10 +141,9 @@ def peaks(stat: DataFrame, grid: Grid, threshold: float = 3.1, distance: float =
     """
     from quillmap.operators.clusters import label
 
-    shape = grid.shape
+    shape, sizes = grid.shape, grid.matrix[:, :3]
 
     def run(pdf):
-        import numpy as np
         import pandas as pd
 
         value = np.full(shape, -np.inf)
@@ -157,7 +163,7 @@ def peaks(stat: DataFrame, grid: Grid, threshold: float = 3.1, distance: float =
             own = np.concatenate([own[:1], own[1:][top.ravel()[own[1:]]]])
             chosen = []
             for v in own:
-                at = np.array(np.unravel_index(v, shape)) * np.abs(grid.sizes)
+                at = sizes @ np.array(np.unravel_index(v, shape))
                 if all(np.linalg.norm(at - other) >= distance for other in chosen):
                     chosen.append(at)
                     out.append((name, len(chosen), int(v), float(value.ravel()[v])))

@@ -22,8 +22,17 @@ def axes(size: float | tuple[float, float, float]) -> tuple[float, float, float]
     return tuple(map(abs, size)) if isinstance(size, tuple) else (size,) * 3
 
 
-def sphere(r: float, size: float | tuple[float, float, float]) -> list[tuple[int, int, int]]:
-    """Offsets at most r mm from the centre."""
+def around(metric: np.ndarray, r: float) -> np.ndarray:
+    """Voxels of each axis that a sphere of r mm can reach, where the axes are not at right angles."""
+    return r * np.sqrt((np.linalg.inv(metric) ** 2).sum(1))
+
+
+def sphere(r: float, size: float | tuple[float, float, float] | np.ndarray) -> list[tuple[int, int, int]]:
+    """Offsets at most r mm from the centre; ``size`` is a grid's metric."""
+    if isinstance(size, np.ndarray):
+        n = (around(size, r) + 1e-9).astype(int)
+        cells = np.stack(np.meshgrid(*[np.arange(-m, m + 1) for m in n], indexing="ij"), -1).reshape(-1, 3)
+        return [tuple(c) for c in cells[np.sqrt(((cells @ size.T) ** 2).sum(1)) <= r + 1e-9].tolist()]
     x, y, z = axes(size)
     reach = lambda s: range(-int(r // s), int(r // s) + 1)
     return [(a, b, c) for a in reach(x) for b in reach(y) for c in reach(z) if math.sqrt((a * x) ** 2 + (b * y) ** 2 + (c * z) ** 2) <= r]
@@ -34,11 +43,18 @@ def ale_fwhm(sample_size: float) -> float:
     return math.hypot(SUBJECT_MM / unit * TO_FWHM / math.sqrt(sample_size), TEMPLATE_MM / unit * TO_FWHM)
 
 
-def ale_kernel(fwhm: float, size: float | tuple[float, float, float], reach: int = 15) -> np.ndarray:
+def ale_kernel(fwhm: float, size: float | tuple[float, float, float] | np.ndarray, reach: int = 15) -> np.ndarray:
     """The Gaussian of this width (mm) on a grid, cut to what is not negligible, as an array of odd lengths.
 
-    A truncated, normalised 1-D Gaussian (four standard deviations) on each axis.
+    A truncated, normalised 1-D Gaussian (four standard deviations) on each axis; of the distance in mm where the
+    axes are not at right angles.
     """
+    if isinstance(size, np.ndarray):
+        sigma = fwhm * math.sqrt(2) / (2 * math.sqrt(2 * math.log(2)))
+        n = np.minimum(reach, (around(size, 4 * sigma) + 0.5).astype(int))
+        cells = np.stack(np.meshgrid(*[np.arange(-m, m + 1) for m in n], indexing="ij"), -1)
+        g = np.exp(-0.5 * ((cells @ size.T) ** 2).sum(-1) / sigma**2)
+        return g / g.sum()
     lines = []
     for s in axes(size):
         sigma = fwhm / s * math.sqrt(2) / (2 * math.sqrt(2 * math.log(2)))
@@ -58,7 +74,7 @@ def ale_kernels(spark: SparkSession, sizes: list[float], voxel: float) -> DataFr
     return spark.createDataFrame(rows, "sample_size double, di int, dj int, dk int, v double")
 
 
-def offsets(spark: SparkSession, r: float, size: float) -> DataFrame:
+def offsets(spark: SparkSession, r: float, size: float | tuple[float, float, float] | np.ndarray) -> DataFrame:
     return spark.createDataFrame(sphere(r, size), "di int, dj int, dk int")
 
 
@@ -81,13 +97,13 @@ def expand(point: DataFrame, kernel: DataFrame, grid: Grid, on: list[str] | None
 
 def kda(point: DataFrame, grid: Grid, r: float = 10.0, value: float = 1.0) -> DataFrame:
     """Spheres, summed where they overlap within an analysis."""
-    return expand(point, offsets(point.sparkSession, r, grid.size), grid).groupBy("id", "voxel").agg((F.count("*") * value).alias("value"))
+    return expand(point, offsets(point.sparkSession, r, grid.metric), grid).groupBy("id", "voxel").agg((F.count("*") * value).alias("value"))
 
 
 def mkda(point: DataFrame, grid: Grid, r: float = 10.0, value: float = 1.0) -> DataFrame:
     """Spheres, counted once where they overlap within an analysis. Points of one voxel are the same sphere, so they are made distinct first."""
     cells = point.select("id", "i", "j", "k").distinct()
-    return expand(cells, offsets(point.sparkSession, r, grid.size), grid).select("id", "voxel").distinct().withColumn("value", F.lit(value))
+    return expand(cells, offsets(point.sparkSession, r, grid.metric), grid).select("id", "voxel").distinct().withColumn("value", F.lit(value))
 
 
 def mkda_summary(point: DataFrame, grid: Grid, r: float = 10.0) -> DataFrame:
@@ -115,7 +131,7 @@ class Gaussians:
     def kernel(self, sample_size: float) -> np.ndarray:
         key = self.fwhm or sample_size
         if key not in self.kernels:
-            self.kernels[key] = ale_kernel(self.fwhm or ale_fwhm(sample_size), self.grid.size)
+            self.kernels[key] = ale_kernel(self.fwhm or ale_fwhm(sample_size), self.grid.metric)
         return self.kernels[key]
 
     def stamp(self, cells: np.ndarray, sample_size: float) -> tuple[slice, slice, slice] | None:

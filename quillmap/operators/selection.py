@@ -62,7 +62,7 @@ def by_labels(analysis: DataFrame, annotation: DataFrame, labels: list[str], thr
 
 def by_mask(point: DataFrame, grid: Grid) -> DataFrame:
     """Ids with a point in the mask; points outside the volume are moved to its edge first."""
-    i, j, k = (F.greatest(F.lit(0), F.least(grid.to_voxel(F.col(a), a), F.lit(n - 1))) for a, n in zip("xyz", grid.shape, strict=True))
+    i, j, k = (F.greatest(F.lit(0), F.least(v, F.lit(n - 1))) for v, n in zip(grid.voxels(*map(F.col, "xyz")), grid.shape, strict=True))
     return point.where(grid.in_mask(i, j, k)).select("id").distinct()
 
 
@@ -99,7 +99,7 @@ def nearest(point: DataFrame, centre: tuple[float, float, float], n: int) -> Dat
 
 def focus_filter(point: DataFrame, grid: Grid) -> DataFrame:
     """Points inside the volume and its mask; others go, without being moved."""
-    i, j, k = (grid.to_voxel(F.col(a), a) for a in "xyz")
+    i, j, k = grid.voxels(*map(F.col, "xyz"))
     return point.where(grid.inside(i, j, k) & grid.in_mask(i, j, k))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmap.operators import cbma, clusters, coordinates, correction, countmodels, decode, diagnostics, ibma, kernels, pairwise, resampling, robust, selection, structure, text
 from quillmap.plans.studyset import Grid
-from quillmap.sources import proxy
+from quillmap.sources import proxy, volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -508,6 +508,54 @@ def cbmr_firth(spark, d):
     return _counts_model(spark, d, "firth")
 
 
+# ---- rotated and sheared grids
+OBLIQUE = Grid(9, 9, 10).with_affine(np.array([[1.9, -0.7, 0.0, -6.0], [0.5, 2.1, 0.0, -9.5], [0.0, 0.0, 2.0, -9.0]]))
+
+
+def _linear(rows, names, moved=(0.0, 0.0, 0.0)):
+    """SQL of each row of a matrix times (names - moved)."""
+    return ["(" + " + ".join(f"{float(w)!r}::DOUBLE * ({n} - {float(o)!r}::DOUBLE)" for w, n, o in zip(row, names, moved)) + ")" for row in rows]
+
+
+CELLS = "cell AS (SELECT id, x, y, z, " + ", ".join(f"trunc(round({e}, 9))::BIGINT AS {c}" for e, c in zip(_linear(np.linalg.inv(OBLIQUE.matrix[:, :3]), "xyz", OBLIQUE.origins), "ijk")) + " FROM point)"
+METRIC = " + ".join(f"{e} * {e}" for e in _linear(OBLIQUE.matrix[:, :3], ("di", "dj", "dk")))
+BALL = f"ball AS (SELECT * FROM (SELECT a.range AS di, b.range AS dj, c.range AS dk FROM range(-4, 5) a, range(-4, 5) b, range(-4, 5) c) WHERE sqrt({METRIC}) <= 4 + 1e-9)"
+
+
+def _cells(spark, d):
+    p = proxy.points(spark, d).drop(*"ijk")
+    return p.withColumns(dict(zip("ijk", OBLIQUE.voxels(*map(F.col, "xyz")))))
+
+
+@query("SELECT DISTINCT id FROM cell WHERE greatest(0, least(k, 9)) BETWEEN 1 AND 7", P, CELLS)
+def studies_by_mask_oblique(spark, d):
+    return selection.by_mask(proxy.points(spark, d), OBLIQUE)
+
+
+@query("SELECT id, x, y, z FROM cell WHERE i BETWEEN 0 AND 8 AND j BETWEEN 0 AND 8 AND k BETWEEN 1 AND 7", P, CELLS)
+def focus_filter_oblique(spark, d):
+    return selection.focus_filter(proxy.points(spark, d), OBLIQUE).select("id", "x", "y", "z")
+
+
+@query("SELECT voxel, count(*) AS n FROM (SELECT DISTINCT id, (i + di) * 90 + (j + dj) * 10 + k + dk AS voxel FROM cell, ball WHERE i + di BETWEEN 0 AND 8 AND j + dj BETWEEN 0 AND 8 AND k + dk BETWEEN 1 AND 7) GROUP BY voxel", P, CELLS, BALL)
+def mkda_summary_oblique(spark, d):
+    return kernels.mkda_summary(_cells(spark, d), OBLIQUE, RADIUS).select(F.col("voxel").cast("long").alias("voxel"), "n")
+
+
+# ---- images as files of volumes, on a rotated grid of 4 x 4 x 4, taken to one of 5 x 5 x 5
+FILED = Grid(4, 4, 4).with_affine(np.array([[1.5, -0.75, 0.25, -2.5], [0.75, 1.5, 0.0, -4.0], [-0.125, 0.25, 2.0, -3.5]]))  # numbers that single precision holds
+TAKEN = Grid(5, 5, 5, 1.3, -2.1, (0, 3))
+TRILINEAR = ("mm AS (SELECT (i * 25 + j * 5 + k)::BIGINT AS voxel, 1.3::DOUBLE * i - 2.1 AS x, 1.3::DOUBLE * j - 2.1 AS y, 1.3::DOUBLE * k - 2.1 AS z FROM (SELECT a.range AS i, b.range AS j, c.range AS k FROM range(5) a, range(5) b, range(4) c))",
+    "place AS (SELECT voxel, " + ", ".join(f"{e} AS {c}" for e, c in zip(_linear(np.linalg.inv(FILED.matrix[:, :3]), "xyz", FILED.origins), "pqr")) + " FROM mm)",
+    "part AS (SELECT p.voxel, (floor(p) + a)::BIGINT * 16 + (floor(q) + b)::BIGINT * 4 + (floor(r) + c)::BIGINT AS source, (CASE a WHEN 1 THEN p - floor(p) ELSE 1 - p + floor(p) END) * (CASE b WHEN 1 THEN q - floor(q) ELSE 1 - q + floor(q) END) * (CASE c WHEN 1 THEN r - floor(r) ELSE 1 - r + floor(r) END) AS w FROM place p, range(2) t(a), range(2) u(b), range(2) v(c) WHERE p BETWEEN 0 AND 3 AND q BETWEEN 0 AND 3 AND r BETWEEN 0 AND 3)")
+
+
+@query("SELECT v.id, m.voxel, round(coalesce(s.value, 0), 6) + 0.0::DOUBLE AS value FROM (SELECT DISTINCT id FROM image) v CROSS JOIN mm m LEFT JOIN (SELECT id, part.voxel, sum(w * value) AS value FROM image JOIN part ON image.voxel = part.source GROUP BY id, part.voxel) s ON s.id = v.id AND s.voxel = m.voxel", I, *TRILINEAR)
+def images_resampled(spark, d):
+    filed = volumes.volumes(proxy.images(spark, d), FILED, "f8")
+    return volumes.on_grid(filed, TAKEN).select("id", "voxel", (R("value") + 0.0).alias("value"))  # no negative zeros
+
+
 # ---- coordinates from images, on their grid of 4 x 4 x 4
 IMAGE_GRID = Grid(4, 4, 4, 2.0, -3.0, (0, 3))
 PEAKS = """RECURSIVE above AS (SELECT id, voxel, value, voxel // 16 AS i, voxel // 4 % 4 AS j, voxel % 4 AS k FROM image WHERE value > 0.15),

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Grid:
-    """A volume of nx x ny x nz voxels, with a size and an offset (in mm) for all axes or for each.
+    """A volume of nx x ny x nz voxels, with a size and an offset (in mm) for all axes or for each, or with any affine.
 
+    ``with_affine`` gives rotated and sheared grids; size and origin are then those of its columns.
     Its mask is a range of planes k, or any set of voxels (``with_mask``) kept as bits in
     numbers of 64, so that testing a voxel is an expression and needs no join.
     """
@@ -28,6 +29,7 @@ class Grid:
     origin: float | tuple[float, float, float] = 0.0
     k_mask: tuple[int, int] = (1, 7)
     bits: tuple[int, ...] | None = None
+    affine: tuple[float, ...] | None = None
 
     @property
     def shape(self) -> tuple[int, int, int]:
@@ -41,6 +43,29 @@ class Grid:
     def origins(self) -> tuple[float, float, float]:
         return self.origin if isinstance(self.origin, tuple) else (self.origin,) * 3
 
+    @property
+    def matrix(self) -> np.ndarray:
+        """Voxels to millimetres, 3 x 4."""
+        if self.affine is not None:
+            return np.array(self.affine, float).reshape(3, 4)
+        return np.c_[np.diag(self.sizes), self.origins].astype(float)
+
+    @property
+    def metric(self) -> float | tuple[float, float, float] | np.ndarray:
+        """What distances between voxels take: sizes, or 3 x 3 where the axes are not at right angles."""
+        if self.affine is None:
+            return self.size
+        m = self.matrix[:, :3]
+        gram = m.T @ m
+        return self.sizes if np.allclose(gram, np.diag(np.diag(gram)), atol=1e-9 * gram.max()) else m
+
+    def with_affine(self, affine: np.ndarray) -> Grid:
+        """The grid with an affine of 3 x 4 (or 4 x 4); one without an inverse is an error."""
+        m = np.asarray(affine, float)[:3, :4]
+        if abs(np.linalg.det(m[:, :3])) < 1e-12:
+            raise ValueError("an affine without an inverse")
+        return replace(self, size=tuple(np.sqrt((m[:, :3] ** 2).sum(0)).tolist()), origin=tuple(m[:, 3].tolist()), affine=tuple(m.ravel().tolist()))
+
     def with_mask(self, on: np.ndarray) -> Grid:
         """The grid with the mask of a boolean volume."""
         flat = np.zeros(-(-on.size // 64) * 64, np.uint8)
@@ -61,14 +86,33 @@ class Grid:
         return on
 
     def to_voxel(self, mm: Column, axis: int | str = 0) -> Column:
-        """Millimetres to voxels, cut off towards zero."""
+        """Millimetres to voxels, cut off towards zero; one axis of a grid without rotation."""
+        self._straight()
         a = "xyz".index(axis) if isinstance(axis, str) else axis
         return ((mm - self.origins[a]) / self.sizes[a]).cast("int")
 
     def to_mm(self, voxel: Column, axis: int | str = 0) -> Column:
+        self._straight()
         a = "xyz".index(axis) if isinstance(axis, str) else axis
         return voxel * self.sizes[a] + self.origins[a]
 
+    def _straight(self) -> None:
+        if self.affine is not None:
+            raise ValueError("a rotated grid has no axis by itself: use voxels or places")
+
+    def voxels(self, x: Column, y: Column, z: Column) -> list[Column]:
+        """Millimetres to voxels (i, j, k), cut off towards zero. A rotated grid first takes places within 1e-9 of a voxel for it."""
+        if self.affine is None:
+            return [self.to_voxel(c, a) for a, c in enumerate((x, y, z))]
+        back, moved = np.linalg.inv(self.matrix[:, :3]), [c - o for c, o in zip((x, y, z), self.origins, strict=True)]
+        return [F.round(sum(float(w) * c for w, c in zip(row, moved, strict=True)), 9).cast("int") for row in back]
+
+    def places(self, i: Column, j: Column, k: Column) -> list[Column]:
+        """Voxels to millimetres (x, y, z)."""
+        if self.affine is None:
+            return [self.to_mm(c, a) for a, c in enumerate((i, j, k))]
+        return [sum(float(w) * c for w, c in zip(row, (i, j, k), strict=False)) + float(row[3]) for row in self.matrix]
+
     def flat(self, i: Column, j: Column, k: Column) -> Column:
         return i * (self.ny * self.nz) + j * self.nz + k
 
