@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.operators import cbma, clusters, coordinates, correction, countmodels, decode, diagnostics, ibma, kernels, pairwise, resampling, robust, selection, structure, text
+from quillmap.operators import cbma, clusters, coordinates, correction, countmodels, decode, diagnostics, ibma, kernels, pairwise, resampling, robust, selection, structure, subregions, text
 from quillmap.plans.studyset import Grid
 from quillmap.sources import proxy, volumes
 
@@ -508,6 +508,14 @@ def cbmr_firth(spark, d):
     return _counts_model(spark, d, "firth")
 
 
+# ---- topics of brands and coordinates, with mirrored regions
+@query()
+def topics_with_regions(spark, d):
+    lines = proxy.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("p_partkey"))
+    counts = lines.join(proxy.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("word")), "p_partkey").groupBy("id", "word").agg(F.count("*").alias("n"))
+    return subregions.word_given_topic(subregions.fit(counts, proxy.points(spark, d), 5, 2, rounds=3))
+
+
 # ---- rotated and sheared grids
 OBLIQUE = Grid(9, 9, 10).with_affine(np.array([[1.9, -0.7, 0.0, -6.0], [0.5, 2.1, 0.0, -9.5], [0.0, 0.0, 2.0, -9.0]]))
 
