@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.plans.studyset import Grid, Studyset
+from quillmap.sources import sparse
 
 TABLES = ("analysis", "point", "annotation", "image", "text", "study")
 
@@ -42,15 +43,22 @@ def convert(spark: SparkSession, source: str, target: str, overwrite: bool = Fal
     return read(spark, target)
 
 
-def read_feature_tables(spark: SparkSession, coordinates: str, metadata: str, features: str | None = None, vocabulary: str | None = None, group: str = "terms") -> Studyset:
-    """Tab-separated coordinates (id, x, y, z) and metadata (id, ...), features as (row, column, value) triples and a vocabulary, one word a line; labels get the group as a prefix."""
+def read_feature_tables(spark: SparkSession, coordinates: str, metadata: str, features: str | None = None, vocabulary: str | None = None, group: str = "terms", sparse_archive: bool | None = None) -> Studyset:
+    """Tab-separated coordinates (id, x, y, z) and metadata (id, ...), features and a vocabulary, one word a line; labels get the group as a prefix.
+
+    Features are triples (id, column, value) in Parquet, or sparse matrices in ``.npz`` (one, or a folder of them, with ``sparse_archive``),
+    whose rows are those of the metadata, in order.
+    """
     point = spark.read.option("sep", "\t").option("header", True).csv(coordinates).select("id", *[F.col(c).cast("double") for c in "xyz"])
     meta = spark.read.option("sep", "\t").option("header", True).csv(metadata)
     analysis = meta.withColumn("study_id", F.col("id")).withColumn("contrast_id", F.lit("1"))
     annotation = None
     if features and vocabulary:
         words = spark.read.text(vocabulary, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("column", "word"))
-        rows = spark.read.parquet(features)
+        if sparse_archive if sparse_archive is not None else features.endswith(".npz"):
+            rows = sparse.read(spark, features).join(sparse.numbered(meta).select("row", "id"), "row")
+        else:
+            rows = spark.read.parquet(features)
         # left to Spark, which sends the vocabulary only if it is small
         annotation = rows.join(words, "column").select("id", F.concat(F.lit(f"{group}__"), "word").alias("label"), "value")
     return Studyset(analysis=analysis, point=point, annotation=annotation)
