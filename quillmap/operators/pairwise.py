@@ -1,6 +1,6 @@
 """Family-wise inference for two groups: whole permuted volumes, their largest statistics and clusters.
 
-Under permuted labels, terms (id, voxel, term) are dealt once, by stripes of voxels and, where a
+Under permuted labels, volumes that fit a task are summed where the terms (id, voxel, term) are. Others' terms are dealt once, by stripes of voxels and, where a
 stripe has many rows, parts of the ids. Each of these tasks computes an id's label from a hash of
 (id, iteration) and gives its stripe's sums for each iteration; the stripes of an iteration are then put together to a
 volume (parts are added), whose statistic, and largest clusters, are found where it is. So neither labels nor
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +24,26 @@ from quillmap.plans.studyset import Grid
 
 #: Rows that one task holds, bytes that it returns, and parts of a stripe that are added at once.
 TASK_ROWS, TASK_BYTES, ADD_PARTS = 2_000_000, 64 << 20, 8
+#: Rows whose ids' labels a task computes at once.
+HELD_ROWS = 1_000_000
 FAMILIES = ("uniformity", "group2", "association")
 MAXIMA = "iteration long, family string, max_stat double, max_size long, max_mass double"
 
 
+def grouped(point: DataFrame, group1: DataFrame, group2: DataFrame) -> DataFrame:
+    """Points of both groups' analyses, with their group ``g`` (1 or 2), which kernels ``keep`` so that activations need no join."""
+    return point.join(group1.select("id", F.lit(1).alias("g")).unionByName(group2.select("id", F.lit(2).alias("g"))).distinct(), "id")
+
+
 def permuted_volumes(terms: DataFrame, group1: DataFrame, group2: DataFrame, grid: Grid, n_iters: int, seed: int = 0) -> DataFrame:
-    """(iteration, part): for each labelling the sums over the analyses labelled as the first group, as a volume's bytes."""
+    """(iteration, part): for each labelling the sums over the analyses labelled as the first group, as a volume's bytes.
+
+    Terms with a column ``g`` are of analyses of the groups only (see ``grouped``).
+    """
     ids = group1.select("id").unionByName(group2.select("id")).distinct()
     cuts = cbma.label_cuts(ids, group1.select("id").distinct().count(), n_iters, seed)
-    return subset_volumes(terms.join(ids, "id", "left_semi"), lambda h, it: cbma._draws(h, np.array([it]), seed)[:, 0].astype(np.int64) <= cuts[it], n_iters, grid)
+    own = terms if "g" in terms.columns else terms.join(ids, "id", "left_semi")
+    return subset_volumes(own, lambda h, it: cbma._draws(h, np.array([it]), seed)[:, 0].astype(np.int64) <= cuts[it], n_iters, grid)
 
 
 def subset_volumes(terms: DataFrame, chosen: Callable[[np.ndarray, int], np.ndarray], n_iters: int, grid: Grid, more: int = 0) -> DataFrame:
@@ -41,6 +53,8 @@ def subset_volumes(terms: DataFrame, chosen: Callable[[np.ndarray, int], np.ndar
     """
     size = int(np.prod(grid.shape)) + more
     rows = terms.select(F.xxhash64("id").alias("h"), F.col("voxel").cast("long").alias("voxel"), F.col("term").cast("double").alias("term"))
+    if 8 * size * n_iters <= TASK_BYTES:
+        return small_volumes(rows, chosen, n_iters, size)
     n, threads = rows.count(), terms.sparkSession.sparkContext.defaultParallelism
     stripes = int(min(size, max(threads, -(-n // TASK_ROWS), -(-8 * size * n_iters // TASK_BYTES))))
     parts = max(1, -(-n // (TASK_ROWS * stripes)))
@@ -75,6 +89,66 @@ def subset_volumes(terms: DataFrame, chosen: Callable[[np.ndarray, int], np.ndar
     return pieces.groupBy("iteration").applyInPandas(assemble, "iteration long, part binary")
 
 
+def small_volumes(rows: DataFrame, chosen: Callable[[np.ndarray, int], np.ndarray], n_iters: int, size: int, labelled: bool = False) -> DataFrame:
+    """(iteration, part) as ``subset_volumes`` from rows (h, voxel, term), where the volumes of all iterations fit a task.
+
+    With ``labelled`` rows have a fourth column, and two more volumes, summed in the same order, are of the rows it marks and of all.
+
+    Terms add up wherever they are, so no row is dealt: each task sums its own, and only its volumes are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros((n_iters + 2 * labelled, size)), [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                n += b.num_rows
+            if n >= HELD_ROWS:
+                add_chosen(total, n_iters, chosen, *map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            add_chosen(total, n_iters, chosen, *map(np.concatenate, zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array([row.tobytes() for row in total], pa.binary())], ["iteration", "part"])
+
+    def add(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size)
+        for x in own.sort_values("task")["part"]:
+            total += np.frombuffer(x)
+        return pd.DataFrame({"iteration": [key[0]], "task": [key[1]], "part": [total.tobytes()]})
+
+    kind = "iteration long, task long, part binary"
+    parts = rows.mapInArrow(run, "iteration long, part binary").withColumn("task", F.spark_partition_id().cast("long"))
+    # two levels, so that a group holds about the root of as many volumes as there are tasks
+    for level in (F.pmod(F.col("task"), F.lit(32)), F.lit(0).cast("long")):
+        parts = parts.groupBy("iteration", level.alias("into")).applyInPandas(add, kind)
+    return parts.select("iteration", "part")
+
+
+def add_chosen(total: np.ndarray, n_iters: int, chosen: Callable[[np.ndarray, int], np.ndarray], h: np.ndarray, voxel: np.ndarray, term: np.ndarray, one: np.ndarray | None = None) -> None:
+    """Add the terms of the ids that each iteration takes to its volume: a product of matrices where rows fill the volumes well, else one by one."""
+    size = total.shape[1]
+    order = np.argsort(h, kind="stable")
+    h, voxel, term = h[order], voxel[order], term[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    names, at = h[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    takes = np.ones((len(total), len(names)), bool)
+    for it in range(n_iters):
+        takes[it] = chosen(names, it)
+    if one is not None:
+        takes[n_iters] = one[order][first]
+    if len(names) * size > 64 * len(h):
+        for it in range(len(total)):
+            own = takes[it][at]
+            total[it] += np.bincount(voxel[own], term[own], size)
+        return
+    step = max(1, (1 << 20) // size)
+    for lo in range(0, len(names), step):
+        hi = min(lo + step, len(names))
+        a, b = first[lo], first[hi] if hi < len(first) else len(h)
+        terms = np.bincount((at[a:b] - lo) * size + voxel[a:b], term[a:b], (hi - lo) * size).reshape(hi - lo, size)
+        total += takes[:, lo:hi].astype(float) @ terms
+
+
 def total_volume(terms: DataFrame, grid: Grid) -> np.ndarray:
     """The sum of all analyses' terms: as many numbers as the grid has voxels."""
     out = np.zeros(int(np.prod(grid.shape)))
@@ -180,8 +254,9 @@ def long_families(wide: DataFrame) -> DataFrame:
 def chi2_observed(active: DataFrame, group1: DataFrame, group2: DataFrame, mask: DataFrame) -> DataFrame:
     """(family, voxel, stat) of the three families, from one pass of counts over ``active`` (id, voxel)."""
     flagged = group1.select("id", F.lit(1).alias("g")).unionByName(group2.select("id", F.lit(0).alias("g"))).distinct()
+    own = active.withColumn("g", 2 - F.col("g")) if "g" in active.columns else active.join(flagged, "id")
     n = flagged.agg(F.sum("g").cast("double").alias("n1"), F.sum(1 - F.col("g")).cast("double").alias("n2"))
-    counts = active.join(flagged, "id").groupBy("voxel").agg(F.sum("g").cast("double").alias("a"), F.sum(1 - F.col("g")).cast("double").alias("b"))
+    counts = own.groupBy("voxel").agg(F.sum("g").cast("double").alias("a"), F.sum(1 - F.col("g")).cast("double").alias("b"))
     v = mask.select("voxel").join(counts, "voxel", "left").fillna(0.0, ["a", "b"])
     v = v.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(v.agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -192,7 +267,7 @@ def chi2_null(active: DataFrame, group1: DataFrame, group2: DataFrame, grid: Gri
     """Maxima of the three families under permuted labels."""
     cbma.apart(group1, group2)
     both = group1.select("id").unionByName(group2.select("id")).distinct()
-    terms = active.select("id", "voxel", F.lit(1.0).alias("term")).join(both, "id", "left_semi")
+    terms = active.select("id", "voxel", "g", F.lit(1.0).alias("term")) if "g" in active.columns else active.select("id", "voxel", F.lit(1.0).alias("term")).join(both, "id", "left_semi")
     n1, n2 = (float(g.select("id").distinct().count()) for g in (group1, group2))
     total = total_volume(terms, grid)[grid.mask_array().ravel()]
     return volume_maxima(permuted_volumes(terms, group1, group2, grid, n_iters, seed), grid, lambda a: chi2_families(a, total - a, n1, n2), threshold)
@@ -295,25 +370,30 @@ def subtraction_fwe(ma: DataFrame, group1: DataFrame, group2: DataFrame, grid: G
 
     cbma.apart(group1, group2)
     both = group1.select("id").unionByName(group2.select("id")).distinct()
-    terms = cbma._log_terms(ma.join(both, "id", "left_semi"))
+    terms = cbma._log_terms(ma, "g") if "g" in ma.columns else cbma._log_terms(ma.join(both, "id", "left_semi"))
     inside = grid.mask_array().ravel()
     total = total_volume(terms, grid)[inside]
     difference = lambda a: np.exp(total - a) - np.exp(a)
     volumes = checkpointed(permuted_volumes(terms, group1, group2, grid, n_iters, seed))
     threshold = exact_quantile(volumes, lambda raw: np.abs(difference(np.frombuffer(raw)[inside])), 1 - voxel_p)
     maxima = checkpointed(volume_maxima(volumes, grid, lambda a: {"difference": difference(a)}, threshold))
-    sums = terms.join(group1.select("id").distinct().withColumn("one", F.lit(1)), "id", "left").groupBy("voxel").agg(F.sum("term").alias("t"), F.coalesce(F.sum(F.when(F.col("one") == 1, F.col("term"))), F.lit(0.0)).alias("a"))
+    flagged = terms.withColumn("one", 2 - F.col("g")) if "g" in terms.columns else terms.join(group1.select("id").distinct().withColumn("one", F.lit(1)), "id", "left")
+    sums = flagged.groupBy("voxel").agg(F.sum("term").alias("t"), F.coalesce(F.sum(F.when(F.col("one") == 1, F.col("term"))), F.lit(0.0)).alias("a"))
     seen = grid.mask(ma.sparkSession).select("voxel").join(sums, "voxel", "left").fillna(0.0, ["t", "a"])
     seen = seen.select(F.lit("difference").alias("family"), "voxel", (F.exp(F.col("t") - F.col("a")) - F.exp("a")).alias("stat"))
     return with_p(seen, maxima, grid, threshold)
 
 
 def scale_fwe(ma: DataFrame, foci: DataFrame, pool: np.ndarray, grid: Grid, n_iters: int = 1000, fwhm: float | None = None, seed: int = 0) -> DataFrame:
-    """Voxel p of the union statistic when foci are drawn from a pool of cells, by each iteration's largest; the null of a voxel is its own, so no clusters are formed."""
+    """Voxel p of the union statistic when foci are drawn from a pool of cells, by each iteration's largest; the null of a voxel is its own, so no clusters are formed.
+
+    ``ma`` has (id, voxel, value), or (voxel, stat) of the mask where the statistic is there already.
+    """
     from quillmap.operators.text import checkpointed
 
     spark = ma.sparkSession
     volumes = cbma.simulated(spark, foci, pool, grid, n_iters, "ale", fwhm=fwhm, seed=seed)
     maxima = checkpointed(volume_maxima(volumes, grid, lambda t: {"stat": -np.expm1(t)}, None))
-    seen = cbma.ale_stat(ma, grid.mask(spark)).select(F.lit("stat").alias("family"), "voxel", "stat")
+    seen = cbma.ale_stat(ma, grid.mask(spark)) if "stat" not in ma.columns else ma
+    seen = seen.select(F.lit("stat").alias("family"), "voxel", "stat")
     return with_p(seen, maxima, grid, None).drop("p_size", "p_mass")

@@ -9,10 +9,11 @@ Volumes are thresholded, and clusters below a size dropped, where they are; only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ KINDS = ("ale", "kda", "mkda")
 
 
 def terms_of(ma: DataFrame, kind: str, grid: Grid, weights: DataFrame | None = None) -> DataFrame:
-    """(id, voxel, term) of an additive statistic. MKDA's weights (id, weight; 1 without) are also terms at the voxel after the last."""
+    """(id, voxel, term) of an additive statistic. MKDA's weights (id, weight; 1 without) are also terms at the voxel after the last; a column ``weight`` of ``ma`` saves joining them."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
     if kind == "ale":
@@ -31,7 +32,7 @@ def terms_of(ma: DataFrame, kind: str, grid: Grid, weights: DataFrame | None = N
     if kind == "kda":
         return ma.select("id", "voxel", F.col("value").alias("term"))
     own = ma.select("id").distinct().withColumn("weight", F.lit(1.0)) if weights is None else weights.select("id", F.col("weight").cast("double").alias("weight"))
-    at = ma.join(own, "id").select("id", F.col("voxel").cast("long").alias("voxel"), (F.col("weight") * F.col("value")).alias("term"))
+    at = (ma if "weight" in ma.columns else ma.join(own, "id")).select("id", F.col("voxel").cast("long").alias("voxel"), (F.col("weight") * F.col("value")).alias("term"))
     return at.unionByName(own.select("id", F.lit(int(np.prod(grid.shape))).cast("long").alias("voxel"), F.col("weight").alias("term")))
 
 
@@ -53,14 +54,35 @@ def passing(stat: np.ndarray, grid: Grid, inside: np.ndarray, threshold: float,
     return on.ravel()
 
 
-def subsamples(terms: DataFrame, ids: DataFrame, size: int, n: int, grid: Grid, kind: str, seed: int = 0) -> DataFrame:
-    """(iteration, part): the sums of ``n`` subsamples of ``size`` analyses of ``ids``."""
+def taken(ids: DataFrame, chosen: Callable[[np.ndarray, int], np.ndarray], n: int) -> DataFrame:
+    """Ids that at least one of ``n`` replicates takes."""
+    names = ids.select("id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, some = b.column("h").to_numpy(), np.zeros(b.num_rows, bool)
+            for it in range(n):
+                some |= chosen(h, it)
+            yield b.filter(pa.array(some)).select(["id"])
+
+    return names.withColumn("h", F.xxhash64("id")).mapInArrow(run, f"id {names.schema['id'].dataType.simpleString()}")
+
+
+def subsamples(terms: DataFrame | Callable[[DataFrame], DataFrame], ids: DataFrame, size: int, n: int, grid: Grid, kind: str, seed: int = 0, joined: bool = False) -> DataFrame:
+    """(iteration, part): the sums of ``n`` subsamples of ``size`` analyses of ``ids``.
+
+    ``terms`` may be a function of ids, which then is asked for the analyses that a subsample takes only; ``joined`` says that terms have no others than ``ids``.
+    """
     every = ids.select("id").distinct().count()
     if not 0 < size <= every:
         raise ValueError(f"a subsample of {size} of {every} analyses")
     cuts = cbma.label_cuts(ids, size, n, seed)
-    own = terms.join(ids.select("id").distinct(), "id", "left_semi")
-    return pairwise.subset_volumes(own, lambda h, it: cbma._draws(h, np.array([it]), seed)[:, 0].astype(np.int64) <= cuts[it], n, grid, int(kind == "mkda"))
+    chosen = lambda h, it: cbma._draws(h, np.array([it]), seed)[:, 0].astype(np.int64) <= cuts[it]
+    if callable(terms):
+        own = terms(taken(ids, chosen, n))
+    else:
+        own = terms if joined else terms.join(ids.select("id").distinct(), "id", "left_semi")
+    return pairwise.subset_volumes(own, chosen, n, grid, int(kind == "mkda"))
 
 
 def support(volumes: DataFrame, grid: Grid, kind: str, threshold: float, n: int, least: float = 0) -> DataFrame:
@@ -80,13 +102,16 @@ def support(volumes: DataFrame, grid: Grid, kind: str, threshold: float, n: int,
     return mask.join(found, "voxel", "left").select("voxel", (F.coalesce("hits", F.lit(0)) / F.lit(float(n))).alias("support"))
 
 
-def stability(ma: DataFrame, ids: DataFrame, grid: Grid, threshold: float, kind: str = "ale", size: int | None = None, leave: int | None = None, n: int = 1000, least: float = 0, weights: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """(voxel, support): over subsamples of ``size`` analyses, or of all but ``leave``, the share that keeps a voxel above the threshold (in clusters of ``least`` voxels)."""
+def stability(ma: DataFrame, ids: DataFrame, grid: Grid, threshold: float, kind: str = "ale", size: int | None = None, leave: int | None = None, n: int = 1000, least: float = 0, weights: DataFrame | None = None, seed: int = 0, joined: bool = False) -> DataFrame:
+    """(voxel, support): over subsamples of ``size`` analyses, or of all but ``leave``, the share that keeps a voxel above the threshold (in clusters of ``least`` voxels).
+
+    ``joined`` says that ``ma`` and the weights have no other analyses than ``ids``.
+    """
     if (size is None) == (leave is None):
         raise ValueError("give the size of subsamples, or how many analyses are left out")
     every = ids.select("id").distinct().count()
     size = every - leave if size is None else size
-    return support(subsamples(terms_of(ma, kind, grid, weights), ids, size, n, grid, kind, seed), grid, kind, threshold, n, least)
+    return support(subsamples(terms_of(ma, kind, grid, weights), ids, size, n, grid, kind, seed, joined), grid, kind, threshold, n, least)
 
 
 def cluster_size_null(spark: SparkSession, foci: DataFrame, size: int, grid: Grid, threshold: float, kind: str = "ale", r: float = 10.0, fwhm: float | None = None, n_iters: int = 1000, alpha: float = 0.05, seed: int = 0) -> float:
@@ -119,20 +144,20 @@ def mean_difference(one: DataFrame, two: DataFrame, grid: Grid, per: int) -> Dat
     return out.select("iteration", "part")
 
 
-def balanced(ma: DataFrame, group1: DataFrame, group2: DataFrame, foci: DataFrame, grid: Grid, threshold: float, size: int, n_subsamples: int = 2500, n_iters: int = 1000, per: int = 10, alpha: float = 0.05, fwhm: float | None = None, seed: int = 0) -> DataFrame:
+def balanced(ma: DataFrame | Callable[[DataFrame], DataFrame], group1: DataFrame, group2: DataFrame, foci: DataFrame, grid: Grid, threshold: float, size: int, n_subsamples: int = 2500, n_iters: int = 1000, per: int = 10, alpha: float = 0.05, fwhm: float | None = None, seed: int = 0) -> DataFrame:
     """(voxel, prob1, prob2, conjunction, difference, p): two groups compared by subsamples of the same ``size``.
 
     prob1 and prob2 are the shares of a group's subsamples in which a voxel passes the threshold in a cluster
     that is not smaller than the 1 - ``alpha`` percentile of the group's own null of clusters. The difference is the
     mean of ``per`` differences of ALE between subsamples of both; its null permutes the groups' labels, and in each
-    labelling takes as many pairs of subsamples. p is 1 unless a voxel is beyond the percentile alpha / 2 of the null's least, or
+    labelling takes as many pairs of subsamples. ``ma`` may be a function of ids, which is asked for the analyses of some subsample only. p is 1 unless a voxel is beyond the percentile alpha / 2 of the null's least, or
     1 - alpha / 2 of its largest, values; then it is the share of labellings with one as extreme, 1 / n_iters at least.
     """
     from quillmap.operators.text import checkpointed
 
     cbma.apart(group1, group2)
-    spark, inside = ma.sparkSession, grid.mask_array().ravel()
-    terms = terms_of(ma, "ale", grid)
+    spark, inside = foci.sparkSession, grid.mask_array().ravel()
+    terms = (lambda ids: terms_of(ma(ids), "ale", grid)) if callable(ma) else terms_of(ma, "ale", grid)
     maps = []
     for place, group in enumerate((group1, group2)):
         own = foci.join(group.select("id").distinct(), "id", "left_semi")
@@ -155,7 +180,7 @@ def balanced(ma: DataFrame, group1: DataFrame, group2: DataFrame, foci: DataFram
             its = np.array([it])
             return (of_side(h, its) & (cbma._draws(h, its, seed + 21 + side).astype(np.int64) <= nested[it]))[:, 0]
 
-        sides.append(pairwise.subset_volumes(terms.join(ids, "id", "left_semi"), chosen, n_iters * per, grid))
+        sides.append(pairwise.subset_volumes(terms(taken(ids, chosen, n_iters * per)) if callable(terms) else terms.join(ids, "id", "left_semi"), chosen, n_iters * per, grid))
 
     def extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

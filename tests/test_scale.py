@@ -54,3 +54,64 @@ def test_largest_kernel_value_and_names_of_text(spark):
                 out[key] = max(out.get(key, 0), v)
     found = kernels.ale(p.withColumn("id", F.concat(F.lit("a"), "id")), spark.createDataFrame(kernel, "di int, dj int, dk int, v double"), GRID)
     assert {(r["id"], r["voxel"]): r["value"] for r in found.collect()} == out
+
+
+def test_permuted_volumes_are_summed_where_the_terms_are(spark):
+    from quillmap.operators import cbma, pairwise
+
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(i), int(v)) for i, v in zip(rng.integers(0, 40, 900), rng.integers(0, 336, 900))})
+    terms = spark.createDataFrame([(i, v, float(v % 5) / 8) for i, v in rows], "id long, voxel long, term double")
+    ids = spark.range(40).select("id")
+    one, two = ids.where("id < 15"), ids.where("id >= 15")
+    cuts = cbma.label_cuts(ids, 15, 6, 0)
+    found = {r["iteration"]: np.frombuffer(bytes(r["part"])) for r in pairwise.permuted_volumes(terms, one, two, GRID, 6).collect()}
+    hashed = {r["id"]: r["h"] for r in ids.select("id", F.xxhash64("id").alias("h")).collect()}
+    draws = cbma._draws(np.array([hashed[i] for i in range(40)]), np.arange(6), 0).astype(np.int64)
+    for it in range(6):
+        want = np.zeros(336)
+        for i, v in rows:
+            want[v] += v % 5 / 8 * (draws[i, it] <= cuts[it])
+        assert (draws[:, it] <= cuts[it]).sum() == 15 and np.array_equal(found[it], want)
+    plan = pairwise.permuted_volumes(terms.withColumn("g", F.lit(1)), one, two, GRID, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "voxel" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_sums_of_many_analyses_by_kinds(spark, monkeypatch):
+    from quillmap.operators import cbma
+
+    hist = spark.createDataFrame([(i, b, s) for i in range(90) for b, s in (((0, 0.7), (1, 0.3)) if i % 3 else ((0, 0.5), (1, 0.25), (4, 0.25)))], "id long, bin long, share double")
+    want = cbma.fold_histograms(hist, 1.0, additive=True, most=30)
+    monkeypatch.setattr(cbma, "FOLD_EXACT", 10)
+    monkeypatch.setattr(cbma, "convolve", None)  # nothing is folded one by one
+    got = cbma.fold_histograms(hist, 1.0, additive=True, most=30)
+    assert len(got) == len(want) == 32 and np.allclose(got, want, atol=1e-14)
+
+
+def test_pairs_within_a_radius_are_not_shuffled(spark):
+    from quillmap.operators import selection
+
+    rng = np.random.default_rng(3)
+    p = [(int(i), *map(float, rng.integers(-4, 5, 3))) for i in rng.integers(0, 30, 120)]
+    q = [(None if n % 17 == 0 else int(n % 40), *map(float, rng.integers(-4, 5, 3))) for n in range(60)]
+    point, query = spark.createDataFrame(p, "id long, x double, y double, z double"), spark.createDataFrame(q, "query_id long, x double, y double, z double")
+    want = {(i, n) for i, *a in p for n, *b in q if sum((s - t) ** 2 for s, t in zip(a, b)) <= 4}
+    rows = [tuple(r) for r in selection.range_join(point, query, 2.0).select("id", "query_id").collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_unions_of_cells_by_table(spark):
+    from quillmap.operators import cbma
+
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 1 << 63, (137, 3)).astype(np.uint64)
+    assert np.array_equal(cbma.bit_sums(rows), np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(0))
+    foci = spark.createDataFrame([(i, 1 + i % 4, 10.0 + i % 3) for i in range(30)], "id long, n long, sample_size double")
+    pool = np.argwhere(GRID.mask_array())[::3]
+    for kind in ("mkda", "ale"):
+        volumes = []
+        for bytes_ in (256 << 20, 0):
+            before, cbma.TABLE_BYTES = cbma.TABLE_BYTES, bytes_
+            volumes.append({r["iteration"]: np.frombuffer(bytes(r["part"])) for r in cbma.simulated(spark, foci, pool, GRID, 3, kind, 4.0).collect()})
+            cbma.TABLE_BYTES = before
+        assert all(np.allclose(volumes[0][i], volumes[1][i], rtol=1e-12) for i in range(3))
