@@ -115,3 +115,45 @@ def test_unions_of_cells_by_table(spark):
             volumes.append({r["iteration"]: np.frombuffer(bytes(r["part"])) for r in cbma.simulated(spark, foci, pool, GRID, 3, kind, 4.0).collect()})
             cbma.TABLE_BYTES = before
         assert all(np.allclose(volumes[0][i], volumes[1][i], rtol=1e-12) for i in range(3))
+
+
+def test_brainmap_keeps_the_sign_where_p_is_one(spark):
+    from quillmap.operators import decode
+
+    # both labels are on far fewer selected analyses than their foci would give by chance
+    point = spark.range(4000).select("id").unionByName(spark.range(1_000_000).select((F.col("id") % 2000 + 2000).alias("id")))
+    annotation = spark.range(1800, 4000).select("id", F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("label"), F.lit(1.0).alias("value"))
+    out = decode.decode_brainmap(point, annotation, spark.range(2000).select("id"))
+    rows = {r["label"]: r for r in out.collect()}
+    assert all(r["p_forward"] == 1 and r["z_forward"] == 0 for r in rows.values())
+    assert (rows["a"]["sign_forward"], rows["b"]["sign_forward"]) == (-1, 1)
+
+
+def test_perplexity_counts_all_trusted_texts(spark, monkeypatch, tmp_path):
+    from quillmap.llm import kneser_ney
+
+    class Seen(Exception):
+        pass
+
+    def train(trusted):
+        raise Seen(trusted.count())
+
+    monkeypatch.setattr(kneser_ney, "train", train)
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a text").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    with pytest.raises(Seen) as found:
+        kneser_ney.classify(docs, labels)
+    assert found.value.args[0] == labels.where(kneser_ney.fold(0)).count() > 4500
+
+
+def test_a_task_has_pairs_of_few_images(spark, monkeypatch):
+    from quillmap.operators import ibma
+
+    assert ibma.BLOCK_IMAGES <= 1000
+    monkeypatch.setattr(ibma, "BLOCK_IMAGES", 8)
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(40, 6))
+    image = spark.createDataFrame([(i, v, float(values[i, v])) for i in range(40) for v in range(6)], "id long, voxel long, value double")
+    rows = {(r["a"], r["b"]): r["r"] for r in ibma.image_correlations(image).collect()}
+    want = np.corrcoef(values)
+    assert len(rows) == 780 and all(abs(r - want[a, b]) < 1e-12 for (a, b), r in rows.items())
