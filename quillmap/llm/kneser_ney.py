@@ -13,8 +13,7 @@ tasks, which sum up their surprise. All others of every whole text are rows
 summed for each document. So memory depends neither on the number of languages
 nor on the corpus, and no n-gram is left out.
 
-Trusted texts for counts are at most about ``MOST_TRUSTED`` labelled ones of each
-language, picked by a hash of doc_id, from one half of those there are; quantiles
+Counts come from all labelled trusted texts of one half of doc_ids, by a hash; quantiles
 of a language's perplexity over the whole other half set its threshold.
 
 Defined results: a null or empty text has perplexity null and is not kept; a null
@@ -40,7 +39,6 @@ from .common import bounded, look_up, materialize
 
 ORDER, SYMBOL_BITS = 4, 16
 SYMBOLS = 1 << SYMBOL_BITS
-MOST_TRUSTED = 4000
 #: Bytes of texts that are looked up at once (about): each character takes some 100 bytes on the way.
 SLICE = 1 << 18
 #: Most n-grams of the model that are sent to all tasks (16 bytes each).
@@ -278,15 +276,11 @@ def fold(n: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == n
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold and kept for every document."""
     source = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     good = materialize(labels.where("quality = 1").select("doc_id").distinct(), "good")
-    first = source.select("doc_id", "lang").join(good.where(fold(0)), "doc_id")
-    sizes = bounded(first.groupBy("lang").agg(F.count("*").alias("have")), "have")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = materialize(first.join(sizes, "lang").where(draw * F.col("have") < most).select("doc_id").distinct(), "trusted")
-    model = train(source.join(picked, "doc_id", "left_semi"))
+    model = train(source.join(good.where(fold(0)), "doc_id", "left_semi"))
     scored = materialize(score(source, model, ["doc_id"]), "perplexities")
     out = judge(scored, scored.join(good.where(fold(1)), "doc_id", "left_semi"))
     return out.select("doc_id", F.col("model_lang").alias("lang"), "n_symbols", "perplexity", "threshold", "kept")
