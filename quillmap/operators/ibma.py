@@ -132,8 +132,8 @@ def likelihood(image: DataFrame, method: str = "ML", by_size: bool = False, poin
     """est, se, z, tau2 (and sigma2 with ``by_size``) of each voxel by maximum or restricted likelihood.
 
     The profile likelihood of a tau2 needs four sums of a voxel. Each round takes those
-    sums for a grid of tau2 in one grouped pass and narrows the range around the best,
-    so no voxel's images are gathered; a range shrinks to 2 / (points - 1) in a round.
+    sums for a grid of tau2 in one grouped pass, as columns of the voxel's row, and narrows the range around the best,
+    so no voxel's images are gathered or multiplied; a range shrinks to 2 / (points - 1) in a round.
     """
     first = image.groupBy("voxel").agg(F.var_pop("value").alias("var"), F.avg("value").alias("mean"), F.count("*").alias("k"))
     if by_size:
@@ -145,29 +145,32 @@ def likelihood(image: DataFrame, method: str = "ML", by_size: bool = False, poin
         rows, first = image.select("voxel", F.col("value").alias("y"), F.col("varcope").alias("v")), first.withColumn("sigma2", F.lit(None).cast("double"))
     bounds = first.select("voxel", F.lit(0.0).alias("lo"), F.greatest(4 * F.col("var"), F.lit(1e-9)).alias("hi"), "sigma2")
 
-    def sums(t: Column) -> Column:
-        w = 1 / (F.col("v") + t)
-        return F.struct(t.alias("t"), F.log(F.col("v") + t).alias("l"), w.alias("w"), (w * F.col("y")).alias("wy"), (w * F.col("y") * F.col("y")).alias("wyy"))
-
-    def total(at: DataFrame) -> DataFrame:
-        """Loss, estimate and weight of (voxel, t)."""
-        s = at.groupBy("voxel", "t").agg(*[F.sum(c).alias(c) for c in ("l", "w", "wy", "wyy")])
-        loss = 0.5 * (F.col("l") + F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w"))
-        if method == "REML":
-            loss = loss + 0.5 * F.log("w")
-        return s.select("voxel", "t", "w", (F.col("wy") / F.col("w")).alias("est"), loss.alias("loss"))
+    def sums(rows: DataFrame, n: int) -> DataFrame:
+        """(voxel, s): tau2, loss, estimate and weight at n points of a voxel's range."""
+        y, v, aggs = F.col("y"), F.col("v"), []
+        step = (F.col("hi") - F.col("lo")) / max(n - 1, 1)
+        for i in range(n):
+            t = F.col("lo") + i * step
+            w = 1 / (v + t)
+            aggs += [F.sum(F.log(v + t)).alias(f"l{i}"), F.sum(w).alias(f"w{i}"), F.sum(w * y).alias(f"wy{i}"), F.sum(w * y * y).alias(f"wyy{i}")]
+        s, out = rows.groupBy("voxel", "lo", "hi").agg(*aggs), []
+        for i in range(n):
+            l, w, wy, wyy = (F.col(f"{c}{i}") for c in ("l", "w", "wy", "wyy"))
+            loss = 0.5 * (l + wyy - wy * wy / w)
+            if method == "REML":
+                loss = loss + 0.5 * F.log(w)
+            out.append(F.struct(loss.alias("loss"), (F.col("lo") + i * step).alias("t"), (wy / w).alias("est"), w.alias("w")))
+        return s.select("voxel", F.array_min(F.array(*out)).alias("s") if n > 1 else out[0].alias("s"))
 
     for _ in range(rounds):
         step = (F.col("hi") - F.col("lo")) / (points - 1)
-        grid = F.explode(F.array(*[sums(F.col("lo") + i * step) for i in range(points)])).alias("s")
-        at = rows.join(bounds, "voxel").select("voxel", grid).select("voxel", "s.*")
-        best = total(at).groupBy("voxel").agg(F.min(F.struct("loss", "t")).alias("b"))
-        bounds = bounds.join(best, "voxel").select("voxel", F.greatest(F.lit(0.0), F.col("b.t") - step).alias("lo"), (F.col("b.t") + step).alias("hi"), "sigma2", F.col("b.t").alias("tau2"))
+        best = sums(rows.join(bounds.select("voxel", "lo", "hi"), "voxel"), points).select("voxel", F.col("s.t").alias("tau2"))
+        bounds = bounds.select("voxel", "lo", "hi", "sigma2").join(best, "voxel").select("voxel", F.greatest(F.lit(0.0), F.col("tau2") - step).alias("lo"), (F.col("tau2") + step).alias("hi"), "sigma2", "tau2")
         from quillmap.operators.text import checkpointed
 
         bounds = checkpointed(bounds)
-    at = rows.join(bounds.select("voxel", "tau2"), "voxel").select("voxel", sums(F.col("tau2")).alias("s")).select("voxel", "s.*")
-    out = total(at).join(bounds.select("voxel", "tau2", "sigma2"), "voxel").select("voxel", "est", (1 / F.sqrt("w")).alias("se"), "tau2", "sigma2")
+    at = sums(rows.join(bounds.select("voxel", F.col("tau2").alias("lo"), F.col("tau2").alias("hi")), "voxel"), 1)
+    out = at.join(bounds.select("voxel", "tau2", "sigma2"), "voxel").select("voxel", F.col("s.est").alias("est"), (1 / F.sqrt("s.w")).alias("se"), "tau2", "sigma2")
     return out.withColumn("z", F.col("est") / F.col("se"))
 
 

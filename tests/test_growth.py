@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import cbma, decode, kernels
+from quillmap.operators import cbma, decode, ibma, kernels
 from quillmap.plans.studyset import Grid
 
 GRID = Grid(6, 7, 8, 2.0, 0.0, (1, 6))
@@ -65,3 +65,23 @@ def test_histograms_are_made_and_drawn_from_in_one_pass(spark):
         assert all(abs(got[b] - x) < 1e-12 for b, x in tail.items())
     plan = cbma.reduced_null(spark, hist, 200, 1.0, additive=True, dealt=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("method", ["ML", "REML"])
+def test_likelihoods_multiply_no_rows(spark, method):
+    rng = np.random.default_rng(3)
+    rows = [(int(v), float(rng.normal(0.3, 0.5)), float(rng.uniform(0.05, 0.3))) for v in range(3) for _ in range(40)]
+    im = spark.createDataFrame(rows, "voxel long, value double, varcope double")
+    out = ibma.likelihood(im, method)
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        y, v = np.array([x[1:] for x in rows if x[0] == r["voxel"]]).T
+
+        def loss(t):
+            w = 1 / (v + t)
+            out = 0.5 * (np.log(v + t).sum() + (w * y * y).sum() - (w * y).sum() ** 2 / w.sum())
+            return out + 0.5 * np.log(w.sum()) if method == "REML" else out
+
+        grid = np.linspace(0, 4 * y.var(), 20001)
+        best = grid[np.argmin([loss(t) for t in grid])]
+        assert abs(r["tau2"] - best) < 1e-3 and abs(r["est"] - (y / (v + best)).sum() / (1 / (v + best)).sum()) < 1e-3
