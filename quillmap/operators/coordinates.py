@@ -6,12 +6,15 @@ union with an anti-join, and no list of ids leaves the executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.operators.clusters import label
+from quillmap.operators.kernels import whole_analyses
 from quillmap.plans.studyset import Grid, Studyset
 
 MODES = ("fill", "replace", "demolish")
@@ -49,23 +52,94 @@ def peaks_of(value: np.ndarray, sizes: np.ndarray, threshold: float, least: int,
     return out
 
 
+#: Voxels of the volumes that a task holds at once.
+VOLUME_VOXELS = 1 << 21
+
+
+def clusters_of(on: np.ndarray) -> np.ndarray:
+    """Each voxel's cluster, named by the least voxel, in several volumes at once (the first axis); face neighbours take the lesser name until nothing changes."""
+    n, size = len(on), on[0].size
+    at = np.arange(size).reshape(on.shape[1:])
+    pairs = []
+    for axis in range(at.ndim):
+        a, b = (np.take(at, range(lo, at.shape[axis] - 1 + lo), axis).ravel() for lo in (0, 1))
+        v, e = np.nonzero(on.reshape(n, size)[:, a] & on.reshape(n, size)[:, b])
+        pairs.append(np.stack([v * size + a[e], v * size + b[e]]))
+    u, v = np.concatenate(pairs, 1)
+    root = np.arange(on.size)
+    while len(u):
+        x, y = root[u], root[v]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not ((up := root[root]) == root).all():
+            root = up
+    return root.reshape(n, size) - np.arange(n)[:, None] * size
+
+
+def many_peaks(value: np.ndarray, sizes: np.ndarray, threshold: float, least: int, distance: float, most: int) -> tuple[np.ndarray, ...]:
+    """(volume, cluster, rank, voxel, value) as ``peaks_of`` gives them for each volume of the first axis."""
+    on = value > threshold
+    size = on[0].size
+    flat, name = value.reshape(len(on), size), clusters_of(on)
+    volume, voxel = np.nonzero(on.reshape(len(on), size))
+    key = volume * size + name[volume, voxel]
+    order = np.lexsort((voxel, -flat[volume, voxel], key))
+    volume, voxel, key = volume[order], voxel[order], key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(first, append=len(key))
+    first, count = first[count >= least], count[count >= least]
+    rank = np.ones(len(first), np.int64)
+    if most and len(first):
+        wide = np.pad(np.where(on, value, -np.inf), [(0, 0)] + [(1, 1)] * 3, constant_values=-np.inf)
+        top, shape = np.ones(on.shape, bool), on.shape[1:]
+        for a, b, c in np.ndindex(3, 3, 3):
+            top &= value >= wide[:, a : a + shape[0], b : b + shape[1], c : c + shape[2]]
+        is_top, taken, ranks = top.reshape(len(on), size)[volume, voxel], [], []
+        for lo, n in zip(first.tolist(), count.tolist(), strict=True):
+            chosen: list[np.ndarray] = []
+            for r in [lo, *(lo + 1 + np.flatnonzero(is_top[lo + 1 : lo + n])).tolist()]:
+                at = sizes @ np.array(np.unravel_index(voxel[r], shape))
+                if all(np.linalg.norm(at - other) >= distance for other in chosen):
+                    chosen.append(at)
+                    taken.append(r)
+                    ranks.append(len(chosen))
+                if len(chosen) > most:
+                    break
+        first, rank = np.array(taken, np.int64), np.array(ranks, np.int64)
+    return volume[first], key[first] % size, rank, voxel[first], flat[volume[first], voxel[first]]
+
+
 def image_peaks(image: DataFrame, grid: Grid, threshold: float = 3.1, least: int = 0, distance: float = 8.0, two_sided: bool = False, subpeaks: bool = True) -> DataFrame:
-    """(id, cluster, rank, voxel, value) of every image of (id, voxel, value); with ``two_sided`` of clusters below the negative threshold too."""
-    kind = image.schema["id"].dataType.simpleString()
-    shape, sizes = grid.shape, grid.matrix[:, :3]
+    """(id, cluster, rank, voxel, value) of every image of (id, voxel, value); with ``two_sided`` of clusters below the negative threshold too.
 
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        volume = np.full(shape, -np.inf)
-        volume.ravel()[own["voxel"].to_numpy()] = own["value"].to_numpy()
-        rows = peaks_of(volume, sizes, threshold, least, distance, MOST if subpeaks else 0)
-        if two_sided:
-            rows += [(c, r, v, -x) for c, r, v, x in peaks_of(np.where(np.isfinite(volume), -volume, -np.inf), sizes, threshold, least, distance, MOST if subpeaks else 0)]
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["id", "cluster", "rank", "voxel", "value"])
+    Images are dealt by id; a task labels the clusters of many of them at once.
+    """
+    kind = image.schema["id"].dataType.simpleString()
+    shape, sizes, most = grid.shape, grid.matrix[:, :3], MOST if subpeaks else 0
+    size = int(np.prod(shape))
+    step = max(1, VOLUME_VOXELS // size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, own in whole_analyses(batches):
+            names = pa.concat_arrays(t["id"].chunks).take(pa.array(np.flatnonzero(np.diff(own, prepend=-1))))
+            voxel, value = t["voxel"].to_numpy(), t["value"].to_numpy()
+            for lo in range(0, len(names), step):
+                a, b = np.searchsorted(own, [lo, lo + step])
+                volumes = np.full((min(step, len(names) - lo), size), -np.inf)
+                volumes[own[a:b] - lo, voxel[a:b]] = value[a:b]
+                volumes = volumes.reshape(-1, *shape)
+                parts = [many_peaks(volumes, sizes, threshold, least, distance, most)]
+                if two_sided:
+                    v, c, r, x, y = many_peaks(np.where(np.isfinite(volumes), -volumes, -np.inf), sizes, threshold, least, distance, most)
+                    parts.append((v, c, r, x, -y))
+                for v, c, r, x, y in parts:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(lo + v)), pa.array(c), pa.array(r.astype(np.int32)), pa.array(x), pa.array(y)], ["id", "cluster", "rank", "voxel", "value"])
 
     # what no cluster can hold stays where it is
     some = F.abs("value") > threshold if two_sided else F.col("value") > threshold
     rows = image.where(some).select("id", F.col("voxel").cast("long").alias("voxel"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy("id").applyInPandas(run, f"id {kind}, cluster long, rank int, voxel long, value double")
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(run, f"id {kind}, cluster long, rank int, voxel long, value double")
 
 
 def points_of(peaks: DataFrame, grid: Grid, space: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import cbma, decode, ibma, kernels
+from quillmap.operators import cbma, coordinates, decode, ibma, kernels
 from quillmap.plans.studyset import Grid
 
 GRID = Grid(6, 7, 8, 2.0, 0.0, (1, 6))
@@ -85,3 +85,18 @@ def test_likelihoods_multiply_no_rows(spark, method):
         grid = np.linspace(0, 4 * y.var(), 20001)
         best = grid[np.argmin([loss(t) for t in grid])]
         assert abs(r["tau2"] - best) < 1e-3 and abs(r["est"] - (y / (v + best)).sum() / (1 / (v + best)).sum()) < 1e-3
+
+
+@pytest.mark.parametrize("subpeaks,least", [(True, 0), (False, 0), (True, 3)])
+def test_peaks_of_many_images_at_once(spark, monkeypatch, subpeaks, least):
+    monkeypatch.setattr(coordinates, "VOLUME_VOXELS", 3 * 336)
+    rng = np.random.default_rng(5)
+    volumes = np.round(rng.normal(0, 2, (11, *GRID.shape)), 1)
+    rows = [(i, int(v), float(x)) for i, vol in enumerate(volumes) for v, x in enumerate(vol.ravel())]
+    out = coordinates.image_peaks(spark.createDataFrame(rows, "id long, voxel long, value double"), GRID, 1.0, least, 5.0, True, subpeaks)
+    want, most = set(), coordinates.MOST if subpeaks else 0
+    for i, vol in enumerate(volumes):
+        for sign in (1, -1):
+            want |= {(i, c, r, v, sign * x) for c, r, v, x in coordinates.peaks_of(sign * vol, GRID.matrix[:, :3], 1.0, least, 5.0, most)}
+    assert {tuple(r) for r in out.collect()} == want
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
