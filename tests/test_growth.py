@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import cbma, coordinates, decode, ibma, kernels
+from quillmap.operators import cbma, coordinates, decode, ibma, kernels, text
 from quillmap.plans.studyset import Grid
 
 GRID = Grid(6, 7, 8, 2.0, 0.0, (1, 6))
@@ -100,3 +100,17 @@ def test_peaks_of_many_images_at_once(spark, monkeypatch, subpeaks, least):
             want |= {(i, c, r, v, sign * x) for c, r, v, x in coordinates.peaks_of(sign * vol, GRID.matrix[:, :3], 1.0, least, 5.0, most)}
     assert {tuple(r) for r in out.collect()} == want
     assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_are_counted_where_texts_are(spark, monkeypatch):
+    monkeypatch.setattr(text, "TASK_TERMS", 20)
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 12, i % 9))) for i in range(80)] + [(80, None), (81, ""), (5, "w1 w2 w1"), (82, "\u00c4b \u00e4B x1, x1")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    terms = text.tokens(docs).select("id", F.explode("terms").alias("label")).groupBy("id", "label").count()
+    df = terms.groupBy("label").agg(F.count("*").alias("df")).where(f"df >= 3 and df <= {0.5 * len(rows)}")
+    want = {(r["id"], r["label"]): (r["count"], r["df"]) for r in terms.join(df, "label").collect()}
+    out = text.term_counts(docs, min_df=3)
+    assert {(r["id"], r["label"]): (r["n"], r["df"]) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Generate" not in plan and "ReusedExchange" in plan
