@@ -14,7 +14,10 @@ summed for each document. So memory depends neither on the number of languages
 nor on the corpus, and no n-gram is left out.
 
 Counts come from all labelled trusted texts of one half of doc_ids, by a hash; quantiles
-of a language's perplexity over the whole other half set its threshold.
+of a language's perplexity over the whole other half set its threshold. Texts are not
+shuffled to meet their labels: the labelled doc_ids are bits, of which at most
+``MOST_BITMAPS`` bitmaps of 32,768 doc_ids go to the tasks; where whole numbers lie so far
+apart that there are more, or doc_ids are none, the texts are joined with them.
 
 Defined results: a null or empty text has perplexity null and is not kept; a null
 language is a language ``und`` of its own; a language without trusted text uses the
@@ -33,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import kernels as K
 from .common import bounded, look_up, materialize
@@ -43,6 +47,8 @@ SYMBOLS = 1 << SYMBOL_BITS
 SLICE = 1 << 18
 #: Most n-grams of the model that are sent to all tasks (16 bytes each).
 MOST_SENT = 1 << 20
+#: Most bitmaps of doc_ids that are sent to all tasks (4,096 bytes each).
+MOST_BITMAPS = 2048
 ANY_LANG = "*"
 #: The threshold: this quantile of trusted texts' bits a symbol, a reach beyond it in distances from the median, and more for short texts (bits times the root of the length).
 QUANTILE, REACH, SHORT = 0.95, 4.0, 10.0
@@ -276,11 +282,25 @@ def fold(n: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == n
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id), as a left semi join gives them."""
+    if all(isinstance(t.schema["doc_id"].dataType, IntegralType) for t in (docs, ids)):
+        key = F.col("doc_id").cast("long")
+        bits = ids.where("doc_id is not null").groupBy(F.bitmap_bucket_number(key).alias("_bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("_bits_"))
+        bits = materialize(bits, "bits")
+        if bits.count() <= MOST_BITMAPS:
+            at = F.bitmap_bit_position(key)
+            byte = F.conv(F.hex(F.substring("_bits_", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            rows = docs.join(F.broadcast(bits), F.bitmap_bucket_number(key) == F.col("_bucket_"))
+            return rows.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold and kept for every document."""
     source = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     good = materialize(labels.where("quality = 1").select("doc_id").distinct(), "good")
-    model = train(source.join(good.where(fold(0)), "doc_id", "left_semi"))
+    model = train(texts_of(source, good.where(fold(0))))
     scored = materialize(score(source, model, ["doc_id"]), "perplexities")
     out = judge(scored, scored.join(good.where(fold(1)), "doc_id", "left_semi"))
     return out.select("doc_id", F.col("model_lang").alias("lang"), "n_symbols", "perplexity", "threshold", "kept")

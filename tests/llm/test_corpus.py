@@ -668,6 +668,25 @@ def test_perplexity_threshold_and_verdict_match_brute_force(spark, monkeypatch,
         assert math.log2(r["threshold"]) == pytest.approx(limit, rel=1e-9) and r["kept"] == (bits[i] <= limit)
 
 
+@pytest.mark.parametrize(("kind", "most"), [("long", 2048), ("long", 2), ("int", 2048), ("string", 2048)])
+def test_labelled_texts_are_those_of_a_join_without_a_shuffle(spark, monkeypatch, kind, most):
+    monkeypatch.setattr(kneser_ney, "MOST_BITMAPS", most)
+    far = [1 << 40, -(1 << 40), (1 << 63) - 1, -(1 << 63)] if kind == "long" else []
+    all_ids = [None, *range(-20, 300), *range(32760, 32775), *range(-32775, -32760), *far]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in all_ids + [7, 7, 9]], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    ids = spark.createDataFrame([(i,) for i in [*all_ids[::3], 7, None, 1 << 20]], "doc_id long").withColumn("doc_id", F.col("doc_id").cast(kind)).distinct()
+    got = kneser_ney.texts_of(docs, ids)
+    want = docs.join(ids, "doc_id", "left_semi")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    shuffled = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kneser_ney.texts_of(docs, ids)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", shuffled)
+    assert ("hashpartitioning" in plan) == (most == 2 or kind == "string")
+
+
 def test_perplexity_passes_columns_with_its_own_names(spark):
     docs = frame(spark, [lorem(1), None]).withColumn("perplexity", F.lit("x")).withColumn("score", F.lit("kept"))
     model = kneser_ney.train(docs.select("lang", "text").where("text is not null"))
