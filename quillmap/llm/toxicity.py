@@ -3,7 +3,7 @@
 A text's features are its byte n-grams of 3 to 5, taken inside words with a
 boundary mark at either end, so an unseen misspelling shares most n-grams
 with the word it comes from. The embeddings and the softmax layer are trained
-jointly in numpy on a bounded sample of labelled texts. A whole text is then
+jointly in numpy on a bounded sample of labelled texts, in one task. A whole text is then
 scored in one vectorised pass: as the model is linear after averaging, each
 hashed n-gram has one number, its embedding times the difference of the two
 softmax columns.
@@ -169,8 +169,8 @@ def score_texts(column: pa.Array, model: Model) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> tuple[pa.Table, float]:
-    """(doc_id, h, text, y) of labelled texts, in order, and the share of toxic ones among all: see ``train``."""
+def sampled(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, float]:
+    """(doc_id, h, text, y) of labelled texts, and the share of toxic ones among all: see ``train``."""
     fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 100
     name = [F.col("doc_id"), F.xxhash64("text").alias("h")]
     ids = docs.where(fits if seen is None else fits & seen).select(*name, F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
@@ -183,7 +183,13 @@ def sample(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_
     draw = F.pmod(F.xxhash64("doc_id", "h", F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = materialize(known.where(draw < F.when(F.col("y") == 1, part(1, most_toxic)).otherwise(part(0, most_clean))).select("doc_id", "h", "y"), "picked")
     rows = docs.where(fits).select(*name, "text").join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    return rows.orderBy("doc_id", "h").toArrow(), pos / max(pos + neg, 1)
+    return rows, pos / max(pos + neg, 1)
+
+
+def sample(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> tuple[pa.Table, float]:
+    """The rows of ``sampled``, in order, on the driver, and the share."""
+    rows, share = sampled(docs, labels, seen, most_toxic, most_clean, most_bytes)
+    return rows.orderBy("doc_id", "h").toArrow(), share
 
 
 def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
@@ -192,14 +198,24 @@ def train(docs: DataFrame, labels: DataFrame, seen: Column | None = None, most_t
     The sample is at most about ``most_toxic`` and ``most_clean`` texts, and of each class about
     ``most_bytes``, picked by a hash of doc_id and text, each such pair once, so rows that share a doc_id
     are bounded too; no single text of it is longer than a hundredth of that. So its ids may be
-    broadcast, and its texts fit the driver. Of several labels the largest holds.
+    broadcast, and its texts fit a task, which trains; the driver gets the model alone. Of several
+    labels the largest holds.
     """
-    rows, share = sample(docs, labels, seen, most_toxic, most_clean, most_bytes)
-    marks, bags = rows["y"].to_numpy().astype(np.int64), []
-    for lo in range(0, rows.num_rows, 500):  # some at a time, as each step copies its texts
-        bags += features(rows["text"].slice(lo, 500).combine_chunks().cast(pa.large_string()), BITS)
-    del rows
-    return fit_bags(bags, marks, share)
+    rows, share = sampled(docs, labels, seen, most_toxic, most_clean, most_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, bags = [np.zeros(0, np.int64)], []
+        for b in batches:
+            marks.append(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
+            for lo in range(0, b.num_rows, 500):  # some at a time, as each step copies its texts
+                bags += features(b.column(0).slice(lo, 500), BITS)
+        model = fit_bags(bags, np.concatenate(marks), share)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias], pa.float64()), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "weights"])
+
+    made = rows.repartition(1).sortWithinPartitions("doc_id", "h").select("text", "y").mapInArrow(run, "bias double, weights binary").collect()
+    if not made:  # Spark runs no task over a plan that it finds empty
+        return fit_bags([], np.zeros(0, np.int64), share)
+    return Model(BITS, made[0]["bias"], np.frombuffer(made[0]["weights"], np.float32))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, to: str = "score") -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import threading
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,22 @@ def test_toxicity_sample_is_bounded_where_doc_ids_repeat(spark):
     assert len(set(zip(got["doc_id"].to_pylist(), got["h"].to_pylist(), strict=True))) == got.num_rows
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} text {i}" + (" vilescum" if i % 3 == 0 else "")) for i in range(120)] + [(0, None), (None, "text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, label int")
+    got, share = toxicity.sample(docs, labels)
+    own = toxicity.fit(list(zip(got["text"].to_pylist(), got["y"].to_pylist(), strict=True)), share)
+
+    def here(*_):
+        raise AssertionError("the sample came to the driver")
+
+    monkeypatch.setattr(toxicity, "grams", here)  # workers import their own
+    model = toxicity.train(docs, labels)
+    assert got.num_rows == 121 and model.bias == own.bias and np.array_equal(model.weights, own.weights)
+    assert not toxicity.train(docs, labels.limit(0)).weights.any()
+
+
 def test_release_leaves_other_threads_tables(spark):
     made, ready, done = {}, threading.Event(), threading.Event()
 
