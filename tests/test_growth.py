@@ -114,3 +114,26 @@ def test_terms_are_counted_where_texts_are(spark, monkeypatch):
     assert {(r["id"], r["label"]): (r["n"], r["df"]) for r in out.collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Generate" not in plan and "ReusedExchange" in plan
+
+
+def test_pairs_of_images_shuffle_few_copies(spark, monkeypatch):
+    """A block has no more images than a task holds values for; before, blocks grew with the images, and each value was a row in all of them."""
+    monkeypatch.setattr(ibma, "BLOCK_IMAGES", 4)
+    monkeypatch.setattr(ibma, "BLOCKS", 3)
+    rng = np.random.default_rng(11)
+    value = np.round(rng.normal(size=(40, 6)), 3)
+    value[7] = 0.1  # no variance
+    gone = {(3, 1), (3, 2), (3, 3), (3, 4), (3, 5), (9, 0), (20, 4)}
+    rows = [(i, v, float(value[i, v])) for i in range(40) for v in range(6) if (i, v) not in gone]
+    for some, holes in ((rows, gone), ([r for r in rows if r[0] not in (3, 9, 20)], set())):
+        out = ibma.image_correlations(spark.createDataFrame([*some, (5, 99, None)], "id long, voxel long, value double"))
+        kept = sorted({r[0] for r in some})
+        got = {(r["a"], r["b"]): r["r"] for r in out.collect()}
+        assert len(got) == out.count() == sum(len({v for v in range(6) if not {(a, v), (b, v)} & holes}) > 1 for a in kept for b in kept if a < b)
+        for (a, b), r in got.items():
+            both = [v for v in range(6) if not {(a, v), (b, v)} & holes]
+            if 7 in (a, b):
+                assert np.isnan(r) or holes
+            else:
+                assert abs(r - np.corrcoef(value[a, both], value[b, both])[0, 1]) < 1e-12
+        assert out.rdd.getNumPartitions() == 6  # pairs of three blocks
