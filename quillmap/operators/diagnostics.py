@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmap.operators import cbma
 from quillmap.plans.studyset import Grid
 
 
@@ -19,10 +20,10 @@ def jackknife(ma: DataFrame, clusters: DataFrame, kind: str = "ale") -> DataFram
     The statistic is additive (for ALE in ln(1 - v)), so leaving one out is a
     subtraction and nothing is fitted again.
     """
-    own = ma.join(clusters, "voxel")
+    own = ma.join(F.broadcast(clusters), "voxel")
     term = F.log1p(-F.least("value", F.lit(1 - 1e-12))) if kind == "ale" else F.col("value")
     total = own.withColumn("term", term).groupBy("voxel").agg(F.sum("term").alias("total"))
-    rows = own.withColumn("term", term).join(total, "voxel")
+    rows = own.withColumn("term", term).join(F.broadcast(total), "voxel")
     stat = (lambda c: 1 - F.exp(c)) if kind == "ale" else (lambda c: c)
     left_out = 1 - F.coalesce(F.try_divide(stat(F.col("total") - F.col("term")), stat(F.col("total"))), F.lit(1.0))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
@@ -79,10 +80,17 @@ def leave_one_out_support(ma: DataFrame, ids: DataFrame, threshold: float, mask:
     Leaving one out is a subtraction of its logarithm, and changes only voxels where it is active.
     """
     n = ids.select("id").distinct().agg(F.count("*").cast("double").alias("n"))
-    logs = ma.join(ids.select("id").distinct(), "id", "left_semi").select("voxel", F.log1p(-F.least("value", F.lit(1 - 1e-12))).alias("lv"))
-    total = logs.groupBy("voxel").agg(F.sum("lv").alias("total"), F.count("*").alias("active"))
+    own = cbma.with_ids(ma, ids.select("id").distinct(), "left_semi")
+    return leave_one_out_of_counts(own.groupBy("voxel", "value").agg(F.count("*").alias("n")), n, threshold, mask)
+
+
+def leave_one_out_of_counts(counts: DataFrame, n: DataFrame, threshold: float, mask: DataFrame) -> DataFrame:
+    """``leave_one_out_support`` from (voxel, value, n), how many analyses have each value at a voxel, and one row (n) of all analyses there are."""
+    logs = counts.select("voxel", F.log1p(-F.least("value", F.lit(1 - 1e-12))).alias("lv"), F.col("n").alias("times"))
+    total = logs.groupBy("voxel").agg(F.sum(F.col("lv") * F.col("times")).alias("total"), F.sum("times").alias("active"))
     passes = lambda t: (1 - F.exp(t) > threshold).cast("long")
-    without = logs.join(total, "voxel").groupBy("voxel").agg(F.sum(passes(F.col("total") - F.col("lv"))).alias("still"), F.first("total").alias("total"), F.first("active").alias("active"))
+    # the sums are of the mask's size
+    without = logs.join(F.broadcast(total), "voxel").groupBy("voxel").agg(F.sum(F.col("times") * passes(F.col("total") - F.col("lv"))).alias("still"), F.first("total").alias("total"), F.first("active").alias("active"))
     rows = mask.select("voxel").join(without, "voxel", "left").fillna(0, ["still", "active"]).fillna(0.0, ["total"]).crossJoin(F.broadcast(n))
     return rows.select("voxel", ((F.col("still") + (F.col("n") - F.col("active")) * passes(F.col("total"))) / F.col("n")).alias("support"))
 
