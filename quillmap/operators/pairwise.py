@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.functions import special
-from quillmap.operators import cbma, clusters
+from quillmap.operators import cbma, clusters, kernels
 from quillmap.plans.studyset import Grid
 
 #: Rows that one task holds, bytes that it returns, and parts of a stripe that are added at once.
@@ -110,6 +110,12 @@ def small_volumes(rows: DataFrame, chosen: Callable[[np.ndarray, int], np.ndarra
             add_chosen(total, n_iters, chosen, *map(np.concatenate, zip(*held, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array([row.tobytes() for row in total], pa.binary())], ["iteration", "part"])
 
+    return added(rows.mapInArrow(run, "iteration long, part binary"), size)
+
+
+def added(parts: DataFrame, size: int) -> DataFrame:
+    """(iteration, part): the sum of all tasks' volumes of each iteration."""
+
     def add(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size)
         for x in own.sort_values("task")["part"]:
@@ -117,13 +123,59 @@ def small_volumes(rows: DataFrame, chosen: Callable[[np.ndarray, int], np.ndarra
         return pd.DataFrame({"iteration": [key[0]], "task": [key[1]], "part": [total.tobytes()]})
 
     kind = "iteration long, task long, part binary"
-    parts = rows.mapInArrow(run, "iteration long, part binary").withColumn("task", F.spark_partition_id().cast("long"))
+    parts = parts.withColumn("task", F.spark_partition_id().cast("long"))
     # two levels, so that a group holds about the root of as many volumes as there are tasks
     for level in (F.pmod(F.col("task"), F.lit(32)), F.lit(0).cast("long")):
         parts = parts.groupBy("iteration", level.alias("into")).applyInPandas(add, kind)
     return parts.select("iteration", "part")
 
 
+def group_ids(point: DataFrame, group1: DataFrame, group2: DataFrame, grid: Grid, stamps: kernels.Stamps) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, cell, label, h) of points and of both groups, which meet by id in one shuffle, and (h, label): a hash of the id of each analysis with a point, with its group. Analyses in both groups are an error."""
+    labels = group1.select("id", F.lit(1).cast("tinyint").alias("label")).unionByName(group2.select("id", F.lit(2).cast("tinyint").alias("label"))).where("id is not null")
+    rows = kernels.labelled_rows(point, labels, grid, stamps).withColumn("h", F.xxhash64("id"))
+
+    of = rows.groupBy("id").agg(F.max(F.col("label").isNull()).alias("point"), F.min("label").alias("least"), F.max("label").alias("most")).where("point and least is not null")
+    from quillmap.operators.text import checkpointed
+
+    ids = checkpointed(of.select(F.xxhash64("id").alias("h"), F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(3).alias("label")))
+    if not ids.where("label = 3").isEmpty():
+        raise ValueError("the groups share analyses")
+    return rows, ids
+
+
+def permuted_counts(rows: DataFrame, chosen: Callable[[np.ndarray, int], np.ndarray], n_iters: int, stamps: kernels.Stamps) -> DataFrame:
+    """(iteration, part): for each labelling how many of the analyses it takes have a sphere at each voxel, from ``group_ids``' rows; then, as two more, of the first group and of both.
+
+    An analysis is a row of a matrix only where its points are.
+    """
+    size = stamps.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_iters + 2, size))
+        for t, own in kernels.whole_analyses(batches):
+            group, at = kernels.two_groups(t, own)
+            h = t["h"].to_numpy()[np.flatnonzero(np.diff(own, prepend=-1))]
+            takes = np.ones((n_iters + 2, len(h)), np.float32)
+            for it in range(n_iters):
+                takes[it] = chosen(h, it)
+            takes[n_iters] = group == 1
+            for start, row, voxel, _ in stamps.each(*stamps.distinct(t.take(pa.array(at)), own[at])):
+                if not len(row):
+                    continue
+                n = int(row[-1]) + 1
+                if n * size <= kernels.STAMPS:
+                    on = np.zeros((n, size), np.float32)  # counts of fewer than 2**24 are exact
+                    on[row, voxel] = 1
+                    total += takes[:, start : start + n] @ on
+                else:
+                    for it in range(n_iters + 2):
+                        total[it] += np.bincount(voxel[takes[it, start + row] > 0], minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array([v.tobytes() for v in total], pa.binary())], ["iteration", "part"])
+
+    return added(rows.mapInArrow(run, "iteration long, part binary"), size)
+
+
 def add_chosen(total: np.ndarray, n_iters: int, chosen: Callable[[np.ndarray, int], np.ndarray], h: np.ndarray, voxel: np.ndarray, term: np.ndarray, one: np.ndarray | None = None) -> None:
     """Add the terms of the ids that each iteration takes to its volume: a product of matrices where rows fill the volumes well, else one by one."""
     size = total.shape[1]
