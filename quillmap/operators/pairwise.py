@@ -444,7 +444,7 @@ def scale_fwe(ma: DataFrame, foci: DataFrame, pool: np.ndarray, grid: Grid, n_it
     from quillmap.operators.text import checkpointed
 
     spark = ma.sparkSession
-    volumes = cbma.simulated(spark, foci, pool, grid, n_iters, "ale", fwhm=fwhm, seed=seed)
+    volumes = cbma.simulated(spark, foci, pool, grid, n_iters, "ale", fwhm=fwhm, seed=seed, least=cbma.NONE_LEFT)
     maxima = checkpointed(volume_maxima(volumes, grid, lambda t: {"stat": -np.expm1(t)}, None))
     seen = cbma.ale_stat(ma, grid.mask(spark)) if "stat" not in ma.columns else ma
     seen = seen.select(F.lit("stat").alias("family"), "voxel", "stat")
